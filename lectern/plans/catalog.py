@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_queries, corpus_queries, retrieval_queries  # noqa: F401
+from . import chat_queries, corpus_queries, panel_queries, retrieval_queries  # noqa: F401
 from .registry import CHECKS, QUERIES
 
 
