@@ -218,7 +218,14 @@ _EFFECT = T.ArrayType(T.StructType([
     T.StructField("entry", T.StringType()), T.StructField("exit", T.StringType()),
     T.StructField("topic", T.StringType()), T.StructField("counted", T.LongType()),
 ]))
-_EVERY_STATE = [State(*s) for s in product(STATES, MODES, (False, True), range(4), range(3))]
+_MODE_OF_STATE = {
+    "MENU_PRINCIPAL": "livre", "LIVRE": "livre", "ENCERRADA": "livre", "RESUMO_AGUARDANDO_TEMA": "resumo",
+    "RESUMO_CONCLUIDO": "resumo", "QUIZ_AGUARDANDO_TEMA": "quiz", "QUIZ_EM_ANDAMENTO": "quiz",
+    "QUIZ_SEGUNDA_TENTATIVA": "quiz", "QUIZ_CONCLUIDO": "quiz", "INFORMACOES_AGUARDANDO_PERGUNTA": "info",
+}
+# every state that moves can lead to
+_EVERY_STATE = [State(s, m, *rest) for s, m in _MODE_OF_STATE.items() for rest in product((False, True), range(4), range(3))]
+_KNOWN = frozenset(_EVERY_STATE)
 _KEY = "|".join
 
 
@@ -231,8 +238,20 @@ def _unpack(text: str) -> State:
     return State(state, mode, has_topic == "1", int(question), int(attempt))
 
 
+@lru_cache(maxsize=None)
+def _from_everywhere(event: Event) -> tuple:
+    """The first turn of a block from every state: (final state, topic action, counted, entry states)."""
+    merged: dict = {}
+    for s in _EVERY_STATE:
+        m = move(s, event)
+        merged.setdefault((m.final, m.topic, m.counted), []).append(s)
+    return tuple((*k, tuple(v)) for k, v in merged.items())
+
+
 def _block_effects(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Per (session, block) of sorted rows: exit state, topic (null = kept) and count for every entry state."""
+    """Per (session, block) of sorted rows: exit state, topic (null = kept) and count for every entry state.
+
+    The entry states are all that moves can lead to, and the one the session is stored with."""
     at, images = None, {}
 
     def done():
@@ -242,19 +261,27 @@ def _block_effects(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ]
         return pd.DataFrame({"session_id": [at[0]], "block": [at[1]], "effect": [effect]})
 
+    def put(into: dict, final: State, topic: str | None, count: int, entries) -> None:
+        into.setdefault((final, topic, count), []).extend(entries)
+
     for batch in batches:
         for row in batch.itertuples(index=False):
+            event, merged = _event(row), {}
             if (row.session_id, row.block) != at:
                 if at is not None:
                     yield done()
-                at, images = (row.session_id, row.block), {(s, None, 0): [s] for s in _EVERY_STATE}
-            event = _event(row)
-            # entries that reached the same point share one image from there on
-            merged: dict = {}
-            for (s, topic, n), entries in images.items():
-                m = move(s, event)
-                new = topic if m.topic == "keep" else _topic(m.topic, "", row)
-                merged.setdefault((m.final, new, n + (1 if m.counted else 0)), []).extend(entries)
+                at = (row.session_id, row.block)
+                for final, action, counted, entries in _from_everywhere(event):
+                    put(merged, final, None if action == "keep" else _topic(action, "", row), int(counted), entries)
+                stored = start_of(row.state0, row.mode0, row.topic0, row.question0, row.attempt0)
+                if stored not in _KNOWN:
+                    m = move(stored, event)
+                    put(merged, m.final, None if m.topic == "keep" else _topic(m.topic, "", row), int(m.counted), [stored])
+            else:
+                # entries that reached the same point share one image from there on
+                for (s, topic, n), entries in images.items():
+                    m = move(s, event)
+                    put(merged, m.final, topic if m.topic == "keep" else _topic(m.topic, "", row), n + int(m.counted), entries)
             images = merged
     if at is not None:
         yield done()
@@ -324,7 +351,7 @@ def fold_turns(turns: DataFrame, states: DataFrame | None = None, block_turns: i
     def in_order(df, keys, order):
         return df.repartition(*keys).sortWithinPartitions(*keys, *order)
 
-    effects = in_order(several, ["session_id", "block"], ["turn"]).mapInPandas(
+    effects = in_order(initial(several), ["session_id", "block"], ["turn"]).mapInPandas(
         _block_effects, T.StructType([
             T.StructField("session_id", T.StringType()), T.StructField("block", T.LongType()), T.StructField("effect", _EFFECT)]))
     entries = in_order(initial(effects), ["session_id"], ["block"]).mapInPandas(

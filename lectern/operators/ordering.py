@@ -97,7 +97,8 @@ def nearest_rank(
     )
     inside = Window.partitionBy("name").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     found = (
-        counts.join(targets, F.col("b") == F.col("tb"))
+        counts.join(targets, F.col("b").eqNullSafe(F.col("tb")))  # adds no filter, so both uses share one shuffle
+       
         .withColumn("reached", F.col("before") + F.sum("n").over(inside))
         .filter(F.col("reached") >= F.col("rank"))
         .groupBy("name").agg(F.min("v").alias("v"))

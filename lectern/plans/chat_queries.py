@@ -297,12 +297,12 @@ KEPT = CLEAN + """, kept as (select session_id, request_id, rating, created_at f
 
 
 def kept(t):
-    return quality.upsert_feedback(quality.clean_feedback(t.feedback_raw))
+    return quality.upsert_feedback(quality.clean_feedback(t.feedback()))
 
 
 @query("l1_clean_feedback", "feedback_raw", CLEAN + f"select session_id, request_id, rating, {at('created_at')} as created_at from cleaned")
 def _(t):
-    return quality.clean_feedback(t.feedback_raw)
+    return quality.clean_feedback(t.feedback())
 
 
 @query("l2_upsert_feedback", "feedback_raw", KEPT + f"select session_id, request_id, rating, {at('created_at')} as created_at from kept")

@@ -25,14 +25,14 @@ def uuid5_sql(namespace: uuid.UUID, name: str) -> str:
 
 def line_pages(t):
     """Documents as files whose pages are their lines."""
-    return t.given("documents").select(
+    return t.spread("documents").select(
         F.col("doc_id").alias("file_id"), "source",
         F.transform(F.split("text", "\n"), lambda x, i: F.struct((i + 1).alias("page_number"), x.alias("text"))).alias("pages"))
 
 
 def text_files(t):
     """Documents as files of one page."""
-    return t.given("documents").select(
+    return t.spread("documents").select(
         F.col("doc_id").alias("file_id"), "source",
         F.array(F.struct(F.lit(1).alias("page_number"), F.col("text").alias("text"))).alias("pages"))
 
@@ -157,7 +157,7 @@ def _(t):
 
 @query("b1_extract_pages")
 def _(t):
-    html = t.given("pages").select(F.col("page_id").alias("file_id"), "url", F.encode("html", "UTF-8").alias("content"))
+    html = t.spread("pages").select(F.col("page_id").alias("file_id"), "url", F.encode("html", "UTF-8").alias("content"))
     return files.explode_pages(files.extract_pages(html, paragraphs), ["file_id"])
 
 
@@ -215,7 +215,7 @@ def _(t):
 
 @query("c2_chunk_by_heading")
 def _(t):
-    marked = t.given("documents").select(F.col("doc_id").alias("file_id"), "source", F.replace("text", F.lit("\n"), F.lit("\n# ")).alias("text"))
+    marked = t.spread("documents").select(F.col("doc_id").alias("file_id"), "source", F.replace("text", F.lit("\n"), F.lit("\n# ")).alias("text"))
     return chunking.chunk_by_heading(marked)
 
 
@@ -283,12 +283,12 @@ def _(t):
 
 
 RETRIED = """select id, session_id, request_id, role, content, created_at from messages union all
-  select id || '-retry', session_id, request_id, role, upper(content), created_at + interval '1' minute from messages"""
+  select id || '-retry', session_id, request_id, role, content || '!', created_at + interval '1' minute from messages"""
 
 
 def retried(t):
     again = t.messages.select(
-        F.concat("id", F.lit("-retry")).alias("id"), "session_id", "request_id", "role", F.upper("content").alias("content"),
+        F.concat("id", F.lit("-retry")).alias("id"), "session_id", "request_id", "role", F.concat("content", F.lit("!")).alias("content"),
         (F.col("created_at") + F.expr("interval '1' minute")).alias("created_at"))
     return t.messages.select("id", "session_id", "request_id", "role", "content", "created_at").unionByName(again)
 

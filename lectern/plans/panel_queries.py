@@ -345,7 +345,6 @@ def _(t):
     return audit.session_dossier(chat, metrics.sessions(chat), TITLE, 4).select("session_id", "part", F.md5("text").alias("text_md5"))
 
 
-FEEDBACK_OF_CHAT = KEPT.replace("session_id as session_id", "session_id as session_id")
 REPORT = SESSIONS + """
 , rated as (select m.session_id, round(avg(1 + length(m.content) % 5), 1) as avg_rating, count(*) as n from messages m where m.role = 'assistant' and m.conv_id % 3 = 0 group by m.session_id)
 , report as (select row_number() over (order by last_at desc, g.session_id) as number, g.*, r.avg_rating from grouped g left join rated r on r.session_id = g.session_id)"""
@@ -358,7 +357,7 @@ def chat_ratings(t):
 
 
 @query("o6_session_report", "messages", REPORT + f"""
-select number, '#' || lpad(cast(number as varchar), greatest(2, length(cast(number as varchar))), '0') as label, session_id, {at('first_at')} as started_at, {at('last_at')} as last_activity,
+select number, '#' || lpad(cast(number as varchar), cast(greatest(2, length(cast(number as varchar))) as int), '0') as label, session_id, {at('first_at')} as started_at, {at('last_at')} as last_activity,
   message_count, theme, case when coalesce(avg_rating, 0) <> 0 then printf('%.1f', avg_rating) else '—' end as rating, md5(coalesce(nullif(first_message, ''), 'Menu Inicial')) as first_message_md5 from report""")
 def _(t):
     return panel.session_sheet(t.chat(), chat_ratings(t)).withColumn("first_message_md5", F.md5("first_message")).drop("first_message")
@@ -384,7 +383,7 @@ def _(t):
 
 CASES = """
 , cases as (select item_id, string_split(text, ' ')[1] as inc, string_split(text, ' ')[2] as exc, item_id % 3 as sources_min, 500 + item_id % 7 * 100 as max_ms from benchmark)
-, results as (select item_id, case when item_id % 10 = 9 then 500 else 200 end as status, case when item_id % 4 = 0 then 'outra' else upper(text) end as answer, item_id % 2 as sources, 400 + item_id % 9 * 100 as ms from benchmark)
+, results as (select item_id, case when item_id % 10 = 9 then 500 else 200 end as status, case when item_id % 4 = 0 then 'outra' else lower(text) end as answer, item_id % 2 as sources, 400 + item_id % 9 * 100 as ms from benchmark)
 , judged as (select cast(c.item_id as varchar) as id, concat_ws('; ', case when status <> 200 then 'HTTP ' || status end, case when not contains(lower(answer), lower(inc)) then 'não contém "' || inc || '"' end,
     case when contains(lower(answer), lower(exc)) then 'contém "' || exc || '"' end, case when sources < sources_min then 'fontes ' || sources || ' < ' || sources_min end,
     case when ms > max_ms then 'latência ' || ms || 'ms > ' || max_ms || 'ms' end) as failures, ms, sources from cases c join results r on r.item_id = c.item_id)"""
@@ -402,7 +401,7 @@ def outcomes(t, shift: int = 0):
     i = F.col("item_id") + shift
     return t.given("benchmark").select(
         F.col("item_id").cast("string").alias("id"), F.when(i % 10 == 9, 500).otherwise(200).alias("status"),
-        F.when(i % 4 == 0, "outra").otherwise(F.upper("text")).alias("answer"), (i % 2).alias("sources_found"), (400 + i % 9 * 100).alias("elapsed_ms"))
+        F.when(i % 4 == 0, "outra").otherwise(F.lower("text")).alias("answer"), (i % 2).alias("sources_found"), (400 + i % 9 * 100).alias("elapsed_ms"))
 
 
 @query("p1_check_answers", "", CASES + "select id, failures, failures = '' as passed, ms as elapsed_ms, sources from judged")

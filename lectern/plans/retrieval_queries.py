@@ -41,7 +41,7 @@ FIRST = "(select embedding from embeddings order by vec_id limit 1)"
 
 @query("f1_embed")
 def _(t):
-    out = retrieval.embed(t.given("documents").select("doc_id", "text"), hashed_vectors, DIM, text="text")
+    out = retrieval.embed(t.spread("documents").select("doc_id", "text"), hashed_vectors, DIM, text="text")
     return out.select("doc_id", F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x).cast("bigint").alias("words"))
 
 
@@ -178,7 +178,7 @@ CITED = """case doc_id % 3 when 0 then 'capa' || chr(10) || '  Silva de Souza (2
 
 def cited_files(t):
     """Documents with a citation line, a chapter heading or neither in front, cut into pages at blank-free lines."""
-    return t.given("documents").select("doc_id", "source", F.expr(CITED.replace("chr(10)", "'\\n'")).alias("text"))
+    return t.spread("documents").select("doc_id", "source", F.expr(CITED.replace("chr(10)", "'\\n'")).alias("text"))
 
 
 # RE2 spellings of the two patterns.

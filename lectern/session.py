@@ -61,6 +61,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def file_system(spark: SparkSession, path: str):
+    """Hadoop file system of a path and the Path class."""
+    jvm = spark.sparkContext._jvm
+    Path = jvm.org.apache.hadoop.fs.Path
+    return Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), Path
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, HadoopPath = file_system(spark, path)
+    return fs.exists(HadoopPath(f"{path}/_SUCCESS"))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write once to the shared folder and read back: cuts lineage and survives lost executors."""
     path = scratch_path(df.sparkSession, name)

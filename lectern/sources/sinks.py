@@ -11,20 +11,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..operators.audit import audit_sessions
 from ..operators.sync import upsert_chunks
+from ..session import file_system
 
 # a name that readers of folders do not take for hidden
 _POINTER = "CURRENT"
 
 
-def _file_system(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
-
-
 def current_version(spark: SparkSession, path: str) -> str | None:
     """Folder of the published version, None before the first publication."""
-    fs, Path = _file_system(spark, path)
+    fs, Path = file_system(spark, path)
     pointer = Path(f"{path}/{_POINTER}")
     if not fs.exists(pointer):
         return None
@@ -39,7 +34,7 @@ def publish(df: DataFrame, path: str, partition_by: list[str] | None = None) ->
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(f"{path}/{version}")
-    fs, Path = _file_system(spark, path)
+    fs, Path = file_system(spark, path)
     staged = Path(f"{path}/_next-{version}")
     out = fs.create(staged, True)
     out.write(bytearray(version.encode()))
