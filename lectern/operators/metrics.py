@@ -55,24 +55,27 @@ def sessions(messages: DataFrame) -> DataFrame:
     spoken = (F.col("role") == "assistant") & present("metadata.mode").isNotNull()
     topic = F.when(spoken, present(strip("metadata.current_topic")))
     asked = F.when(F.col("role") == "user", present("content"))
-    lower = F.lower("content")
-    keyword = {
-        f"_t{i}": F.bool_or(F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(lower, w)))
-        for i, words in enumerate(THEMES.values())
-    }
-    grouped = messages.withColumn("session_id", first_present("session_id", F.lit("unknown"))).groupBy("session_id").agg(
+    # one bit per theme whose keyword occurs in the message, so that a session needs a single bit_or
+    named = F.lit(0)
+    for i, words in enumerate(THEMES.values()):
+        hit = F.lit(False)
+        for w in words:
+            hit = hit | _contains(F.col("_lower"), w)
+        named = named + F.when(hit, F.lit(1 << i)).otherwise(F.lit(0))
+    known = messages.withColumn("session_id", first_present("session_id", F.lit("unknown"))).withColumn("_lower", F.lower("content"))
+    grouped = known.groupBy("session_id").agg(
         F.min("created_at").alias("first_at"),
         F.max("created_at").alias("last_at"),
         F.count("*").alias("message_count"),
         F.coalesce(F.min_by(asked, F.when(asked.isNotNull(), at)), F.lit("")).alias("first_message"),
         F.max_by("metadata.mode", F.when(spoken, at)).alias("mode"),
         F.max_by(topic, F.when(topic.isNotNull(), at)).alias("_topic"),
-        *[c.alias(n) for n, c in keyword.items()],
+        F.bit_or(named).alias("_named"),
     )
     # a stored topic equal to the default counts as none
     theme = F.when(F.col("_topic") != DEFAULT_THEME, F.col("_topic"))
     for i, name in enumerate(THEMES):
-        theme = theme.when(F.col(f"_t{i}"), F.lit(name))
+        theme = theme.when(F.col("_named").bitwiseAND(1 << i) != 0, F.lit(name))
     return grouped.select(
         "session_id", "first_at", "last_at", "message_count", "first_message", "mode",
         theme.otherwise(F.lit(DEFAULT_THEME)).alias("theme"))

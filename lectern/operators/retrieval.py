@@ -83,27 +83,40 @@ def match_documents(
     return scored.filter(F.col("similarity") >= threshold).orderBy(F.desc("similarity"), "id").limit(k)
 
 
-def _best(ids: np.ndarray, sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    keep = np.lexsort((ids, -sims))[:k]
-    return ids[keep], sims[keep]
-
-
-def _top_k(ids: np.ndarray, sims: np.ndarray, floors: np.ndarray, k: int, state: list) -> None:
-    """Merge one block of similarities (documents x queries) into the best k per query."""
-    sims = np.round(sims, DIGITS)
-    for q in range(sims.shape[1]):
-        held = state[q]
-        floor = floors[q] if held is None or len(held[0]) < k else max(floors[q], held[1][-1])
-        hit = sims[:, q] >= floor  # NaN compares false
-        if hit.any():
-            new_ids, new_sims = ids[hit], sims[hit, q]
-            if held is not None:
-                new_ids, new_sims = np.concatenate([held[0], new_ids]), np.concatenate([held[1], new_sims])
-            state[q] = _best(new_ids, new_sims, k)
-
-
-def _rows(query_ids, state, id_type: pa.DataType, query_type: pa.DataType) -> pa.RecordBatch:
-    held = [(q, s) for q, s in zip(query_ids, state) if s is not None]
+class _TopK:
+    """The best k documents per question, fed with blocks of documents."""
+
+    # similarities held at once
+    CELLS = 4_000_000
+
+    def __init__(self, queries: np.ndarray, floors: np.ndarray, k: int):
+        self.queries, self.k = queries, k
+        # what a new document must reach: the threshold, later the k-th best so far
+        self.floors = floors.copy()
+        self.held: list = [None] * len(queries)
+
+    def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        if not len(ids):
+            return
+        step = max(1, self.CELLS // len(ids))
+        for start in range(0, len(self.queries), step):
+            sims = np.round(vectors @ self.queries[start:start + step].T, DIGITS)
+            reached = sims >= self.floors[start:start + step]  # NaN compares false
+            for q in np.flatnonzero(reached.any(axis=0)):
+                hit = reached[:, q]
+                self._merge(start + q, ids[hit], sims[hit, q])
+
+    def _merge(self, q: int, ids: np.ndarray, sims: np.ndarray) -> None:
+        if self.held[q] is not None:
+            ids, sims = np.concatenate([self.held[q][0], ids]), np.concatenate([self.held[q][1], sims])
+        keep = np.lexsort((ids, -sims))[:self.k]
+        self.held[q] = (ids[keep], sims[keep])
+        if len(keep) == self.k:
+            self.floors[q] = sims[keep[-1]]
+
+
+def _rows(query_ids, held, id_type: pa.DataType, query_type: pa.DataType) -> pa.RecordBatch:
+    held = [(q, s) for q, s in zip(query_ids, held) if s is not None]
     return pa.RecordBatch.from_arrays(
         [
             pa.array([q for q, s in held for _ in s[0]], type=query_type),
@@ -162,11 +175,10 @@ def _match_by_broadcast(queries: DataFrame, docs: DataFrame, dim: int, k: int) -
     id_type, query_type = _arrow_type(docs, "id"), _arrow_type(queries, "query_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state: list = [None] * len(query_ids)
+        best = _TopK(shared.value, floors, k)
         for record in batches:
-            sims = unit_rows(as_matrix(record.column("embedding"), dim)) @ shared.value.T
-            _top_k(_id_array(record.column("id"), id_type), sims, floors, k, state)
-        yield _rows(query_ids, state, id_type, query_type)
+            best.add(_id_array(record.column("id"), id_type), unit_rows(as_matrix(record.column("embedding"), dim)))
+        yield _rows(query_ids, best.held, id_type, query_type)
 
     return docs.mapInArrow(run, _schema(queries, docs))
 
@@ -232,12 +244,11 @@ def _match_by_cells(
 
     def score(ours: pa.Table, theirs: pa.Table) -> pa.Table:
         query_ids = theirs.column("query_id").to_pylist()
-        state: list = [None] * len(query_ids)
-        if len(ours) and query_ids:
-            sims = unit_rows(as_matrix(ours.column("embedding"), dim)) @ unit_rows(as_matrix(theirs.column("embedding"), dim)).T
-            floors = np.array(theirs.column("threshold").to_pylist(), dtype=np.float64)
-            _top_k(_id_array(ours.column("id"), id_type), sims, floors, k, state)
-        return pa.Table.from_batches([_rows(query_ids, state, id_type, query_type)])
+        floors = np.array(theirs.column("threshold").to_pylist(), dtype=np.float64)
+        best = _TopK(unit_rows(as_matrix(theirs.column("embedding"), dim)), floors, k)
+        if query_ids:
+            best.add(_id_array(ours.column("id"), id_type), unit_rows(as_matrix(ours.column("embedding"), dim)))
+        return pa.Table.from_batches([_rows(query_ids, best.held, id_type, query_type)])
 
     key = ["cell", "db", "qb"]
     return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(score, _schema(queries, docs))

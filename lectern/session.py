@@ -20,6 +20,8 @@ def build_session(master: str | None = None, app: str = "lectern", **conf: str)
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        # documents can be long: bound Arrow batches by bytes as well as by rows
+        "spark.sql.execution.arrow.maxBytesPerBatch": str(32 * 1024 * 1024),
         **conf,
     }
     for key, value in settings.items():
@@ -28,6 +30,7 @@ def build_session(master: str | None = None, app: str = "lectern", **conf: str)
 
 
 _SHIPPED: set[str] = set()
+_LOCAL_FOLDERS: dict[str, str] = {}
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -51,9 +54,7 @@ def shared_folder(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="spark-lectern-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return _LOCAL_FOLDERS.setdefault(context.applicationId, tempfile.mkdtemp(prefix="spark-lectern-"))
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
