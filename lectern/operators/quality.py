@@ -12,6 +12,8 @@ from .ordering import newest_per_key
 TURN = ["session_id", "request_id"]
 VERDICTS = ["correct", "incomplete", "incorrect", "unverifiable"]
 STATUSES = ["queued", "running", "succeeded", "failed"]
+# Fixed value: how much of a chunk an evaluator reads.
+MATERIAL_CHARS = 6000
 SCORES = ["score", "grounding_score", "completeness_score", "relevance_score"]
 
 
@@ -65,20 +67,21 @@ def rating_by_mode(feedback: DataFrame, messages: DataFrame) -> DataFrame:
         percent(F.count_if(F.col("rating") >= 4), F.count("*")).alias("satisfaction_rate"))
 
 
-def eval_context(turns: DataFrame, documents: DataFrame) -> DataFrame:
+def eval_context(turns: DataFrame, documents: DataFrame, max_chars: int | None = None) -> DataFrame:
     """Stored chunks behind each answer, in retrieval order. turns: session, request, retrieval array.
 
-    Entries without an id or with a ``source:`` stand-in have no stored chunk. Out: one row per chunk."""
+    Entries without an id or with a ``source:`` stand-in have no stored chunk. Out: one row per chunk, its text
+    cut to ``max_chars`` before it is moved."""
     entries = turns.select(*TURN, F.posexplode("retrieval").alias("pos", "e")).select(
         *TURN, "pos", F.col("e.document_id").alias("document_id"))
     stored = entries.filter(present("document_id").isNotNull() & ~F.col("document_id").startswith("source:"))
-    chunks = documents.select(F.col("id").cast("string").alias("document_id"), "source", "content")
+    chunks = documents.select(F.col("id").cast("string").alias("document_id"), "source", cut("content", max_chars).alias("content") if max_chars else F.col("content"))
     return stored.join(chunks, "document_id")
 
 
 def eval_material(context: DataFrame) -> DataFrame:
     """Text an evaluator reads per answer (at most k chunks, each cut to 6000 characters) and its source count."""
-    text = F.concat(F.lit("[Fonte: "), "source", F.lit("]\n"), cut("content", 6000))
+    text = F.concat(F.lit("[Fonte: "), "source", F.lit("]\n"), cut("content", MATERIAL_CHARS))
     return context.groupBy(*TURN).agg(
         join_sorted(F.struct("pos", text.alias("text")), "\n\n---\n\n").alias("material"),
         F.count("*").alias("source_count"))

@@ -7,21 +7,12 @@ from pyspark.sql import functions as F
 from ..functions import intents
 from ..functions.text import normalize_input
 from ..operators import flow, quality, sessions
+from .chat_sql import INTENT_SQL, SPACES, inline_sql, norm_sql, quoted
+from .fold_check import FINAL, RESOLVED, STEPS
 from .registry import at, query
 
 UUID_RE = "(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
 V15_RE = "(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[1-5][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$"
-SPACES = "' ' || chr(9) || chr(10) || chr(13)"
-
-
-def norm_sql(c: str) -> str:
-    return f"trim(regexp_replace(strip_accents(lower({c})), '[^a-z0-9_-]+', ' ', 'g'))"
-
-
-def quoted(values) -> str:
-    return ", ".join(f"'{v}'" for v in values)
-
-
 # ---- H: conversation rules
 
 REQUESTS = """, requests as (select h, case h % 7 when 0 then ' ' || session_id || ' ' when 1 then 'não vale' when 2 then null else session_id end as session_id,
@@ -48,12 +39,6 @@ def _(t):
     return t.given("documents").select("doc_id", F.md5(normalize_input("text")).alias("normalized_md5"))
 
 
-INTENT_SQL = "case when n = '' then 'greeting' " + " ".join(
-    f"when n in ({quoted(phrases)})" + (" or (length(n) < 30 and regexp_matches(n, '\\bvoltar\\b') and regexp_matches(n, '\\bmenu\\b'))" if name == "menu_return" else "")
-    + f" then '{name}'" for name, phrases in intents.INTENT_PHRASES.items()
-) + f" when len(string_split(n, ' ')) <= 3 and list_has_any(string_split(n, ' '), [{quoted(intents.GREETING_WORDS)}]) then 'greeting' else 'content' end"
-
-
 @query("h3_detect_intent", "dialog", f"select session_id, turn, {INTENT_SQL} as intent from (select *, {norm_sql('content')} as n from dialog)")
 def _(t):
     return t.dialog.select("session_id", "turn", intents.detect_intent("content").alias("intent"))
@@ -71,12 +56,6 @@ def _(t):
     return t.dialog.select("session_id", "turn", intents.legacy_intents("content").alias("i")).select("session_id", "turn", "i.*")
 
 
-def inline_sql(mode: str) -> str:
-    wanted = intents.inline_pattern(mode, False) + "(.+)$"
-    return (f"case when regexp_matches(n, '{wanted}') then nullif(trim(regexp_replace(content, "
-            f"'(?i){intents.inline_pattern(mode, True)}', ''), {SPACES}), '') end")
-
-
 @query("h5_extract_inline", "dialog", f"""
 select session_id, turn, case when q is not null then 'quiz' when r is not null then 'resumo' when i is not null then 'info' end as mode,
   md5(coalesce(q, r, i)) as topic_md5 from (select *, {inline_sql('quiz')} as q, {inline_sql('resumo')} as r, {inline_sql('info')} as i
@@ -94,19 +73,19 @@ def exchanges(t):
     return users.join(answers, ["session_id", "turn"], "left").withColumn("failed", F.col("h") % 10 == 0)
 
 
-@query("h6_resolve_turn")
+@query("h6_resolve_turn", "dialog", RESOLVED)
 def _(t):
     return flow.fold_turns(exchanges(t)).select(
         "session_id", "turn", "intent", "kind", "fast_response", "generation_mode", "topic", "state_before", "state_decided",
         "quiz_question", "quiz_attempt")
 
 
-@query("h6_resolve_turn_in_blocks")
+@query("h6_resolve_turn_in_blocks", "dialog", STEPS)
 def _(t):
     return flow.fold_turns(exchanges(t), block_turns=2).select("session_id", "turn", "state_before", "state_after", "current_topic", "revision")
 
 
-@query("h7_finalize_turn")
+@query("h7_finalize_turn", "dialog", FINAL)
 def _(t):
     return flow.final_states(flow.fold_turns(exchanges(t)))
 
@@ -339,9 +318,9 @@ CONTEXT = """, context as (select h.session_id, h.request_id, h.rank, c.source,
     where h.request_id is not null and h.document_id <> '' and h.document_id not like 'source:%')"""
 
 
-def context(t):
+def context(t, max_chars=None):
     turns = t.telemetry().filter("request_id is not null and metadata is not null").select("session_id", "request_id", "metadata.retrieval")
-    return quality.eval_context(turns, t.chunks)
+    return quality.eval_context(turns, t.chunks, max_chars)
 
 
 @query("m1_eval_context", "turns hits chunks", CONTEXT + "select session_id, request_id, cast(rank - 1 as int) as pos, source, md5(content) as content_md5 from context")
@@ -353,7 +332,7 @@ def _(t):
 select session_id, request_id, count(*) as source_count, md5(string_agg('[Fonte: ' || source || ']' || chr(10) || substr(content, 1, 6000),
   chr(10) || chr(10) || '---' || chr(10) || chr(10) order by rank)) as material_md5 from context group by session_id, request_id""")
 def _(t):
-    return quality.eval_material(context(t)).select("session_id", "request_id", "source_count", F.md5("material").alias("material_md5"))
+    return quality.eval_material(context(t, quality.MATERIAL_CHARS)).select("session_id", "request_id", "source_count", F.md5("material").alias("material_md5"))
 
 
 RAW_EVAL = """'{"score": ' || cast(doc_id % 150 - 20 as string) || '.7, "verdict": "' || case doc_id % 5 when 0 then 'correct' when 1 then 'incomplete' when 2 then 'wrong' else 'unverifiable' end

@@ -101,7 +101,7 @@ def _(t):
     return tables.read_chunks_for_file(stored, "f3").select("id", "source", "metadata.page_number")
 
 
-@query("a5_read_acceptance_cases")
+@query("a5_read_acceptance_cases", "", "select cast(item_id as varchar) as id, 1 as turns, 45000 as max_latency_ms from benchmark")
 def _(t):
     cases = t.given("benchmark").select(
         F.col("item_id").cast("string").alias("id"), F.lit("").alias("description"), F.array("text").alias("messages"),

@@ -11,6 +11,7 @@ from ..streaming import turns as streams
 from . import panel
 from .chat_queries import KEPT, exchanges, kept
 from .corpus_queries import text_files
+from .fold_check import STEPS
 from .registry import at, query
 
 SYNTHETIC = "regexp_matches(coalesce(session_id, ''), '^(" + "|".join(metrics.SYNTHETIC_PREFIXES) + ")')"
@@ -452,7 +453,7 @@ def _(t):
     return streams.read_appended(t.spark, folder, stream.schema).groupBy("session_id", "request_id", "role").agg(F.count("*").alias("rows"))
 
 
-@query("s2_live_sessions")
+@query("s2_live_sessions", "dialog", STEPS)
 def _(t):
     folder = streams.new_stream_folder(t.spark, "sessions")
     source = exchanges(t)

@@ -39,7 +39,7 @@ COSINE = "round(list_cosine_similarity(d.embedding::double[], q.embedding::doubl
 FIRST = "(select embedding from embeddings order by vec_id limit 1)"
 
 
-@query("f1_embed")
+@query("f1_embed", "", "select doc_id, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) as words from documents")
 def _(t):
     out = retrieval.embed(t.spread("documents").select("doc_id", "text"), hashed_vectors, DIM, text="text")
     return out.select("doc_id", F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x).cast("bigint").alias("words"))
@@ -230,10 +230,16 @@ def _(t):
     return references.with_reference(cited_files(t).withColumn("metadata", reference_struct()), "text").select("doc_id", "reference")
 
 
-@query("g6_strip_model_references")
+ANSWERED = "text || chr(10) || chr(10) || '**Referências:** inventada' || chr(10) || chr(10) || 'Deseja aprofundar este tema?'"
+HEADING = references._REFERENCES_HEADING.replace("(?isu)", "(?is)")
+
+
+@query("g6_strip_model_references", "", f"""
+select conv_id, turn, md5(rtrim(regexp_extract({ANSWERED}, '{HEADING}', 1), ' ' || chr(9) || chr(10) || chr(13)) || chr(10) || chr(10) || 'Deseja aprofundar este tema?') as answer_md5
+from conversations""")
 def _(t):
     answer = F.concat("text", F.lit("\n\n**Referências:** inventada\n\nDeseja aprofundar este tema?"))
-    return t.given("conversations").select("conv_id", "turn", references.strip_model_references(answer).alias("answer"))
+    return t.given("conversations").select("conv_id", "turn", F.md5(references.strip_model_references(answer)).alias("answer_md5"))
 
 
 @query("g7_finalize_references")
