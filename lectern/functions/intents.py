@@ -128,20 +128,22 @@ def inline_pattern(mode: str, accented: bool) -> str:
     return f"^{verb}{do}(?:{spelled if accented else plain}){_LINK}"
 
 
-def inline_topic(c: Column | str, mode: str) -> Column:
+def inline_topic(c: Column | str, mode: str, norm: Column | None = None) -> Column:
     """Topic of an inline request of this mode, null when the message is not one.
 
     The request is recognised on the normalised text and the topic cut from the original one."""
-    wanted = matches(normalize_input(c), inline_pattern(mode, False) + "(.+)$")
+    wanted = matches(normalize_input(c) if norm is None else norm, inline_pattern(mode, False) + "(.+)$")
     topic = strip(F.regexp_replace(col(c), "(?iu)" + inline_pattern(mode, True), ""))
     return F.when(wanted, present(topic))
 
 
-def extract_inline(c: Column | str) -> Column:
-    """struct<mode, topic>, quiz tried first; null when the message is no inline request."""
+def extract_inline(c: Column | str, norm: Column | None = None) -> Column:
+    """struct<mode, topic>, quiz tried first; null when the message is no inline request.
+
+    ``norm`` is the normalised message where the caller has it already."""
     request = None
     for mode in INLINE_REQUESTS:
-        topic = inline_topic(c, mode)
+        topic = inline_topic(c, mode, norm)
         entry = F.when(topic.isNotNull(), F.struct(F.lit(mode).alias("mode"), topic.alias("topic")))
         request = entry if request is None else F.coalesce(request, entry)
     return request

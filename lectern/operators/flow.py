@@ -159,7 +159,7 @@ def tag_turns(turns: DataFrame) -> DataFrame:
     return (
         turns.withColumn("message", strip(F.coalesce("message", F.lit(""))))
         .withColumn("_norm", normalize_input("message"))
-        .withColumn("_inline", extract_inline("message"))
+        .withColumn("_inline", extract_inline("message", F.col("_norm")))
         .select(
             *[c for c in turns.columns if c != "message"], "message",
             intent_of_normalized(F.col("_norm")).alias("intent"),
@@ -215,8 +215,8 @@ def start_of(state, mode, topic, question, attempt) -> State:
 
 
 _EFFECT = T.ArrayType(T.StructType([
-    T.StructField("entry", T.StringType()), T.StructField("exit", T.StringType()),
-    T.StructField("topic", T.StringType()), T.StructField("counted", T.LongType()),
+    T.StructField("exit", T.StringType()), T.StructField("topic", T.StringType()), T.StructField("counted", T.LongType()),
+    T.StructField("entries", T.ArrayType(T.IntegerType())),
 ]))
 _MODE_OF_STATE = {
     "MENU_PRINCIPAL": "livre", "LIVRE": "livre", "ENCERRADA": "livre", "RESUMO_AGUARDANDO_TEMA": "resumo",
@@ -225,7 +225,9 @@ _MODE_OF_STATE = {
 }
 # every state that moves can lead to
 _EVERY_STATE = [State(s, m, *rest) for s, m in _MODE_OF_STATE.items() for rest in product((False, True), range(4), range(3))]
-_KNOWN = frozenset(_EVERY_STATE)
+_NUMBER = {s: i for i, s in enumerate(_EVERY_STATE)}
+# number of the one state that moves cannot lead to: the stored state of a session
+_STORED = -1
 _KEY = "|".join
 
 
@@ -256,8 +258,8 @@ def _block_effects(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     def done():
         effect = [
-            {"entry": _pack(entry), "exit": _pack(s), "topic": topic, "counted": n}
-            for (s, topic, n), entries in images.items() for entry in entries
+            {"exit": _pack(s), "topic": topic, "counted": n, "entries": [_NUMBER.get(e, _STORED) for e in entries]}
+            for (s, topic, n), entries in images.items()
         ]
         return pd.DataFrame({"session_id": [at[0]], "block": [at[1]], "effect": [effect]})
 
@@ -274,7 +276,7 @@ def _block_effects(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 for final, action, counted, entries in _from_everywhere(event):
                     put(merged, final, None if action == "keep" else _topic(action, "", row), int(counted), entries)
                 stored = start_of(row.state0, row.mode0, row.topic0, row.question0, row.attempt0)
-                if stored not in _KNOWN:
+                if stored not in _NUMBER:
                     m = move(stored, event)
                     put(merged, m.final, None if m.topic == "keep" else _topic(m.topic, "", row), int(m.counted), [stored])
             else:
@@ -299,8 +301,8 @@ def _chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 topic = row.topic0 if isinstance(row.topic0, str) else ""
                 revision = 0 if row.revision0 is None or row.revision0 != row.revision0 else int(row.revision0)
             out.append((session, row.block, state.state, state.mode, topic, state.question, state.attempt, revision))
-            wanted = _pack(state)
-            hit = next(e for e in row.effect if e["entry"] == wanted)
+            wanted = _NUMBER.get(state, _STORED)
+            hit = next(e for e in row.effect if wanted in e["entries"])
             state, revision = _unpack(hit["exit"]), revision + int(hit["counted"])
             topic = topic if hit["topic"] is None else hit["topic"]
         yield pd.DataFrame(out, columns=["session_id", "block", "state0", "mode0", "topic0", "question0", "attempt0", "revision0"])
@@ -330,11 +332,8 @@ def fold_turns(turns: DataFrame, states: DataFrame | None = None, block_turns: i
 
     turns: session_id, turn (dense numbers, total order within the session), message [, answer, failed];
     states: stored session states to start from (default: a new session)."""
-    tagged = tag_turns(turns).select(
-        "session_id", F.col("turn").cast("bigint").alias("turn"), *EVENT_COLUMNS,
-        F.floor(F.col("turn") / block_turns).alias("block"))
+    placed = turns.withColumn("turn", F.col("turn").cast("bigint")).withColumn("block", F.floor(F.col("turn") / block_turns))
     if states is None:
-        start = None
         initial = lambda df: df.select("*", *[F.lit(None).cast(t).alias(n) for n, t in _ENTRY.items()])
     else:
         start = states.select(
@@ -343,10 +342,12 @@ def fold_turns(turns: DataFrame, states: DataFrame | None = None, block_turns: i
             F.col("revision").cast("bigint").alias("revision0"))
         initial = lambda df: df.join(start, "session_id", "left")
 
-    span = tagged.groupBy("session_id").agg(F.min("block").alias("first"), F.max("block").alias("last"))
+    # sessions of several blocks are set apart before the messages are classified
+    span = placed.groupBy("session_id").agg(F.min("block").alias("first"), F.max("block").alias("last"))
     long = span.filter("last > first").select("session_id")
-    single = tagged.join(long, "session_id", "left_anti")
-    several = tagged.join(long, "session_id", "left_semi")
+    tagged = lambda rows: tag_turns(rows).select("session_id", "turn", *EVENT_COLUMNS, "block")
+    single = tagged(placed.join(long, "session_id", "left_anti"))
+    several = tagged(placed.join(long, "session_id", "left_semi"))
 
     def in_order(df, keys, order):
         return df.repartition(*keys).sortWithinPartitions(*keys, *order)
