@@ -144,7 +144,9 @@ def quality_summary(evaluations: DataFrame) -> DataFrame:
 def quality_coverage(messages: DataFrame, evaluations: DataFrame) -> DataFrame:
     """Eligible turns (context found, request known), how many were evaluated, in percent."""
     eligible = pipeline_turns(messages).filter(F.col("metadata.has_context") & F.col("request_id").isNotNull()).select(*TURN)
-    done = evaluations.filter(F.col("status") == "succeeded").select(*TURN).join(eligible, TURN, "left_semi")
+    judged = evaluations.filter(F.col("status") == "succeeded").select(*TURN)
+    # few evaluations are broadcast to the turns; many share the turns' partitioning in both joins
+    done = judged.join(eligible.join(judged, TURN, "left_semi").distinct(), TURN, "left_semi")
     counted = eligible.agg(F.count("*").alias("eligible_turns")).withColumn("_k", F.lit(1)).join(
         done.agg(F.count("*").alias("evaluated_turns")).withColumn("_k", F.lit(1)), "_k")
     return counted.select("eligible_turns", "evaluated_turns",

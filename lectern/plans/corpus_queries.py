@@ -213,9 +213,23 @@ def _(t):
     return chunking.chunk_recursive(text_files(t))
 
 
-@query("c2_chunk_by_heading")
-def _(t):
-    marked = t.spread("documents").select(F.col("doc_id").alias("file_id"), "source", F.replace("text", F.lit("\n"), F.lit("\n# ")).alias("text"))
+@query("c2_chunk_by_heading", "", f"""
+with recursive marked as (select doc_id, source, regexp_replace(text, '\\n([A-M])', chr(10) || '# \\1', 'g') as text from documents)
+, split as (select doc_id, source, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, {WS})), lambda x: x <> '') as l from marked)
+, lines as (select doc_id, source, generate_subscripts(l, 1) as i, unnest(l) as line from split)
+, placed as (select *, max(case when line like '#%' then i else 0 end) over (partition by doc_id order by i) as head from lines)
+, body as (select *, row_number() over (partition by doc_id, head order by i) as j, length(line) as n from placed where line not like '#%')
+, walk(doc_id, head, j, s, chars) as (
+  select doc_id, head, j, j, n from body where j = 1
+  union all
+  select w.doc_id, w.head, b.j, case when w.chars + b.n > 1200 then b.j else w.s end, case when w.chars + b.n > 1200 then b.n else w.chars + b.n end
+  from walk w join body b on b.doc_id = w.doc_id and b.head = w.head and b.j = w.j + 1)
+, packed as (select b.doc_id, b.source, b.head, w.s, string_agg(b.line, chr(10) order by b.j) as text from walk w join body b using (doc_id, head, j) group by all)
+, named as (select p.doc_id, p.source, p.head, p.s, case when h.line is null or trim(ltrim(h.line, '#'), {WS}) = '' then p.text else trim(ltrim(h.line, '#'), {WS}) || chr(10) || p.text end as content
+  from packed p left join lines h on h.doc_id = p.doc_id and h.i = p.head where length(p.text) >= 80)
+select doc_id as file_id, source, cast(row_number() over (partition by doc_id order by head, s) - 1 as int) as chunk_index, content, sha256(content) as content_hash from named""")
+def _(t):
+    marked = t.spread("documents").select(F.col("doc_id").alias("file_id"), "source", F.regexp_replace("text", "\n([A-M])", "\n# $1").alias("text"))
     return chunking.chunk_by_heading(marked)
 
 
@@ -229,7 +243,18 @@ def _(t):
     return chunking.heading_sections(marked).select("file_id", F.col("pos").cast("bigint").alias("pos"), F.md5("line").alias("line_md5"), "section")
 
 
-@query("c3_chunk_by_page_lines")
+@query("c3_chunk_by_page_lines", "", f"""
+with recursive split as (select doc_id, source, list_filter(string_split(text, chr(10)), lambda x: x <> '') as l from documents)
+, lines as (select doc_id, source, generate_subscripts(l, 1) as i, trim(unnest(l), {WS}) as line from split)
+, walk(doc_id, i, s, chars) as (
+  select doc_id, i, i, length(line) from lines where i = 1
+  union all
+  select w.doc_id, b.i, case when w.chars + length(b.line) > 1200 then b.i else w.s end, case when w.chars + length(b.line) > 1200 then length(b.line) else w.chars + length(b.line) end
+  from walk w join lines b on b.doc_id = w.doc_id and b.i = w.i + 1)
+, packed as (select b.doc_id, b.source, w.s, max(b.i) as last, trim(string_agg(b.line, chr(10) order by b.i), {WS}) as text from walk w join lines b using (doc_id, i) group by all)
+, paged as (select *, coalesce(lead(s) over (partition by doc_id order by s), last) as page from packed)
+select doc_id as file_id, source, cast(page as int) as page_number, cast(row_number() over (partition by doc_id order by s) - 1 as int) as chunk_index,
+  '[Pág. ' || page || '] ' || text as content, sha256(text) as content_hash from paged where length(text) >= 80""")
 def _(t):
     return chunking.chunk_by_page_lines(line_pages(t))
 

@@ -375,7 +375,31 @@ def _(t):
     return t.spark.read.option("header", True).option("escape", '"').csv(f"{path}/sessions").select("number", "session_id", "theme", "message_count")
 
 
-@query("a8_panel_indicators")
+INDICATOR_PARTS = {
+    "t": (f"""select count(distinct session_id) as conversations, count(*) as messages, count(distinct session_id) as unique_users,
+  count(*) filter (where has_meta) as instrumented_responses, count(*) filter (where has_context is not null) as pipeline_turns, count(*) filter (where has_meta and lat_total >= 0) as latency_samples,
+  round(quantile_disc(lat_total, 0.5) filter (where has_meta and lat_total >= 0)) as p50, round(quantile_disc(lat_total, 0.95) filter (where has_meta and lat_total >= 0)) as p95,
+  count(*) filter (where has_context) as with_context, round(100.0 * count(*) filter (where has_context) / count(*) filter (where has_context is not null)) as coverage_rate,
+  count(*) filter (where has_context is not null and fallback_used) as fallback_turns, count(*) filter (where not has_context) as no_context_turns,
+  count(*) filter (where has_context is not null and error_code in ('EMBEDDING_FAILED', 'RETRIEVAL_FAILED', 'NO_RELEVANT_CONTEXT')) as retrieval_failures,
+  count(*) filter (where has_context is not null and error_code = 'MODEL_FAILED') as model_failures,
+  round(100.0 * count(*) filter (where mode = 'quiz' and state_after = 'QUIZ_CONCLUIDO') / count(*) filter (where mode = 'quiz' and (state_after in ('QUIZ_CONCLUIDO', 'QUIZ_SEGUNDA_TENTATIVA')
+    or (state_before = 'QUIZ_SEGUNDA_TENTATIVA' and state_after = 'QUIZ_EM_ANDAMENTO')))) as accuracy_rate, 0 as guardrail_hits from real"""),
+    "e": (f"""select count(*) filter (where status = 'succeeded') as completed, count(*) filter (where verdict = 'correct') as correct, count(*) filter (where verdict = 'unverifiable') as unverifiable,
+  round(100.0 * count(*) filter (where verdict = 'correct') / count(*) filter (where status = 'succeeded')) as correct_rate from evaluations where not {SYNTHETIC}"""),
+    "q": (f"""select n as eligible_turns, v as evaluated_turns, round(100.0 * v / n) as evaluation_coverage from (select count(*) as n from eligible),
+  (select count(*) as v from evaluations where status = 'succeeded' and not {SYNTHETIC} and (session_id, request_id) in (select (session_id, request_id) from eligible))"""),
+    "f": (f"""select count(*) as total_feedbacks, round(sum(rating) / count(*), 1) as avg_rating, round(100.0 * count(*) filter (where rating >= 4) / count(*)) as satisfaction_rate from kept where not {SYNTHETIC}"""),
+    "l": """select count(*) as total_sources, sum(chunk_count) as total_chunks, sum(chunk_count) filter (where lower(source) like 'biblioteca%') as library_chunks,
+  round(100.0 * sum(chunk_count) filter (where lower(source) like 'biblioteca%') / sum(chunk_count), 1) as library_percent from summary""",
+    "j": "select count(*) filter (where status = 'running') as jobs_running, count(*) filter (where status = 'failed') as jobs_failed from jobs",
+}
+INDICATORS = REAL_TURNS + KEPT + SUMMARY + """, eligible as (select session_id, request_id from real where has_meta and has_context and request_id is not null)
+""" + " union all ".join(
+    f"select name, value from (unpivot (select columns(*)::double from ({sql})) on columns(*) into name name value value)" for sql in INDICATOR_PARTS.values())
+
+
+@query("a8_panel_indicators", "turns feedback_raw chunks evaluations jobs", INDICATORS)
 def _(t):
     return panel.indicators(t.telemetry(), t.chunks, t.evaluations, kept(t), t.jobs)
 
