@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.base import join_sorted, present
 from ..functions.identity import anonymize_session
-from .ordering import ordered_position
+from .ordering import BUCKET_ROWS, global_position, ordered_position
 
 RULE = "=" * 60
 THIN_RULE = "-" * 60
@@ -38,10 +38,10 @@ def error_code_counts(messages: DataFrame) -> DataFrame:
         "error_code is not null").groupBy("error_code").agg(F.count("*").alias("turns"))
 
 
-def numbered_messages(messages: DataFrame, name: str = "number") -> DataFrame:
-    """Messages numbered from 1 within their session by (created_at, id); long sessions are ranked day by day."""
+def numbered_messages(messages: DataFrame, name: str = "number", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """Messages numbered from 1 within their session by (created_at, id)."""
     return ordered_position(
-        messages, ["session_id"], [F.asc("created_at"), F.asc("id")], F.to_date("created_at"), name)
+        messages, ["session_id"], [F.asc("created_at"), F.asc("id")], F.unix_micros("created_at"), name, bucket_rows)
 
 
 def audit_sessions(messages: DataFrame, part_size: int = 1000) -> DataFrame:
@@ -83,8 +83,8 @@ def session_report(session_rows: DataFrame) -> DataFrame:
     """Sessions numbered newest first, with a dash for a missing rating and a default first message.
 
     session_rows: output of ``metrics.sessions`` with ``avg_rating``."""
-    numbered = ordered_position(
-        session_rows, [], [F.desc("last_at"), F.asc("session_id")], F.to_date("last_at"), "number", descending=True)
+    numbered = global_position(
+        session_rows, [F.desc("last_at"), F.asc("session_id")], F.date_trunc("hour", "last_at"), "number")
     clock = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
     return numbered.select(
         "number", F.concat(F.lit("#"), F.lpad(F.col("number").cast("string"), F.greatest(F.lit(2), F.length(F.col("number").cast("string"))), F.lit("0"))).alias("label"),

@@ -1,55 +1,90 @@
-"""Order-dependent operators that do not put a whole key into one task.
+"""Order-dependent operators that do not put a large key into one task.
 
-A plain ``row_number() over (partition by key order by ...)`` sorts a key's rows in a single task, which
-one hot session or file would stall. Here each key is first cut into buckets along its order (days, hours,
-blocks of turns). Counts per bucket are tiny after map-side aggregation and are accumulated in order; the
-rows themselves are only ranked within (key, bucket).
+A plain ``row_number() over (partition by key order by ...)`` sorts a key's rows in a single task, which one hot
+session would stall. Keys of up to ``bucket_rows`` rows are handled that way. The rows of a larger key are cut
+along their order into about as many buckets as they fill; the buckets' counts (or last values) are small and are
+carried over in order, and the rows themselves are only sorted within (key, bucket).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+BUCKET_ROWS = 1_000_000
+
+
+def _same(keys: list[str], prefix: str) -> Column:
+    condition = F.lit(True)
+    for i, k in enumerate(keys):
+        condition = condition & F.col(k).eqNullSafe(F.col(f"{prefix}{i}"))
+    return condition
+
+
+def _renamed(keys: list[str], prefix: str) -> list[Column]:
+    return [F.col(k).alias(f"{prefix}{i}") for i, k in enumerate(keys)]
+
+
+def with_bucket(df: DataFrame, keys: list[str], along: Column, bucket_rows: int) -> DataFrame:
+    """Adds ``_bucket``: null for keys of up to ``bucket_rows`` rows, else the part of the key's range of
+    ``along`` (a whole number that rises with the wanted order) that a row falls in.
+
+    Only large keys are joined back, at most one per ``bucket_rows`` rows of the table."""
+    large = (
+        df.groupBy(*keys).agg(F.count("*").alias("_n"), F.min(along).alias("_low"), F.max(along).alias("_high"))
+        .filter(F.col("_n") > bucket_rows)
+        .select(*_renamed(keys, "_h"), "_low",
+                ((F.col("_high") - F.col("_low") + 1) / F.ceil(F.col("_n") / F.lit(bucket_rows))).alias("_width"))
+    )
+    return df.join(large, _same(keys, "_h"), "left").select(
+        *df.columns, F.floor((along - F.col("_low")) / F.col("_width")).alias("_bucket"))
+
 
 def ordered_position(
-    df: DataFrame, keys: list[str], order: list[Column], bucket: Column, name: str, start: int = 1,
-    descending: bool = False,
+    df: DataFrame, keys: list[str], order: list[Column], along: Column, name: str, bucket_rows: int = BUCKET_ROWS
 ) -> DataFrame:
-    """Exact ``row_number`` per key (or global with no keys), spread over buckets.
-
-    ``bucket`` must be monotone in the first order column; ``descending`` tells its direction."""
-    df = df.withColumn("_bucket", bucket)
-    along = F.desc("_bucket") if descending else F.asc("_bucket")
-    before = Window.partitionBy(*keys).orderBy(along).rowsBetween(Window.unboundedPreceding, -1)
+    """Exact ``row_number`` per key. ``along`` is a whole number that rises with the first order column."""
+    placed = with_bucket(df, keys, along, bucket_rows)
+    earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
-        df.groupBy(*keys, "_bucket").agg(F.count("*").alias("_rows"))
-        .withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
-        .select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_bucket").alias("_b"), "_before")
+        placed.filter(F.col("_bucket").isNotNull()).groupBy(*keys, "_bucket").agg(F.count("*").alias("_rows"))
+        .withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
+        .select(*_renamed(keys, "_k"), F.col("_bucket").alias("_b"), "_before")
     )
-    same = F.col("_bucket").eqNullSafe(F.col("_b"))
-    for i, k in enumerate(keys):
-        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
     within = Window.partitionBy(*keys, "_bucket").orderBy(*order)
-    position = F.col("_before") + F.row_number().over(within) + F.lit(start - 1)
-    return df.join(starts, same).withColumn(name, position).select(*[c for c in df.columns if c != "_bucket"], name)
+    position = F.coalesce("_before", F.lit(0)) + F.row_number().over(within)
+    return placed.join(starts, _same(keys, "_k") & (F.col("_bucket") == F.col("_b")), "left").withColumn(
+        name, position).select(*df.columns, name)
+
+
+def global_position(df: DataFrame, order: list[Column], bucket: Column, name: str) -> DataFrame:
+    """Exact ``row_number`` over a whole table in descending ``bucket`` (days, hours); within a bucket by ``order``."""
+    placed = df.withColumn("_bucket", bucket)
+    earlier = Window.orderBy(F.desc("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    starts = (
+        placed.groupBy("_bucket").agg(F.count("*").alias("_rows"))
+        .withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
+        .select(F.col("_bucket").alias("_b"), "_before")
+    )
+    within = Window.partitionBy("_bucket").orderBy(*order)
+    return placed.join(starts, F.col("_bucket").eqNullSafe(F.col("_b"))).withColumn(
+        name, F.col("_before") + F.row_number().over(within)).select(*df.columns, name)
 
 
 def previous_value(
-    df: DataFrame, keys: list[str], order: list[str], bucket: Column, value: str, name: str
+    df: DataFrame, keys: list[str], order: list[str], along: Column, value: str, name: str,
+    bucket_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
-    """Exact ``lag(value)`` per key: within a bucket by window, across buckets through bucket tails."""
-    df = df.withColumn("_bucket", bucket)
-    tails = df.groupBy(*keys, "_bucket").agg(
-        F.max_by(F.struct(F.col(value).alias("v")), F.struct(*order)).alias("_tail")
-    )
-    over_buckets = Window.partitionBy(*keys).orderBy("_bucket")
-    tails = tails.withColumn("_carried", F.lag("_tail").over(over_buckets)).drop("_tail")
+    """Exact ``lag(value)`` per key; the first row of a bucket takes the last value of the bucket before."""
+    placed = with_bucket(df, keys, along, bucket_rows)
+    tails = placed.filter(F.col("_bucket").isNotNull()).groupBy(*keys, "_bucket").agg(
+        F.max_by(F.struct(F.col(value).alias("v")), F.struct(*order)).alias("_tail"))
+    carried = tails.select(
+        *_renamed(keys, "_k"), F.col("_bucket").alias("_b"),
+        F.lag("_tail").over(Window.partitionBy(*keys).orderBy("_bucket")).alias("_carried"))
     within = Window.partitionBy(*keys, "_bucket").orderBy(*order)
-    joined = df.join(tails, [*keys, "_bucket"])
-    first = F.row_number().over(within) == 1
-    return joined.withColumn(
-        name, F.when(first, F.col("_carried.v")).otherwise(F.lag(value).over(within))
-    ).drop("_carried", "_bucket")
+    return placed.join(carried, _same(keys, "_k") & (F.col("_bucket") == F.col("_b")), "left").withColumn(
+        name, F.when(F.row_number().over(within) == 1, F.col("_carried.v")).otherwise(F.lag(value).over(within))
+    ).select(*df.columns, name)
 
 
 def newest_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.identity import is_uuid
-from .ordering import first_n_per_key, previous_value
+from .ordering import BUCKET_ROWS, first_n_per_key, previous_value
 
 def recent_history(messages: DataFrame, n: int = 20) -> DataFrame:
     """The newest n rows of each session, then only user and assistant ones; ``position`` counts back from 1."""
@@ -107,10 +107,10 @@ def session_id_kinds(messages: DataFrame) -> DataFrame:
     ).agg(F.count("*").alias("sessions"), F.sum("n").alias("messages"))
 
 
-def invalid_transitions(turns: DataFrame) -> DataFrame:
+def invalid_transitions(turns: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Turns whose state before differs from the state the session was left in.
 
-    turns: id, session_id, created_at, state_before, state_after. The previous state is looked up day by day, so
-    one long session does not sort in one task."""
-    looked = previous_value(turns, ["session_id"], ["created_at", "id"], F.to_date("created_at"), "state_after", "previous_state")
+    turns: id, session_id, created_at, state_before, state_after. Sessions of more than ``bucket_rows`` turns are
+    looked through in several tasks."""
+    looked = previous_value(turns, ["session_id"], ["created_at", "id"], F.unix_micros("created_at"), "state_after", "previous_state", bucket_rows)
     return looked.filter(F.col("previous_state").isNotNull() & (F.col("state_before") != F.col("previous_state")))

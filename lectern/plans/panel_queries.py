@@ -481,10 +481,11 @@ def _(t):
 def _(t):
     folder = streams.new_stream_folder(t.spark, "sessions")
     source = exchanges(t)
-    # turns of a session must arrive in order: one file per range of turns
     path = scratch_path(t.spark, "arriving-sessions")
-    source.repartitionByRange(3, "turn").sortWithinPartitions("turn").write.parquet(path)
-    stream = streams.live_sessions(streams.read_stream(t.spark, path, source.schema, files_per_trigger=10))
+    # turns of a session arrive in order: early turns first, those of one session in one file
+    for arrived in ("turn < 3", "turn between 3 and 4", "turn > 4"):
+        source.filter(arrived).repartition(4, "session_id").write.mode("append").parquet(path)
+    stream = streams.live_sessions(streams.read_stream(t.spark, path, source.schema, files_per_trigger=4))
     streams.run_available(stream, folder, "append")
     return streams.read_appended(t.spark, folder, flow.DECISION_SCHEMA).select("session_id", "turn", "state_before", "state_after", "current_topic", "revision")
 

@@ -152,4 +152,5 @@ def test_invalid_transitions_across_days(spark):
     df = spark.createDataFrame(
         [("a", "s", "2024-01-01 23:59:00", "X", "Y"), ("b", "s", "2024-01-02 00:01:00", "Y", "Z"), ("c", "s", "2024-01-05 00:00:00", "Q", "Z"), ("d", "t", "2024-01-05 00:00:00", "Q", "Z")],
         "id string, session_id string, created_at string, state_before string, state_after string").withColumn("created_at", F.to_timestamp("created_at"))
-    assert [(r.id, r.previous_state) for r in sessions.invalid_transitions(df).collect()] == [("c", "Z")]
+    for rows in (1, 2, 100):
+        assert [(r.id, r.previous_state) for r in sessions.invalid_transitions(df, rows).collect()] == [("c", "Z")]

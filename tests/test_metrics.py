@@ -87,13 +87,20 @@ def test_positions_over_buckets(spark):
     rng = random.Random(2)
     data = [("hot" if rng.random() < 0.6 else f"k{rng.randrange(5)}", rng.randrange(400), i) for i in range(1500)] + [(None, 3, 9000), (None, 1, 9001)]
     df = spark.createDataFrame(data, "k string, t int, i int")
-    got = ordering.ordered_position(df, ["k"], [F.asc("t"), F.asc("i")], F.floor(F.col("t") / 20), "n")
     want = {}
     for k in {d[0] for d in data}:
         for n, (_, _, i) in enumerate(sorted((d for d in data if d[0] == k), key=lambda d: d[1:]), 1):
             want[i] = n
-    assert {r.i: r.n for r in got.collect()} == want
-    total = ordering.ordered_position(df, [], [F.desc("t"), F.asc("i")], F.floor(F.col("t") / 20), "n", descending=True)
+    for rows_per_bucket in (1, 40, 10_000):
+        got = ordering.ordered_position(df, ["k"], [F.asc("t"), F.asc("i")], F.col("t").cast("bigint"), "n", rows_per_bucket)
+        assert {r.i: r.n for r in got.collect()} == want
+        before = ordering.previous_value(df, ["k"], ["t", "i"], F.col("t").cast("bigint"), "i", "p", rows_per_bucket)
+        previous = {}
+        for k in {d[0] for d in data}:
+            chain = [None] + [i for _, _, i in sorted((d for d in data if d[0] == k), key=lambda d: d[1:])]
+            previous.update(zip(chain[1:], chain))
+        assert {r.i: r.p for r in before.collect()} == previous
+    total = ordering.global_position(df, [F.desc("t"), F.asc("i")], F.floor(F.col("t") / 20), "n")
     order = sorted(data, key=lambda d: (-d[1], d[2]))
     assert [r.i for r in total.orderBy("n").collect()] == [d[2] for d in order]
 
