@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-BUCKET_ROWS = 1_000_000
+BUCKET_ROWS = 100_000
 
 
 def _same(keys: list[str], prefix: str) -> Column:

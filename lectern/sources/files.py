@@ -41,19 +41,18 @@ def folder_paths(nodes: DataFrame, root: str, max_depth: int = 100) -> DataFrame
     spark = nodes.sparkSession
     live = nodes.filter(~F.coalesce("trashed", F.lit(False)))
     folders = live.filter(F.col("mime_type") == FOLDER_TYPE).select("id", "parent", "name")
-    view = f"folders_{abs(hash((id(nodes), root)))}"
-    folders.createOrReplaceTempView(view)
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")  # as many folders as there are
     paths = spark.sql(
-        f"""
-        WITH RECURSIVE tree(id, path) MAX RECURSION LEVEL {int(max_depth)} AS (
+        """
+        WITH RECURSIVE tree(id, path) MAX RECURSION LEVEL {depth} AS (
             SELECT :root, 'ROOT'
             UNION ALL
-            SELECT f.id, concat(t.path, '/', f.name) FROM {view} f JOIN tree t ON f.parent = t.id
+            SELECT f.id, concat(t.path, '/', f.name) FROM {folders} f JOIN tree t ON f.parent = t.id
             WHERE f.id <> :root
         )
         SELECT id, path FROM tree
         """,
-        args={"root": root},
+        args={"root": root}, folders=folders, depth=int(max_depth),
     )
     files = live.filter(F.col("mime_type").isin(REMOTE_TYPES))
     # a folder reachable twice would repeat its files; the first path by name counts
