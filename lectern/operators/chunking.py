@@ -119,24 +119,35 @@ def page_line_chunks(texts: Iterable[str], size: int, minimum: int) -> list[tupl
     return out
 
 
-_PAGE_CHUNK = pa.struct([("page_number", pa.int32()), ("content", pa.string())])
-
-
-def _chunks_of(pages: list[dict] | None, cutter) -> list[dict]:
-    return [{"page_number": n, "content": c} for n, c in cutter(pages or [])]
-
-
 def _page_udf(cutter):
-    """Arrow UDF from a file's pages to its chunks, both in order."""
-    kind = pa.list_(_PAGE_CHUNK)
+    """Arrow UDF from a file's pages to its chunks, both in order.
+
+    ``cutter`` takes the page numbers and texts of one file and yields (page number, chunk). Columns are read and
+    built whole, so no Python object is made per struct."""
 
     @F.arrow_udf("array<struct<page_number:int,content:string>>")
     def cut(pages: pa.Array) -> pa.Array:
-        return pa.array([_chunks_of(p, cutter) for p in pages.to_pylist()], type=kind)
+        numbers, texts = (c.to_pylist() for c in pages.flatten().flatten())
+        ends, out_numbers, out_texts, at = [0], [], [], 0
+        for length in pages.value_lengths().fill_null(0).to_pylist():
+            for number, chunk in cutter(numbers[at:at + length], texts[at:at + length]):
+                out_numbers.append(number)
+                out_texts.append(chunk)
+            at += length
+            ends.append(len(out_texts))
+        chunks = pa.StructArray.from_arrays(
+            [pa.array(out_numbers, pa.int32()), pa.array(out_texts, pa.string())], names=["page_number", "content"])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), chunks)
 
     return cut
 
 
+def _numbered_pages() -> Column:
+    """Pages with the two fields the chunkers read, NUL characters removed."""
+    return F.transform("pages", lambda p: F.struct(
+        p["page_number"].cast("int").alias("page_number"), sanitize(p["text"]).alias("text")))
+
+
 def _exploded(files: DataFrame, keep: list[str], chunks: Column) -> DataFrame:
     named = files.select(*keep, sanitize("source").alias("source"), chunks.alias("_chunks"))
     return named.select(*keep, "source", F.posexplode("_chunks").alias("chunk_index", "_c")).select(
@@ -154,15 +165,12 @@ def chunk_recursive(
     content_hash."""
     check_sizes(size, overlap)
 
-    def cutter(pages):
-        for page in pages:
-            text = page["text"] or ""
-            if text.strip():
-                yield from ((page["page_number"], c) for c in split_text(text, size, overlap))
+    def cutter(numbers, texts):
+        for number, text in zip(numbers, texts):
+            if text and text.strip():
+                yield from ((number, c) for c in split_text(text, size, overlap))
 
-    clean = F.transform("pages", lambda p: F.struct(
-        p["page_number"].cast("int").alias("page_number"), sanitize(p["text"]).alias("text")))
-    return _exploded(files, list(keep), _page_udf(cutter)(clean)).withColumn(
+    return _exploded(files, list(keep), _page_udf(cutter)(_numbered_pages())).withColumn(
         "content_hash", content_hash("content"))
 
 
@@ -171,10 +179,10 @@ def chunk_by_page_lines(
 ) -> DataFrame:
     """Lines packed across pages; content carries a page mark that the hash leaves out."""
 
-    def cutter(pages):
-        return page_line_chunks((p["text"] for p in pages), size, minimum)
+    def cutter(numbers, texts):
+        return page_line_chunks(texts, size, minimum)
 
-    out = _exploded(files, list(keep), _page_udf(cutter)(F.col("pages")))
+    out = _exploded(files, list(keep), _page_udf(cutter)(_numbered_pages()))
     return out.withColumn("content_hash", content_hash("content")).withColumn(
         "content", F.concat(F.lit("[Pág. "), F.col("page_number").cast("string"), F.lit("] "), "content"))
 
