@@ -456,7 +456,7 @@ def arriving(t, df, name: str):
     """A derived table written to files and read back as a stream."""
     folder = scratch_path(t.spark, f"arriving-{name}")
     df.repartition(4).write.parquet(folder)
-    return streams.read_stream(t.spark, folder, df.schema, files_per_trigger=1)
+    return streams.read_stream(t.spark, folder, df.schema, files_per_trigger=2)
 
 
 def retried_messages(t):
