@@ -57,6 +57,16 @@ def last_marker(df: DataFrame, order: list[Column], marker: Column, width: int |
     ).drop("_range", "_carried", "_marker", *keys)
 
 
+#: A stored table of keys up to this many rows is sent to every task; a larger one is joined by shuffle.
+BROADCAST_KEYS = 500_000
+
+
+def restricted(docs: DataFrame, keys: DataFrame, *on: str) -> DataFrame:
+    """Inner join of documents with a stored table of keys, which is counted first: few keys go to the documents, so that
+    texts are not moved, many are joined by shuffle."""
+    return docs.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, list(on))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b): rows (id, component) with the smallest reachable id, for every id in an edge.
 

@@ -3,8 +3,9 @@
 Each source gets a share of all words by its weight, at most ``most`` times what it has. A document of a source is wanted
 ``target / source size`` times: the whole part of that is certain, the rest is a probability. Two documents with
 fractional probabilities meet, and words move from one to the other, at random but without drift, until one of them
-is in or out; the other goes on. What is left of one group of documents meets what is left of others one level
-higher, up to one residual per source. The words taken from a source thus stay within one of its documents of the target.
+is in or out; the other goes on. The largest documents are settled first, each against as many of the next smaller ones as
+balance it, so that a small one stays open. What is left of one group of documents meets what is left of others one level
+higher, up to one residual per source. The words taken from a source thus stay within one, mostly short, document of the target.
 """
 
 from __future__ import annotations
@@ -110,9 +111,14 @@ def _meeting(seed: int, last: bool):
         pdf = pdf.sort_values(["size", "digest"], ascending=[False, True], kind="stable").reset_index(drop=True)
         chance, size = pdf["chance"].to_numpy().copy(), pdf["size"].to_numpy().astype(np.float64)
         random = uniform(mix(pdf["digest"].to_numpy().astype(np.int64).view(np.uint64) ^ mix(np.array([seed], np.uint64))))
-        left = -1
-        for i in np.flatnonzero((chance > 0) & (size > 0)).tolist():
-            left = i if left < 0 else _transfer(chance, size, left, i, random[i])
+        left, order = -1, np.flatnonzero((chance > 0) & (size > 0)).tolist()
+        for place, i in enumerate(order):
+            if not 0 < chance[i] < 1:
+                continue
+            if left < 0 and not _settle(chance, size, i, order, place + 1, random[i]):
+                left = i  # what comes after is too little to balance it: pair by pair from here on
+            elif left >= 0:
+                left = _transfer(chance, size, left, i, random[i])
         if left >= 0 and last:
             chance[left] = float(random[left] < chance[left])
             left = -1
@@ -126,19 +132,38 @@ def _meeting(seed: int, last: bool):
     return meet
 
 
+def _settle(chance: np.ndarray, size: np.ndarray, i: int, order: list[int], begin: int, random: float) -> bool:
+    """Decide document i against the next smaller ones together: if it comes in, they give up as many words as it gains, else
+    they take over its words, in shares that keep the mean of each. False, and nothing done, if they cannot balance it."""
+    p, words = chance[i], size[i]
+    shares, total = [], 0.0
+    for j in order[begin:]:
+        if 0 < chance[j] < 1:
+            share = min(chance[j] * size[j] / ((1 - p) * words), (1 - chance[j]) * size[j] / (p * words), 1 - total)
+            shares.append((j, share))
+            total += share
+            if total >= 1 - 1e-12:
+                break
+    else:
+        return False
+    chance[i] = float(random < p)
+    moved = -(1 - p) * words if chance[i] else p * words
+    for j, share in shares:
+        chance[j] = _snap(chance[j] + moved * share / size[j])
+    return True
+
+
+def _snap(p: float) -> float:
+    return 0.0 if p < 1e-9 else 1.0 if p > 1 - 1e-9 else p
+
+
 def _transfer(chance: np.ndarray, size: np.ndarray, i: int, j: int, random: float) -> int:
     """Move words between i and j, keeping ``size_i p_i + size_j p_j`` and the mean of both, until one is 0 or 1.
     Gives the one that is still open, or -1."""
     up = min((1 - chance[i]) * size[i], chance[j] * size[j])  # words that can go to i
     down = min(chance[i] * size[i], (1 - chance[j]) * size[j])  # words that can go to j
     moved = up if random * (up + down) < down else -down
-    chance[i] += moved / size[i]
-    chance[j] -= moved / size[j]
-    for k in (i, j):
-        if chance[k] < 1e-9:
-            chance[k] = 0.0
-        elif chance[k] > 1 - 1e-9:
-            chance[k] = 1.0
+    chance[i], chance[j] = _snap(chance[i] + moved / size[i]), _snap(chance[j] - moved / size[j])
     open_rows = [k for k in (i, j) if 0 < chance[k] < 1]
     return open_rows[0] if open_rows else -1
 

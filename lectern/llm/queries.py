@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat_format, fingerprints, mixing, token_files, url_filter
+from . import bagminhash, bpe, chat_format, fingerprints, metric_join, mixing, token_files, url_filter
 from .common import table
 
 #: Rules of the url filter: host, path, verdict.
@@ -24,6 +24,10 @@ def op2_chat_quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.link_quotations(table(spark, sf_dir, "conversations"))
 
 
+def op3_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bagminhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept")
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), rules)
@@ -42,7 +46,11 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0))
 
 
+def op10_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric_join.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_mix_sources, op2_chat_quotations, op4_url_filter, op5_fingerprints, op6_bpe, op7_token_files)}
+    op1_mix_sources, op2_chat_quotations, op3_bagminhash, op4_url_filter, op5_fingerprints, op6_bpe, op7_token_files, op10_metric_join)}
 
 CHECKS: dict[str, str] = {}
