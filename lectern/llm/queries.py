@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bagminhash, bpe, chat_format, fingerprints, metric_join, mixing, token_files, url_filter
+from . import bagminhash, bpe, chat_format, fingerprints, metric_join, mixing, quality, token_files, toxicity, url_filter
 from .common import table
 
 #: Rules of the url filter: host, path, verdict.
@@ -46,11 +46,29 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0))
 
 
+#: Folds whose labels the classifiers never see.
+TOXICITY_FOLD, QUALITY_FOLD = (4, 2), (3, 1)
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels, ~toxicity.held_out(F.col("doc_id"), *TOXICITY_FOLD))
+    return toxicity.score(docs, model).select(
+        "doc_id", toxicity.held_out(F.col("doc_id"), *TOXICITY_FOLD).alias("held_out"), "score", "predicted")
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats, labels = quality.measured(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels")
+    model = quality.fit(stats, labels, ~toxicity.held_out(F.col("doc_id"), *QUALITY_FOLD))
+    return quality.score(stats, model).select(
+        "doc_id", toxicity.held_out(F.col("doc_id"), *QUALITY_FOLD).alias("held_out"), "score", "predicted")
+
+
 def op10_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metric_join.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_mix_sources, op2_chat_quotations, op3_bagminhash, op4_url_filter, op5_fingerprints, op6_bpe, op7_token_files, op10_metric_join)}
+    op1_mix_sources, op2_chat_quotations, op3_bagminhash, op4_url_filter, op5_fingerprints, op6_bpe, op7_token_files, op8_toxicity, op9_quality, op10_metric_join)}
 
 CHECKS: dict[str, str] = {}
