@@ -1,18 +1,17 @@
-"""Toxicity by a counterfactually regularised linear classifier over the words that a text contains.
+"""Toxicity by a counterfactually regularised linear classifier over the words, and stems of words, that a text contains.
 
 Labelled texts teach which words matter; for those that name a group of people, a second copy with the group's name swapped for another
 of its kind is made, and the fit is penalised for giving the two different scores. A word that is frequent in toxic texts only because it
 names who is attacked thus gains no weight of its own, and neutral mentions stay clean.
 """
 
-from __future__ import annotations
-
 import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -36,6 +35,36 @@ def words(text: str | None) -> set[str]:
     return set(_WORD.findall(text.lower())) if text else set()
 
 
+#: Lengths of the beginnings of words that are features beside whole words: stems of compounds and inflected forms.
+STEMS = range(3, 8)
+
+
+def features_of(word: str) -> list[str]:
+    """A word and its stems; a stem is marked, since a word may be spelled like one."""
+    return [word, *(word[:k] + "*" for k in STEMS if k < len(word))]
+
+
+def features(text: str | None) -> set[str]:
+    return {f for w in words(text) for f in features_of(w)}
+
+
+class Known(dict):
+    """The features among given ones that a word has, remembered for words seen before, up to a bound."""
+
+    def __init__(self, names):
+        super().__init__()
+        self.names = frozenset(names)
+
+    def __missing__(self, word: str) -> tuple[str, ...]:
+        if len(self) > 500_000:
+            self.clear()
+        self[word] = found = tuple(f for f in features_of(word) if f in self.names)
+        return found
+
+    def of(self, present: set[str]) -> set[str]:
+        return {f for found in map(self.__getitem__, present) for f in found}
+
+
 def held_out(doc_id: Column, parts: int, part: int) -> Column:
     """Whether crc32 of the id as text leaves ``part`` modulo ``parts``; a null id is never held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts == part, F.lit(False))
@@ -48,9 +77,15 @@ class Model:
     weights: dict[str, float] = field(default_factory=dict)
     intercept: float = -np.inf
 
-    def score(self, text: str | None) -> float:
-        z = self.intercept + sum(self.weights[w] for w in sorted(self.weights.keys() & words(text)))
-        return float(1.0 / (1.0 + np.exp(-np.clip(z, -500, 500))))
+    def scorer(self):
+        """A function from text to score, with a memory of words."""
+        known = Known(self.weights)
+
+        def score(text: str | None) -> float:
+            z = self.intercept + sum(self.weights[f] for f in sorted(known.of(words(text))))
+            return float(1.0 / (1.0 + np.exp(-np.clip(z, -500, 500))))
+
+        return score
 
 
 def swapped(present: set[str], identities=IDENTITIES) -> set[str]:
@@ -84,7 +119,7 @@ def fit(docs: DataFrame, labels: DataFrame, fold: Column | None = None, label_co
         F.sum("positive").alias("positive"), F.sum("all").alias("all"))
     pull = F.abs(F.col("positive") - base * F.col("all")) / n
     candidates = counts.filter(pull > 0.5 * penalty).orderBy(pull.desc(), "word").limit(CANDIDATES).select("word").collect()
-    names = sorted({r["word"] for r in candidates} | {w for kind in identities for w in kind})
+    names = sorted({r["word"] for r in candidates} | {f for kind in identities for w in kind for f in features_of(w)})
     rows = texts.mapInArrow(_find(names, identities), "y int, present array<int>, other array<int>").collect()
     weights, intercept = _train(rows, len(names), penalty, fairness)
     return Model({w: float(x) for w, x in zip(names, weights) if x}, float(intercept))
@@ -103,7 +138,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            found = words(text)
+            found = features(text)
             every.update(found)
             if y:
                 positive.update(found)
@@ -114,13 +149,13 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _find(names: list[str], identities):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = {w: i for i, w in enumerate(names)}
+        place, known = {w: i for i, w in enumerate(names)}, Known(names)
         for batch in batches:
             present = [words(t) for t in batch.column(0).to_pylist()]
             other = [swapped(p, identities) for p in present]
-            yield pa.RecordBatch.from_arrays([
-                batch.column(1).cast(pa.int32()), *(pa.array([sorted(place[w] for w in place.keys() & p) for p in side], pa.list_(pa.int32()))
-                                    for side in (present, other))], names=["y", "present", "other"])
+            yield pa.RecordBatch.from_arrays([batch.column(1).cast(pa.int32()), *(
+                pa.array([sorted(place[f] for f in known.of(p)) for p in side], pa.list_(pa.int32())) for side in (present, other))],
+                names=["y", "present", "other"])
 
     return find
 
@@ -194,8 +229,9 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, id_col: s
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = model.scorer()
         for batch in batches:
-            scores = np.array([model.score(t) for t in batch.column(1).to_pylist()], np.float64)
+            scores = np.array([of(t) for t in batch.column(1).to_pylist()], np.float64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), pa.array((scores >= threshold).astype(np.int32))],
                                              names=["doc_id", "score", "predicted"])
 
@@ -207,7 +243,9 @@ def reject(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_col
     prepare(docs.sparkSession)
 
     @F.pandas_udf("double")
-    def toxic(texts):
-        return texts.map(model.score).astype("float64")
+    def toxic(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        of = model.scorer()
+        for texts in parts:
+            yield texts.map(of).astype("float64")
 
     return docs.filter(toxic(F.col(text_col)) < threshold)
