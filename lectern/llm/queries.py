@@ -71,4 +71,92 @@ def op10_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_mix_sources, op2_chat_quotations, op3_bagminhash, op4_url_filter, op5_fingerprints, op6_bpe, op7_token_files, op8_toxicity, op9_quality, op10_metric_join)}
 
-CHECKS: dict[str, str] = {}
+_WORDS = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+')"
+
+CHECKS: dict[str, str] = {
+    "op2_chat_quotations": r"""
+with recursive msg as (
+  select conv_id, turn, role, coalesce(text, '') as text, md5(concat_ws('|', conv_id, turn, role, coalesce(text, ''))) as mid from conversations),
+lines as (
+  select distinct mid, conv_id, turn, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as pos from msg),
+parsed as (
+  select mid, conv_id, turn, pos, length(regexp_replace(regexp_extract(line, '^(?:[ \t]*>)+'), '[ \t]', '', 'g')) as level,
+    trim(regexp_replace(lower(regexp_replace(line, '^(?:[ \t]*>)+', '')), '[^\p{L}\p{N}]+', ' ', 'g')) as body from lines),
+marked as (
+  select *, case when lag(level) over w is null or lag(level) over w <> level or lag(body) over w = '' then 1 else 0 end as starts
+  from parsed window w as (partition by mid order by pos)),
+numbered as (select *, sum(starts) over (partition by mid order by pos) as paragraph from marked),
+units as (
+  select mid, conv_id, turn, level, body from numbered where body <> ''
+  union all
+  select mid, conv_id, turn, level, string_agg(body, ' ' order by pos) from numbered where body <> ''
+  group by mid, conv_id, turn, level, paragraph having count(*) > 1),
+quoted as (select distinct mid, conv_id, turn, md5(body) as digest, length(body) as size from units where level > 0),
+written as (select distinct conv_id, md5(body) as digest, turn as by_turn from units where level = 0),
+hits as (select q.*, by_turn from quoted q join written w using (conv_id, digest) where by_turn < q.turn),
+target as (
+  select mid, by_turn as linked from (
+    select mid, by_turn, row_number() over (partition by mid order by sum(size) desc, by_turn desc) as r from hits group by mid, by_turn) where r = 1),
+counts as (
+  select q.mid, count(*) as n_quoted, any_value(t.linked) as linked, any_value(h.n) as n_linked
+  from quoted q left join target t on t.mid = q.mid left join (select mid, count(distinct digest) as n from hits group by mid) h on h.mid = q.mid group by q.mid),
+turns as (
+  select m.conv_id, m.turn, max(c.linked) as linked from msg m left join counts c on c.mid = m.mid
+  where m.conv_id is not null and m.turn is not null group by m.conv_id, m.turn),
+before as (select *, lag(turn) over (partition by conv_id order by turn) as previous from turns),
+headed as (
+  select *, last_value(case when linked is not null and linked is distinct from previous then turn end ignore nulls)
+    over (partition by conv_id order by turn) as head from before),
+prefixes as (
+  select h.conv_id, h.turn as head, lpad(cast(h.linked as varchar), 10, '0') as prefix
+  from headed h join headed p on p.conv_id = h.conv_id and p.turn = h.linked where h.head = h.turn and p.head is null
+  union all
+  select h.conv_id, h.turn, x.prefix || '.' || lpad(cast(h.linked as varchar), 10, '0')
+  from headed h join headed p on p.conv_id = h.conv_id and p.turn = h.linked join prefixes x on x.conv_id = h.conv_id and x.head = p.head
+  where h.head = h.turn)
+select m.conv_id, m.turn, m.role, coalesce(h.linked, h.previous) as reply_to, cast(coalesce(c.n_quoted, 0) as bigint) as n_quoted,
+  cast(coalesce(c.n_linked, 0) as bigint) as n_linked,
+  case when h.turn is null then null else concat_ws('.', x.prefix, lpad(cast(h.turn as varchar), 10, '0')) end as reply_path,
+  regexp_replace(array_to_string(list_filter(string_split(m.text, chr(10)), lambda l: not regexp_matches(l, '^(?:[ \t]*>)+')), chr(10)), '^\s+|\s+$', '', 'g') as body
+from msg m left join counts c on c.mid = m.mid left join headed h on h.conv_id = m.conv_id and h.turn = m.turn
+left join prefixes x on x.conv_id = h.conv_id and x.head = h.head
+""",
+    "op3_bagminhash": rf"""
+with recursive words as (select doc_id, coalesce(text, '') as text, {_WORDS} as w from documents),
+shingles as (
+  select doc_id, case when len(w) = 0 then [text] else list_transform(range(greatest(len(w) - 4, 1)), lambda i: array_to_string(w[i + 1:i + 5], ' ')) end as s, len(w) as n from words),
+bag as (select doc_id, shingle, count(*) as c from (select doc_id, case when n = 0 then '0|' else '1|' end || unnest(s) as shingle from shingles) group by all),
+total as (select doc_id, sum(c) as w from bag group by doc_id),
+pairs as (
+  select a.doc_id as a, b.doc_id as b, sum(least(a.c, b.c)) as m from bag a join bag b on a.shingle = b.shingle and a.doc_id < b.doc_id group by all),
+links as (
+  select a, b from pairs p join total x on x.doc_id = p.a join total y on y.doc_id = p.b where m >= 0.8 * (x.w + y.w - m)),
+sides as (select a, b from links union all select b, a from links),
+reach as (select doc_id as id, doc_id as low from documents union select b, low from reach join sides on a = id)
+select id as doc_id, min(low) as class_id, min(low) = id as kept from reach group by id
+""",
+    "op4_url_filter": """
+with rules(h, p, verdict) as (values """ + ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES) + r"""),
+cut as (select page_id, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
+urls as (
+  select page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path, row_number() over () as n from cut),
+fits as (
+  select n, h || p as rule, r.verdict, row_number() over (partition by n order by length(h || p) desc, length(h) desc) as place
+  from urls join rules r on (host = h or ends_with(host, '.' || h)) and starts_with(path, p))
+select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from urls left join fits on fits.n = urls.n and place = 1
+""",
+    "op10_metric_join": """
+with recursive v as (
+  select vec_id, label, list_transform(embedding, lambda x: cast(x as double)) as e, row_number() over () as n from embeddings),
+ok as (
+  select *, sqrt(list_dot_product(e, e)) as size from v where label is not null and vec_id is not null and e is not null and len(e) > 0
+  and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0 and list_dot_product(e, e) > 0),
+links as (
+  select a.n as a, b.n as b, a.vec_id as ida, b.vec_id as idb from ok a join ok b on a.label = b.label and a.n <> b.n and len(a.e) = len(b.e)
+  and list_dot_product(a.e, b.e) / (a.size * b.size) >= 0.93),
+reach as (select n, vec_id as low from v union select b, low from reach join links on a = reach.n)
+select v.vec_id, (select count(*) from links where a = v.n) as n_links, min(low) as component_id, coalesce(v.vec_id = min(low), false) as kept
+from v join reach using (n) group by v.n, v.vec_id
+""",
+}
