@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import prepare
-from .common import WordHashes, components, mix, restricted, shingles, stored, uniform
+from .common import WordHashes, components, mix, packed, restricted, shingles, stored, uniform
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Bands of registers: a pair of similarity 0.8 shares none of 24 bands of 5 with probability 7e-5, one of 0.9 with 1e-9.
@@ -228,13 +228,13 @@ def _verified(pairs: DataFrame, weights: DataFrame, sets: DataFrame, similarity:
 
 def keep_first(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each class, with the columns of ``docs``."""
-    keys = classes.withColumn("_id", F.coalesce("doc_id", F.lit(0))).withColumn("_none", F.col("doc_id").isNull())
-    kept = stored(keys.filter("kept").groupBy("_id", "_none", "h").agg(F.count("*").alias("_n")), "kept")
-    keyed = docs.withColumns({"_id": F.coalesce(F.col(id_col).cast("bigint"), F.lit(0)), "_none": F.col(id_col).isNull(),
-                              "h_": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
-    kept = kept.withColumnRenamed("h", "h_")
-    found = restricted(keyed, kept, "_id", "_none", "h_")
-    single, several = found.filter("_n = 1"), found.filter("_n > 1")
-    if kept.filter("_n > 1").isEmpty():
-        return single.select(*docs.columns)
-    return single.unionByName(several.dropDuplicates(["_id", "_none", "h_"])).select(*docs.columns)
+    kept = stored(classes.filter("kept").groupBy(
+        F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("none"), "h").agg(F.count("*").alias("n")), "kept")
+    own, text = F.col(f"row.{id_col}").cast("bigint"), F.col(f"row.{text_col}")
+    keyed = packed(docs).withColumns({
+        "id": F.coalesce(own, F.lit(0)), "none": own.isNull(), "h": F.xxhash64(F.coalesce(text, F.lit("")))})
+    found = restricted(keyed, kept, "id", "none", "h")
+    if kept.filter("n > 1").isEmpty():
+        return found.select("row.*")
+    # equal rows with equal ids: one of them
+    return found.filter("n = 1").unionByName(found.filter("n > 1").dropDuplicates(["id", "none", "h"])).select("row.*")

@@ -53,7 +53,7 @@ def link_quotations(conversations: DataFrame) -> DataFrame:
 
     ``n_quoted`` counts distinct quoted lines and paragraphs, ``n_linked`` those found in an earlier turn of the
     conversation at level 0 (a quote inside a quote links to the one who wrote it). ``reply_to`` is the earlier turn that
-    wrote most quoted characters, the latest of equals; a message without such a link answers the nearest earlier turn
+    wrote most quoted characters of the lowest level with a link, the latest of equals; a message without such a link answers the nearest earlier turn
     (null for the first). ``reply_path`` sorts a conversation into reply order: a message that quotes comes right after
     the one it answers, followed by those that continue it. A null text is empty; rows with null conv_id or turn link with nothing
     and have a null path; repeated rows stay, each with the same result. Extra columns are not read.
@@ -61,15 +61,16 @@ def link_quotations(conversations: DataFrame) -> DataFrame:
     clean = conversations.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
     clean = clean.withColumn("mid", F.xxhash64("conv_id", "turn", "role", "text"))
     found = stored(passages(clean.filter("text LIKE '%>%'").dropDuplicates(["mid"])).filter("level > 0"), "quoted")
-    quoted = found.select("mid", "conv_id", "turn", "digest", "size").distinct()
+    quoted = found.groupBy("mid", "conv_id", "turn", "digest", "size").agg(F.min("level").alias("level"))
     asked = quoted.select("conv_id", "digest").distinct()
     # only conversations that quote are parsed for originals
     quoting = clean.join(asked.select("conv_id").distinct(), "conv_id", "left_semi").dropDuplicates(["mid"])
     written = passages(quoting).filter("level = 0").join(asked, ["conv_id", "digest"], "left_semi").select(
         "conv_id", "digest", F.col("turn").alias("by")).distinct()
     hits = quoted.join(written, ["conv_id", "digest"]).filter("by < turn")
-    target = hits.groupBy("mid", "by").agg(F.sum("size").alias("size")).groupBy("mid").agg(
-        F.max(F.struct("size", "by"))["by"].alias("linked"))
+    # deeper levels are what the answered message quoted itself: the lowest level that is found decides
+    target = hits.groupBy("mid", "level", "by").agg(F.sum("size").alias("size")).groupBy("mid").agg(
+        F.max(F.struct((-F.col("level")).alias("above"), "size", "by"))["by"].alias("linked"))
     counts = quoted.groupBy("mid").agg(F.count("*").alias("n_quoted")).join(
         hits.groupBy("mid").agg(F.countDistinct("digest").alias("n_linked")), "mid", "left").join(target, "mid", "left")
 

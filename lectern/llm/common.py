@@ -57,6 +57,11 @@ def last_marker(df: DataFrame, order: list[Column], marker: Column, width: int |
     ).drop("_range", "_carried", "_marker", *keys)
 
 
+def packed(df: DataFrame) -> DataFrame:
+    """All columns as one struct ``row``, so that no name of theirs meets a working column; ``select("row.*")`` undoes it."""
+    return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"))
+
+
 #: A stored table of keys up to this many rows is sent to every task; a larger one is joined by shuffle.
 BROADCAST_KEYS = 500_000
 

@@ -16,11 +16,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import mix, partitions, stored, table  # noqa: F401
+from .common import mix, partitions
 
 #: Chunk sizes in bytes: least, wanted, most.
-LEAST, WANTED, MOST = 16, 48, 192
-_BITS = 5  # 2**5 bytes on average beyond the least size
+LEAST, WANTED, MOST = 8, 24, 96
+_BITS = 4  # the loose mask ends a chunk at every 8th byte, the strict one at every 32nd
 _GEAR = (mix(np.arange(256, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 
 

@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from .common import WORD, mix, stored, uniform
+from .common import WORD, mix, packed, stored, uniform
 
 #: Documents that meet in one group, and residuals that meet on each higher level.
 GROUP = 2048
@@ -170,18 +170,18 @@ def _transfer(chance: np.ndarray, size: np.ndarray, i: int, j: int, random: floa
 
 def take(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix itself, with the columns of ``docs``: every document as often as it is taken, copies as repeated rows."""
-    totals = stored(mixed.groupBy("digest").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows")).filter(
-        "_copies > 0").withColumnRenamed("digest", "_digest"), "taken")
-    keyed = docs.withColumn("_key", F.xxhash64(id_col, text_col, source_col))
+    totals = stored(mixed.groupBy("digest").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")).filter(
+        "copies > 0"), "taken")
+    keyed = packed(docs).withColumn("digest", F.xxhash64(*(F.col(f"row.{c}") for c in (id_col, text_col, source_col))))
 
     def repeated(df: DataFrame, times: Column) -> DataFrame:
-        return df.withColumn("_times", times.cast("int")).filter("_times > 0").withColumn(
-            "_copy", F.explode(F.sequence(F.lit(1), "_times"))).select(*docs.columns)
+        return df.withColumn("times", times.cast("int")).filter("times > 0").withColumn(
+            "copy", F.explode(F.sequence(F.lit(1), "times"))).select("row.*")
 
-    whole = repeated(keyed.join(totals, F.col("_key") == F.col("_digest")), F.floor(F.col("_copies") / F.col("_rows")))
+    whole = repeated(keyed.join(totals, "digest"), F.floor(F.col("copies") / F.col("rows")))
     # equal rows whose copies do not divide evenly: one of them stands for the rest
-    uneven = totals.filter("_copies % _rows > 0")
+    uneven = totals.filter("copies % rows > 0")
     if uneven.isEmpty():
         return whole
-    rest = keyed.join(uneven, F.col("_key") == F.col("_digest")).dropDuplicates(["_key"])
-    return whole.unionByName(repeated(rest, F.col("_copies") % F.col("_rows")))
+    rest = keyed.join(uneven, "digest").dropDuplicates(["digest"])
+    return whole.unionByName(repeated(rest, F.col("copies") % F.col("rows")))

@@ -91,12 +91,14 @@ units as (
   union all
   select mid, conv_id, turn, level, string_agg(body, ' ' order by pos) from numbered where body <> ''
   group by mid, conv_id, turn, level, paragraph having count(*) > 1),
-quoted as (select distinct mid, conv_id, turn, md5(body) as digest, length(body) as size from units where level > 0),
+quoted as (
+  select mid, conv_id, turn, md5(body) as digest, length(body) as size, min(level) as level from units where level > 0 group by mid, conv_id, turn, body),
 written as (select distinct conv_id, md5(body) as digest, turn as by_turn from units where level = 0),
 hits as (select q.*, by_turn from quoted q join written w using (conv_id, digest) where by_turn < q.turn),
 target as (
   select mid, by_turn as linked from (
-    select mid, by_turn, row_number() over (partition by mid order by sum(size) desc, by_turn desc) as r from hits group by mid, by_turn) where r = 1),
+    select mid, by_turn, row_number() over (partition by mid order by level, sum(size) desc, by_turn desc) as r
+    from hits group by mid, level, by_turn) where r = 1),
 counts as (
   select q.mid, count(*) as n_quoted, any_value(t.linked) as linked, any_value(h.n) as n_linked
   from quoted q left join target t on t.mid = q.mid left join (select mid, count(distinct digest) as n from hits group by mid) h on h.mid = q.mid group by q.mid),
