@@ -174,13 +174,13 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, similarity: float = SI
     pairs = met.groupBy("bag").agg(F.max(F.struct("n", "leader"))["leader"].alias("leader")).select(
         F.col("leader").alias("a"), F.col("bag").alias("b"))
     weights = members.select("bag", "weight")
-    links = stored(_verified(pairs, weights, sets, similarity), "links")
+    found = components(_verified(pairs, weights, sets, similarity))
+    part = stored(buckets.select("bag").distinct().join(found, F.col("bag") == F.col("id"), "left").select(
+        "bag", F.coalesce("component", "bag").alias("component")), "components")
 
     open_buckets, round_number = buckets.select("key", "bag", "weight"), 0
     while True:
-        part = stored(components(links), "components")
-        named = open_buckets.join(part, F.col("bag") == F.col("id"), "left").select(
-            "key", "bag", "weight", F.coalesce("component", "bag").alias("component"))
+        named = open_buckets.join(part, "bag")
         mixed = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
         named = stored(named.join(mixed.select("key"), "key", "left_semi"), "open")
         if named.isEmpty():
@@ -192,10 +192,16 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, similarity: float = SI
         near = F.least("wa", "weight") >= similarity * F.greatest("wa", "weight")
         pairs = named.join(led, "key").filter(F.col("component") != F.col("ca")).filter(near).select(
             F.least("a", "bag").alias("a"), F.greatest("a", "bag").alias("b")).distinct()
-        links = stored(links.unionByName(_verified(pairs, weights, sets, similarity)), "links")
+        links = stored(_verified(pairs, weights, sets, similarity), "links")
+        if not links.isEmpty():
+            # what is linked now are components: they are merged as such
+            ends = (part.select(F.col("bag").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
+            joined = links.join(next(ends), "a").join(next(ends), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+            merged = stored(components(joined).select(F.col("id").alias("component"), F.col("component").alias("merged")), "merged")
+            part = stored(part.join(merged, "component", "left").select("bag", F.coalesce("merged", "component").alias("component")), "components")
         open_buckets = named.join(chosen.select("key", "bag"), ["key", "bag"], "left_anti").select("key", "bag", "weight")
 
-    placed = members.join(part, F.col("bag") == F.col("id"), "left").select(
+    placed = members.join(part, "bag", "left").select(
         "bag", "first", F.coalesce("component", "bag").alias("class"))
     classes = placed.groupBy("class").agg(F.min("first").alias("lowest"))
     of_bag = placed.join(classes, "class").select("bag", "lowest")
