@@ -41,7 +41,7 @@ def error_code_counts(messages: DataFrame) -> DataFrame:
 def numbered_messages(messages: DataFrame, name: str = "number", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Messages numbered from 1 within their session by (created_at, id)."""
     return ordered_position(
-        messages, ["session_id"], [F.asc("created_at"), F.asc("id")], F.unix_micros("created_at"), name, bucket_rows)
+        messages, ["session_id"], [F.asc("created_at"), F.asc("id")], name, bucket_rows)
 
 
 def audit_sessions(messages: DataFrame, part_size: int = 1000) -> DataFrame:
@@ -83,8 +83,7 @@ def session_report(session_rows: DataFrame) -> DataFrame:
     """Sessions numbered newest first, with a dash for a missing rating and a default first message.
 
     session_rows: output of ``metrics.sessions`` with ``avg_rating``."""
-    numbered = global_position(
-        session_rows, [F.desc("last_at"), F.asc("session_id")], F.date_trunc("hour", "last_at"), "number")
+    numbered = global_position(session_rows, [F.desc("last_at"), F.asc("session_id")], "number")
     clock = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
     return numbered.select(
         "number", F.concat(F.lit("#"), F.lpad(F.col("number").cast("string"), F.greatest(F.lit(2), F.length(F.col("number").cast("string"))), F.lit("0"))).alias("label"),

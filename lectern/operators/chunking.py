@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -72,51 +73,45 @@ def split_text(text: str, size: int = 1000, overlap: int = 150, separators=SEPAR
     return out
 
 
+def _spans(lengths: np.ndarray, borders: list[int], size: int) -> Iterator[tuple[int, int]]:
+    """Runs [begin, end) of lines of at most ``size`` characters, or of one line that is longer, none across a border.
+
+    Where a run ends is found in the running total of lengths, one search per run."""
+    total = np.concatenate([[0], np.cumsum(lengths)])
+    for begin, end in zip(borders, borders[1:]):
+        while begin < end:
+            fits = int(np.searchsorted(total, total[begin] + size, side="right")) - 1
+            stop = min(end, max(begin + 1, fits))
+            yield begin, stop
+            begin = stop
+
+
+def _lines(text: str) -> list[str]:
+    return [x for x in (line.strip() for line in text.split("\n")) if x]
+
+
 def heading_chunks(markdown: str, size: int, minimum: int) -> list[str]:
     """Lines grouped under the heading above them; short bodies dropped."""
-    heading, lines, length, out = "", [], 0, []
-
-    def close():
-        nonlocal lines, length
-        body = "\n".join(lines)
-        if lines and len(body) >= minimum:
-            out.append(f"{heading}\n{body}" if heading else body)
-        lines, length = [], 0
-
-    for line in filter(None, map(str.strip, markdown.split("\n"))):
-        if line.startswith("#"):
-            close()
-            heading = line.lstrip("#").strip()
-            continue
-        if length + len(line) > size:
-            close()
-        lines.append(line)
-        length += len(line)
-    close()
-    return out
+    lines = _lines(markdown)
+    marks = [i for i, line in enumerate(lines) if line[0] == "#"]
+    # sections are runs of the lines that are no headings; the title of section i is the heading before it
+    titles = ["", *(lines[i].lstrip("#").strip() for i in marks)]
+    body = [line for line in lines if line[0] != "#"]
+    borders = [0, *(i - n for n, i in enumerate(marks)), len(body)]
+    section = np.searchsorted(borders[1:-1], np.arange(len(body)), side="right")
+    found = ((titles[section[a]], "\n".join(body[a:b])) for a, b in _spans(np.array([len(x) for x in body], np.int64), borders, size))
+    return [f"{title}\n{text}" if title else text for title, text in found if len(text) >= minimum]
 
 
 def page_line_chunks(texts: Iterable[str], size: int, minimum: int) -> list[tuple[int, str]]:
-    """(page, body) pairs: lines packed across pages; a chunk belongs to the page where it overflowed."""
-    lines, length, page, out = [], 0, 0, []
-
-    def close(at: int):
-        nonlocal lines, length
-        body = "\n".join(lines).strip()
-        if lines and len(body) >= minimum:
-            out.append((at, body))
-        lines, length = [], 0
-
-    for text in filter(None, texts):
-        page += 1
-        kept = [line for line in map(str.strip, text.split("\n")) if line]
-        for line in kept or [""]:
-            if length + len(line) > size:
-                close(page)
-            lines.append(line)
-            length += len(line)
-    close(page)
-    return out
+    """(page, body) pairs: lines packed across pages; a chunk belongs to the page of the line that no longer fitted, the
+    last one to the last page. Only pages with text are counted."""
+    pages = [_lines(text) or [""] for text in texts if text]
+    lines = [line for page in pages for line in page]
+    number = np.repeat(np.arange(1, len(pages) + 1), [len(page) for page in pages]).tolist() + [len(pages)]
+    spans = _spans(np.array([len(x) for x in lines], np.int64), [0, len(lines)], size)
+    found = ((number[b], "\n".join(lines[a:b]).strip()) for a, b in spans)
+    return [(page, text) for page, text in found if len(text) >= minimum]
 
 
 def _page_udf(cutter):

@@ -12,22 +12,26 @@ SEVERITY = ["healthy", "warning", "critical"]
 
 
 def enqueue_jobs(jobs: DataFrame, new: DataFrame, now: Column) -> DataFrame:
-    """Keyed upsert: action and payload replaced; a running job keeps running with its error, others requeue."""
-    incoming = new.select("drive_file_id", F.col("action").alias("_action"), F.col("file_info").alias("_info"))
+    """Keyed upsert: action and payload replaced; a running job keeps running with its error and lease, others requeue.
+    All columns of the stored jobs are kept; a file given more than once is taken once."""
+    incoming = new.select("drive_file_id", F.col("action").alias("_action"), F.col("file_info").alias("_info")).dropDuplicates(
+        ["drive_file_id"])
     merged = jobs.join(incoming, "drive_file_id", "full_outer")
     given, running = F.col("_action").isNotNull(), F.coalesce(F.col("status") == "running", F.lit(False))
     requeued = given & ~running
-    return merged.select(
-        "drive_file_id",
-        F.coalesce("_action", "action").alias("action"),
-        F.coalesce("_info", "file_info").alias("file_info"),
-        F.when(requeued, F.lit("queued")).otherwise(F.col("status")).alias("status"),
-        F.coalesce("attempts", F.lit(0)).alias("attempts"),
-        F.coalesce("max_attempts", F.lit(3)).alias("max_attempts"),
-        F.when(~requeued, F.col("last_error")).alias("last_error"),
-        F.coalesce("created_at", now).alias("created_at"),
-        F.when(given, now).otherwise(F.col("updated_at")).alias("updated_at"),
-    )
+    new_values = {
+        "action": F.coalesce("_action", "action"),
+        "file_info": F.coalesce("_info", "file_info"),
+        "status": F.when(requeued, F.lit("queued")).otherwise(F.col("status")),
+        "attempts": F.coalesce("attempts", F.lit(0)),
+        "max_attempts": F.coalesce("max_attempts", F.lit(3)),
+        "last_error": F.when(~requeued, F.col("last_error")),
+        "created_at": F.coalesce("created_at", now),
+        "updated_at": F.when(given, now).otherwise(F.col("updated_at")),
+    }
+    if "id" in jobs.columns:  # a new job's id follows from its file, so that a repeated run gives the same
+        new_values["id"] = F.coalesce("id", F.concat(F.lit("job-"), F.substring(F.sha2("drive_file_id", 256), 1, 32)))
+    return merged.select(*[new_values[c].alias(c) if c in new_values else F.col(c) for c in jobs.columns])
 
 
 def claimable_jobs(jobs: DataFrame, as_of: Column, n: int | None = None) -> DataFrame:

@@ -120,13 +120,15 @@ def eval_outcome(jobs: DataFrame, now: Column) -> DataFrame:
 def eval_enqueue(evaluations: DataFrame, turns: DataFrame, now: Column) -> DataFrame:
     """Evaluation table after queueing the turns with documents and no generation error.
 
-    New keys are queued; rows that exist are only touched. turns: keys, sources_found, generation_error."""
+    New keys are queued; rows that exist are only touched and keep all their columns. turns: keys, sources_found, generation_error."""
     eligible = turns.filter((F.col("sources_found") > 0) & F.col("generation_error").isNull()).select(*TURN).distinct()
     asked = eligible.withColumn("_asked", F.lit(True))
     merged = evaluations.join(asked, TURN, "full_outer")
-    return merged.select(
-        *TURN, F.coalesce("status", F.lit("queued")).alias("status"), F.coalesce("attempts", F.lit(0)).alias("attempts"),
-        F.when(F.col("_asked"), now).otherwise(F.col("updated_at")).alias("updated_at"))
+    new_values = {
+        "status": F.coalesce("status", F.lit("queued")), "attempts": F.coalesce("attempts", F.lit(0)),
+        "updated_at": F.when(F.col("_asked"), now).otherwise(F.col("updated_at")),
+    }
+    return merged.select(*[new_values[c].alias(c) if c in new_values else F.col(c) for c in evaluations.columns])
 
 
 def quality_summary(evaluations: DataFrame) -> DataFrame:

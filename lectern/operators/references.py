@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.base import SPACES, col, join_sorted, present, rstrip, strip
 from ..functions.text import sanitize
@@ -15,7 +15,9 @@ REFERENCED_MODES = ["resumo", "resumo_aprofundar", "resumo_reformular", "info",
 
 
 def format_context(questions: DataFrame, matches: DataFrame, key: str = "query_id", legacy: bool = False) -> DataFrame:
-    """Numbered context block per question; questions without matches get a fixed text."""
+    """Numbered context block per question; questions without matches get a fixed text. Matches are numbered from 1 in
+    the order of their ranks, so that no number is missing after some were dropped."""
+    matches = matches.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("rank")))
     number = F.col("rank").cast("string")
     shown = F.format_string("%.2f", "similarity")
     if legacy:

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.base import present
 from ..functions.vectors import as_matrix, similarity_to, unit_rows
@@ -277,9 +277,10 @@ def grade_input(content: Column | str) -> Column:
 
 
 def retrieval_array(matches: DataFrame, key: str = "query_id") -> DataFrame:
-    """Per question the telemetry array of its (at most k) matches in rank order.
+    """Per question the telemetry array of its (at most k) matches in rank order, numbered anew from 1.
 
     Fields are ordered rank first so that the array sorts by rank."""
+    matches = matches.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("rank")))
     doc = F.coalesce(present(F.col("id").cast("string")), F.concat(F.lit("source:"), "source", F.lit(":"), F.col("rank").cast("string")))
     entry = F.struct(F.col("rank").cast("int").alias("rank"), doc.alias("document_id"), "source", "similarity")
     return matches.groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("_r")).select(

@@ -112,5 +112,5 @@ def invalid_transitions(turns: DataFrame, bucket_rows: int = BUCKET_ROWS) -> Dat
 
     turns: id, session_id, created_at, state_before, state_after. Sessions of more than ``bucket_rows`` turns are
     looked through in several tasks."""
-    looked = previous_value(turns, ["session_id"], ["created_at", "id"], F.unix_micros("created_at"), "state_after", "previous_state", bucket_rows)
+    looked = previous_value(turns, ["session_id"], ["created_at", "id"], "state_after", "previous_state", bucket_rows)
     return looked.filter(F.col("previous_state").isNotNull() & (F.col("state_before") != F.col("previous_state")))

@@ -37,11 +37,16 @@ def same_version() -> Column:
 def plan_sync(listing: DataFrame, manifest: DataFrame, seen_at: str | None = None) -> DataFrame:
     """One row per file id: class (new, changed, unchanged, removed), what the file is now and was before.
 
-    With ``seen_at`` (a column present in both inputs) the last row of a repeated id counts; without it ids
-    are taken as unique."""
-    if seen_at:
-        listing = newest_per_key(listing, ["id"], [F.col(seen_at)])
-        manifest = newest_per_key(manifest, ["drive_file_id"], [F.col(seen_at)])
+    Of a repeated id the last row counts: by ``seen_at`` (a column present in both inputs), else by modification time,
+    with the other columns of the plan settling ties."""
+    plan_columns = {"id": ["name", "drive_path", "mimeType", "md5Checksum"], "drive_file_id": [
+        "name", "drive_path", "mime_type", "md5_checksum", "status"]}
+
+    def last(df: DataFrame, key: str, time: str) -> DataFrame:
+        by = [F.col(seen_at)] if seen_at else [_instant(F.col(time)), F.col(time)]
+        return newest_per_key(df, [key], [*by, *(F.col(c) for c in plan_columns[key])])
+
+    listing, manifest = last(listing, "id", "modifiedTime"), last(manifest, "drive_file_id", "modified_time")
     joined = listing.alias("l").join(manifest.alias("m"), F.col("l.id") == F.col("m.drive_file_id"), "full_outer")
     active = F.coalesce(F.col("m.status") == "active", F.lit(False))
     kind = (
@@ -64,11 +69,13 @@ def plan_sync(listing: DataFrame, manifest: DataFrame, seen_at: str | None = Non
     ).withColumn("sort_path", F.coalesce(first_present("drive_path", "name"), F.lit("")))
 
 
-def select_batch(plan: DataFrame, max_files: int) -> DataFrame:
-    """Changed files, then new ones, with ``selected`` true for the first ``max_files``; the rest is deferred."""
+def select_batch(plan: DataFrame, max_files: int | None = None) -> DataFrame:
+    """Changed files, then new ones, with ``selected`` true for the first ``max_files`` (None: all); the rest is deferred."""
+    pending = plan.filter(F.col("class").isin("changed", "new"))
+    if max_files is None:
+        return pending.withColumn("selected", F.lit(True))
     if max_files < 1:
         raise ValueError("max_files must be at least 1")
-    pending = plan.filter(F.col("class").isin("changed", "new"))
     order = [F.when(F.col("class") == "changed", 0).otherwise(1).alias("_c"), F.col("sort_path"), F.col("file_id")]
     # the batch is bounded by max_files, so it is found by top-n and joined back, not by a global ranking
     batch = pending.orderBy(*order).limit(max_files).select(F.col("file_id").alias("_id"))
@@ -99,9 +106,9 @@ def jobs_from_plan(plan: DataFrame, listing: DataFrame) -> DataFrame:
 
 
 def upsert_chunks(target: DataFrame, new: DataFrame, order: list[Column] | None = None) -> DataFrame:
-    """Rows of ``new`` replace rows of the same id. ``order`` settles repeated ids within ``new``."""
-    if order:
-        new = newest_per_key(new, ["id"], order)
+    """Rows of ``new`` replace rows of the same id. Of a repeated id within ``new`` the largest by ``order`` is written,
+    without an order any one (ids are derived from content and position)."""
+    new = newest_per_key(new, ["id"], order) if order else new.dropDuplicates(["id"])
     kept = target.join(new.select("id"), "id", "left_anti")
     return kept.unionByName(new, allowMissingColumns=True)
 
@@ -118,13 +125,11 @@ def upsert_report(target: DataFrame, new: DataFrame) -> DataFrame:
 
 def remove_stale(target: DataFrame, touched_files: DataFrame, current: DataFrame) -> DataFrame:
     """Drop rows of touched files whose id was not written in this run. target: id, drive_file_id, ..."""
-    keys = ["drive_file_id", "id"]
-    stale = (
-        target.select(*keys)
-        .join(touched_files.select("drive_file_id").distinct(), "drive_file_id", "left_semi")
-        .join(current.select("id"), "id", "left_anti")
-    )
-    return target.join(stale, keys, "left_anti")
+    touched = touched_files.select(F.col("drive_file_id").alias("_touched")).distinct()
+    written = current.select(F.col("id").alias("_written")).distinct()
+    marked = target.join(touched, F.col("drive_file_id") == F.col("_touched"), "left").join(
+        written, F.col("id") == F.col("_written"), "left")
+    return marked.filter(F.col("_touched").isNull() | F.col("_written").isNotNull()).select(*target.columns)
 
 
 def remove_legacy(target: DataFrame, processed: DataFrame, listing: DataFrame) -> DataFrame:

@@ -361,7 +361,7 @@ def _(t):
 @query("m5_eval_enqueue", "turns evaluations", f"""
 , eligible as (select distinct session_id, request_id from turns where request_id is not null and sources_found > 0 and coalesce(error_code, '') <> 'MODEL_FAILED')
 select coalesce(e.session_id, q.session_id) as session_id, coalesce(e.request_id, q.request_id) as request_id, coalesce(e.status, 'queued') as status, coalesce(e.attempts, 0) as attempts,
-  case when q.request_id is not null then '2024-03-01 00:00:00' else {at('e.updated_at')} end as updated_at
+  case when q.request_id is not null then '2024-03-01 00:00:00' else {at('e.updated_at')} end as updated_at, e.max_attempts, e.verdict, e.score
 from evaluations e full join eligible q on q.session_id = e.session_id and q.request_id = e.request_id""")
 def _(t):
     turns = t.turns.filter("request_id is not null").select(

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.identity import chunk_record_id
 from ..operators import chunking, references, retrieval, sync
-from ..sources.files import extract_pages
+from ..session import written
+from ..sources.files import NO_TEXT, extract_pages
+
+NO_CONTENT = "file content is missing"
 
 
 def chunk_rows(files: DataFrame, size: int = 1000, overlap: int = 150) -> DataFrame:
@@ -23,22 +27,80 @@ def chunk_rows(files: DataFrame, size: int = 1000, overlap: int = 150) -> DataFr
         *[F.col(f"reference.{n}").alias(f"reference_{n}") for n in ("author", "year", "title", "section")])
 
 
+class Reconciled(NamedTuple):
+    """What a run leaves: the chunk table, the manifest, a row per file, totals per action, and the plan it followed."""
+
+    table: DataFrame
+    manifest: DataFrame
+    results: DataFrame
+    report: DataFrame
+    plan: DataFrame
+
+
 def reconcile(
     listing: DataFrame, manifest: DataFrame, contents: DataFrame, target: DataFrame, extractor: Callable,
-    embed: Callable, dim: int, max_files: int = 1000,
-) -> tuple[DataFrame, DataFrame]:
-    """(new chunk table, plan with ``selected``). contents: id, content (bytes) of any files.
-
-    Unchanged files are dropped by the plan before their bytes are read."""
-    plan = sync.plan_sync(listing, manifest)
-    batch = sync.select_batch(plan, max_files)
-    chosen = batch.filter("selected").select("file_id", "name", "drive_path", "modified_time")
-    todo = contents.select(F.col("id").alias("file_id"), "content").join(chosen, "file_id")
-    files = extract_pages(todo, extractor).select(
-        "file_id", F.col("name").alias("source"), "pages", "modified_time", "drive_path", "extract_error")
-    fresh = retrieval.embed(chunk_rows(files.filter(F.col("extract_error").isNull())), embed, dim)
+    embed: Callable, dim: int, max_files: int | None = None, now: Column | None = None,
+) -> Reconciled:
+    """Bring chunk table and manifest up to the listing. contents: id, content (bytes) of any files.
+
+    Chosen files (all new and changed ones, or the first ``max_files``) end in one of three ways. A file with text gets its
+    new chunks, and those of before that it no longer has go; so do rows of its name without a file id. A file without any
+    text is ``unsupported``: its chunks go. A file that cannot be extracted, or whose bytes are missing, has failed: its
+    chunks and rows stay as they were, and the manifest records the error, so that the next run tries again. Files that left the
+    listing lose chunks and manifest row. Chunks are cut and embedded once and stored."""
+    now = F.current_timestamp() if now is None else now
+    plan = written(sync.plan_sync(listing, manifest), "plan")
+    chosen = sync.select_batch(plan, max_files).filter("selected").drop("selected", "sort_path")
+    # bytes of other files are left behind before anything else is done with them
+    picked = contents.select(F.col("id").alias("_id"), "content").join(
+        chosen.select(F.col("file_id").alias("_id")), "_id", "left_semi").dropDuplicates(["_id"])
+    todo = chosen.join(picked, F.col("file_id") == F.col("_id"), "left").drop("_id")
+    missing = F.col("content").isNull().alias("missing")
+    files = extract_pages(todo.select("*", missing), extractor)
+    error = F.when(F.col("missing"), F.lit(NO_CONTENT)).otherwise(F.col("extract_error"))
+    files = files.withColumn("error", error).withColumn("source", F.col("name"))
+    fresh = written(retrieval.embed(chunk_rows(files.filter(F.col("error").isNull())), embed, dim), "fresh")
+
+    cut = fresh.groupBy(F.col("drive_file_id").alias("_cut")).agg(F.count("*").alias("chunks"))
+    outcome = written(files.select(
+        "file_id", "class", "name", "drive_path", "mime_type", "modified_time", "md5_checksum", "error",
+        F.size("pages").alias("pages")).join(cut, F.col("file_id") == F.col("_cut"), "left").drop("_cut"), "outcome")
+    done = outcome.filter(F.col("error").isNull())
     gone = plan.filter(F.col("class") == "removed").select(F.col("file_id").alias("drive_file_id"))
     table = sync.upsert_chunks(target, fresh)
-    table = sync.remove_stale(table, chosen.select(F.col("file_id").alias("drive_file_id")), fresh)
-    table = sync.remove_legacy(table, chosen, listing).join(gone, "drive_file_id", "left_anti")
-    return table, batch
+    table = sync.remove_stale(table, done.select(F.col("file_id").alias("drive_file_id")), fresh)
+    table = sync.remove_legacy(table, done, listing).join(gone, "drive_file_id", "left_anti")
+
+    results = _results(outcome, target, fresh).unionByName(
+        sync.plan_results(plan).withColumn("errors", F.array().cast("array<string>")), allowMissingColumns=True).unionByName(
+        _removed(gone, plan, target), allowMissingColumns=True)
+    entries = sync.manifest_rows(results.filter(F.col("action").isin("new", "changed")), now)
+    kept = manifest.join(entries.select("drive_file_id"), "drive_file_id", "left_anti").join(gone, "drive_file_id", "left_anti")
+    stored_types = dict(manifest.dtypes)
+    entries = entries.select(*[F.col(c).cast(stored_types[c]) if c in stored_types else F.col(c) for c in entries.columns])
+    return Reconciled(table, kept.unionByName(entries, allowMissingColumns=True), results, sync.sync_report(results), plan)
+
+
+def _results(outcome: DataFrame, target: DataFrame, fresh: DataFrame) -> DataFrame:
+    """A row per chosen file; ``removed`` counts rows that its new chunks replaced by none of the same id."""
+    stored = target.select("id", F.col("drive_file_id").alias("_file")).join(fresh.select("id"), "id", "left_anti").groupBy("_file").agg(
+        F.count("*").alias("stale"))
+    failed, unsupported = F.col("error").isNotNull(), F.col("error").isNull() & (F.col("pages") == 0)
+    number = lambda c: F.coalesce(c, F.lit(0)).cast("int")
+    return outcome.join(stored, F.col("file_id") == F.col("_file"), "left").select(
+        F.col("file_id").alias("id"), "name", F.col("class").alias("action"), (~failed).alias("success"),
+        F.when(failed, F.lit("error")).when(unsupported, F.lit("unsupported")).otherwise(F.lit("active")).alias("status"),
+        number(F.col("pages")).alias("total_pages"), number(F.col("chunks")).alias("total_chunks"),
+        number(F.col("chunks")).alias("inserted"), F.lit(0).alias("skipped"), number(F.when(~failed, F.col("stale"))).alias("removed"),
+        "drive_path", "mime_type", "modified_time", "md5_checksum",
+        F.when(failed, F.array("error")).when(unsupported, F.array(F.lit(NO_TEXT))).otherwise(F.array().cast("array<string>")).alias("errors"))
+
+
+def _removed(gone: DataFrame, plan: DataFrame, target: DataFrame) -> DataFrame:
+    """A row per file that left the listing, with the number of its chunks."""
+    chunks = target.join(gone, "drive_file_id", "left_semi").groupBy(F.col("drive_file_id").alias("_file")).agg(F.count("*").alias("n"))
+    files = plan.filter(F.col("class") == "removed")
+    return files.join(chunks, F.col("file_id") == F.col("_file"), "left").select(
+        F.col("file_id").alias("id"), "name", F.lit("removed").alias("action"), F.lit(True).alias("success"), F.lit("removed").alias("status"),
+        F.lit(0).alias("total_pages"), F.lit(0).alias("total_chunks"), F.lit(0).alias("inserted"), F.lit(0).alias("skipped"),
+        F.coalesce("n", F.lit(0)).cast("int").alias("removed"), F.array().cast("array<string>").alias("errors"))

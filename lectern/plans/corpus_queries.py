@@ -11,6 +11,7 @@ from ..functions.base import WHITESPACE
 from ..operators import audit, chunking, dedup, jobs, sync
 from ..session import scratch_path
 from ..sources import files, sinks, tables
+from . import corpus
 from .inputs import TABLES, for_duckdb
 from .registry import at, query
 
@@ -82,10 +83,9 @@ def _(t):
 
 
 @query("a3_read_chat_messages", "messages", f"""
-select id, session_id, role, content, {at('created_at')} as created_at from messages
-where created_at >= timestamp '2024-01-02 00:00:00'""")
+select id, session_id, role, content, {at('created_at')} as created_at from messages""")
 def _(t):
-    return tables.read_chat_messages(t.messages, start="2024-01-02 00:00:00").select(
+    return tables.read_chat_messages(t.messages).select(
         "id", "session_id", "role", "content", "created_at")
 
 
@@ -369,6 +369,50 @@ def _(t):
     return plan(t).select("class", "file_id", "name", "sort_path")
 
 
+@query("e_reconcile", "listing manifest", PLAN + """
+, doc as (select 'f' || doc_id as id, doc_id, md5(text) as a, source as b from documents)
+, outcome as (
+  select s.file_id, doc_id, a, b, case when class not in ('new', 'changed') then class when d.id is null or doc_id % 13 = 0 then 'lost'
+    when doc_id % 11 = 0 then 'broken' when doc_id % 17 = 0 then 'blank' else 'good' end as fate from sorted s left join doc d on d.id = s.file_id)
+select file_id as drive_file_id, a as content from outcome where fate = 'good'
+union all select file_id, b from outcome where fate = 'good' and doc_id % 2 = 0
+union all select drive_file_id, 'old' from manifest m join outcome o on o.file_id = m.drive_file_id where fate in ('lost', 'broken', 'unchanged')""")
+def _(t):
+    """The chunk table after a run over all documents as files: broken ones and ones without bytes keep what they had."""
+    return reconciled(t).table.select("drive_file_id", "content")
+
+
+@query("e_reconcile_manifest", "listing manifest", PLAN + """
+, doc as (select 'f' || doc_id as id, doc_id from documents)
+, outcome as (
+  select s.file_id, doc_id, class, case when class not in ('new', 'changed') then class when d.id is null or doc_id % 13 = 0 then 'lost'
+    when doc_id % 11 = 0 then 'broken' when doc_id % 17 = 0 then 'blank' else 'good' end as fate from sorted s left join doc d on d.id = s.file_id)
+select drive_file_id, m.status, cast(m.chunks_count as int) as chunks_count from manifest m join outcome o on o.file_id = m.drive_file_id where fate = 'unchanged'
+union all select file_id, case when fate in ('good', 'blank') then 'active' else 'error' end, cast(case when fate = 'good' then 2 - doc_id % 2 else 0 end as int)
+from outcome where class in ('new', 'changed')""")
+def _(t):
+    return reconciled(t).manifest.select("drive_file_id", "status", F.col("chunks_count").cast("int").alias("chunks_count"))
+
+
+def two_pages(content: bytes) -> list[str]:
+    if content == b"broken":
+        raise ValueError("cannot be read")
+    return content.decode().split("\f")
+
+
+def reconciled(t):
+    """A run whose files hold a digest of each document's text and, for even ones, its source on a second page."""
+    i = F.col("doc_id")
+    content = F.when(i % 11 == 0, F.lit("broken")).when(i % 17 == 0, F.lit(" \f ")).when(
+        i % 2 == 0, F.concat(F.md5("text"), F.lit("\f"), "source")).otherwise(F.md5("text"))
+    contents = t.spread("documents").filter(i % 13 != 0).select(
+        F.concat(F.lit("f"), i.cast("string")).alias("id"), content.cast("binary").alias("content"))
+    target = t.manifest.select(
+        F.concat(F.lit("old-"), "drive_file_id").alias("id"), F.lit("old").alias("content"), F.lit("s").alias("source"), "drive_file_id")
+    return corpus.reconcile(listing(t), t.manifest, contents, target, two_pages, lambda texts, task: [[1.0] for _ in texts], 1,
+                            now=F.to_timestamp(F.lit("2024-04-01 00:00:00")))
+
+
 @query("e2_same_version", "listing manifest", f"select l.id, {SAME} as same from listing l join manifest m on l.id = m.drive_file_id")
 def _(t):
     joined = listing(t).alias("l").join(t.manifest.alias("m"), F.col("l.id") == F.col("m.drive_file_id"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import audit, chunking, flow, jobs, metrics
+from ..operators.dedup import TURN_KEY
 from ..session import scratch_path
 from ..sources import sinks
 from ..streaming import turns as streams
@@ -240,13 +241,15 @@ NOW = "timestamp '2024-01-20 00:00:00'"
 select coalesce(j.drive_file_id, i.drive_file_id) as drive_file_id, coalesce(new_action, action) as action, coalesce(info, file_info) as file_info,
   case when new_action is not null and coalesce(status, '') <> 'running' then 'queued' else status end as status, coalesce(attempts, 0) as attempts,
   md5(case when not (new_action is not null and coalesce(status, '') <> 'running') then last_error end) as error_md5,
-  case when new_action is not null then '2024-01-20 00:00:00' else {at('updated_at')} end as updated_at
+  case when new_action is not null then '2024-01-20 00:00:00' else {at('updated_at')} end as updated_at,
+  coalesce(j.id, 'job-' || substr(sha256(i.drive_file_id), 1, 32)) as id, coalesce(max_attempts, 3) as max_attempts,
+  {at('lease_expires_at')} as lease_expires_at, coalesce({at('created_at')}, '2024-01-20 00:00:00') as created_at
 from jobs j full join incoming i on i.drive_file_id = j.drive_file_id""")
 def _(t):
     new = t.given("documents").select(
         F.concat(F.lit("f"), (F.col("doc_id") + 100).cast("string")).alias("drive_file_id"), F.lit("changed").alias("action"), F.col("lang").alias("file_info"))
-    return jobs.enqueue_jobs(t.jobs, new, F.expr(NOW)).select(
-        "drive_file_id", "action", "file_info", "status", "attempts", F.md5("last_error").alias("error_md5"), "updated_at")
+    new = new.union(new.limit(50))  # some files are given twice
+    return jobs.enqueue_jobs(t.jobs, new, F.expr(NOW)).withColumn("error_md5", F.md5("last_error")).drop("last_error")
 
 
 @query("n2_claimable_jobs", "jobs", f"""
@@ -461,20 +464,18 @@ def arriving(t, df, name: str):
 
 def retried_messages(t):
     columns = ["id", "session_id", "request_id", "role", "created_at"]
-    again = t.messages.withColumn("id", F.concat("id", F.lit("-retry")))
+    again = t.messages.withColumn("id", F.concat("id", F.lit("-retry"))).withColumn("created_at", F.expr("created_at + interval 3 seconds"))
     return t.messages.select(*columns).unionByName(again.select(*columns))
 
 
-@query("s1_unique_turns", "messages", """
-select session_id, request_id, role, count(*) as rows from (
-  select session_id, request_id, role from messages where request_id is not null
-  union all select session_id, request_id, role from messages where request_id is null union all select session_id, request_id, role from messages where request_id is null)
-group by all""")
+@query("s1_unique_turns", "messages", f"""
+select session_id, request_id, role, first(id order by created_at, id) as id, {at('min(created_at)')} as created_at
+from messages where request_id is not null group by all""")
 def _(t):
     folder = streams.new_stream_folder(t.spark, "turns")
-    stream = streams.unique_turns(arriving(t, retried_messages(t), "turns"), delay="5000 days")
-    streams.run_available(stream, folder, "append")
-    return streams.read_appended(t.spark, folder, stream.schema).groupBy("session_id", "request_id", "role").agg(F.count("*").alias("rows"))
+    stream = streams.first_turns(arriving(t, retried_messages(t), "turns"))
+    streams.run_available(stream, folder, "update")
+    return streams.read_newest(t.spark, folder, stream.schema, TURN_KEY).select("session_id", "request_id", "role", "id", "created_at")
 
 
 @query("s2_live_sessions", "dialog", STEPS)
@@ -483,7 +484,8 @@ def _(t):
     source = exchanges(t)
     path = scratch_path(t.spark, "arriving-sessions")
     # turns of a session arrive in order: early turns first, those of one session in one file
-    for arrived in ("turn < 3", "turn between 3 and 4", "turn > 4"):
+    # and every delivery is repeated
+    for arrived in ("turn < 3", "turn < 3", "turn between 3 and 4", "turn between 2 and 4", "turn > 4"):
         source.filter(arrived).repartition(4, "session_id").write.mode("append").parquet(path)
     stream = streams.live_sessions(streams.read_stream(t.spark, path, source.schema, files_per_trigger=4))
     streams.run_available(stream, folder, "append")
@@ -512,5 +514,49 @@ def _(t):
 @query("s5_incremental_corpus")
 def _(t):
     folder = streams.new_stream_folder(t.spark, "corpus")
-    streams.load_corpus(arriving(t, text_files(t), "files"), folder)
+    streams.load_corpus(arriving_versions(t), folder)
     return sinks.read_published(t.spark, f"{folder}/chunks").select("id", "file_id", "chunk_index", "content_hash")
+
+
+def arriving_versions(t):
+    """Every document, then a shorter version of every third one: its first 1,500 characters, or nothing of every sixth."""
+    whole = text_files(t).withColumn("seen_at", F.lit(1))
+    cut = F.when(F.col("file_id") % 6 == 0, F.lit("")).otherwise(F.substring(F.col("pages")[0]["text"], 1, 1500))
+    shorter = whole.filter("file_id % 3 = 0").withColumn("seen_at", F.lit(2)).withColumn(
+        "pages", F.array(F.struct(F.lit(1).alias("page_number"), cut.alias("text"))))
+    folder = scratch_path(t.spark, "arriving-files")
+    for version in (whole, shorter):
+        version.repartition(4).write.mode("append").parquet(folder)
+    return streams.read_stream(t.spark, folder, whole.schema, files_per_trigger=2)
+
+
+def chunk_properties(chunks, texts):
+    """Per file: whether its chunks are numbered without gaps, short enough, found in its text, hashed right, and hold its last
+    and first word."""
+    whole = texts.select("file_id", F.col("pages")[0]["text"].alias("whole"))
+    rows = chunks.join(whole, "file_id")
+    word = lambda c, at: F.element_at(F.regexp_extract_all(F.col(c), F.lit(r"(\S+)")), at)
+    return rows.groupBy("file_id").agg(
+        (F.max("chunk_index") - F.min("chunk_index") + 1 == F.count_distinct("chunk_index")).alias("dense"),
+        F.bool_and(F.length("content") <= 1000).alias("sized"), F.bool_and(F.contains("whole", "content")).alias("contained"),
+        F.bool_and(F.col("content_hash") == F.sha2("content", 256)).alias("hashed"),
+        (F.min_by(word("content", 1), "chunk_index") == F.first(word("whole", 1))).alias("begins"),
+        (F.max_by(word("content", -1), "chunk_index") == F.first(word("whole", -1))).alias("ends"))
+
+
+PROPERTIES = "true as dense, true as sized, true as contained, true as hashed, true as begins, true as ends"
+
+
+@query("c1_chunk_properties", "", f"select doc_id as file_id, {PROPERTIES} from documents where trim(text, chr(10) || chr(9) || ' ') <> ''")
+def _(t):
+    return chunk_properties(chunking.chunk_recursive(text_files(t)), text_files(t))
+
+
+@query("s5_shrunk_files", "", f"select doc_id as file_id, {PROPERTIES} from documents where trim(text, chr(10) || chr(9) || ' ') <> '' and doc_id % 6 <> 0")
+def _(t):
+    """After shorter versions arrived, no chunk of the longer ones is left."""
+    folder = streams.new_stream_folder(t.spark, "shrunk")
+    streams.load_corpus(arriving_versions(t), folder)
+    text = F.when(F.col("file_id") % 3 == 0, F.substring(F.col("pages")[0]["text"], 1, 1500)).otherwise(F.col("pages")[0]["text"])
+    now = text_files(t).withColumn("pages", F.array(F.struct(F.lit(1).alias("page_number"), text.alias("text"))))
+    return chunk_properties(sinks.read_published(t.spark, f"{folder}/chunks"), now)

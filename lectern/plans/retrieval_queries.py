@@ -156,7 +156,7 @@ def shown_matches(t):
 
 
 @query("g1_format_context", "turns hits chunks", """
-, shown as (select h.id as query_id, h.rank, h.similarity, c.content from hits h join chunks c on c.id = h.document_id)
+, shown as (select h.id as query_id, row_number() over (partition by h.id order by h.rank) as rank, h.similarity, c.content from hits h join chunks c on c.id = h.document_id)
 , blocks as (select query_id, md5(string_agg('[' || rank || '] Trecho RAG ' || rank || ' (similaridade: ' || printf('%.2f', similarity) || ')' || chr(10) || content,
     chr(10) || chr(10) || '---' || chr(10) || chr(10) order by rank)) as context_md5 from shown group by query_id)
 select t.id as query_id, coalesce(b.context_md5, md5('Nenhum material disponível.')) as context_md5 from turns t left join blocks b on b.query_id = t.id""")

@@ -5,12 +5,13 @@ from __future__ import annotations
 import io
 import xml.etree.ElementTree as ElementTree
 import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..schemas import ACCEPTANCE_CASES, PAGES
+from ..session import written
 
 # File types of the local loaders and of the remote folder.
 LOCAL_TYPES = [".pdf"]
@@ -24,40 +25,35 @@ REMOTE_TYPES = [
 
 
 def scan_files(spark: SparkSession, path: str, extensions: list[str] = LOCAL_TYPES, recursive: bool = True) -> DataFrame:
-    """Files below a folder with one of the extensions (any case), by path. ``content`` is read only if used."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
-    wanted = F.lit(False)
-    for e in extensions:
-        wanted = wanted | F.lower("path").endswith(e.lower())
-    return files.filter(wanted).orderBy("path")
+    """Files below a folder with one of the extensions (any case). The names are matched before anything is read, and
+    ``content`` is read only if used; no order is given, since sorting would move the bytes."""
+    def any_case(extension: str) -> str:
+        return "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in extension)
 
+    glob = "{" + ",".join(f"*{any_case(e)}" for e in extensions) + "}"
+    return spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option(
+        "pathGlobFilter", glob).load(path)
 
-def folder_paths(nodes: DataFrame, root: str, max_depth: int = 100) -> DataFrame:
-    """Supported files below a root folder with their path ``ROOT/a/b``.
 
-    nodes: id, parent, name, mime_type, trashed. Only folders take part in the recursion; the files, the bulk of
-    the tree, are joined to the finished folder paths once. A tree deeper than ``max_depth`` fails instead of
-    losing files, so a listing is either whole or an error."""
-    spark = nodes.sparkSession
+def folder_paths(nodes: DataFrame, root: str) -> DataFrame:
+    """Supported files below a root folder with their path ``ROOT/a/b``, at any depth.
+
+    nodes: id, parent, name, mime_type, trashed. Only folders take part in the descent, one level at a time; a folder
+    that was visited is not entered again, so folders that hold each other end it. The files, the bulk of
+    the tree, are joined to the finished folder paths once. Of several paths to a folder the shortest counts, then the first by name."""
     live = nodes.filter(~F.coalesce("trashed", F.lit(False)))
-    folders = live.filter(F.col("mime_type") == FOLDER_TYPE).select("id", "parent", "name")
-    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")  # as many folders as there are
-    paths = spark.sql(
-        """
-        WITH RECURSIVE tree(id, path) MAX RECURSION LEVEL {depth} AS (
-            SELECT :root, 'ROOT'
-            UNION ALL
-            SELECT f.id, concat(t.path, '/', f.name) FROM {folders} f JOIN tree t ON f.parent = t.id
-            WHERE f.id <> :root
-        )
-        SELECT id, path FROM tree
-        """,
-        args={"root": root}, folders=folders, depth=int(max_depth),
-    )
+    folders = written(live.filter(F.col("mime_type") == FOLDER_TYPE).select("id", "parent", "name"), "folders")
+    level = nodes.sparkSession.createDataFrame([(root, "ROOT")], "id string, path string")
+    visited = level
+    while True:
+        above = level.select(F.col("id").alias("_above"), "path")
+        level = written(folders.join(above, F.col("parent") == F.col("_above")).groupBy("id").agg(
+            F.min(F.concat("path", F.lit("/"), "name")).alias("path")).join(visited.select("id"), "id", "left_anti"), "level")
+        if level.isEmpty():
+            break
+        visited = visited.unionByName(level)
     files = live.filter(F.col("mime_type").isin(REMOTE_TYPES))
-    # a folder reachable twice would repeat its files; the first path by name counts
-    per_folder = paths.groupBy("id").agg(F.min("path").alias("path"))
-    return files.alias("f").join(per_folder.alias("p"), F.col("f.parent") == F.col("p.id")).select(
+    return files.alias("f").join(visited.alias("p"), F.col("f.parent") == F.col("p.id")).select(
         "f.*", F.concat("p.path", F.lit("/"), "f.name").alias("drive_path"))
 
 
@@ -83,24 +79,30 @@ def extract_pages(files: DataFrame, extractor: Callable[[bytes], list[str]], con
 
     ``extractor`` turns one file's bytes into the texts of its pages. A failure yields no pages and the message
     in ``extract_error``."""
+    return _extracted(files, {None: extractor}, F.lit(None).cast("string"), content)
+
+
+def _extracted(files: DataFrame, extractors: dict[str | None, Callable], route: Column, content: str) -> DataFrame:
     kind = pa.struct([
         ("pages", pa.list_(pa.struct([("page_number", pa.int32()), ("text", pa.string())]))),
         ("error", pa.string()),
     ])
 
-    def one(data: bytes | None) -> dict:
+    def one(data: bytes | None, to: str | None) -> dict:
         try:
-            texts = extractor(data or b"")
+            if to not in extractors:
+                raise LookupError(f"no extractor for route {to}")
+            texts = extractors[to](data or b"")
         except Exception as error:  # a broken file must not stop the others
             return {"pages": [], "error": f"{type(error).__name__}: {error}"[:4000]}
         stripped = ((n, (t or "").strip()) for n, t in enumerate(texts, start=1))
         return {"pages": [{"page_number": n, "text": t} for n, t in stripped if t], "error": None}
 
     @F.arrow_udf(f"struct<pages:{PAGES.simpleString()},error:string>")
-    def run(data: pa.Array) -> pa.Array:
-        return pa.array([one(v.as_py()) for v in data], type=kind)
+    def run(data: pa.Array, routes: pa.Array) -> pa.Array:
+        return pa.array([one(v.as_py(), r.as_py()) for v, r in zip(data, routes)], type=kind)
 
-    return files.withColumn("_x", run(F.col(content))).drop(content).select(
+    return files.withColumn("_x", run(F.col(content), route)).drop(content).select(
         "*", F.col("_x.pages").alias("pages"), F.col("_x.error").alias("extract_error")).drop("_x")
 
 
@@ -118,14 +120,14 @@ def route_extractor(name: Column | str, bulk: bool = False) -> Column:
 
 
 def extract_routed(files: DataFrame, name: str, extractors: dict[str, Callable], bulk: bool = False) -> DataFrame:
-    """One extraction per route, put together again. In bulk loading a failed structured file is an error row,
-    a failed or empty one of another route just has no pages."""
-    routed = files.withColumn("route", route_extractor(name, bulk))
-    parts = [extract_pages(routed.filter(F.col("route") == r), fn) for r, fn in extractors.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """One pass over the files, each given to the extractor of its route.
+
+    A failure is an error row, and so is a file whose route has no extractor. In bulk loading a PDF that fails just has no
+    pages."""
+    done = _extracted(files.withColumn("route", route_extractor(name, bulk)), extractors, F.col("route"), "content")
+    if bulk:
+        done = done.withColumn("extract_error", F.when(F.col("route") != "light", F.col("extract_error")))
+    return done
 
 
 # Fixed value: message recorded for files without extractable text.

@@ -1,7 +1,8 @@
-"""Writers. A table is a folder of versions with a pointer file; readers follow the pointer.
+"""Writers. A table is a folder of versions and of numbered commits, each the name of a version; the highest number counts.
 
-A new version is written completely before the pointer moves, so a failed run leaves no trace in what readers
-see, and nothing that is being read is overwritten."""
+A new version is written completely before its commit, and a commit is one small file that appears whole and is never changed
+or replaced. A run that stops anywhere leaves readers with the commit before; of two writers that start from the same commit
+the second fails instead of losing what the first wrote."""
 
 from __future__ import annotations
 
@@ -13,51 +14,90 @@ from ..operators.audit import audit_sessions
 from ..operators.sync import upsert_chunks
 from ..session import file_system
 
-# a name that readers of folders do not take for hidden
-_POINTER = "CURRENT"
+_COMMITS = "commits"
 
 
-def current_version(spark: SparkSession, path: str) -> str | None:
-    """Folder of the published version, None before the first publication."""
+def _commits(spark: SparkSession, path: str) -> list[int]:
     fs, Path = file_system(spark, path)
-    pointer = Path(f"{path}/{_POINTER}")
-    if not fs.exists(pointer):
-        return None
-    return f"{path}/{spark.read.text(f'{path}/{_POINTER}').first()[0]}"
+    folder = Path(f"{path}/{_COMMITS}")
+    if fs.exists(folder):
+        numbers = sorted(int(s.getPath().getName()) for s in fs.listStatus(folder) if s.getPath().getName().isdigit())
+        if numbers:
+            return numbers
+    if fs.exists(Path(path)) and any(s.getPath().getName().startswith("v-") for s in fs.listStatus(Path(path))):
+        raise RuntimeError(f"{path} has versions but no commit: it is being created, or its commits were lost")
+    return []
+
+
+def _version(spark: SparkSession, path: str, number: int) -> str:
+    fs, Path = file_system(spark, path)
+    file = fs.open(Path(f"{path}/{_COMMITS}/{number:010d}"))
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(file, "UTF-8")
+    finally:
+        file.close()
+
+
+def current_version(spark: SparkSession, path: str) -> str | None:
+    """Folder of the published version, None before the first publication. Versions without any commit are an error, so that
+    a damaged table is never taken for a new one."""
+    numbers = _commits(spark, path)
+    return f"{path}/{_version(spark, path, numbers[-1])}" if numbers else None
 
 
-def publish(df: DataFrame, path: str, partition_by: list[str] | None = None) -> str:
-    """Write a new version and move the pointer to it; returns the version's folder."""
+def publish(df: DataFrame, path: str, partition_by: list[str] | None = None, after: int | None = None) -> str:
+    """Write a new version and commit it; returns the version's folder. With ``after``, the number of the commit that ``df``
+    was made from, a commit made meanwhile is an error."""
     spark = df.sparkSession
+    before = _commits(spark, path)
+    number = (before[-1] if before else 0) if after is None else after
     version = f"v-{uuid.uuid4().hex}"
-    writer = df.write
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(f"{path}/{version}")
+    writer = df.write.partitionBy(*partition_by) if partition_by else df.write
+    writer.parquet(f"{path}/staged-{version}")
     fs, Path = file_system(spark, path)
-    staged = Path(f"{path}/_next-{version}")
+    staged = Path(f"{path}/{_COMMITS}/.{version}")
     out = fs.create(staged, True)
     out.write(bytearray(version.encode()))
     out.close()
-    pointer = Path(f"{path}/{_POINTER}")
-    fs.delete(pointer, False)
-    if not fs.rename(staged, pointer):
-        raise RuntimeError(f"could not publish {version} of {path}")
+    if before and before[-1] != number or fs.exists(Path(f"{path}/{_COMMITS}/{number + 1:010d}")):
+        fs.delete(staged, False)
+        raise RuntimeError(f"{path} was changed by another writer")
+    # the data gets its name first: readers look for it only once the commit is there, and a rename onto a file fails
+    fs.rename(Path(f"{path}/staged-{version}"), Path(f"{path}/{version}"))
+    if not fs.rename(staged, Path(f"{path}/{_COMMITS}/{number + 1:010d}")):
+        raise RuntimeError(f"{path} was changed by another writer")
     return f"{path}/{version}"
 
 
+def remove_old_versions(spark: SparkSession, path: str, keep: int = 2) -> int:
+    """Drop all but the newest ``keep`` commits and their versions; returns how many went. Readers of those must have ended."""
+    if keep < 1:
+        raise ValueError("keep must be at least 1")
+    fs, Path = file_system(spark, path)
+    old = _commits(spark, path)[:-keep]
+    for number in old:
+        fs.delete(Path(f"{path}/{_version(spark, path, number)}"), True)
+        fs.delete(Path(f"{path}/{_COMMITS}/{number:010d}"), False)
+    return len(old)
+
+
 def read_published(spark: SparkSession, path: str) -> DataFrame | None:
     version = current_version(spark, path)
     return None if version is None else spark.read.parquet(version)
 
 
-def write_chunks(new: DataFrame, path: str, order: list[Column] | None = None) -> DataFrame:
-    """Keyed upsert of chunks into the table at ``path``; returns the table as published."""
+def write_chunks(new: DataFrame, path: str, order: list[Column] | None = None, touched: DataFrame | None = None) -> DataFrame:
+    """Keyed upsert of chunks into the table at ``path``; returns the table as published. With ``touched``
+    (file_id), chunks of those files that are not in ``new`` go."""
     spark = new.sparkSession
-    target = read_published(spark, path)
-    if target is None:
-        target = spark.createDataFrame([], new.schema)
-    publish(upsert_chunks(target, new, order), path)
+    numbers = _commits(spark, path)
+    target = spark.read.parquet(f"{path}/{_version(spark, path, numbers[-1])}") if numbers else spark.createDataFrame([], new.schema)
+    table = upsert_chunks(target, new, order)
+    if touched is not None:
+        files, current = touched.select(F.col("file_id").alias("_file")).distinct(), new.select(F.col("id").alias("_id")).distinct()
+        marked = table.join(files, F.col("file_id") == F.col("_file"), "left").join(current, F.col("id") == F.col("_id"), "left")
+        table = marked.filter(F.col("_file").isNull() | F.col("_id").isNotNull()).select(*table.columns)
+    publish(table, path, after=numbers[-1] if numbers else 0)
     return read_published(spark, path)
 
 

@@ -20,7 +20,7 @@ from ..operators.dedup import TURN_KEY
 from ..operators.flow import DECISION_SCHEMA, EVENT_COLUMNS, State, replay, tag_turns
 from ..operators.metrics import latency_sample
 from ..operators.ordering import newest_per_key
-from ..session import scratch_path
+from ..session import scratch_path, written
 from ..sources.sinks import write_chunks
 
 
@@ -29,43 +29,56 @@ def read_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def unique_turns(messages: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Retried writes of a turn dropped; a client repeats a request with the same id. Rows without one stay."""
-    timed = messages.withWatermark("created_at", delay)
-    # a row without request id is its own key
-    keyed = timed.withColumn("_own", F.when(F.col("request_id").isNull(), F.col("id")))
-    return keyed.dropDuplicatesWithinWatermark([*TURN_KEY, "_own"]).drop("_own")
+def first_turns(messages: DataFrame) -> DataFrame:
+    """Retried writes of a turn dropped; a client repeats a request with the same id and the first write, by (created_at,
+    id), counts. Rows without a request id are no retries: keep them apart and out of the state.
 
+    Written in update mode: if an earlier write arrives later, it replaces the row of its turn (``read_newest``)."""
+    keyed = messages.filter(F.col("request_id").isNotNull())
+    rest = [c for c in messages.columns if c not in TURN_KEY]
+    first = keyed.groupBy(*TURN_KEY).agg(F.min_by(F.struct(*rest), F.struct("created_at", "id")).alias("_first"))
+    return first.select(*TURN_KEY, "_first.*").select(*messages.columns)
 
+
+#: A session without turns for so long is forgotten.
+STATE_LIFE_MS = 30 * 24 * 3600 * 1000
 _STATE = T.StructType([
     *[T.StructField(n, T.StringType()) for n in ("state", "mode", "topic")],
     *[T.StructField(n, T.IntegerType()) for n in ("question", "attempt")],
-    T.StructField("revision", T.LongType()),
+    T.StructField("revision", T.LongType()), T.StructField("turn", T.LongType()),
 ])
 
 
 def _advance(key: tuple, batches: Iterable[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-    state, topic, revision = State(), "", 0
+    if held.hasTimedOut:  # a session that was silent for long starts anew
+        held.remove()
+        return
+    state, topic, revision, last = State(), "", 0, None
     if held.exists:
-        name, mode, topic, question, attempt, revision = held.get
+        name, mode, topic, question, attempt, revision, last = held.get
         state = State(name, mode, bool(topic), question, attempt)
-    rows = pd.concat(list(batches)).sort_values("turn")
+    # a repeated or older turn was answered already: it moves nothing
+    rows = pd.concat(list(batches)).sort_values("turn", kind="stable").drop_duplicates("turn")
+    if last is not None:
+        rows = rows[rows["turn"] > last]
     out = []
     for row in rows.itertuples(index=False):
         state, topic, revision, decision = replay(state, topic, revision, row)
         out.append([key[0], row.turn, *decision])
-    held.update((state.state, state.mode, topic, state.question, state.attempt, revision))
+        last = int(row.turn)
+    held.update((state.state, state.mode, topic, state.question, state.attempt, revision, last))
+    held.setTimeoutDuration(STATE_LIFE_MS)
     yield pd.DataFrame(out, columns=DECISION_SCHEMA.names)
 
 
 def live_sessions(turns: DataFrame) -> DataFrame:
     """Decisions of each turn as it arrives, with the session state kept between micro-batches.
 
-    The same moves as ``flow.fold_turns``. A session's turns of one micro-batch are handled together, so a
+    The same moves as ``flow.fold_turns``. A repeated turn, or one older than the last seen, is passed over. A session's turns of one micro-batch are handled together, so a
     micro-batch must be kept small (``maxFilesPerTrigger`` or the source's own rate limit)."""
     tagged = tag_turns(turns).select("session_id", F.col("turn").cast("bigint").alias("turn"), *EVENT_COLUMNS)
     return tagged.groupBy("session_id").applyInPandasWithState(
-        _advance, DECISION_SCHEMA, _STATE, "append", GroupStateTimeout.NoTimeout)
+        _advance, DECISION_SCHEMA, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def windowed_activity(messages: DataFrame, delay: str = "1 day", width: str = "1 day") -> DataFrame:
@@ -85,13 +98,21 @@ def newest_health(checks: DataFrame) -> DataFrame:
 
 
 def run_available(stream: DataFrame, path: str, mode: str) -> None:
-    """Process what is there now. Each micro-batch overwrites its own folder below ``path``."""
+    """Process what is there now. Each micro-batch overwrites its own folder below ``path``. State is held in RocksDB, outside
+    the heap; the session's own setting is restored."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/data/batch_id={batch_id}")
 
-    stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(
-        availableNow=True).foreachBatch(write).start().awaitTermination()
+    conf, key = stream.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
+    before = conf.get(key, None)
+    conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(
+            availableNow=True).foreachBatch(write).start()
+    finally:
+        conf.set(key, before) if before else conf.unset(key)
+    query.awaitTermination()
 
 
 def read_appended(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -108,12 +129,15 @@ def read_newest(spark: SparkSession, path: str, schema: T.StructType, keys: list
 def load_corpus(files: DataFrame, path: str, size: int = 1000, overlap: int = 150) -> None:
     """Incremental corpus load: chunk arriving files and upsert the chunks into the published table.
 
-    files: file_id, source, pages. A repeated micro-batch writes the same ids, so it changes nothing."""
+    files: file_id, source, pages, and a column ``seen_at`` that rises with versions of a file. Of several versions
+    in one micro-batch the newest counts; chunks that a file no longer has go, also those of a file that has become empty. A repeated
+    micro-batch writes the same ids, so it changes nothing."""
 
     def load(batch: DataFrame, batch_id: int) -> None:
-        chunks = chunk_recursive(batch, size, overlap).select(
+        newest = newest_per_key(batch, ["file_id"], [F.col("seen_at")]).drop("seen_at")
+        chunks = chunk_recursive(newest, size, overlap).select(
             chunk_record_id("file_id", "page_number", "chunk_index", "content_hash").alias("id"), "*")
-        write_chunks(chunks, f"{path}/chunks")
+        write_chunks(written(chunks, "chunks"), f"{path}/chunks", touched=newest.select("file_id"))
 
     files.writeStream.option("checkpointLocation", f"{path}/checkpoint").trigger(
         availableNow=True).foreachBatch(load).start().awaitTermination()

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lectern import schemas
 from lectern.operators import audit, dedup, metrics, sessions
 from lectern.sources import files, sinks
+from lectern.operators.dedup import TURN_KEY
 from lectern.streaming import turns as streams
 
 UID = "123e4567-e89b-42d3-a456-426614174000"
@@ -79,7 +80,7 @@ def test_extraction(spark, tmp_path):
     (tmp_path / "c.pdf").write_bytes(b"one\f \fthree")
     (tmp_path / "d.txt").write_bytes(b"no")
     found = files.scan_files(spark, str(tmp_path), files.RICH_TYPES)
-    assert [r.path.rsplit("/", 1)[1] for r in found.select("path").collect()] == ["b.docx", "c.pdf", "a.DOCX"]
+    assert sorted(r.path.rsplit("/", 1)[1] for r in found.select("path").collect()) == ["a.DOCX", "b.docx", "c.pdf"]
     assert files.scan_files(spark, str(tmp_path), files.RICH_TYPES, recursive=False).count() == 2
     out = files.extract_routed(found, "path", {"docx": files.docx_pages, "pdf": lambda b: b.decode().split("\f")})
     got = {r.path.rsplit("/", 1)[1]: [tuple(p) for p in r.pages] for r in out.collect()}
@@ -104,12 +105,24 @@ def test_folder_tree(spark):
     assert got == {"a": "ROOT/A", "c": "ROOT/Sub/C"}
 
 
-def test_a_tree_too_deep_is_an_error(spark):
+def test_a_deep_tree_and_a_cycle_below_the_root(spark):
     deep = [(f"n{i}", f"n{i - 1}" if i else "top", f"n{i}", files.FOLDER_TYPE, False) for i in range(30)]
-    nodes = spark.createDataFrame(deep + [("f", "n29", "f", PDF, False)], NODES)
-    assert files.folder_paths(nodes, "top").first().drive_path.count("/") == 31
-    with pytest.raises(Exception):
-        files.folder_paths(nodes, "top", max_depth=10).collect()
+    cycle = [("p", "q", "p", files.FOLDER_TYPE, False), ("q", "p", "q", files.FOLDER_TYPE, False), ("p", "top", "p", files.FOLDER_TYPE, False)]
+    nodes = spark.createDataFrame(deep + cycle + [("f", "n29", "f", PDF, False), ("g", "q", "g", PDF, False)], NODES)
+    got = {r.id: r.drive_path for r in files.folder_paths(nodes, "top").collect()}
+    assert got.keys() == {"f", "g"} and got["f"].count("/") == 31 and got["g"] == "ROOT/p/q/g"
+
+
+def test_a_file_without_extractor_is_an_error_row(spark):
+    found = spark.createDataFrame([("a.docx", b"x"), ("b.pdf", b"y"), ("c.pdf", b"broken")], "path string, content binary")
+
+    def read(data):
+        return [data.decode()] if data != b"broken" else 1 / 0
+
+    got = {r.path: (len(r.pages), r.extract_error) for r in files.extract_routed(found, "path", {"pdf": read}).collect()}
+    assert got["b.pdf"] == (1, None) and got["c.pdf"][0] == 0 and "ZeroDivisionError" in got["c.pdf"][1] and "no extractor" in got["a.docx"][1]
+    bulk = {r.path: r.extract_error for r in files.extract_routed(found, "path", {"light": read, "structured": read}, bulk=True).collect()}
+    assert bulk == {"a.docx": None, "b.pdf": None, "c.pdf": None}
 
 
 def test_turn_deduplication(spark):
@@ -136,14 +149,14 @@ def test_upsert_is_idempotent(spark, tmp_path):
     assert once == sorted(map(tuple, sinks.write_chunks(newer, path).collect())) == [("1", "a"), ("2", "B"), ("3", "c")]
 
 
-def test_stream_repeats_are_dropped_across_batches(spark, tmp_path):
+def test_the_first_write_of_a_turn_counts_whenever_it_arrives(spark, tmp_path):
     t = datetime(2024, 1, 1)
-    first = [("1", "s", UID, "user", t), ("2", "s", None, "user", t)]
-    second = [("3", "s", UID, "user", t + timedelta(minutes=1)), ("4", "s", None, "user", t), ("5", "s", UID, "assistant", t)]
+    first = [("3", "s", UID, "user", t + timedelta(minutes=1)), ("2", "s", None, "user", t), ("6", "s", UID, "user", t + timedelta(minutes=2))]
+    second = [("1", "s", UID, "user", t), ("4", "s", None, "user", t), ("5", "s", UID, "assistant", t)]
     schema = "id string, session_id string, request_id string, role string, created_at timestamp"
     for part in (first, second):
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = streams.unique_turns(streams.read_stream(spark, str(tmp_path / "in"), spark.createDataFrame([], schema).schema))
-    streams.run_available(stream, str(tmp_path / "out"), "append")
-    got = streams.read_appended(spark, str(tmp_path / "out"), stream.schema).collect()
-    assert sorted(r.role for r in got if r.request_id) == ["assistant", "user"] and len([r for r in got if not r.request_id]) == 2
+    stream = streams.first_turns(streams.read_stream(spark, str(tmp_path / "in"), spark.createDataFrame([], schema).schema))
+    streams.run_available(stream, str(tmp_path / "out"), "update")
+    got = streams.read_newest(spark, str(tmp_path / "out"), stream.schema, TURN_KEY).collect()
+    assert sorted((r.role, r.id) for r in got) == [("assistant", "5"), ("user", "1")]

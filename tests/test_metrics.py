@@ -73,11 +73,11 @@ def test_json_null_counts_as_zero_and_missing_does_not(spark):
     assert got == [0.0, None, None, None, 12.0, None, 3.5, None, 0.0, None]
 
 
-@pytest.mark.parametrize("width", [0.5, 10.0, 1e6])
-def test_nearest_rank_is_exact(spark, width):
+@pytest.mark.parametrize("buckets, scale", [(2, 1.0), (40, 1e6), (200, 1.0)])
+def test_nearest_rank_is_exact(spark, buckets, scale):
     rng = random.Random(5)
-    values = [rng.choice([7.25, rng.random() * 300]) for _ in range(997)]
-    got = ordering.nearest_rank(spark.createDataFrame([(v,) for v in values], "v double"), "v", {"p1": 1, "p50": 50, "p95": 95, "p100": 100}, width).first()
+    values = [scale * rng.choice([7.25, rng.random() * 300]) for _ in range(997)]
+    got = ordering.nearest_rank(spark.createDataFrame([(v,) for v in values], "v double"), "v", {"p1": 1, "p50": 50, "p95": 95, "p100": 100}, buckets).first()
     ordered = sorted(values)
     rank = lambda p: round(ordered[min(len(ordered) - 1, -(-p * len(ordered) // 100) - 1)])
     assert tuple(got) == (rank(1), rank(50), rank(95), rank(100))
@@ -86,22 +86,28 @@ def test_nearest_rank_is_exact(spark, width):
 def test_positions_over_buckets(spark):
     rng = random.Random(2)
     data = [("hot" if rng.random() < 0.6 else f"k{rng.randrange(5)}", rng.randrange(400), i) for i in range(1500)] + [(None, 3, 9000), (None, 1, 9001)]
+    # no time, one instant, a burst after an outlier
+    data += [("hot", None, 9100 + i) for i in range(90)] + [("instant", 7, 9300 + i) for i in range(120)]
+    data += [("burst", 0, 9500)] + [("burst", 10 ** 6, 9501 + i) for i in range(150)]
+    def key(d): return (d[1] is not None, d[1] or 0, d[2])
     df = spark.createDataFrame(data, "k string, t int, i int")
     want = {}
     for k in {d[0] for d in data}:
-        for n, (_, _, i) in enumerate(sorted((d for d in data if d[0] == k), key=lambda d: d[1:]), 1):
+        for n, (_, _, i) in enumerate(sorted((d for d in data if d[0] == k), key=key), 1):
             want[i] = n
     for rows_per_bucket in (1, 40, 10_000):
-        got = ordering.ordered_position(df, ["k"], [F.asc("t"), F.asc("i")], F.col("t").cast("bigint"), "n", rows_per_bucket)
+        got = ordering.ordered_position(df, ["k"], [F.asc("t"), F.asc("i")], "n", rows_per_bucket)
         assert {r.i: r.n for r in got.collect()} == want
-        before = ordering.previous_value(df, ["k"], ["t", "i"], F.col("t").cast("bigint"), "i", "p", rows_per_bucket)
+        before = ordering.previous_value(df, ["k"], ["t", "i"], "i", "p", rows_per_bucket)
         previous = {}
         for k in {d[0] for d in data}:
-            chain = [None] + [i for _, _, i in sorted((d for d in data if d[0] == k), key=lambda d: d[1:])]
+            chain = [None] + [i for _, _, i in sorted((d for d in data if d[0] == k), key=key)]
             previous.update(zip(chain[1:], chain))
         assert {r.i: r.p for r in before.collect()} == previous
-    total = ordering.global_position(df, [F.desc("t"), F.asc("i")], F.floor(F.col("t") / 20), "n")
-    order = sorted(data, key=lambda d: (-d[1], d[2]))
+    sizes = [r["count"] for r in ordering.in_ranges(df, [F.col("k"), F.col("t"), F.col("i")], 100).groupBy("_range").count().collect()]
+    assert max(sizes) <= 200
+    total = ordering.global_position(df, [F.desc("t"), F.asc("i")], "n", 100)
+    order = sorted(data, key=lambda d: (d[1] is None, -(d[1] or 0), d[2]))
     assert [r.i for r in total.orderBy("n").collect()] == [d[2] for d in order]
 
 
@@ -159,13 +165,15 @@ def test_evaluation_parsing(spark):
 
 def test_evaluation_lifecycle(spark, messages):
     now = F.to_timestamp(F.lit("2024-05-01 00:00:00"))
-    table = spark.createDataFrame([("s", "r1", "succeeded", 1, "old")], "session_id string, request_id string, status string, attempts int, updated_at string").withColumn(
+    table = spark.createDataFrame([("s", "r1", "succeeded", 1, "old", "correct", 90)], "session_id string, request_id string, status string, attempts int, updated_at string, verdict string, score int").withColumn(
         "updated_at", F.to_timestamp(F.lit("2024-01-01 00:00:00")))
     turns = spark.createDataFrame([("s", "r1", 2, None), ("s", "r2", 1, None), ("s", "r2", 1, None), ("s", "r3", 0, None), ("s", "r4", 1, "MODEL_FAILED")],
                                   "session_id string, request_id string, sources_found int, generation_error string")
     once = quality.eval_enqueue(table, turns, now)
     got = {r.request_id: (r.status, r.updated_at.month) for r in once.collect()}
     assert got == {"r1": ("succeeded", 5), "r2": ("queued", 5)}
+    assert once.columns == table.columns
+    assert {r.request_id: (r.verdict, r.score) for r in once.collect()} == {"r1": ("correct", 90), "r2": (None, None)}
     assert quality.eval_enqueue(once, turns, now).count() == 2
     ran = spark.createDataFrame([("r1", 1, 3, None), ("r2", 2, 3, "e" * 2000), ("r3", 3, 3, "e")], "request_id string, attempts int, max_attempts int, error string")
     out = {r.request_id: (r.status, len(r.last_error or ""), r.completed_at is not None) for r in quality.eval_outcome(ran, now).collect()}
@@ -204,6 +212,11 @@ def test_jobs(spark):
     new = spark.createDataFrame([("f1", "changed", "n"), ("f2", "changed", "n"), ("f9", "new", "n")], "drive_file_id string, action string, file_info string")
     got = {r.drive_file_id: (r.action, r.status, r.last_error) for r in jobs.enqueue_jobs(table, new, now).collect()}
     assert got == {"f1": ("changed", "running", "e1"), "f2": ("changed", "queued", None), "f3": ("new", "succeeded", None), "f4": ("new", "queued", None), "f9": ("new", "queued", None)}
+    queued = jobs.enqueue_jobs(table, new.union(new), now)
+    assert queued.columns == table.columns and {r.drive_file_id: r.lease_expires_at is not None for r in queued.collect()}["f1"]
+    ids = {r.drive_file_id: r.id for r in queued.collect()}
+    assert {ids[f] for f in ("f1", "f2", "f3", "f4")} == {"1", "2", "3", "4"} and ids["f9"]
+    assert [r.id for r in jobs.claimable_jobs(queued, now).collect()] == ["4", "1", ids["f9"], "2"]
     assert [r.id for r in jobs.claimable_jobs(table, now).collect()] == ["4", "1"]
     assert [r.id for r in jobs.claimable_jobs(table, now, 1).collect()] == ["4"]
     assert [r.id for r in jobs.stuck_jobs(table, now).collect()] == ["1"]

@@ -47,6 +47,14 @@ def test_repeated_ids_last_wins(spark):
     assert classes(sync.plan_sync(listing, manifest, "seen")) == {"a": "unchanged"}
 
 
+def test_repeated_ids_without_a_column_to_order_by(spark):
+    listing = listed(spark, ("a", "x.pdf", None, "2026-01-01T00:00:00Z", None), ("a", "x.pdf", None, "2026-01-03T00:00:00Z", None))
+    manifest = known(spark, ("a", "x.pdf", None, "2026-01-03T00:00:00Z", None, "active"), ("a", "x.pdf", None, "2026-01-01T00:00:00Z", None, "active"))
+    assert [(r.file_id, r["class"]) for r in sync.plan_sync(listing, manifest).collect()] == [("a", "unchanged")]
+    new = spark.createDataFrame([("1", "x"), ("1", "x"), ("2", "y")], "id string, content string")
+    assert sorted(r.id for r in sync.upsert_chunks(new.limit(0), new).collect()) == ["1", "2"]
+
+
 def test_batch_takes_changed_first(spark):
     listing = listed(
         spark, ("new-a", "novo-a.pdf", None, "2026-08-25T10:00:00Z", None), ("new-b", "novo-b.pdf", None, "2026-08-25T10:00:00Z", None),
@@ -84,12 +92,12 @@ def test_reconcile_is_idempotent_and_leaves_no_stale_rows(spark, tmp_path):
     listing = listed(spark, ("a", "a.pdf", "ROOT/a.pdf", "2026-01-02T00:00:00Z", None), ("b", "b.pdf", "ROOT/b.pdf", "2026-01-02T00:00:00Z", None))
     manifest = known(spark, ("a", "a.pdf", "ROOT/a.pdf", "2026-01-01T00:00:00Z", None, "active"), ("gone", "g.pdf", None, "2026-01-01T00:00:00Z", None, "active"))
     contents = [("a", b"Silva (2020). Um titulo bem comprido\ftexto novo"), ("b", b"outro\f \ftexto")]
-    empty, _ = reconcile(spark, listing, manifest, [("zz", b"")], spark.createDataFrame([], "id string"))
+    empty, *_ = reconcile(spark, listing, manifest, [("zz", b"")], spark.createDataFrame([], "id string, drive_file_id string, source string"))
     old = spark.createDataFrame(
         [("old-a", "velho", "a.pdf", "a"), ("legacy", "sem id", "a.pdf", None), ("other", "fica", "o.pdf", "o"), ("g1", "x", "g.pdf", "gone"), ("free", "fica", "z.pdf", None)],
         "id string, content string, source string, drive_file_id string")
     target = empty.limit(0).unionByName(old, allowMissingColumns=True)
-    first, _ = reconcile(spark, listing, manifest, contents, target)
+    first, new_manifest, results, report, _ = reconcile(spark, listing, manifest, contents, target)
     published = str(tmp_path / "table")
     sinks.publish(first, published)
     table = sinks.read_published(spark, published)
@@ -98,12 +106,55 @@ def test_reconcile_is_idempotent_and_leaves_no_stale_rows(spark, tmp_path):
         ("a", 1, 0, "Silva (2020). Um titulo bem comprido"), ("a", 2, 1, "texto novo"), ("b", 1, 0, "outro"), ("b", 3, 1, "texto"),
         ("o", None, None, "fica"), (None, None, None, "fica")}
     assert rows[("a", 2, 1, "texto novo")].reference_title == "Um titulo bem comprido"
-    again, _ = reconcile(spark, listing, manifest, contents, table)
+    assert {(r.id, r.action, r.status, r.total_chunks, r.removed) for r in results.collect()} == {
+        ("a", "changed", "active", 2, 1), ("b", "new", "active", 2, 0), ("gone", "removed", "removed", 0, 1)}
+    assert {(r.drive_file_id, r.status, r.chunks_count) for r in new_manifest.collect()} == {("a", "active", 2), ("b", "active", 2)}
+    assert {(r.action, r.ok, r.inserted, r.removed) for r in report.collect()} == {("changed", 1, 2, 1), ("new", 1, 2, 0), ("removed", 1, 0, 1)}
+    # with the new manifest there is nothing left to do
+    assert {r["class"] for r in reconcile(spark, listing, new_manifest, contents, table).plan.collect()} == {"unchanged"}
+    again, *_ = reconcile(spark, listing, manifest, contents, table)
     assert sorted(r.id for r in again.collect()) == sorted(r.id for r in table.collect())
     sinks.publish(again, published)
     assert sinks.read_published(spark, published).count() == 6
 
 
+def test_failed_files_keep_their_chunks(spark, tmp_path):
+    """A broken file and one without bytes stay as they were, an empty one loses its chunks; chunks are embedded once."""
+    times = "2026-01-02T00:00:00Z", "2026-01-01T00:00:00Z"
+    names = ["good", "broken", "lost", "blank"]
+    listing = listed(spark, *((n, f"{n}.pdf", None, times[0], None) for n in names))
+    manifest = known(spark, *((n, f"{n}.pdf", None, times[1], None, "active") for n in names))
+    target = spark.createDataFrame(
+        [(f"old-{n}", "velho", f"{n}.pdf", n) for n in names] + [(f"free-{n}", "sem id", f"{n}.pdf", None) for n in names],
+        "id string, content string, source string, drive_file_id string")
+    calls = str(tmp_path)
+
+    def extract(data):
+        if data == b"broken":
+            raise ValueError("unreadable")
+        return data.decode().split("\f")
+
+    def embed(texts, task):
+        import uuid
+        with open(f"{calls}/{uuid.uuid4().hex}", "w") as f:
+            f.write(str(len(texts)))
+        return [[1.0, 2.0] for _ in texts]
+
+    contents = spark.createDataFrame([("good", b"um\fdois"), ("good", b"um\fdois"), ("broken", b"broken"), ("blank", b" \f ")], "id string, content binary")
+    table, entries, results, _, _ = corpus.reconcile(listing, manifest, contents, target, extract, embed, 2)
+    rows = {r.id: r.content for r in table.collect()}
+    assert {k for k in rows if k.startswith(("old", "free"))} == {"old-broken", "old-lost", "free-broken", "free-lost"}
+    assert sorted(v for k, v in rows.items() if not k.startswith(("old", "free"))) == ["dois", "um"]
+    state = {r.id: (r.success, r.status, r.errors) for r in results.collect()}
+    assert state["good"] == (True, "active", []) and state["blank"][:2] == (True, "unsupported")
+    assert state["broken"] == (False, "error", ["ValueError: unreadable"]) and state["lost"][:2] == (False, "error")
+    assert {r.drive_file_id: r.status for r in entries.collect()} == {"good": "active", "blank": "active", "broken": "error", "lost": "error"}
+    assert sum(int(f.read_text()) for f in tmp_path.iterdir()) == 2
+    # the failed ones are tried again, the others rest
+    plan = sync.plan_sync(listing, entries.drop("modified_time").withColumn("modified_time", F.lit(times[0])))
+    assert classes(plan) == {"good": "unchanged", "blank": "unchanged", "broken": "changed", "lost": "changed"}
+
+
 def test_failed_write_publishes_nothing(spark, tmp_path):
     path = str(tmp_path / "t")
     sinks.publish(spark.range(3), path)
@@ -113,6 +164,21 @@ def test_failed_write_publishes_nothing(spark, tmp_path):
     assert sinks.read_published(spark, path).count() == 3
 
 
+def test_no_commit_is_lost(spark, tmp_path):
+    path = str(tmp_path / "t")
+    sinks.publish(spark.range(3), path)
+    sinks.publish(spark.range(4), path, after=1)
+    with pytest.raises(RuntimeError):  # made from an older commit
+        sinks.publish(spark.range(5), path, after=1)
+    assert sinks.read_published(spark, path).count() == 4
+    assert sinks.remove_old_versions(spark, path, keep=1) == 1
+    assert sinks.read_published(spark, path).count() == 4
+    for commit in (tmp_path / "t" / "commits").iterdir():
+        commit.unlink()
+    with pytest.raises(RuntimeError):  # versions without a commit are no empty table
+        sinks.write_chunks(spark.range(1).select(F.col("id").cast("string").alias("id")), path)
+
+
 def test_manifest_rows(spark):
     results = spark.createDataFrame(
         [("a", "a.pdf", None, None, "", None, 4, True, "active", []), ("b", "b.pdf", "R/b", "m", "2026-01-01T00:00:00Z", "s", 0, True, "unsupported", ["e1", "e2"]),
