@@ -13,8 +13,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..session import prepare
 from .common import WordHashes, components, mix, packed, restricted, shingles, stored, uniform
@@ -22,6 +23,8 @@ from .common import WordHashes, components, mix, packed, restricted, shingles, s
 SHINGLE, SIMILARITY = 5, 0.8
 #: Bands of registers: a pair of similarity 0.8 shares none of 24 bands of 5 with probability 7e-5, one of 0.9 with 1e-9.
 BANDS, ROWS = 24, 5
+#: Members of a cluster that meet in one group.
+BLOCK = 1024
 
 
 def signatures(owners: np.ndarray, elements: np.ndarray, counts: np.ndarray, documents: int, registers: int) -> np.ndarray:
@@ -141,7 +144,7 @@ def _expand(size: int):
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS,
-                    leaders: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The class of every document: ``doc_id, h, class_id, kept``, one row per input row. ``h`` is ``xxhash64(text)``.
 
     Documents are linked if their multisets of ``size``-word shingles have a weighted Jaccard similarity of at least
@@ -150,12 +153,10 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, similarity: float = SI
     copies only; a null text is an empty one. ``kept`` marks the row of the smallest (id, h), null ids last; equal rows are
     all marked. Extra columns are not read.
 
-    Equal multisets are one member. In each bucket of a band, members are compared with leaders, in rounds: one leader
-    first, then up to ``leaders`` at a time of buckets whose members are in more than one component, until every
-    pair of different components in every bucket was compared with one of both as leader. Thus no pair that shares a
-    band is passed over, and a bucket of n like documents costs about n comparisons.
+    Equal multisets are one member. Members that share a band hang together in clusters, and all pairs of a cluster are compared
+    exactly, in blocks of bounded size: a superset of the pairs that share a band, none of which is emitted as a row.
     """
-    spark = prepare(docs.sparkSession)
+    prepare(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
     signed = stored(source.mapInArrow(
@@ -164,42 +165,14 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, similarity: float = SI
     members = stored(signed.groupBy("bag").agg(
         F.min(first).alias("first"), F.min("h").alias("text_h"), F.first("weight").alias("weight"), F.first("bands").alias("bands")), "members")
 
-    buckets = members.filter("weight > 0").select("bag", "weight", F.explode("bands").alias("key"))
-    shared = buckets.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(_order("bag", 0), "bag", "weight"))["bag"].alias("leader")).filter("n > 1")
-    # only buckets with company are kept, each member with the bucket's first leader
-    buckets = stored(buckets.join(shared.select("key", "leader"), "key"), "buckets")
-    sets = stored(_sets(source, members, buckets, size), "sets")
-    # the first comparison of a member is with the leader that it meets in most bands
-    met = buckets.filter("bag <> leader").groupBy("bag", "leader").agg(F.count("*").alias("n"))
-    pairs = met.groupBy("bag").agg(F.max(F.struct("n", "leader"))["leader"].alias("leader")).select(
-        F.col("leader").alias("a"), F.col("bag").alias("b"))
-    weights = members.select("bag", "weight")
-    found = components(_verified(pairs, weights, sets, similarity))
-    part = stored(buckets.select("bag").distinct().join(found, F.col("bag") == F.col("id"), "left").select(
-        "bag", F.coalesce("component", "bag").alias("component")), "components")
-
-    open_buckets, round_number = buckets.select("key", "bag", "weight"), 0
-    while True:
-        named = open_buckets.join(part, "bag")
-        mixed = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
-        named = stored(named.join(mixed.select("key"), "key", "left_semi"), "open")
-        if named.isEmpty():
-            break
-        round_number += 1
-        rank = F.row_number().over(Window.partitionBy("key").orderBy(_order("bag", round_number), "bag"))
-        chosen = stored(named.withColumn("rank", rank).filter(F.col("rank") <= leaders), "leaders")
-        led = chosen.select("key", F.col("bag").alias("a"), F.col("component").alias("ca"), F.col("weight").alias("wa"))
-        near = F.least("wa", "weight") >= similarity * F.greatest("wa", "weight")
-        pairs = named.join(led, "key").filter(F.col("component") != F.col("ca")).filter(near).select(
-            F.least("a", "bag").alias("a"), F.greatest("a", "bag").alias("b")).distinct()
-        links = stored(_verified(pairs, weights, sets, similarity), "links")
-        if not links.isEmpty():
-            # what is linked now are components: they are merged as such
-            ends = (part.select(F.col("bag").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
-            joined = links.join(next(ends), "a").join(next(ends), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-            merged = stored(components(joined).select(F.col("id").alias("component"), F.col("component").alias("merged")), "merged")
-            part = stored(part.join(merged, "component", "left").select("bag", F.coalesce("merged", "component").alias("component")), "components")
-        open_buckets = named.join(chosen.select("key", "bag"), ["key", "bag"], "left_anti").select("key", "bag", "weight")
+    # members of one bucket, each tied to one of them: what hangs together that way is a cluster
+    buckets = members.filter("weight > 0").select("bag", F.explode("bands").alias("key"))
+    shared = buckets.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("bag"), "bag"))["bag"].alias("leader")).filter("n > 1")
+    ties = buckets.join(shared.select("key", "leader"), "key").filter("bag <> leader").select(
+        F.col("bag").alias("a"), F.col("leader").alias("b")).distinct()
+    clusters = stored(components(ties).select(F.col("id").alias("bag"), F.col("component").alias("cluster")), "clusters")
+    links = _links(_sets(source, members, clusters, size), clusters, similarity)
+    part = components(links).select(F.col("id").alias("bag"), "component")
 
     placed = members.join(part, "bag", "left").select(
         "bag", "first", F.coalesce("component", "bag").alias("class"))
@@ -210,26 +183,84 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, similarity: float = SI
         (F.col("doc_id").eqNullSafe(F.col("lowest.doc_id")) & (F.col("h") == F.col("lowest.h"))).alias("kept"))
 
 
-def _order(column: str, round_number: int):
-    return F.xxhash64(column, F.lit(round_number))
-
-
-def _sets(source: DataFrame, members: DataFrame, buckets: DataFrame, size: int) -> DataFrame:
-    """The occurrence sets of the members that share a bucket, from one text of each."""
-    needed = stored(members.join(buckets.select("bag").distinct(), "bag", "left_semi").select("bag", F.col("text_h").alias("h")), "needed")
+def _sets(source: DataFrame, members: DataFrame, clusters: DataFrame, size: int) -> DataFrame:
+    """The occurrence sets of the members of clusters, from one text of each."""
+    needed = stored(members.join(clusters, "bag").select("bag", F.col("text_h").alias("h")), "needed")
     texts = restricted(source.select("h", "text"), needed, "h").select("bag", "text")
     return texts.mapInArrow(_expand(size), "bag bigint, members array<bigint>").groupBy("bag").agg(F.first("members").alias("members"))
 
 
-def _verified(pairs: DataFrame, weights: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs whose overlap reaches the similarity. Totals that differ too much are ruled out before any set is moved."""
-    wa, wb = (weights.select(F.col("bag").alias(x), F.col("weight").alias(f"w{x}")) for x in "ab")
-    near = F.least("wa", "wb") >= similarity * F.greatest("wa", "wb")
-    pairs = pairs.join(wa, "a").join(wb, "b").filter(near)
-    left, right = (sets.select(F.col("bag").alias(x), F.col("members").alias(f"m{x}")) for x in "ab")
-    common = F.size(F.array_intersect("ma", "mb"))
-    return pairs.join(left, "a").join(right, "b").withColumn("common", common).filter(
-        F.col("common") >= similarity * (F.col("wa") + F.col("wb") - F.col("common"))).select("a", "b")
+def _links(sets: DataFrame, clusters: DataFrame, similarity: float) -> DataFrame:
+    """Edges (a, b) that connect whatever pairs of one cluster reach the similarity, by comparing all of them.
+
+    A cluster of more than ``BLOCK`` members is cut into blocks by hash that meet in pairs, each pair in a group of its own; small
+    clusters share a group of about half a block. A group gives a spanning forest of its links, never the pairs."""
+    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("n"))
+    total = clusters.count()
+    groups = max(1, total // (BLOCK // 2))
+    sized = stored(clusters.join(sizes, "cluster").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")), "sized")
+    block = F.pmod(F.xxhash64("bag"), F.col("blocks")).cast("int")
+    small = F.col("blocks") == 1
+
+    def meeting(x):
+        return F.struct(F.least(F.col("block"), x).alias("i"), F.greatest(F.col("block"), x).alias("j"),
+                        F.when(x == F.col("block"), 2).when(x > F.col("block"), 0).otherwise(1).alias("side"))
+
+    met = sized.withColumn("block", block).withColumn(
+        "m", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), meeting))).select(
+        "bag", "cluster", "m.*", F.when(small, F.pmod(F.xxhash64("cluster"), F.lit(groups))).otherwise(F.col("cluster")).alias("group"), small.alias("small"))
+    return met.join(sets, "bag").groupBy("group", "small", "i", "j").applyInPandas(_meet(similarity), "a bigint, b bigint")
+
+
+def _meet(similarity: float):
+    """One group of clusters, or one pair of blocks, to edges (a, b)."""
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, own in pdf.groupby("cluster", sort=False):
+            if len(own) > 1:
+                out.append(_forest(own["bag"].to_numpy(), own["side"].to_numpy(), own["members"].to_numpy(), similarity))
+        edges = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+        return pd.DataFrame({"a": edges[:, 0], "b": edges[:, 1]})
+
+    return meet
+
+
+def _forest(ids: np.ndarray, side: np.ndarray, members: np.ndarray, similarity: float) -> np.ndarray:
+    """Edges from each id to the smallest one that links reach within the group; side 0 meets side 1, side 2 itself."""
+    left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+    if not len(left) or not len(right):
+        return np.zeros((0, 2), np.int64)
+    weight = np.array([len(m) for m in members], np.float64)
+    row = np.repeat(np.arange(len(ids)), weight.astype(np.int64))
+    _, column, often = np.unique(np.concatenate(members), return_inverse=True, return_counts=True)
+    # members of one set only are in no overlap
+    common = np.flatnonzero(often > 1)
+    place = np.full(len(often), -1)
+    place[common] = np.arange(len(common))
+    column = place[column]
+    row, column = row[column >= 0], column[column >= 0]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    shared = np.zeros((len(left), len(right)), np.float32)
+    for at in range(0, len(common), 4096):
+        low, high = np.searchsorted(column, [at, at + 4096])
+        held = np.zeros((len(ids), min(4096, len(common) - at)), np.float32)
+        held[row[low:high], column[low:high] - at] = 1
+        shared += held[left] @ held[right].T
+    linked = shared >= similarity * (weight[left][:, None] + weight[right][None, :] - shared)
+    x, y = np.nonzero(linked & (ids[left][:, None] != ids[right][None, :]))
+    label = np.arange(len(ids))
+    a, b = left[x], right[y]
+    while len(a):
+        before = label.copy()
+        np.minimum.at(label, a, label[b])
+        np.minimum.at(label, b, label[a])
+        label = label[label]
+        if (label == before).all():
+            break
+    tied = np.flatnonzero(label != np.arange(len(ids)))
+    return np.stack([ids[tied], ids[label[tied]]], axis=1)
 
 
 def keep_first(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -46,13 +46,14 @@ def chain(rng, n):
     return out
 
 
-def test_near_duplicates_by_brute_force(spark):
+def test_near_duplicates_by_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(bagminhash, "BLOCK", 16)
     rng = np.random.default_rng(5)
     rows = [(i, t) for i, t, _ in ROWS] + [(100 + i, t) for i, t in enumerate(chain(rng, 40))]
     rows += [(200 + i, "same text again and again for all of us " * 3) for i in range(30)]
     rows += [(300 + i, " ".join(f"r{x}" for x in rng.integers(0, 10 ** 6, 50))) for i in range(30)]
     docs = documents(spark, [(i, t, "s") for i, t in rows])
-    got = bagminhash.near_duplicates(docs, leaders=2).collect()
+    got = bagminhash.near_duplicates(docs).collect()
     assert Counter((r["doc_id"], r["class_id"]) for r in got) == classes_by_hand(rows)
     # one of each class stays, with the columns of the input
     kept = bagminhash.keep_first(docs, bagminhash.near_duplicates(docs))
