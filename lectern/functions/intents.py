@@ -98,34 +98,27 @@ def legacy_intents(c: Column | str) -> Column:
     )
 
 
-# How a request names its subject in the same message. Per mode: the opening verb's
-# complement, the subject words without accents, and the same words as the learner may spell them.
+# How a request names its subject in the same message, per mode: on the text without accents, and as the
+# learner may spell it. Without lookaround, so other engines can run them.
 INLINE_REQUESTS = {
     "quiz": (
-        "um",
-        "simulado(?: de prova)?|quiz(?: da disciplina)?|opcao 2|2",
-        "simulado(?: de prova)?|quiz(?: da disciplina)?|op[cç][aã]o 2|2",
+        r"^(?:quero\s+(?:um\s+)?|queria\s+(?:um\s+)?)?(?:fazer\s+)?(?:simulado(?: de prova)?|quiz(?: da disciplina)?|opcao 2|2)\s*(?:sobre|de|da|do|com|-|:)?\s*",
+        r"^(?:quero\s+(?:um\s+)?|queria\s+(?:um\s+)?)?(?:fazer\s+)?(?:simulado(?: de prova)?|quiz(?: da disciplina)?|op[cç][aã]o 2|2)\s*(?:sobre|de|da|do|com|-|:)?\s*",
     ),
     "resumo": (
-        "um",
-        "resumo(?: de conteudo)?|opcao 1|1",
-        "resumo(?: de conte[uú]do)?|op[cç][aã]o 1|1",
+        r"^(?:quero\s+(?:um\s+)?|queria\s+(?:um\s+)?)?(?:fazer\s+)?(?:resumo(?: de conteudo)?|opcao 1|1)\s*(?:sobre|de|da|do|com|-|:)?\s*",
+        r"^(?:quero\s+(?:um\s+)?|queria\s+(?:um\s+)?)?(?:fazer\s+)?(?:resumo(?: de conte[uú]do)?|op[cç][aã]o 1|1)\s*(?:sobre|de|da|do|com|-|:)?\s*",
     ),
     "info": (
-        "saber",
-        "informacoes|informacao|opcao 3|3",
-        "informa[cç][oõ]es|informa[cç][aã]o|op[cç][aã]o 3|3",
+        r"^(?:quero\s+(?:saber\s+)?|queria\s+(?:saber\s+)?)?(?:informacoes|informacao|opcao 3|3)\s*(?:sobre|de|da|do|com|-|:)?\s*",
+        r"^(?:quero\s+(?:saber\s+)?|queria\s+(?:saber\s+)?)?(?:informa[cç][oõ]es|informa[cç][aã]o|op[cç][aã]o 3|3)\s*(?:sobre|de|da|do|com|-|:)?\s*",
     ),
 }
-_LINK = "\\s*(?:sobre|de|da|do|com|-|:)?\\s*"
 
 
 def inline_pattern(mode: str, accented: bool) -> str:
-    """Regex of the opening of an inline request; without lookaround, so other engines can run it."""
-    complement, plain, spelled = INLINE_REQUESTS[mode]
-    verb = f"(?:quero\\s+(?:{complement}\\s+)?|queria\\s+(?:{complement}\\s+)?)?"
-    do = "" if mode == "info" else "(?:fazer\\s+)?"
-    return f"^{verb}{do}(?:{spelled if accented else plain}){_LINK}"
+    """Regex of the opening of an inline request."""
+    return INLINE_REQUESTS[mode][int(accented)]
 
 
 def inline_topic(c: Column | str, mode: str, norm: Column | None = None) -> Column:

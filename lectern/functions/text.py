@@ -58,6 +58,7 @@ _LONG_NUMBER_DIGIT = (
 
 def plain_text(c: Column | str) -> Column:
     """Markdown and emoji removed, long numbers spelled digit by digit, paragraphs as sentences."""
+    # What is taken away or replaced, in this order.
     steps = [
         (SPOKEN_SYMBOLS, ""),
         ("(?s)```.*?```", ""),
@@ -73,6 +74,7 @@ def plain_text(c: Column | str) -> Column:
     return strip(out)
 
 
+# How answers write quiz options, the title of references and references run together on one line.
 _OPTION = "(?m)(?:^|\\s)(?:\\*\\*)?([A-D])\\)(?:\\*\\*)?(?=\\s)"
 _REFERENCE_TITLE = (
     "(?isu)^(.*?)(?:\\*\\*Refer[êe]ncias:?\\*\\*|Refer[êe]ncias:?)\\s*(?:•|-|\\*)?\\s*"

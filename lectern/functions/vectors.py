@@ -28,11 +28,15 @@ def cosine_similarity(a: Column | str, b: Column | str) -> Column:
 
 
 def as_matrix(vectors: pa.Array, dim: int) -> np.ndarray:
-    """Arrow list column to a (rows, dim) matrix; rows of another length become NaN."""
+    """Arrow list column to a (rows, dim) matrix. A missing vector becomes NaN; one of another length is an error, since it would
+    silently match nothing (``retrieval.check_vectors`` finds them beforehand)."""
     if isinstance(vectors, pa.ChunkedArray):
         vectors = vectors.combine_chunks()
     lengths = vectors.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
     fits = lengths == dim
+    wrong = lengths[(lengths >= 0) & ~fits]
+    if len(wrong):
+        raise ValueError(f"{len(wrong)} vectors of another length than {dim}, such as {int(wrong[0])}")
     out = np.full((len(vectors), dim), np.nan)
     if fits.any():
         kept = vectors if fits.all() else vectors.filter(pa.array(fits))

@@ -98,6 +98,7 @@ def _generate(s, e, generation, turn_topic, topic, after, asked=None, counted=Tr
     return Move("generate", None, generation, turn_topic, topic, question, attempt, after, after, counted, counted)
 
 
+# The state, mode and generation names in the moves below are fixed values.
 def _start(s: State, e: Event, mode: str, topic: str, keep_counters: bool) -> Move:
     generation, to, question, attempt = STARTED[mode]
     if mode == "quiz":

@@ -149,8 +149,9 @@ def quality_coverage(messages: DataFrame, evaluations: DataFrame) -> DataFrame:
     judged = evaluations.filter(F.col("status") == "succeeded").select(*TURN)
     # few evaluations are broadcast to the turns; many share the turns' partitioning in both joins
     done = judged.join(eligible.join(judged, TURN, "left_semi").distinct(), TURN, "left_semi")
-    counted = eligible.agg(F.count("*").alias("eligible_turns")).withColumn("_k", F.lit(1)).join(
-        done.agg(F.count("*").alias("evaluated_turns")).withColumn("_k", F.lit(1)), "_k")
+    marks = eligible.select(F.lit(1).alias("eligible"), F.lit(0).alias("done")).unionByName(
+        done.select(F.lit(0).alias("eligible"), F.lit(1).alias("done")))
+    counted = marks.agg(F.coalesce(F.sum("eligible"), F.lit(0)).alias("eligible_turns"), F.coalesce(F.sum("done"), F.lit(0)).alias("evaluated_turns"))
     return counted.select("eligible_turns", "evaluated_turns",
                           percent(F.col("evaluated_turns"), F.col("eligible_turns")).alias("coverage_rate"))
 

@@ -94,6 +94,7 @@ def backfill_references(chunks: DataFrame) -> DataFrame:
     return keyed.join(found, "_key", "left").select(*[filled.get(c, F.col(c)) for c in chunks.columns])
 
 
+# Patterns of citations, chapters, pages and author lines inside a passage.
 # A word boundary that knows ASCII letters only, in front of a capital and of a plain letter.
 _W = "[A-Za-z0-9_]"
 _BEFORE_CAPITAL = f"(?:(?=[A-Z])(?<!{_W})|(?=[À-Ý])(?<={_W}))"
@@ -172,6 +173,7 @@ def with_reference(chunks: DataFrame, content: str = "content", metadata: str =
     return staged.withColumn(out, reference).drop(*stages)
 
 
+# The heading of a references section and the closing question after it.
 _REFERENCES_HEADING = "(?isu)^(.*?)(?:^|\\n)\\s*(?:\\*\\*)?refer[êe]ncias:?\\*{0,2}\\s*(.*)$"
 _CONTINUATION = (
     "(?isu)^.*?(\\n\\s*\\n(?:\\*{0,2})?(?:deseja|gostaria de|por favor|qual tema|quest[aã]o).*)$"

@@ -271,6 +271,27 @@ def apply_grades(matches: DataFrame, grades: DataFrame, keys: list[str]) -> Data
     return matches.join(grades.select(*keys, "grade"), keys, "left").filter(kept).drop("grade")
 
 
+def grade(matches: DataFrame, grader: Callable[[list, list], list], question: str = "question", content: str = "content",
+          batch: int = 32) -> DataFrame:
+    """Matches that a user's function does not grade ``irrelevant``. ``grader`` takes lists of questions and passages (their
+    first 2,000 characters), ``batch`` at a time, and gives a grade for each; a batch that fails keeps its matches."""
+
+    @F.arrow_udf("string")
+    def run(questions: pa.Array, passages: pa.Array) -> pa.Array:
+        asked, shown, grades = questions.to_pylist(), passages.to_pylist(), []
+        for at in range(0, len(asked), batch):
+            part = asked[at:at + batch]
+            try:
+                given = list(grader(part, shown[at:at + batch]))
+            except Exception:  # a grader that is down must not lose matches
+                given = []
+            grades += given if len(given) == len(part) else [None] * len(part)
+        return pa.array(grades, pa.string())
+
+    graded = matches.withColumn("_grade", run(F.col(question), grade_input(content)))
+    return graded.filter(F.coalesce(F.col("_grade") == "relevant", F.lit(True))).drop("_grade")
+
+
 def grade_input(content: Column | str) -> Column:
     """The part of a chunk a grader sees."""
     return F.substring(content, 1, 2000)

@@ -34,8 +34,10 @@ _LOCAL_FOLDERS: dict[str, str] = {}
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Pin the session to UTC and, once per application, send this package to the Python workers."""
+    """Pin the session to UTC, bound Arrow batches by bytes (documents can be long) and, once per application, send this
+    package to the Python workers."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 * 1024 * 1024))
     application = spark.sparkContext.applicationId
     if application not in _SHIPPED:
         package = Path(__file__).resolve().parent

@@ -25,6 +25,7 @@ def brute_force(queries, docs, threshold, k):
 
 @pytest.mark.parametrize("threshold", [-1.0, 0.2, 0.6, 0.95])
 @pytest.mark.parametrize("options", [{}, dict(broadcast_values=1, pivots=6, block_rows=40)])
+# Expected strings below that come from the application are goldens: they must match to the letter.
 def test_batch_is_exact_also_with_a_third_of_equal_vectors(spark, threshold, options):
     rng = np.random.default_rng(1)
     docs = rng.standard_normal((300, 8)).astype(np.float32)
@@ -150,3 +151,23 @@ def test_reference_metadata_reads_three_pages(spark):
         "file_id string, pages array<struct<page_number:int,text:string>>")
     got = {r.file_id: tuple(r.reference) if r.reference else None for r in references.extract_reference_metadata(files).collect()}
     assert got == {"a": ("Souza de Lima", "2019", "Cuidados em cirurgia segura", None), "b": None, "c": (None, None, "Hemostasia e sutura", "Cap. 3")}
+
+
+def test_grading_keeps_matches_on_failure(spark):
+    rows = [(i, f"q{i % 3}", "x" * 3000 if i == 4 else ("bad" if i % 2 else "good")) for i in range(10)]
+
+    def grader(questions, passages):
+        if any(len(p) == 2000 for p in passages):
+            raise TimeoutError
+        return ["relevant" if p == "good" else "irrelevant" for p in passages]
+
+    matches = spark.createDataFrame(rows, "id int, question string, content string").coalesce(1)
+    got = sorted(r.id for r in retrieval.grade(matches, grader, batch=2).collect())
+    assert got == [0, 2, 4, 5, 6, 8]
+
+
+def test_a_vector_of_another_length_is_an_error(spark):
+    docs = spark.createDataFrame([("1", [1.0, 0.0]), ("2", None), ("3", [1.0])], "id string, embedding array<float>")
+    with pytest.raises(Exception, match="another length"):
+        retrieval.match_documents(docs, [1.0, 0.0], 0.5, 2).collect()
+    assert [r.id for r in retrieval.match_documents(docs.filter("id <> '3'"), [1.0, 0.0], 0.5, 2).collect()] == ["1"]
