@@ -99,19 +99,25 @@ def newest_health(checks: DataFrame) -> DataFrame:
 
 def run_available(stream: DataFrame, path: str, mode: str) -> None:
     """Process what is there now. Each micro-batch overwrites its own folder below ``path``. State is held in RocksDB, outside
-    the heap; the session's own setting is restored."""
+    the heap, and timeouts are looked at with the next data, so that the run ends; the session's own settings are restored."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/data/batch_id={batch_id}")
 
-    conf, key = stream.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
-    before = conf.get(key, None)
-    conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    conf = stream.sparkSession.conf
+    wanted = {
+        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+    }
+    before = {key: conf.get(key, None) for key in wanted}
+    for key, value in wanted.items():
+        conf.set(key, value)
     try:
         query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(
             availableNow=True).foreachBatch(write).start()
     finally:
-        conf.set(key, before) if before else conf.unset(key)
+        for key, value in before.items():
+            conf.set(key, value) if value else conf.unset(key)
     query.awaitTermination()
 
 
