@@ -78,7 +78,8 @@ def components(edges: DataFrame) -> DataFrame:
     Alternating large-star and small-star steps until every id hangs on its root; every round is stored. Self-loops keep an
     id. Null ends are left out.
     """
-    loops = edges.filter("a IS NOT NULL AND b IS NOT NULL")
+    # stored first: edges may be costly to make, and are read more than once
+    loops = stored(edges.filter("a IS NOT NULL AND b IS NOT NULL").select("a", "b"), "edges")
     ids = loops.select(F.col("a").alias("id")).union(loops.select("b")).distinct()
     state = stored(loops.filter("a <> b").select(
         F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
