@@ -107,13 +107,14 @@ def overall_status(checks: DataFrame) -> DataFrame:
     return checks.agg(_worst(F.max(severity("status"))).alias("status"))
 
 
-def latest_health(checks: DataFrame, limit: int = 30, order: tuple[str, ...] = ("checked_at",)) -> DataFrame:
-    """Newest check per component among the last ``limit`` checks."""
-    recent = checks.orderBy(*[F.desc(c) for c in order]).limit(limit).filter(present("component").isNotNull())
+def latest_health(checks: DataFrame, limit: int | None = 30, order: tuple[str, ...] = ("checked_at",)) -> DataFrame:
+    """Newest check per component among the last ``limit`` checks; with None among all, so that a busy component hides no other."""
+    recent = checks if limit is None else checks.orderBy(*[F.desc(c) for c in order]).limit(limit)
+    recent = recent.filter(present("component").isNotNull())
     return newest_per_key(recent, ["component"], [F.col(c) for c in order])
 
 
-def monitoring_summary(checks: DataFrame, limit: int = 30, order: tuple[str, ...] = ("checked_at",)) -> DataFrame:
+def monitoring_summary(checks: DataFrame, limit: int | None = 30, order: tuple[str, ...] = ("checked_at",)) -> DataFrame:
     """Overall status, time of the newest check and the alerting components (at most one per component)."""
     latest = latest_health(checks, limit, order)
     alerting = F.col("status").isin("warning", "critical")

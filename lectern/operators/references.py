@@ -67,14 +67,14 @@ def reference_fields(text: Column) -> Column:
     ))
 
 
-def extract_reference_metadata(files: DataFrame) -> DataFrame:
-    """Adds ``reference`` from the first three pages of each file (pages array)."""
-    head = F.array_join(F.transform(F.slice("pages", 1, 3), lambda p: F.coalesce(p["text"], F.lit(""))), "\n")
+def extract_reference_metadata(files: DataFrame, pages: int = 3) -> DataFrame:
+    """Adds ``reference`` from the first pages of each file (pages array)."""
+    head = F.array_join(F.transform(F.slice("pages", 1, pages), lambda p: F.coalesce(p["text"], F.lit(""))), "\n")
     return files.withColumn("reference", reference_fields(head))
 
 
-def backfill_references(chunks: DataFrame) -> DataFrame:
-    """Fill reference fields of chunks that lack a title from the first 20 chunk texts of their file.
+def backfill_references(chunks: DataFrame, texts: int = 20) -> DataFrame:
+    """Fill reference fields of chunks that lack a title from the first chunk texts of their file.
 
     Chunks are grouped by file id, else by source. chunks: id, content, source, drive_file_id, chunk_index,
     reference_author/year/title/section."""
@@ -82,7 +82,7 @@ def backfill_references(chunks: DataFrame) -> DataFrame:
         F.concat(F.lit("drive:"), present("drive_file_id")),
         F.concat(F.lit("source:"), F.coalesce("source", F.lit("")))))
     first = first_n_per_key(
-        keyed.select("_key", "content", "chunk_index", "id"), ["_key"], [F.asc_nulls_last("chunk_index"), F.asc("id")], 20)
+        keyed.select("_key", "content", "chunk_index", "id"), ["_key"], [F.asc_nulls_last("chunk_index"), F.asc("id")], texts)
     entry = F.struct(F.col("_rn").alias("pos"), F.col("content").alias("text"))
     found = first.groupBy("_key").agg(reference_fields(join_sorted(entry, "\n")).alias("_ref")).filter(
         F.col("_ref").isNotNull())

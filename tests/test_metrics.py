@@ -237,6 +237,12 @@ def test_health(spark):
     assert jobs.monitoring_summary(checks.limit(0)).first().status == "unknown"
 
 
+def test_a_busy_component_hides_no_other_without_a_limit(spark):
+    checks = spark.createDataFrame([("rare", "warning", 0), *(("busy", "healthy", i) for i in range(1, 60))], "component string, status string, checked_at int")
+    assert {r.component for r in jobs.latest_health(checks).collect()} == {"busy"}
+    assert {r.component: r.checked_at for r in jobs.latest_health(checks, limit=None).collect()} == {"rare": 0, "busy": 59}
+
+
 def test_panel_indicators(spark, messages):
     m = messages(message(1, "s", request="r", has_context=True, mode="quiz", state_after="QUIZ_CONCLUIDO", latency_ms=latency(10.0)), message(2, "test-1"))
     chunks = spark.createDataFrame([("biblioteca__a",)], "source string")
