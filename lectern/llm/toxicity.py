@@ -26,7 +26,7 @@ IDENTITIES: tuple[tuple[str, ...], ...] = (
     ("immigrants", "natives"), ("disabled", "deaf", "blind"), ("old", "young"),
 )
 #: Labelled rows that a model is fitted on, and words that may enter it.
-SAMPLE, CANDIDATES = 20_000, 5_000
+SAMPLE, CANDIDATES = 20_000, 1_000
 THRESHOLD = 0.3
 _WORD = re.compile(r"\w+")
 
@@ -120,7 +120,7 @@ def fit(docs: DataFrame, labels: DataFrame, fold: Column | None = None, label_co
     pull = F.abs(F.col("positive") - base * F.col("all")) / n
     candidates = counts.filter(pull > 0.5 * penalty).orderBy(pull.desc(), "word").limit(CANDIDATES).select("word").collect()
     names = sorted({r["word"] for r in candidates} | {f for kind in identities for w in kind for f in features_of(w)})
-    rows = texts.mapInArrow(_find(names, identities), "y int, present array<int>, other array<int>").collect()
+    rows = texts.mapInArrow(_find(names, identities), "y int, present array<int>, other array<int>").toArrow()
     weights, intercept = _train(rows, len(names), penalty, fairness)
     return Model({w: float(x) for w, x in zip(names, weights) if x}, float(intercept))
 
@@ -153,9 +153,11 @@ def _find(names: list[str], identities):
         for batch in batches:
             present = [words(t) for t in batch.column(0).to_pylist()]
             other = [swapped(p, identities) for p in present]
+            # a text that names no group has no second copy
+            sides = present, [o if o != p else None for p, o in zip(present, other)]
             yield pa.RecordBatch.from_arrays([batch.column(1).cast(pa.int32()), *(
-                pa.array([sorted(place[f] for f in known.of(p)) for p in side], pa.list_(pa.int32())) for side in (present, other))],
-                names=["y", "present", "other"])
+                pa.array([None if p is None else sorted(place[f] for f in known.of(p)) for p in side], pa.list_(pa.int32()))
+                for side in sides)], names=["y", "present", "other"])
 
     return find
 
@@ -163,11 +165,10 @@ def _find(names: list[str], identities):
 class _Rows:
     """A 0/1 matrix by rows."""
 
-    def __init__(self, lists: list[list[int]], width: int):
-        self.width = width
-        self.row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-        self.column = np.array([c for x in lists for c in x], np.int64)
-        self.n = len(lists)
+    def __init__(self, lists: pa.ListArray, width: int):
+        self.width, self.n = width, len(lists)
+        self.row = np.repeat(np.arange(self.n, dtype=np.int32), lists.value_lengths().to_numpy(zero_copy_only=False))
+        self.column = lists.flatten().to_numpy(zero_copy_only=False)
 
     def dot(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, w[self.column], self.n)
@@ -176,14 +177,15 @@ class _Rows:
         return np.bincount(self.column, r[self.row], self.width)
 
 
-def _train(rows, width: int, penalty: float, fairness: float, rounds: int = 400) -> tuple[np.ndarray, float]:
+def _train(rows: pa.Table, width: int, penalty: float, fairness: float, rounds: int = 400) -> tuple[np.ndarray, float]:
     """Logistic loss, plus ``fairness`` times the mean squared change of the score (before the sigmoid) under a swap, first with an L1 penalty that
     picks words, then for the picked ones with a light L2 penalty alone."""
-    y = np.array([r["y"] for r in rows], np.float64)
-    x = _Rows([r["present"] for r in rows], width)
-    changed = [r for r in rows if r["present"] != r["other"]]
-    a, b = (_Rows([r[c] for r in changed], width) for c in ("present", "other"))
-    n = len(rows)
+    y = rows["y"].to_numpy().astype(np.float64)
+    present, other = (rows[c].combine_chunks() for c in ("present", "other"))
+    x = _Rows(present, width)
+    swaps = other.is_valid()
+    a, b = (_Rows(side.filter(swaps), width) for side in (present, other))
+    n, changed = len(y), a.n
     base = float(np.log(y.mean() / (1 - y.mean())))
 
     def gradient(w, c):
@@ -191,7 +193,7 @@ def _train(rows, width: int, penalty: float, fairness: float, rounds: int = 400)
         g = x.back(p - y) / n
         if changed and fairness:
             gap = a.dot(w) - b.dot(w)
-            g = g + 2 * fairness * (a.back(gap) - b.back(gap)) / len(changed)
+            g = g + 2 * fairness * (a.back(gap) - b.back(gap)) / changed
         return g, float((p - y).mean())
 
     def descend(w, c, l1, l2, allowed):
@@ -201,7 +203,7 @@ def _train(rows, width: int, penalty: float, fairness: float, rounds: int = 400)
             hv = x.back(x.dot(v)) / (4 * n)
             if changed and fairness:
                 gap = a.dot(v) - b.dot(v)
-                hv = hv + 2 * fairness * (a.back(gap) - b.back(gap)) / len(changed)
+                hv = hv + 2 * fairness * (a.back(gap) - b.back(gap)) / changed
             hv *= allowed
             norm = np.linalg.norm(hv)
             if norm == 0:
