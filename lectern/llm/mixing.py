@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from .common import WORD, mix, packed, stored, uniform
+from .common import WORD, mix, packed, restricted, stored, uniform
 
 #: Documents that meet in one group, and residuals that meet on each higher level.
 GROUP = 2048
@@ -178,10 +178,10 @@ def take(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: st
         return df.withColumn("times", times.cast("int")).filter("times > 0").withColumn(
             "copy", F.explode(F.sequence(F.lit(1), "times"))).select("row.*")
 
-    whole = repeated(keyed.join(totals, "digest"), F.floor(F.col("copies") / F.col("rows")))
+    whole = repeated(restricted(keyed, totals, "digest"), F.floor(F.col("copies") / F.col("rows")))
     # equal rows whose copies do not divide evenly: one of them stands for the rest
     uneven = totals.filter("copies % rows > 0")
     if uneven.isEmpty():
         return whole
-    rest = keyed.join(uneven, "digest").dropDuplicates(["digest"])
+    rest = restricted(keyed, uneven, "digest").dropDuplicates(["digest"])
     return whole.unionByName(repeated(rest, F.col("copies") % F.col("rows")))
