@@ -478,6 +478,20 @@ def _(t):
     return streams.read_newest(t.spark, folder, stream.schema, TURN_KEY).select("session_id", "request_id", "role", "id", "created_at")
 
 
+@query("s1_all_turns", "messages", f"""
+, doubled as (select id, session_id, request_id, role, created_at from messages union all
+  select id || '-retry', session_id, request_id, role, created_at + interval '3' second from messages)
+select session_id, request_id, role, id, {at('created_at')} as created_at from (
+  select *, row_number() over (partition by session_id, request_id, role order by created_at, id) as rn from doubled)
+where rn = 1 or request_id is null""")
+def _(t):
+    """Turns without a request id as well, as in ``d8_dedup_turns``."""
+    folder = streams.new_stream_folder(t.spark, "all-turns")
+    messages = arriving(t, retried_messages(t), "all-turns")
+    streams.run_unique_turns(messages, folder)
+    return streams.read_unique_turns(t.spark, folder, messages.schema).select("session_id", "request_id", "role", "id", "created_at")
+
+
 @query("s2_live_sessions", "dialog", STEPS)
 def _(t):
     folder = streams.new_stream_folder(t.spark, "sessions")

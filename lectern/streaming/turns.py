@@ -31,7 +31,7 @@ def read_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_
 
 def first_turns(messages: DataFrame) -> DataFrame:
     """Retried writes of a turn dropped; a client repeats a request with the same id and the first write, by (created_at,
-    id), counts. Rows without a request id are no retries: keep them apart and out of the state.
+    id), counts. Rows without a request id are no retries: ``other_turns`` has them, out of the state.
 
     Written in update mode: if an earlier write arrives later, it replaces the row of its turn (``read_newest``)."""
     keyed = messages.filter(F.col("request_id").isNotNull())
@@ -40,6 +40,23 @@ def first_turns(messages: DataFrame) -> DataFrame:
     return first.select(*TURN_KEY, "_first.*").select(*messages.columns)
 
 
+def other_turns(messages: DataFrame) -> DataFrame:
+    """Rows without a request id: each is a turn of its own and stays. Stateless, written in append mode."""
+    return messages.filter(F.col("request_id").isNull())
+
+
+def run_unique_turns(messages: DataFrame, path: str) -> None:
+    """All turns of a stream of messages, as ``dedup_turns`` has them: ``first_turns`` and ``other_turns`` in streams of their own."""
+    run_available(first_turns(messages), f"{path}/first", "update")
+    run_available(other_turns(messages), f"{path}/other", "append")
+
+
+def read_unique_turns(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """What ``run_unique_turns`` has written so far."""
+    first = read_newest(spark, f"{path}/first", schema, TURN_KEY)
+    return first.unionByName(read_appended(spark, f"{path}/other", schema))
+
+
 #: A session without turns for so long is forgotten.
 STATE_LIFE_MS = 30 * 24 * 3600 * 1000
 _STATE = T.StructType([
