@@ -367,17 +367,55 @@ def _(t):
     return panel.session_sheet(t.chat(), chat_ratings(t)).withColumn("first_message_md5", F.md5("first_message")).drop("first_message")
 
 
-@query("a8_export_panel_tables", "messages", REPORT + "select cast(number as varchar) as number, session_id, theme, cast(message_count as varchar) as message_count from report")
-def _(t):
+def export_panel(t, ratings) -> str:
+    """The folder of the two exported sheets."""
     path = scratch_path(t.spark, "panel")
     summary = metrics.totals(real_chat(t)).select(F.explode(F.array(
         F.struct(F.lit("conversations").alias("name"), F.col("conversations").alias("value")),
         F.struct(F.lit("messages").alias("name"), F.col("messages").alias("value")))).alias("c")).select("c.*")
-    sheet = panel.session_sheet(t.chat(), chat_ratings(t)).withColumn("first_message", F.translate("first_message", "\r\n", "  "))
+    sheet = panel.session_sheet(t.chat(), ratings).withColumn("first_message", F.translate("first_message", "\r\n", "  "))
     sinks.export_panel_tables(summary, sheet, path)
+    return path
+
+
+@query("a8_export_panel_tables", "messages", REPORT + "select cast(number as varchar) as number, session_id, theme, cast(message_count as varchar) as message_count from report")
+def _(t):
+    path = export_panel(t, all_ratings(t))
     return t.spark.read.option("header", True).option("escape", '"').csv(f"{path}/sessions").select("number", "session_id", "theme", "message_count")
 
 
+ALL_REPORT = SESSIONS + """
+, rated as (select session_id, round(avg(1 + length(content) % 5), 1) as avg_rating from messages where role = 'assistant' group by session_id)
+, report as (select row_number() over (order by last_at desc, g.session_id) as number, g.*, case when coalesce(avg_rating, 0) <> 0 then printf('%.1f', avg_rating) else '—' end as rating
+  from grouped g left join rated r on r.session_id = g.session_id)"""
+
+
+def all_ratings(t):
+    """Ratings of the answers in all conversations."""
+    return t.messages.filter("role = 'assistant'").select(
+        "session_id", "request_id", (1 + F.length("content") % 5).alias("rating"), "created_at")
+
+
+@query("o6_session_report_all", "messages", ALL_REPORT + f"""
+select number, '#' || lpad(cast(number as varchar), cast(greatest(2, length(cast(number as varchar))) as int), '0') as label, session_id, {at('first_at')} as started_at, {at('last_at')} as last_activity,
+  message_count, theme, rating, md5(coalesce(nullif(first_message, ''), 'Menu Inicial')) as first_message_md5 from report""")
+def _(t):
+    return panel.session_sheet(t.chat(), all_ratings(t)).withColumn("first_message_md5", F.md5("first_message")).drop("first_message")
+
+
+@query("a8_export_panel_sheets", "messages", ALL_REPORT + """
+select 'sessions' as sheet, cast(number as varchar) as name, session_id, theme, cast(message_count as varchar) as value, rating from report union all
+select 'indicators', 'conversations', null, null, cast(count(distinct session_id) as varchar), null from real union all
+select 'indicators', 'messages', null, null, cast(count(*) as varchar), null from real""")
+def _(t):
+    """Both sheets as read back: the indicators, and the sessions with the ratings of all conversations."""
+    path = export_panel(t, all_ratings(t))
+    read = t.spark.read.option("header", True).option("escape", '"')
+    sheet = read.csv(f"{path}/sessions").select(
+        F.lit("sessions").alias("sheet"), F.col("number").alias("name"), "session_id", "theme", F.col("message_count").alias("value"), "rating")
+    return sheet.unionByName(read.csv(f"{path}/indicators").select(F.lit("indicators").alias("sheet"), "name", "value"), allowMissingColumns=True)
+
+
 INDICATOR_PARTS = {
     "t": (f"""select count(distinct session_id) as conversations, count(*) as messages, count(distinct session_id) as unique_users,
   count(*) filter (where has_meta) as instrumented_responses, count(*) filter (where has_context is not null) as pipeline_turns, count(*) filter (where has_meta and lat_total >= 0) as latency_samples,
