@@ -1,6 +1,6 @@
 """Embedding near-duplicates by an exact metric range join.
 
-Vectors of one label are scaled to length 1; the metric is their angle. Pivots divide them into cells: each
+Vectors of one label are scaled to length 1; the metric is their angle. A label of few vectors is one cell. Pivots divide a larger one: each
 vector is at home with the nearest pivot. A vector can be within the threshold angle of a member of another cell only if
 its distance to that cell's pivot, less the threshold, is between the least and the greatest distance at which that cell has
 members (triangle inequality); only then is it copied there as a guest. Cells join independently, in blocks of
@@ -22,7 +22,7 @@ from .common import components, stored
 COSINE = 0.93
 #: Vectors per cell that pivots aim at, and rows of a block of a cell.
 CELL, BLOCK = 2048, 1024
-#: Pivots of all labels together: the bound of what is sent to every task.
+#: Pivots of all labels together: the bound of what is sent to every task. Labels that are one cell need none, so labels may be many.
 MOST_PIVOTS = 4096
 _SLACK = 1e-9
 
@@ -159,8 +159,11 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_
     groups = stored(groups.withColumn("rep", F.monotonically_increasing_id()), "groups")
     plain = groups.select("rep", "label", "times", "unit")
 
-    pivots = _pivots(plain)
-    n, edges = _links(plain, pivots, cosine, threshold)
+    sized = plain.withColumn("size", F.size("unit"))
+    sizes = stored(sized.groupBy("label", "size").agg(F.count("*").alias("n"), F.min("rep").alias("first")), "sizes")
+    width = _width(sizes)
+    divided = sized.join(F.broadcast(sizes.filter(F.col("n") > width).select("label", "size", "n")), ["label", "size"])
+    n, edges = _links(divided, _undivided(sized, sizes, width), _pivots(divided, width), cosine, threshold)
     part = components(edges)
     members = groups.select("rep", "k1", "k2", "lowest", "times").join(n, "rep", "left").join(
         part, F.col("rep") == F.col("id"), "left").withColumn("part", F.coalesce("component", "rep"))
@@ -172,30 +175,40 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_
     return found.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
-def _pivots(plain: DataFrame) -> dict:
-    """Label and length to (cell numbers, pivots): one pivot per ``CELL`` vectors, at random by hash; wider cells if that made more
-    than ``MOST_PIVOTS`` of all labels together. At most that many vectors come to the driver."""
-    sized = plain.withColumn("size", F.size("unit"))
-    sizes = stored(sized.groupBy("label", "size").agg(F.count("*").alias("n")), "sizes")
-    labels, total = sizes.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    if labels > MOST_PIVOTS // 2:
-        raise ValueError(f"more than {MOST_PIVOTS // 2} labels: join the table in ranges of labels")
-    cell = max(CELL, -(-total // (MOST_PIVOTS - labels)))
-    sizes = sizes.withColumn("wanted", F.ceil(F.col("n") / cell))
-    most = sizes.agg(F.coalesce(F.max("wanted"), F.lit(0))).first()[0]
+def _width(sizes: DataFrame) -> int:
+    """Vectors per cell: ``CELL``, or more if the labels of more than that would need more than ``MOST_PIVOTS`` pivots together."""
+    labels, total = sizes.filter(F.col("n") > CELL).agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    # of labels wider than a cell there are at most total / width, and each has less than one pivot beyond its share
+    return max(CELL, -(-total // (MOST_PIVOTS - labels)) if labels <= MOST_PIVOTS // 2 else -(-2 * total // MOST_PIVOTS))
+
+
+def _undivided(sized: DataFrame, sizes: DataFrame, width: int) -> DataFrame:
+    """The vectors of labels of up to ``width``, each label and length a cell of its own with a number below 0, met in the shuffle
+    only. A single vector has no partner."""
+    few = sizes.filter((F.col("n") > 1) & (F.col("n") <= width))
+    return sized.join(few, ["label", "size"]).select(
+        (-F.col("first") - 1).alias("cell"), F.lit(False).alias("guest"), "rep", "times", "unit",
+        F.ceil(F.col("n") / BLOCK).cast("int").alias("home_blocks"), F.lit(0).alias("guest_blocks"))
+
+
+def _pivots(divided: DataFrame, width: int) -> dict:
+    """Label and length to (cell numbers, pivots), for labels of more than ``width`` vectors: one pivot per so many, at random by
+    hash. At most ``MOST_PIVOTS`` vectors come to the driver."""
+    wanted = F.ceil(F.col("n") / width)
     rank = F.row_number().over(Window.partitionBy("label", "size").orderBy(F.xxhash64("unit", F.lit(1)), "rep"))
-    first = sized.withColumn("rank", rank).filter(F.col("rank") <= most)
-    chosen = first.join(F.broadcast(sizes), ["label", "size"]).filter("rank <= wanted").select("label", "size", "unit").collect()
+    most = divided.agg(F.coalesce(F.max(wanted), F.lit(0))).first()[0]
+    first = divided.withColumn("rank", rank).filter(F.col("rank") <= most)
+    chosen = first.filter(F.col("rank") <= wanted).select("label", "size", "unit").collect()
     pivots: dict = {}
     for number, row in enumerate(sorted(chosen, key=lambda r: (str(r["label"]), r["size"], r["unit"]))):
         pivots.setdefault((row["label"], row["size"]), []).append((number, row["unit"]))
     return {k: (np.array([n for n, _ in v], np.int32), np.array([u for _, u in v])) for k, v in pivots.items()}
 
 
-def _links(plain: DataFrame, pivots: dict, cosine: float, threshold: float) -> tuple[DataFrame, DataFrame]:
+def _links(divided: DataFrame, undivided: DataFrame, pivots: dict, cosine: float, threshold: float) -> tuple[DataFrame, DataFrame]:
     """Number of links of each vector, and edges (a, b) that connect what links connect."""
-    kind = dict(plain.dtypes)
-    placed = stored(plain.select("rep", "label", "times", "unit").mapInArrow(
+    kind = dict(divided.dtypes)
+    placed = stored(divided.select("rep", "label", "times", "unit").mapInArrow(
         _home(pivots), f"rep bigint, label {kind['label']}, times bigint, unit array<double>, cell int, angle double"), "cells")
     cells = sum(len(numbers) for numbers, _ in pivots.values())
     least, most, homes = np.full(cells, np.inf), np.full(cells, -np.inf), {}
@@ -207,7 +220,8 @@ def _links(plain: DataFrame, pivots: dict, cosine: float, threshold: float) -> t
         F.ceil(F.count_if(~F.col("guest")) / BLOCK).cast("int").alias("home_blocks"),
         F.ceil(F.count_if("guest") / BLOCK).cast("int").alias("guest_blocks"))
     # rows of a cell are dealt to blocks by hash; blocks meet in pairs, each pair in a group of its own
-    dealt = visits.join(F.broadcast(blocks), "cell").withColumn(
+    homed = visits.join(F.broadcast(blocks), "cell").withColumn("cell", F.col("cell").cast("bigint"))
+    dealt = homed.unionByName(undivided).withColumn(
         "block", F.pmod(F.xxhash64("rep"), F.when(F.col("guest"), F.col("guest_blocks")).otherwise(F.col("home_blocks"))).cast("int"))
 
     def numbers(count: str):
