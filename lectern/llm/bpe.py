@@ -131,7 +131,8 @@ class TextEncoder:
     """Encodes and decodes whole texts; equal to the tokenizers library's ``encode(text, add_special_tokens=False)`` and
     ``decode(ids, skip_special_tokens=False)`` for vocabularies that lower-case, drop white space and have no decoder.
 
-    The memory of pieces (text between white space) is emptied when it holds ``limit`` of them.
+    The memory of pieces (text between white space) is emptied when it holds ``limit`` of them. Added tokens stand in it by
+    their id, a number, so that no character of a text can be taken for a mark of them.
     """
 
     def __init__(self, path: str, limit: int = 400_000, block: int = 50_000):
@@ -150,7 +151,7 @@ class TextEncoder:
         for text in texts:
             row = []
             for part, added in self._parts(text):
-                row += [self.pieces["\0" + part]] if added else map(self.pieces.__getitem__, _pieces(_lower(part)))
+                row += [self.pieces[self.vocabulary.added[part]]] if added else map(self.pieces.__getitem__, _pieces(_lower(part)))
             numbered.append(np.array(row, np.int64))
         self._learn()
         out = []
@@ -176,8 +177,8 @@ class TextEncoder:
             self.counts = np.concatenate([self.counts, np.zeros(2 * count, np.int64)])
         for at in range(0, len(fresh), self.block):
             part = fresh[at:at + self.block]
-            words = [[x] if x[0] == "\0" else v.words.findall(x) for x in part]
-            distinct = list(dict.fromkeys(w for ws in words for w in ws if w[0] != "\0"))
+            words = [[x] if type(x) is int else v.words.findall(x) for x in part]
+            distinct = list(dict.fromkeys(w for ws in words for w in ws if type(w) is not int))
             ids, lengths = encode_words([w.encode() for w in distinct], v)
             ids, spelling = ids.tolist(), {}
             begin = 0
@@ -188,7 +189,7 @@ class TextEncoder:
             counts = []
             for ws in words:
                 if len(ws) == 1:
-                    n, ids_text, decoded = spelling.get(ws[0]) or (1, str(v.added[ws[0][1:]]), ws[0][1:])
+                    n, ids_text, decoded = spelling.get(ws[0]) or (1, str(ws[0]), v.tokens[ws[0]])
                 else:
                     found = [spelling[w] for w in ws]
                     n, ids_text, decoded = sum(f[0] for f in found), " ".join([f[1] for f in found]), " ".join([f[2] for f in found])
