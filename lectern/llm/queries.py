@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bagminhash, bpe, chat_format, fingerprints, metric_join, mixing, quality, token_files, toxicity, url_filter
+from . import bagminhash, bpe, chat_format, exact_dedup, fingerprints, hard_negatives, importance, metric_join, mixing, quality, token_files, toxicity, url_filter
 from .common import table
 
 #: Rules of the url filter: host, path, verdict.
@@ -68,8 +68,22 @@ def op10_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metric_join.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.deduplicate(table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    relabelled = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), anchor=F.col("vec_id") % 50 == 0, label=relabelled)
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_mix_sources, op2_chat_quotations, op3_bagminhash, op4_url_filter, op5_fingerprints, op6_bpe, op7_token_files, op8_toxicity, op9_quality, op10_metric_join)}
+    op1_mix_sources, op2_chat_quotations, op3_bagminhash, op4_url_filter, op5_fingerprints, op6_bpe, op7_token_files, op8_toxicity, op9_quality, op10_metric_join,
+    op11_importance_resampling, op12_exact_dedup, op13_hard_negatives)}
 
 _WORDS = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+')"
 
@@ -160,5 +174,59 @@ links as (
 reach as (select n, vec_id as low from v union select b, low from reach join links on a = reach.n)
 select v.vec_id, (select count(*) from links where a = v.n) as n_links, min(low) as component_id, coalesce(v.vec_id = min(low), false) as kept
 from v join reach using (n) group by v.n, v.vec_id
+""",
+    "op11_importance_resampling": r"""
+with bits as (
+  select list_transform(range(256), lambda i: list_reduce(range(8), lambda c, _: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, i)) as crc),
+texts as (
+  select 0 as side, row_number() over () as n, doc_id, coalesce(text, '') as text from documents
+  union all select 1, row_number() over (), null, coalesce(text, '') from benchmark),
+words as (
+  select side, n, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from texts),
+features as (
+  select side, n, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) as f from words),
+counted as (select side, n, f, count(*) as c from features group by all),
+hashed as (
+  select f, xor(list_reduce(list_transform(range(len(hex(f)) // 2), lambda i: ('0x' || substr(hex(f), 2 * i + 1, 2))::bigint),
+    lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1]), 4294967295::bigint), 4294967295::bigint) % 10000 as bucket
+  from (select distinct f from counted), bits),
+placed as (select side, n, bucket, c from counted join hashed using (f)),
+sums as (select bucket, coalesce(sum(c) filter (side = 0), 0) as s, coalesce(sum(c) filter (side = 1), 0) as t from placed group by bucket),
+totals as (select sum(s) as s_all, sum(t) as t_all from sums),
+gains as (
+  select bucket, floor(1000 * ln(((t + 1)::double * (s_all + 10000)::double) / ((s + 1)::double * (t_all + 10000)::double)))::bigint as gain from sums, totals),
+weights as (
+  select n, sum(c) as n_features, floor(sum(c * gain)::double / sum(c)::double)::bigint as weight from placed join gains using (bucket) where side = 0 group by n),
+scored as (
+  select n, doc_id, len(w) as n_words, coalesce(n_features, 0)::bigint as n_features, coalesce(weight, 0) as weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || coalesce(doc_id::varchar, '')), 1, 8))::bigint + 0.5) / 4294967296.0)))::bigint as score
+  from words left join weights using (n) where side = 0),
+placed_rows as (
+  select *, row_number() over (partition by n_words >= 20 order by score desc, doc_id, n_features) as place, count(*) filter (n_words >= 20) over () as able from scored)
+select doc_id, n_features, weight, score, case when n_words >= 20 and place <= 25 * able // 100 then place end as rank from placed_rows
+""",
+    "op12_exact_dedup": r"""
+with d as (select doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) as text_sha256 from documents)
+select doc_id, min(doc_id) over w as keep_id, count(*) over w as group_size, doc_id is not distinct from min(doc_id) over w as kept, text_sha256
+from d window w as (partition by text_sha256)
+""",
+    "op13_hard_negatives": """
+with v as (
+  select row_number() over () as n, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    list_transform(embedding, lambda x: floor(256 * cast(x as double))) as e
+  from embeddings where vec_id is not null and label is not null and embedding is not null and len(embedding) > 0
+  and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+pairs as (
+  select a.n, a.vec_id as anchor_id, b.vec_id as other, a.label = b.label as same, cast(list_dot_product(a.e, b.e) as bigint) as score
+  from v a join v b on a.n <> b.n and len(a.e) = len(b.e) where a.vec_id % 50 = 0),
+positives as (
+  select *, row_number() over (partition by n order by score desc, other) as place from pairs where same),
+found as (
+  select p.anchor_id, p.other as positive_id, p.score as positive_score, x.other as negative_id, x.score as negative_score,
+    row_number() over (partition by p.n, p.place order by x.score desc, x.other) as rank
+  from positives p join pairs x on x.n = p.n and not x.same
+  where p.place <= 5 and 50 * p.score <= 100 * x.score and 100 * x.score <= 95 * p.score)
+select anchor_id, positive_id, cast(rank as integer) as rank, negative_id, positive_score, negative_score from found where rank <= 3
 """,
 }
