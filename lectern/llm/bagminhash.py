@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import prepare
-from .common import WordHashes, components, mix, packed, restricted, shingles, stored, uniform
+from .common import WordHashes, byte_slices, components, held, mix, packed, restricted, shingles, stored, uniform
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Bands of registers: a pair of similarity 0.8 shares none of 24 bands of 5 with probability 7e-5, one of 0.9 with 1e-9.
@@ -82,14 +82,9 @@ def _points(owners, elements, counts, bound):
         level += 1
 
 
-_WORDS: list[WordHashes] = []
-
-
-def multiset(text: str | None, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct word shingles of a text, sorted, and how often each occurs."""
-    if not _WORDS:
-        _WORDS.append(WordHashes())
-    return np.unique(shingles(_WORDS[0](text), size), return_counts=True)
+def multisets(texts: list[str | None], size: int = SHINGLE) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The distinct word shingles of texts, sorted, and how often each occurs."""
+    return [np.unique(shingles(words, size), return_counts=True) for words in held("words", WordHashes)(texts)]
 
 
 def occurrences(elements: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -103,10 +98,10 @@ def _sign(size: int, bands: int, rows: int):
     """(doc_id, h, text) to (doc_id, h, bag, weight, bands): the multiset as one number, its total count, a hash for each band."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
+        for whole in byte_slices(batches, 2):
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                bags = [multiset(t, size) for t in batch.column(2).to_pylist()]
+                bags = multisets(batch.column(2).to_pylist(), size)
                 sizes = np.fromiter((len(b[0]) for b in bags), np.int64, len(bags))
                 owners = np.repeat(np.arange(len(bags)), sizes)
                 elements, counts = np.concatenate([b[0] for b in bags]), np.concatenate([b[1] for b in bags])
@@ -131,10 +126,10 @@ def _expand(size: int):
     """(bag, text) to (bag, members): the multiset as a set of occurrences."""
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
+        for whole in byte_slices(batches, 1):
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                sets = [occurrences(*multiset(t, size)) for t in batch.column(1).to_pylist()]
+                sets = [occurrences(*bag) for bag in multisets(batch.column(1).to_pylist(), size)]
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sets).view(np.int64)))],

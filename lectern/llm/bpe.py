@@ -14,6 +14,7 @@ from __future__ import annotations
 import heapq
 import json
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import prepare
-from .common import Numbering, tail
+from .common import Memory, byte_slices, held
 
 
 def byte_letters() -> list[str]:
@@ -83,13 +84,13 @@ def encode_words(words: list[bytes], vocabulary: Vocabulary) -> tuple[np.ndarray
     places = places[np.argsort(start_rank[places], kind="stable")]
     first_ranks, at = np.unique(start_rank[places], return_index=True)
     index = {r: x.tolist() for r, x in zip(first_ranks.tolist(), np.split(places, at[1:]))}
-    symbols = np.where(last, vocabulary.final[data], vocabulary.inner[data]).tolist()
-    link = np.arange(1, len(data) + 1)
+    symbols = array("i", np.where(last, vocabulary.final[data], vocabulary.inner[data]).astype(np.int32).tobytes())
+    link = np.arange(1, len(data) + 1, dtype=np.int32)
     link[last] = -1
-    after = link.tolist()
-    link = np.arange(-1, len(data) - 1)
+    after = array("i", link.tobytes())
+    link = np.arange(-1, len(data) - 1, dtype=np.int32)
     link[ends - lengths] = -1
-    before = link.tolist()
+    before = array("i", link.tobytes())
 
     rank_of = ranks.get
     active = list(index)
@@ -131,52 +132,60 @@ class TextEncoder:
     """Encodes and decodes whole texts; equal to the tokenizers library's ``encode(text, add_special_tokens=False)`` and
     ``decode(ids, skip_special_tokens=False)`` for vocabularies that lower-case, drop white space and have no decoder.
 
-    The memory of pieces (text between white space) is emptied when it holds ``limit`` of them. Added tokens stand in it by
-    their id, a number, so that no character of a text can be taken for a mark of them.
+    Pieces (text between white space) are remembered within ``limit`` bytes; new ones are learned ``block`` bytes at a time. Added tokens
+    stand in the memory by their id, a number, so that no character of a text can be taken for a mark of them.
     """
 
-    def __init__(self, path: str, limit: int = 400_000, block: int = 50_000):
-        self.vocabulary, self.limit, self.block = Vocabulary(path), limit, block
-        self._empty()
-
-    def _empty(self) -> None:
-        self.pieces, self.known = Numbering(), 0
+    def __init__(self, path: str, limit: int = 48 << 20, block: int = 1 << 20):
+        self.vocabulary, self.memory, self.block = Vocabulary(path), Memory(limit), block
+        self.openers = {token[0] for token in self.vocabulary.added if token}
         self.counts, self.spelled, self.decoded = np.zeros(1024, np.int64), [], []
 
     def encode_batch(self, texts: list[str]) -> list[tuple[int, str, str]]:
         """For each text: number of ids, the ids in decimal joined by spaces, and the decoded text."""
-        if self.known > self.limit:
-            self._empty()
-        numbered = []
+        pieces, sizes = [], []
         for text in texts:
-            row = []
+            before = len(pieces)
             for part, added in self._parts(text):
-                row += [self.pieces[self.vocabulary.added[part]]] if added else map(self.pieces.__getitem__, _pieces(_lower(part)))
-            numbered.append(np.array(row, np.int64))
+                if added:
+                    pieces.append(self.vocabulary.added[part])
+                else:
+                    pieces += _pieces(_lower(part))
+            sizes.append(len(pieces) - before)
+        index = self.memory.number(pieces)
         self._learn()
-        out = []
-        for row in numbered:
+        out, end = [], 0
+        for size in sizes:
+            row = index[end:end + size]
+            end += size
             places = row[self.counts[row] > 0].tolist()
             out.append((int(self.counts[row].sum()), " ".join(map(self.spelled.__getitem__, places)),
                         " ".join(map(self.decoded.__getitem__, places))))
+        if self.memory.full:
+            kept = self.memory.forget(_size)
+            self.counts = self.counts[kept]
+            self.spelled, self.decoded = [self.spelled[i] for i in kept.tolist()], [self.decoded[i] for i in kept.tolist()]
         return out
 
     def _parts(self, text: str) -> list[tuple[str, bool]]:
         special = self.vocabulary.special
-        if special is None or "<" not in text:
+        if special is None or not any(c in text for c in self.openers):
             return [(text, False)]
         return [(x, i % 2 == 1) for i, x in enumerate(special.split(text))]
 
     def _learn(self) -> None:
-        fresh = tail(self.pieces, self.known)
+        fresh, known = self.memory.fresh(), self.memory.known
         if not fresh:
             return
         v = self.vocabulary
-        count = self.known + len(fresh)
+        count = known + len(fresh)
         if count > len(self.counts):
             self.counts = np.concatenate([self.counts, np.zeros(2 * count, np.int64)])
-        for at in range(0, len(fresh), self.block):
-            part = fresh[at:at + self.block]
+        sizes = np.fromiter(map(_size, fresh), np.int64, len(fresh))
+        blocks = np.cumsum(sizes) // self.block
+        starts = np.flatnonzero(np.r_[True, blocks[1:] != blocks[:-1]]).tolist()
+        for at, end in zip(starts, [*starts[1:], len(fresh)]):
+            part = fresh[at:end]
             words = [[x] if type(x) is int else v.words.findall(x) for x in part]
             distinct = list(dict.fromkeys(w for ws in words for w in ws if type(w) is not int))
             ids, lengths = encode_words([w.encode() for w in distinct], v)
@@ -196,8 +205,13 @@ class TextEncoder:
                 counts.append(n)
                 self.spelled.append(ids_text)
                 self.decoded.append(decoded)
-            self.counts[self.known + at:self.known + at + len(part)] = counts
-        self.known = count
+            self.counts[known + at:known + end] = counts
+        self.memory.learned(int(sizes.sum()))
+
+
+def _size(piece: str | int) -> int:
+    """About the bytes that a piece, its ids and what they decode to take."""
+    return 250 + 6 * len(piece) if type(piece) is str else 250
 
 
 def _lower(text: str) -> str:
@@ -220,14 +234,9 @@ def _pieces(text: str) -> list[str]:
     return text.split()
 
 
-_ENCODERS: dict[str, TextEncoder] = {}
-
-
 def encoder(path: str) -> TextEncoder:
     """One per worker and vocabulary."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = TextEncoder(path)
-    return _ENCODERS[path]
+    return held(("bpe", path), lambda: TextEncoder(path))
 
 
 class _Encode:
@@ -236,14 +245,12 @@ class _Encode:
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(self.path)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
-                done = encode.encode_batch(batch.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([
-                    batch.column(0), pa.array([d[0] for d in done], pa.int64()),
-                    pa.array([d[1] for d in done], pa.string()), pa.array([d[2] for d in done], pa.string())],
-                    names=["doc_id", "n_tokens", "ids", "decoded"])
+        for batch in byte_slices(batches, 1):
+            done = encode.encode_batch(batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0), pa.array([d[0] for d in done], pa.int64()),
+                pa.array([d[1] for d in done], pa.string()), pa.array([d[2] for d in done], pa.string())],
+                names=["doc_id", "n_tokens", "ids", "decoded"])
 
 
 def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -111,9 +116,79 @@ class Numbering(dict):
         return number
 
 
-def tail(numbers: dict, known: int) -> list:
-    """The keys of a dict after the first ``known``, without walking over those."""
-    return [k for k, _ in zip(reversed(numbers), range(len(numbers) - known))][::-1]
+class Memory:
+    """Numbers for keys that a worker remembers, within ``limit`` bytes of what is learned about them.
+
+    ``number`` looks keys up and numbers new ones; their owner learns the ``fresh`` ones and reports the bytes. Beyond the limit, ``forget``
+    keeps the third that was used most and numbers it anew, so that frequent keys stay known however many rare ones pass."""
+
+    def __init__(self, limit: int):
+        self.limit, self.numbers, self.known, self.bytes, self.uses = limit, Numbering(), 0, 0, np.zeros(0, np.int64)
+
+    def number(self, keys: list) -> np.ndarray:
+        index = np.fromiter(map(self.numbers.__getitem__, keys), np.int64, len(keys))
+        uses = np.bincount(index, minlength=len(self.numbers))
+        uses[:len(self.uses)] += self.uses
+        self.uses = uses
+        return index
+
+    def fresh(self) -> list:
+        """The keys not learned yet, without walking over the others."""
+        return [k for k, _ in zip(reversed(self.numbers), range(len(self.numbers) - self.known))][::-1]
+
+    def learned(self, size: int) -> None:
+        self.known, self.bytes = len(self.numbers), self.bytes + size
+
+    @property
+    def full(self) -> bool:
+        return self.bytes > self.limit
+
+    def forget(self, size: Callable[[object], int]) -> np.ndarray:
+        """The old numbers of what is kept, in the order of the new ones; ``size`` gives the bytes of a key."""
+        kept = np.argsort(-self.uses, kind="stable")
+        keys = list(self.numbers)
+        sizes = np.array([size(keys[i]) for i in kept.tolist()], np.int64)
+        # a long key is used once and goes; were there only long ones, none would stay
+        kept = kept[:min(len(keys) // 3, int(np.searchsorted(np.cumsum(sizes), self.limit // 2)))]
+        self.numbers = Numbering((keys[i], n) for n, i in enumerate(kept.tolist()))
+        self.known, self.bytes, self.uses = len(kept), int(sizes[:len(kept)].sum()), self.uses[kept] // 2
+        return kept
+
+
+_HELD: dict = {}
+
+
+def held(key, make: Callable):
+    """What a worker keeps from task to task: one thing at a time. Another operator's is given up, and its memory returned, before
+    a new one is made, so that the stages of a pipeline do not add up in reused workers."""
+    if key not in _HELD:
+        release()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def release() -> None:
+    """Give up what is held and return free memory to the system, as far as its allocators can."""
+    _HELD.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+#: Bytes of text that are worked on at a time.
+SLICE = 2 << 20
+
+
+def byte_slices(batches: Iterator[pa.RecordBatch], column: int, size: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The rows of batches in slices of about ``size`` bytes of a text column; a longer text is a slice of its own. A batch without rows gives none."""
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        place = (np.cumsum(lengths, dtype=np.int64) - 1) // size
+        starts = np.flatnonzero(np.r_[True, place[1:] != place[:-1]]).tolist() if len(place) else []
+        for a, b in zip(starts, [*starts[1:], batch.num_rows]):
+            yield batch.slice(a, b - a)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -135,29 +210,30 @@ _TOKEN = re.compile(r"\w+")
 
 class WordHashes:
     """64-bit hashes of the lower-cased words (runs of letters, digits and underscores) of texts. Words already seen
-    are looked up; the memory of words is emptied when it holds ``limit`` of them."""
-
-    def __init__(self, limit: int = 600_000):
-        self.limit = limit
-        self._empty()
-
-    def _empty(self) -> None:
-        self.numbers, self.hashes, self.known = Numbering(), np.zeros(1024, np.uint64), 0
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        words = _TOKEN.findall(text.lower()) if text else []
-        if not words:
-            return np.zeros(0, np.uint64)
-        if self.known > self.limit:
-            self._empty()
-        index = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
-        if len(self.numbers) > self.known:
-            if len(self.numbers) > len(self.hashes):
-                self.hashes = np.concatenate([self.hashes, np.zeros(2 * len(self.numbers), np.uint64)])
-            for i in np.flatnonzero(index >= self.known).tolist():
-                self.hashes[index[i]] = xxhash.xxh3_64_intdigest(words[i])
-            self.known = len(self.numbers)
-        return self.hashes[index]
+    are looked up, within ``limit`` bytes."""
+
+    def __init__(self, limit: int = 24 << 20):
+        self.memory, self.hashes = Memory(limit), np.zeros(1024, np.uint64)
+
+    def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
+        found = [_TOKEN.findall(t.lower()) if t else [] for t in texts]
+        memory = self.memory
+        index = memory.number([w for words in found for w in words])
+        fresh, known = memory.fresh(), memory.known
+        if fresh:
+            count = known + len(fresh)
+            if count > len(self.hashes):
+                self.hashes = np.concatenate([self.hashes, np.zeros(2 * count, np.uint64)])
+            self.hashes[known:count] = [xxhash.xxh3_64_intdigest(w) for w in fresh]
+            memory.learned(sum(map(_word_size, fresh)))
+        hashes = np.split(self.hashes[index], np.cumsum([len(words) for words in found])[:-1]) if found else []
+        if memory.full:
+            self.hashes = self.hashes[memory.forget(_word_size)]
+        return hashes
+
+
+def _word_size(word: str) -> int:
+    return 150 + len(word)
 
 
 def shingles(words: np.ndarray, size: int) -> np.ndarray:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..session import prepare, scratch_path
-from .common import Numbering, partitions, tail
+from .common import Memory, byte_slices, held, partitions
 
 FILE_SCHEMA = "doc_id bigint, n_tokens bigint, start_in_file bigint, file_number int, ids array<int>"
 #: A place in a text where the tokenizer always starts anew: a space before something that is not white space.
@@ -30,11 +30,10 @@ class PieceEncoder:
     ``encode(text, add_special_tokens=False)``.
 
     The pre-tokenizer takes a space along with the word after it, so a text may be cut before every such space and each
-    distinct piece is encoded by the library once. The memory of pieces is emptied when it holds ``limit`` of them; texts with
-    an added token's spelling are encoded whole.
+    distinct piece is encoded by the library once and remembered within ``limit`` bytes; texts with an added token's spelling are encoded whole.
     """
 
-    def __init__(self, path: str, limit: int = 700_000):
+    def __init__(self, path: str, limit: int = 96 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -42,20 +41,15 @@ class PieceEncoder:
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.limit = limit
+        self.memory = Memory(limit)
         vocab = self.tokenizer.get_vocab()
         self.opens = np.zeros(max(vocab.values(), default=0) + 1, bool)
         for token, i in vocab.items():
             self.opens[i] = token.startswith("Ġ")  # how byte-level vocabularies write a space
-        self._empty()
-
-    def _empty(self) -> None:
-        self.numbers, self.lengths, self.starts = Numbering(), np.zeros(1024, np.int32), np.zeros(1024, np.int64)
-        self.ids, self.filled, self.known = np.zeros(1 << 16, np.int32), 0, 0
+        self.lengths, self.starts = np.zeros(1024, np.int32), np.zeros(1024, np.int64)
+        self.ids, self.filled = np.zeros(1 << 16, np.int32), 0
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
-        if self.known > self.limit:
-            self._empty()
         heads, pieces, counts, whole = [], [], [], {}
         for i, text in enumerate(texts):
             if any(a in text for a in self.added):
@@ -65,19 +59,29 @@ class PieceEncoder:
             heads.append(first)
             pieces += rest
             counts.append(len(rest))
-        numbers = np.fromiter(map(self.numbers.__getitem__, pieces), np.int64, len(pieces))
+        numbers = self.memory.number(pieces)
         self._learn()
         lengths = self.lengths[numbers]
         ends = np.cumsum(lengths, dtype=np.int64)
         total = int(ends[-1]) if len(ends) else 0
         ids = self.ids[np.arange(total) + np.repeat(self.starts[numbers] - (ends - lengths), lengths)]
+        if self.memory.full:
+            self._forget()
         bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])].tolist()
         first_ids = [e.ids for e in self.tokenizer.encode_batch_fast(heads, add_special_tokens=False)]
         return [whole[i] if i in whole else np.concatenate([np.array(x, np.int32), ids[a:b]])
                 for i, (x, a, b) in enumerate(zip(first_ids, bounds, bounds[1:]))]
 
+    def _forget(self) -> None:
+        kept = self.memory.forget(_size)
+        lengths, starts = self.lengths[kept], self.starts[kept]
+        ends = np.cumsum(lengths, dtype=np.int64)
+        total = int(ends[-1]) if len(ends) else 0
+        self.ids = self.ids[np.arange(total) + np.repeat(starts - (ends - lengths), lengths)]
+        self.lengths, self.starts, self.filled = lengths, ends - lengths, total
+
     def _learn(self) -> None:
-        fresh = tail(self.numbers, self.known)
+        fresh, known = self.memory.fresh(), self.memory.known
         if not fresh:
             return
         plain, other = [], []
@@ -100,26 +104,27 @@ class PieceEncoder:
                 encoded[i] = np.array(e.ids, np.int32)
         lengths = np.fromiter(map(len, encoded), np.int64, len(encoded))
         flat = np.concatenate(encoded)
-        total, count = self.filled + len(flat), self.known + len(fresh)
+        total, count = self.filled + len(flat), known + len(fresh)
         if total > len(self.ids):
             self.ids = np.concatenate([self.ids[:self.filled], np.zeros(total, np.int32)])
         if count > len(self.starts):
             self.starts = np.concatenate([self.starts, np.zeros(2 * count, np.int64)])
             self.lengths = np.concatenate([self.lengths, np.zeros(2 * count, np.int32)])
         self.ids[self.filled:total] = flat
-        self.starts[self.known:count] = self.filled + np.cumsum(lengths) - lengths
-        self.lengths[self.known:count] = lengths
-        self.filled, self.known = total, count
+        self.starts[known:count] = self.filled + np.cumsum(lengths) - lengths
+        self.lengths[known:count] = lengths
+        self.filled = total
+        self.memory.learned(sum(map(_size, fresh)))
 
 
-_ENCODERS: dict[str, PieceEncoder] = {}
+def _size(piece: str) -> int:
+    """About the bytes that a piece and its ids take."""
+    return 190 + 3 * len(piece)
 
 
 def encoder(path: str) -> PieceEncoder:
     """One per worker and vocabulary: pieces stay known from task to task."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = PieceEncoder(path)
-    return _ENCODERS[path]
+    return held(("pieces", path), lambda: PieceEncoder(path))
 
 
 class _Write:
@@ -132,18 +137,16 @@ class _Write:
         from pyspark import TaskContext
 
         number, start, encode = TaskContext.get().partitionId(), 0, encoder(self.path)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
-                ids = [np.append(x, np.int32(self.end_id)) for x in encode.encode_batch(batch.column(1).to_pylist())]
-                lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-                ends = np.cumsum(lengths)
-                offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([
-                    batch.column(0), pa.array(lengths), pa.array(start + ends - lengths),
-                    pa.array(np.full(len(ids), number, np.int32)), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids)))],
-                    names=["doc_id", "n_tokens", "start_in_file", "file_number", "ids"])
-                start += int(ends[-1])
+        for batch in byte_slices(batches, 1):
+            ids = [np.append(x, np.int32(self.end_id)) for x in encode.encode_batch(batch.column(1).to_pylist())]
+            lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+            ends = np.cumsum(lengths)
+            offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0), pa.array(lengths), pa.array(start + ends - lengths),
+                pa.array(np.full(len(ids), number, np.int32)), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids)))],
+                names=["doc_id", "n_tokens", "start_in_file", "file_number", "ids"])
+            start += int(ends[-1])
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text",
