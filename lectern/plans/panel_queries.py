@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import audit, chunking, flow, jobs, metrics
-from ..operators.dedup import TURN_KEY
-from ..session import scratch_path
+from ..operators.ordering import ordered_position
+from ..session import scratch_path, written
 from ..sources import sinks
 from ..streaming import turns as streams
 from . import panel
 from .chat_queries import KEPT, exchanges, kept
 from .corpus_queries import text_files
-from .fold_check import STEPS
+from .fold_check import FOLD, STEPS
 from .registry import at, query
 
 SYNTHETIC = "regexp_matches(coalesce(session_id, ''), '^(" + "|".join(metrics.SYNTHETIC_PREFIXES) + ")')"
@@ -506,52 +506,90 @@ def retried_messages(t):
     return t.messages.select(*columns).unionByName(again.select(*columns))
 
 
-@query("s1_unique_turns", "messages", f"""
-select session_id, request_id, role, first(id order by created_at, id) as id, {at('min(created_at)')} as created_at
-from messages where request_id is not null group by all""")
-def _(t):
-    folder = streams.new_stream_folder(t.spark, "turns")
-    stream = streams.first_turns(arriving(t, retried_messages(t), "turns"))
-    streams.run_available(stream, folder, "update")
-    return streams.read_newest(t.spark, folder, stream.schema, TURN_KEY).select("session_id", "request_id", "role", "id", "created_at")
-
-
-@query("s1_all_turns", "messages", f"""
+UNIQUE = f"""
 , doubled as (select id, session_id, request_id, role, created_at from messages union all
   select id || '-retry', session_id, request_id, role, created_at + interval '3' second from messages)
 select session_id, request_id, role, id, {at('created_at')} as created_at from (
   select *, row_number() over (partition by session_id, request_id, role order by created_at, id) as rn from doubled)
-where rn = 1 or request_id is null""")
+where rn = 1 or request_id is null"""
+
+
+@query("s1_unique_turns", "messages", UNIQUE)
 def _(t):
-    """Turns without a request id as well, as in ``d8_dedup_turns``."""
-    folder = streams.new_stream_folder(t.spark, "all-turns")
-    messages = arriving(t, retried_messages(t), "all-turns")
+    """Retried writes of all turns, those without a request id too, as in ``d8_dedup_turns``."""
+    folder = streams.new_stream_folder(t.spark, "turns")
+    messages = arriving(t, retried_messages(t), "turns")
     streams.run_unique_turns(messages, folder)
     return streams.read_unique_turns(t.spark, folder, messages.schema).select("session_id", "request_id", "role", "id", "created_at")
 
 
+@query("s1_all_turns", "messages", UNIQUE)
+def _(t):
+    """Retries first, and every turn with a request id delivered again by a stream that goes on after its state has ended."""
+    folder, path = streams.new_stream_folder(t.spark, "all-turns"), scratch_path(t.spark, "arriving-all-turns")
+    messages = retried_messages(t)
+    retry = F.col("id").endswith("-retry")
+    for arrived in (messages.filter(retry), messages.filter(~retry), messages.filter("request_id IS NOT NULL")):
+        arrived.repartition(2).write.mode("append").parquet(path)
+        streams.run_unique_turns(streams.read_stream(t.spark, path, messages.schema, files_per_trigger=2), folder, delay="0 seconds")
+    return streams.read_unique_turns(t.spark, folder, messages.schema).select("session_id", "request_id", "role", "id", "created_at")
+
+
+def numbered_exchanges(t):
+    """Exchanges with the number of each within its session, 0, 1, 2, ..."""
+    placed = ordered_position(exchanges(t), ["session_id"], [F.col("turn")], "seq")
+    return written(placed.withColumn("seq", F.col("seq").cast("bigint") - 1), "exchanges")
+
+
+def delivered(t, source, deliveries, wait_ms):
+    """Decisions and late turns of a stream in which the ``deliveries`` (conditions) arrive one after the other."""
+    folder, path = streams.new_stream_folder(t.spark, "sessions"), scratch_path(t.spark, "arriving-sessions")
+    rows = source.select("session_id", F.col("seq").alias("turn"), "message", "answer", "failed")
+    for condition in deliveries:
+        rows.filter(condition).repartition(2).write.mode("append").parquet(path)
+        stream = streams.live_sessions(streams.read_stream(t.spark, path, rows.schema, files_per_trigger=2), wait_ms)
+        streams.run_live_sessions(stream, folder)
+    back = source.select("session_id", F.col("seq").alias("turn"), F.col("turn").alias("of_dialog"))
+    return tuple(part.join(back, ["session_id", "turn"]).drop("turn").withColumnRenamed("of_dialog", "turn") for part in (
+        streams.read_decisions(t.spark, folder), streams.read_late_turns(t.spark, folder)))
+
+
 @query("s2_live_sessions", "dialog", STEPS)
 def _(t):
-    folder = streams.new_stream_folder(t.spark, "sessions")
-    source = exchanges(t)
-    path = scratch_path(t.spark, "arriving-sessions")
-    # turns of a session arrive in order: early turns first, those of one session in one file
-    # and every delivery is repeated
-    for arrived in ("turn < 3", "turn < 3", "turn between 3 and 4", "turn between 2 and 4", "turn > 4"):
-        source.filter(arrived).repartition(4, "session_id").write.mode("append").parquet(path)
-    stream = streams.live_sessions(streams.read_stream(t.spark, path, source.schema, files_per_trigger=4))
-    streams.run_available(stream, folder, "append")
-    return streams.read_appended(t.spark, folder, flow.DECISION_SCHEMA).select("session_id", "turn", "state_before", "state_after", "current_topic", "revision")
+    """Turns in an order that has nothing to do with their numbers, a part of them delivered twice."""
+    source = numbered_exchanges(t)
+    mixed = F.pmod(F.xxhash64("session_id", "turn"), F.lit(3))
+    decisions, _ = delivered(t, source, [mixed == 0, (mixed == 1) | (F.col("turn") % 2 == 0), F.lit(True)], wait_ms=3_600_000)
+    return decisions.select("session_id", "turn", "state_before", "state_after", "current_topic", "revision")
+
+
+@query("s2_late_turns", "dialog", FOLD.split(", inlined as")[0] + """
+select session_id, turn, message from (
+  select *, max(case when (rn - 1) % 3 <> 1 then rn end) over (partition by session_id) as last_in_time from exchanges)
+where (rn - 1) % 3 = 1 and rn < last_in_time""")
+def _(t):
+    """Every third turn comes when the sessions have gone on without it."""
+    held_back = F.col("turn") % 3 == 1
+    # what is delivered again gives the stream time to look at its timers
+    _, late = delivered(t, numbered_exchanges(t), [~held_back, F.col("turn") == 0, held_back, held_back], wait_ms=0)
+    return late.select("session_id", "turn", "message")
 
 
 @query("s3_windowed_activity", "turns", f"""
 select strftime(date_trunc('day', created_at), '%Y-%m-%d %H:%M:%S') as window_start, count(*) as messages, count(lat_total) filter (where lat_total >= 0) as latency_samples,
   cast(round(coalesce(avg(lat_total) filter (where lat_total >= 0), 0)) as bigint) as avg_total_ms from turns group by 1""")
 def _(t):
-    folder = streams.new_stream_folder(t.spark, "activity")
-    stream = streams.windowed_activity(arriving(t, t.telemetry(), "telemetry"), delay="60 days")
-    streams.run_available(stream, folder, "update")
-    return streams.read_newest(t.spark, folder, stream.schema, ["window_start"])
+    """Windows are appended once they are closed; a heartbeat after the last message closes the last ones."""
+    folder, path = streams.new_stream_folder(t.spark, "activity"), scratch_path(t.spark, "arriving-telemetry")
+    turns = t.telemetry().select("created_at", "role", "metadata").withColumn("heartbeat", F.lit(False))
+    turns.repartition(4).write.parquet(path)
+    beat = turns.agg((F.max("created_at") + F.expr("interval 90 days")).alias("created_at"))
+    beat.select("created_at", F.lit(None).cast("string").alias("role"), F.lit(None).cast(turns.schema["metadata"].dataType).alias("metadata"),
+                F.lit(True).alias("heartbeat")).write.mode("append").parquet(path)
+    stream = streams.windowed_activity(
+        streams.read_stream(t.spark, path, turns.schema, files_per_trigger=5), delay="60 days", heartbeat=F.col("heartbeat"))
+    streams.run_activity(stream, folder)
+    return streams.read_appended(t.spark, folder, stream.schema)
 
 
 @query("s4_newest_health", "checks", f"""

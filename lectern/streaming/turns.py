@@ -1,23 +1,24 @@
 """Streams of turns, session states, counts, health checks and corpus files.
 
-Every function takes and returns streaming DataFrames, or starts a query. Results that change while a stream
-runs (session states, window counts, newest checks) are written in update mode: each micro-batch replaces its
-own folder, so a retried batch leaves no duplicates, and readers take the newest batch per key.
+Every function takes and returns streaming DataFrames, or starts a query. What is final once it is known (turns, decisions, closed
+windows) is written in append mode by the file sink, which commits each micro-batch once; state ends by watermark, timer or
+time to live. Only the newest checks change while a stream runs; they are written in update mode.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.streaming import StatefulProcessor
 
 from ..functions.base import half_up
 from ..functions.identity import chunk_record_id
 from ..operators.chunking import chunk_recursive
-from ..operators.dedup import TURN_KEY
-from ..operators.flow import DECISION_SCHEMA, EVENT_COLUMNS, State, replay, tag_turns
+from ..operators.dedup import TURN_KEY, dedup_turns
+from ..operators.flow import DECISION_SCHEMA, EVENT_COLUMNS, replay, start_of, tag_turns
 from ..operators.metrics import latency_sample
 from ..operators.ordering import newest_per_key
 from ..session import scratch_path, written
@@ -29,83 +30,223 @@ def read_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def first_turns(messages: DataFrame) -> DataFrame:
-    """Retried writes of a turn dropped; a client repeats a request with the same id and the first write, by (created_at,
-    id), counts. Rows without a request id are no retries: ``other_turns`` has them, out of the state.
+# ---- unique turns
 
-    Written in update mode: if an earlier write arrives later, it replaces the row of its turn (``read_newest``)."""
-    keyed = messages.filter(F.col("request_id").isNotNull())
-    rest = [c for c in messages.columns if c not in TURN_KEY]
-    first = keyed.groupBy(*TURN_KEY).agg(F.min_by(F.struct(*rest), F.struct("created_at", "id")).alias("_first"))
-    return first.select(*TURN_KEY, "_first.*").select(*messages.columns)
 
+def delivered_once(messages: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """Rows of turns with a request id, each write of a turn once: deliveries that are repeated within ``delay`` go.
 
-def other_turns(messages: DataFrame) -> DataFrame:
-    """Rows without a request id: each is a turn of its own and stays. Stateless, written in append mode."""
+    The watermark follows the time of arrival, not of creation, so that no row is ever too late, and the state holds what arrived within
+    the delay, however long the stream runs. A repeat after that is appended and settled on reading, like a retried write under another
+    id: rows that are appended cannot be taken back."""
+    keyed = messages.filter(F.col("request_id").isNotNull()).withColumn("_arrived", F.current_timestamp())
+    return keyed.withWatermark("_arrived", delay).dropDuplicatesWithinWatermark([*TURN_KEY, "id", "created_at"]).drop("_arrived")
+
+
+def without_request(messages: DataFrame) -> DataFrame:
+    """Rows without a request id: each is a turn of its own and stays. Stateless."""
     return messages.filter(F.col("request_id").isNull())
 
 
-def run_unique_turns(messages: DataFrame, path: str) -> None:
-    """All turns of a stream of messages, as ``dedup_turns`` has them: ``first_turns`` and ``other_turns`` in streams of their own."""
-    run_available(first_turns(messages), f"{path}/first", "update")
-    run_available(other_turns(messages), f"{path}/other", "append")
+def run_unique_turns(messages: DataFrame, path: str, delay: str = "1 hour") -> list[dict]:
+    """Append all turns of a stream of messages below ``path``; returns the progress of the stateful part."""
+    progress = run_appended(delivered_once(messages, delay), f"{path}/keyed")
+    run_appended(without_request(messages), f"{path}/other")
+    return progress
 
 
 def read_unique_turns(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """What ``run_unique_turns`` has written so far."""
-    first = read_newest(spark, f"{path}/first", schema, TURN_KEY)
-    return first.unionByName(read_appended(spark, f"{path}/other", schema))
+    """What ``run_unique_turns`` has written so far, as ``dedup_turns`` has it: of the writes of a turn the first by (created_at, id),
+    whenever they arrived."""
+    written_once = read_appended(spark, f"{path}/keyed", schema).dropDuplicates([*TURN_KEY, "id", "created_at"])
+    return dedup_turns(written_once).unionByName(read_appended(spark, f"{path}/other", schema))
+
 
+# ---- live sessions
 
 #: A session without turns for so long is forgotten.
 STATE_LIFE_MS = 30 * 24 * 3600 * 1000
-_STATE = T.StructType([
+#: How long a turn waits for those before it.
+WAIT_MS = 10 * 60 * 1000
+
+_SESSION = T.StructType([
     *[T.StructField(n, T.StringType()) for n in ("state", "mode", "topic")],
     *[T.StructField(n, T.IntegerType()) for n in ("question", "attempt")],
-    T.StructField("revision", T.LongType()), T.StructField("turn", T.LongType()),
+    *[T.StructField(n, T.LongType()) for n in ("revision", "turn", "early")],
+    T.StructField("missing", T.ArrayType(T.LongType())),
+])
+_TURN = T.StructType([
+    *[T.StructField(n, T.StringType()) for n in ("intent", "inline_mode", "inline_topic", "message")],
+    *[T.StructField(n, T.BooleanType()) for n in ("letter", "blank", "retry", "is_failed")],
+    T.StructField("until", T.LongType()),
 ])
+#: A decision, or (``late``) a turn that came after the session had gone on without it.
+LIVE_SCHEMA = T.StructType([*DECISION_SCHEMA.fields, T.StructField("message", T.StringType()), T.StructField("late", T.BooleanType())])
+
+
+class _Event:
+    """A turn out of the state, with the attributes of a row."""
+
+    def __init__(self, values):
+        for field, value in zip(_TURN.names, values):
+            setattr(self, field, value)
+
+
+class LiveSession(StatefulProcessor):
+    """The state of each session, the turns that came early, and the numbers of those that were given up."""
+
+    def __init__(self, wait_ms: int = WAIT_MS, life_ms: int = STATE_LIFE_MS):
+        self.wait_ms, self.life_ms = wait_ms, life_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.held = handle.getValueState("session", _SESSION, self.life_ms)
+        self.early = handle.getMapState("early", "turn bigint", _TURN, self.life_ms)
+
+    def _enter(self) -> None:
+        found = self.held.get() if self.held.exists() else None
+        if found is None:
+            found = (None, None, None, None, None, 0, -1, 0, [])
+        state, mode, self.topic, question, attempt, self.revision, self.turn, self.waiting, missing = found
+        self.topic = self.topic or ""
+        self.state, self.missing = start_of(state, mode, self.topic, question, attempt), list(missing or [])
+        self.out: list[list] = []
+
+    def _leave(self) -> Iterator[pd.DataFrame]:
+        s = self.state
+        self.held.update((s.state, s.mode, self.topic, int(s.question), int(s.attempt), self.revision, self.turn, self.waiting, self.missing))
+        if self.out:
+            yield pd.DataFrame(self.out, columns=LIVE_SCHEMA.names).astype({
+                "turn": "Int64", "revision": "Int64", **{c: "Int32" for c in ("quiz_question", "quiz_attempt", "question_after", "attempt_after")}})
+
+    def _apply(self, session: str, turn: int, row) -> None:
+        self.state, self.topic, self.revision, decision = replay(self.state, self.topic, self.revision, row)
+        self.turn = turn
+        self.out.append([session, turn, *decision, None, False])
+
+    def _drain(self, session: str) -> None:
+        """Apply what waited for the turn that was applied last."""
+        while self.waiting and self.early.containsKey((self.turn + 1,)):
+            turn = self.turn + 1
+            self._apply(session, turn, _Event(self.early.getValue((turn,))))
+            self.early.removeKey((turn,))
+            self.waiting -= 1
+
+    def _late(self, session: str, turn: int | None, row) -> None:
+        self.out.append([session, turn, row.intent, *[None] * (len(DECISION_SCHEMA) - 3), row.message, True])
+
+    def _given_up(self, turn: int) -> bool:
+        """Whether the session went on without this turn; it is known from then on."""
+        for i in range(0, len(self.missing), 2):
+            first, last = self.missing[i:i + 2]
+            if first <= turn <= last:
+                rest = [first, turn - 1] if first < turn else []
+                self.missing[i:i + 2] = rest + ([turn + 1, last] if turn < last else [])
+                return True
+        return False
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        self._enter()
+        until = timerValues.getCurrentProcessingTimeInMs() + self.wait_ms
+        for frame in rows:
+            for row in frame.sort_values("turn", kind="stable").itertuples(index=False):
+                turn = None if pd.isna(row.turn) else int(row.turn)
+                if turn is None or turn < 0 or (turn <= self.turn and self._given_up(turn)):
+                    self._late(key[0], turn, row)
+                elif turn == self.turn + 1:
+                    self._apply(key[0], turn, row)
+                    self._drain(key[0])
+                elif turn > self.turn and not self.early.containsKey((turn,)):
+                    text = lambda v: v if isinstance(v, str) else None
+                    self.early.updateValue((turn,), (
+                        row.intent, text(row.inline_mode), text(row.inline_topic), row.message, bool(row.letter), bool(row.blank),
+                        bool(row.retry), bool(row.is_failed), until))
+                    self.waiting += 1
+                # what is left was delivered before
+        if self.waiting:
+            self.handle.registerTimer(until)
+        yield from self._leave()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self._enter()
+        now = timerValues.getCurrentProcessingTimeInMs()
+        while self.waiting:
+            first = min(k[0] for k in self.early.keys())
+            if self.early.getValue((first,))[-1] > now:
+                break  # has a timer of its own
+            self.missing += [self.turn + 1, first - 1]
+            self.turn = first - 1
+            self._drain(key[0])
+        yield from self._leave()
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        row = next(initialState.itertuples(index=False))
+        text = lambda v: v if isinstance(v, str) else None
+        number = lambda v, default: default if v is None or pd.isna(v) else int(v)
+        self.held.update((text(row.state), text(row.mode), text(row.current_topic), number(row.quiz_question, 0), number(row.quiz_attempt, 0),
+                          number(row.revision, 0), number(row.turn, -1), 0, []))
+
+    def close(self) -> None:
+        pass
+
+
+def live_sessions(turns: DataFrame, wait_ms: int = WAIT_MS, states: DataFrame | None = None) -> DataFrame:
+    """Decisions of each turn, with the session state kept between micro-batches: the moves of ``flow.fold_turns``, in the order of the turn numbers.
+
+    turns: session_id, turn (0, 1, 2, ... within a session), message [, answer, failed], in any order and as often as they are delivered;
+    states: stored states to start from (as of ``flow.final_states``, with ``turn``, the last number that is part of them).
+    A turn is decided as soon as all before it are. One that came early waits for them; after ``wait_ms`` the session goes on without
+    those that are missing. A turn that comes after that is returned as a row of its own with ``late``, as are turns without a number; no row is
+    lost, and repeats change nothing. A session's turns of one micro-batch are handled together, in Arrow batches."""
+    tagged = tag_turns(turns).select("session_id", F.col("turn").cast("bigint").alias("turn"), *EVENT_COLUMNS)
+    initial = None
+    if states is not None:
+        turn = F.col("turn").cast("bigint") if "turn" in states.columns else F.lit(None).cast("bigint")
+        initial = states.select("session_id", "state", "mode", "current_topic", "quiz_question", "quiz_attempt", "revision", turn.alias("turn")).groupBy(
+            "session_id")
+    return tagged.groupBy("session_id").transformWithStateInPandas(
+        LiveSession(wait_ms), LIVE_SCHEMA, "Append", "ProcessingTime", initialState=initial)
 
 
-def _advance(key: tuple, batches: Iterable[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-    if held.hasTimedOut:  # a session that was silent for long starts anew
-        held.remove()
-        return
-    state, topic, revision, last = State(), "", 0, None
-    if held.exists:
-        name, mode, topic, question, attempt, revision, last = held.get
-        state = State(name, mode, bool(topic), question, attempt)
-    # a repeated or older turn was answered already: it moves nothing
-    rows = pd.concat(list(batches)).sort_values("turn", kind="stable").drop_duplicates("turn")
-    if last is not None:
-        rows = rows[rows["turn"] > last]
-    out = []
-    for row in rows.itertuples(index=False):
-        state, topic, revision, decision = replay(state, topic, revision, row)
-        out.append([key[0], row.turn, *decision])
-        last = int(row.turn)
-    held.update((state.state, state.mode, topic, state.question, state.attempt, revision, last))
-    held.setTimeoutDuration(STATE_LIFE_MS)
-    yield pd.DataFrame(out, columns=DECISION_SCHEMA.names)
-
-
-def live_sessions(turns: DataFrame) -> DataFrame:
-    """Decisions of each turn as it arrives, with the session state kept between micro-batches.
-
-    The same moves as ``flow.fold_turns``. A repeated turn, or one older than the last seen, is passed over. A session's turns of one micro-batch are handled together, so a
-    micro-batch must be kept small (``maxFilesPerTrigger`` or the source's own rate limit)."""
-    tagged = tag_turns(turns).select("session_id", F.col("turn").cast("bigint").alias("turn"), *EVENT_COLUMNS)
-    return tagged.groupBy("session_id").applyInPandasWithState(
-        _advance, DECISION_SCHEMA, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+def run_live_sessions(decisions: DataFrame, path: str) -> list[dict]:
+    """Append decisions and late turns, each to a part of its own, so that readers of one do not touch the other."""
+    return run_appended(decisions, path, partition_by=["late"])
+
+
+def read_decisions(spark: SparkSession, path: str) -> DataFrame:
+    return _live(spark, path).filter(~F.col("late")).select(*DECISION_SCHEMA.names)
+
 
+def read_late_turns(spark: SparkSession, path: str) -> DataFrame:
+    """Turns that a session went on without: session_id, turn, intent, message."""
+    return _live(spark, path).filter("late").select("session_id", "turn", "intent", "message")
 
-def windowed_activity(messages: DataFrame, delay: str = "1 day", width: str = "1 day") -> DataFrame:
-    """Messages per tumbling window, and samples and rounded mean of the total latency."""
+
+def _live(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(LIVE_SCHEMA).parquet(f"{path}/data")
+
+
+# ---- activity
+
+
+def windowed_activity(messages: DataFrame, delay: str = "1 day", width: str = "1 day", heartbeat: Column | None = None) -> DataFrame:
+    """Messages per tumbling window, and samples and rounded mean of the total latency, once the window is closed: when a message
+    came that is later than its end by ``delay``. Null times are in no window.
+
+    ``heartbeat`` marks rows that carry nothing but the time, which a quiet source sends to let windows close."""
+    beat = F.coalesce(heartbeat, F.lit(False)) if heartbeat is not None else F.lit(False)
     sample = F.when(F.col("role") == "assistant", latency_sample("total"))
-    grouped = messages.withWatermark("created_at", delay).groupBy(F.window("created_at", width).alias("w"))
-    return grouped.agg(
-        F.count("*").alias("messages"), F.count(sample).alias("latency_samples"),
-        half_up(F.coalesce(F.avg(sample), F.lit(0.0))).alias("avg_total_ms"),
-    ).select(F.col("w.start").alias("window_start"), "messages", "latency_samples", "avg_total_ms")
+    rows = messages.select("created_at", beat.alias("_beat"), sample.alias("_sample")).withWatermark("created_at", delay)
+    grouped = rows.groupBy(F.window("created_at", width).alias("w")).agg(
+        F.count_if(~F.col("_beat")).alias("messages"), F.count(F.when(~F.col("_beat"), F.col("_sample"))).alias("latency_samples"),
+        half_up(F.coalesce(F.avg(F.when(~F.col("_beat"), F.col("_sample"))), F.lit(0.0))).alias("avg_total_ms"))
+    return grouped.filter("messages > 0").select(F.col("w.start").alias("window_start"), "messages", "latency_samples", "avg_total_ms")
+
+
+def run_activity(activity: DataFrame, path: str) -> int:
+    """Append closed windows; returns how many rows came too late for theirs, as far as each task adds up rows of a window before it is known."""
+    progress = run_appended(activity, path, idle=True)
+    return sum(op["numRowsDroppedByWatermark"] for p in progress for op in p["stateOperators"])
 
 
 def newest_health(checks: DataFrame) -> DataFrame:
@@ -114,34 +255,49 @@ def newest_health(checks: DataFrame) -> DataFrame:
     return newest.select("component", "c.*")
 
 
-def run_available(stream: DataFrame, path: str, mode: str) -> None:
-    """Process what is there now. Each micro-batch overwrites its own folder below ``path``. State is held in RocksDB, outside
-    the heap, and timeouts are looked at with the next data, so that the run ends; the session's own settings are restored."""
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/data/batch_id={batch_id}")
-
-    conf = stream.sparkSession.conf
+@contextmanager
+def _settings(spark: SparkSession, idle: bool):
+    """State in RocksDB, outside the heap. Without ``idle`` batches a run looks at timers with the next data only, so that it ends. The session's own
+    settings are restored."""
     wanted = {
         "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-        "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+        "spark.sql.streaming.noDataMicroBatches.enabled": str(idle).lower(),
     }
-    before = {key: conf.get(key, None) for key in wanted}
+    before = {key: spark.conf.get(key, None) for key in wanted}
     for key, value in wanted.items():
-        conf.set(key, value)
+        spark.conf.set(key, value)
     try:
-        query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(
-            availableNow=True).foreachBatch(write).start()
+        yield
     finally:
         for key, value in before.items():
-            conf.set(key, value) if value else conf.unset(key)
+            spark.conf.set(key, value) if value else spark.conf.unset(key)
+
+
+def run_appended(stream: DataFrame, path: str, partition_by: list[str] | None = None, idle: bool = False) -> list[dict]:
+    """Process what is there now and append it to the files of one table; returns the progress of the micro-batches."""
+    with _settings(stream.sparkSession, idle):
+        writer = stream.writeStream.outputMode("append").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True)
+        query = (writer.partitionBy(*partition_by) if partition_by else writer).format("parquet").start(f"{path}/data")
     query.awaitTermination()
+    return list(query.recentProgress)
 
 
 def read_appended(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{path}/data").select(*schema.names)
 
 
+def run_available(stream: DataFrame, path: str, mode: str) -> None:
+    """Process what is there now, for results that change: each micro-batch overwrites its own folder below ``path``."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/data/batch_id={batch_id}")
+
+    with _settings(stream.sparkSession, False):
+        query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(
+            availableNow=True).foreachBatch(write).start()
+    query.awaitTermination()
+
+
 def read_newest(spark: SparkSession, path: str, schema: T.StructType, keys: list[str]) -> DataFrame:
     """State of a table written in update mode: the row of the newest batch per key."""
     with_batch = T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])

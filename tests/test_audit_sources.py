@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from lectern import schemas
 from lectern.operators import audit, dedup, metrics, sessions
 from lectern.sources import files, sinks
-from lectern.operators.dedup import TURN_KEY
-from lectern.streaming import turns as streams
 
 UID = "123e4567-e89b-42d3-a456-426614174000"
 
@@ -147,16 +145,3 @@ def test_upsert_is_idempotent(spark, tmp_path):
     newer = spark.createDataFrame([("2", "B"), ("3", "c")], "id string, content string")
     once = sorted(map(tuple, sinks.write_chunks(newer, path).collect()))
     assert once == sorted(map(tuple, sinks.write_chunks(newer, path).collect())) == [("1", "a"), ("2", "B"), ("3", "c")]
-
-
-def test_the_first_write_of_a_turn_counts_whenever_it_arrives(spark, tmp_path):
-    t = datetime(2024, 1, 1)
-    first = [("3", "s", UID, "user", t + timedelta(minutes=1)), ("2", "s", None, "user", t), ("6", "s", UID, "user", t + timedelta(minutes=2))]
-    second = [("1", "s", UID, "user", t), ("4", "s", None, "user", t), ("5", "s", UID, "assistant", t)]
-    schema = "id string, session_id string, request_id string, role string, created_at timestamp"
-    for part in (first, second):
-        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = streams.first_turns(streams.read_stream(spark, str(tmp_path / "in"), spark.createDataFrame([], schema).schema))
-    streams.run_available(stream, str(tmp_path / "out"), "update")
-    got = streams.read_newest(spark, str(tmp_path / "out"), stream.schema, TURN_KEY).collect()
-    assert sorted((r.role, r.id) for r in got) == [("assistant", "5"), ("user", "1")]

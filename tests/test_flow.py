@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from lectern.functions import intents
 from lectern.operators import flow, sessions
-from lectern.streaming import turns as streams
 
 TURNS = "session_id string, turn long, message string, answer string, failed boolean"
 STATES = "session_id string, state string, mode string, current_topic string, quiz_question int, quiz_attempt int, revision long"
@@ -95,16 +94,6 @@ def test_final_state_is_the_last_turn(spark):
         assert (s.state, s.current_topic, s.revision) == (last[s.session_id].state_after, last[s.session_id].current_topic, last[s.session_id].revision)
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    data = random_turns(4, 12)
-    for part in range(4):
-        spark.createDataFrame([t for t in data if t[1] // 4 == part] or data[:0], TURNS).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = streams.live_sessions(streams.read_stream(spark, str(tmp_path / "in"), spark.createDataFrame([], TURNS).schema))
-    streams.run_available(stream, str(tmp_path / "out"), "append")
-    got = streams.read_appended(spark, str(tmp_path / "out"), flow.DECISION_SCHEMA)
-    assert by_turn(got) == by_turn(flow.fold_turns(spark.createDataFrame(data, TURNS)))
-
-
 def history(spark, *messages):
     return spark.createDataFrame([("s", i, r, c) for i, (r, c) in enumerate(messages)], "session_id string, turn long, role string, content string")
 
