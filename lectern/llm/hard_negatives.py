@@ -251,7 +251,10 @@ def _placed(rows: DataFrame) -> DataFrame:
     """The rows in blocks along (dim, label), with the block's number; a label of many rows fills several blocks."""
     n, values = rows.agg(F.count("*"), F.coalesce(F.sum("dim"), F.lit(0))).first()
     wanted = max(-(-values // BLOCK_VALUES), min(rows.sparkSession.sparkContext.defaultParallelism, -(-n // 2048)), 1)
-    return stored(rows.repartitionByRange(wanted, "dim", "label", F.xxhash64("rid")).withColumn("block", F.spark_partition_id()), "blocks")
+    ranged = rows.repartitionByRange(wanted, "dim", "label", F.xxhash64("rid"))
+    # a session may deal finer than asked for; neighbouring ranges then make up a block, since every block is asked by every anchor
+    block = F.floor(F.spark_partition_id() * wanted / ranged.rdd.getNumPartitions()).cast("int")
+    return stored(ranged.withColumn("block", block), "blocks")
 
 
 def _meet(rows: DataFrame, queries: DataFrame, windows, same: bool, k: int, slices: int) -> DataFrame:
