@@ -1,7 +1,6 @@
 """Reconciling a file listing with a manifest, and keyed upserts of chunk tables.
 
-Tables are never changed in place: every operator returns the new contents, and ``sources.sinks.publish``
-makes a finished version visible. A run that fails before that leaves the old version as it was.
+Operators return new contents; ``sources.sinks.DealtTable`` writes them, the touched parts of a table only.
 """
 
 from __future__ import annotations
@@ -106,11 +105,13 @@ def jobs_from_plan(plan: DataFrame, listing: DataFrame) -> DataFrame:
 
 
 def upsert_chunks(target: DataFrame, new: DataFrame, order: list[Column] | None = None) -> DataFrame:
-    """Rows of ``new`` replace rows of the same id. Of a repeated id within ``new`` the largest by ``order`` is written,
-    without an order any one (ids are derived from content and position)."""
-    new = newest_per_key(new, ["id"], order) if order else new.dropDuplicates(["id"])
-    kept = target.join(new.select("id"), "id", "left_anti")
-    return kept.unionByName(new, allowMissingColumns=True)
+    """Rows of ``new`` replace rows of the same id. Of a repeated id within ``new`` the largest by ``order`` is written, without an
+    order the largest by all columns."""
+    # ids alone are counted; whole rows are compared only where one is repeated
+    repeated = new.groupBy("id").agg(F.count("*").alias("_n")).filter("_n > 1").select("id")
+    several = newest_per_key(new.join(repeated, "id", "left_semi"), ["id"], order or [F.col(c) for c in new.columns if c != "id"])
+    once = new.join(repeated, "id", "left_anti").unionByName(several.select(*new.columns))
+    return target.join(new.select("id"), "id", "left_anti").unionByName(once, allowMissingColumns=True)
 
 
 def upsert_report(target: DataFrame, new: DataFrame) -> DataFrame:

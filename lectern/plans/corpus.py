@@ -11,8 +11,11 @@ from ..functions.identity import chunk_record_id
 from ..operators import chunking, references, retrieval, sync
 from ..session import written
 from ..sources.files import NO_TEXT, extract_pages
+from ..sources.sinks import DealtTable
 
 NO_CONTENT = "file content is missing"
+#: Up to this many chosen files are sent to the contents, which then stay where they are; for more both sides are shuffled.
+SENT_FILES = 500_000
 
 
 def chunk_rows(files: DataFrame, size: int = 1000, overlap: int = 150) -> DataFrame:
@@ -37,11 +40,41 @@ class Reconciled(NamedTuple):
     plan: DataFrame
 
 
+def chosen_contents(chosen: DataFrame, contents: DataFrame | DealtTable) -> DataFrame:
+    """The stored rows of ``chosen`` (file_id, ...) with their ``content``, null where there is none.
+
+    Of a table dealt by ``id`` only the parts of chosen files are read, and bytes are moved for files only whose id has several
+    contents; of those the one with the smallest SHA-256 counts."""
+    if isinstance(contents, DealtTable):
+        contents = contents.read(contents.touched(chosen.select(F.col("file_id").alias(contents.key[0]))))
+    contents = contents.select(F.col("id").alias("_id"), "content")
+    few = chosen.count() <= SENT_FILES
+    wanted = chosen.select(F.col("file_id").alias("_id"))
+    wanted = F.broadcast(wanted) if few else wanted
+    # ids alone are read for this
+    found = written(contents.select("_id").join(wanted, "_id", "left_semi").groupBy("_id").agg(F.count("*").alias("_n")), "found")
+    known = chosen.join(found, F.col("file_id") == F.col("_id"))
+    once, several = (known.filter(c).drop("_n") for c in ("_n = 1", "_n > 1"))
+    if few:
+        once, several = F.broadcast(once), F.broadcast(several)
+    columns = [*chosen.columns, "content"]
+    parts = [contents.join(once, "_id").select(*columns)]
+    if not found.filter("_n > 1").isEmpty():
+        repeated = contents.join(several.select("_id"), "_id", "left_semi").groupBy("_id").agg(F.min_by("content", F.sha2("content", 256)).alias("content"))
+        parts.append(known.filter("_n > 1").drop("_n").join(repeated, "_id").select(*columns))
+    parts.append(chosen.join(found, F.col("file_id") == F.col("_id"), "left_anti").withColumn("content", F.lit(None).cast("binary")))
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole
+
+
 def reconcile(
-    listing: DataFrame, manifest: DataFrame, contents: DataFrame, target: DataFrame, extractor: Callable,
-    embed: Callable, dim: int, max_files: int | None = None, now: Column | None = None,
+    listing: DataFrame, manifest: DataFrame, contents: DataFrame | DealtTable, target: DataFrame, extractor: Callable,
+    embed: Callable, dim: int, max_files: int | None = None, now: Column | None = None, plan: DataFrame | None = None,
+    size: int = 1000, overlap: int = 150,
 ) -> Reconciled:
-    """Bring chunk table and manifest up to the listing. contents: id, content (bytes) of any files.
+    """Bring chunk table and manifest up to the listing. contents: id, content (bytes) of any files, best as a table dealt by id.
 
     Chosen files (all new and changed ones, or the first ``max_files``) end in one of three ways. A file with text gets its
     new chunks, and those of before that it no longer has go; so do rows of its name without a file id. A file without any
@@ -49,17 +82,14 @@ def reconcile(
     chunks and rows stay as they were, and the manifest records the error, so that the next run tries again. Files that left the
     listing lose chunks and manifest row. Chunks are cut and embedded once and stored."""
     now = F.current_timestamp() if now is None else now
-    plan = written(sync.plan_sync(listing, manifest), "plan")
-    chosen = sync.select_batch(plan, max_files).filter("selected").drop("selected", "sort_path")
-    # bytes of other files are left behind before anything else is done with them
-    picked = contents.select(F.col("id").alias("_id"), "content").join(
-        chosen.select(F.col("file_id").alias("_id")), "_id", "left_semi").dropDuplicates(["_id"])
-    todo = chosen.join(picked, F.col("file_id") == F.col("_id"), "left").drop("_id")
+    plan = written(sync.plan_sync(listing, manifest), "plan") if plan is None else plan
+    chosen = written(sync.select_batch(plan, max_files).filter("selected").drop("selected", "sort_path"), "chosen")
+    todo = chosen_contents(chosen, contents)
     missing = F.col("content").isNull().alias("missing")
     files = extract_pages(todo.select("*", missing), extractor)
     error = F.when(F.col("missing"), F.lit(NO_CONTENT)).otherwise(F.col("extract_error"))
     files = files.withColumn("error", error).withColumn("source", F.col("name"))
-    fresh = written(retrieval.embed(chunk_rows(files.filter(F.col("error").isNull())), embed, dim), "fresh")
+    fresh = written(retrieval.embed(chunk_rows(files.filter(F.col("error").isNull()), size, overlap), embed, dim), "fresh")
 
     cut = fresh.groupBy(F.col("drive_file_id").alias("_cut")).agg(F.count("*").alias("chunks"))
     outcome = written(files.select(
@@ -81,6 +111,26 @@ def reconcile(
     return Reconciled(table, kept.unionByName(entries, allowMissingColumns=True), results, sync.sync_report(results), plan)
 
 
+def reconcile_into(
+    table: DealtTable, listing: DataFrame, manifest: DataFrame, contents: DataFrame | DealtTable, extractor: Callable, embed: Callable, dim: int,
+    **options,
+) -> Reconciled:
+    """``reconcile`` on a table dealt by file: only the parts of files that are new, changed or gone, and of their names, are read
+    and written. Before the first run the table need not exist."""
+    plan = written(sync.plan_sync(listing, manifest), "plan")
+    moved = plan.filter("class <> 'unchanged'")
+    no_text = F.lit(None).cast("string")
+    touched = table.touched(moved.select(F.col("file_id").alias("drive_file_id"), no_text.alias("source")).union(
+        moved.select(no_text.alias("drive_file_id"), F.col("name").alias("source"))))
+    empty = table.spark.createDataFrame([], "id string, drive_file_id string, source string")
+    run = reconcile(listing, manifest, contents, table.read(touched) if table.exists() else empty, extractor, embed, dim, plan=plan, **options)
+    # what tells of the rows before the change is found before it
+    run = run._replace(manifest=written(run.manifest, "manifest"), results=written(run.results, "results"))
+    if touched or not table.exists():
+        table.replace(run.table, touched)
+    return run._replace(table=table.read(), report=sync.sync_report(run.results))
+
+
 def _results(outcome: DataFrame, target: DataFrame, fresh: DataFrame) -> DataFrame:
     """A row per chosen file; ``removed`` counts rows that its new chunks replaced by none of the same id."""
     stored = target.select("id", F.col("drive_file_id").alias("_file")).join(fresh.select("id"), "id", "left_anti").groupBy("_file").agg(

@@ -11,7 +11,7 @@ from ..sources import sinks
 from ..streaming import turns as streams
 from . import panel
 from .chat_queries import KEPT, exchanges, kept
-from .corpus_queries import text_files
+from .corpus_queries import flat, packed_files, text_files, two_pages
 from .fold_check import FOLD, STEPS
 from .registry import at, query
 
@@ -604,8 +604,8 @@ def _(t):
 @query("s5_incremental_corpus")
 def _(t):
     folder = streams.new_stream_folder(t.spark, "corpus")
-    streams.load_corpus(arriving_versions(t), folder)
-    return sinks.read_published(t.spark, f"{folder}/chunks").select("id", "file_id", "chunk_index", "content_hash")
+    streams.load_corpus(arriving_versions(t), folder, parts=8)
+    return streams.loaded_chunks(t.spark, folder, 8).select("id", "file_id", "chunk_index", "content_hash")
 
 
 def arriving_versions(t):
@@ -646,7 +646,53 @@ def _(t):
 def _(t):
     """After shorter versions arrived, no chunk of the longer ones is left."""
     folder = streams.new_stream_folder(t.spark, "shrunk")
-    streams.load_corpus(arriving_versions(t), folder)
+    streams.load_corpus(arriving_versions(t), folder, parts=8)
     text = F.when(F.col("file_id") % 3 == 0, F.substring(F.col("pages")[0]["text"], 1, 1500)).otherwise(F.col("pages")[0]["text"])
     now = text_files(t).withColumn("pages", F.array(F.struct(F.lit(1).alias("page_number"), text.alias("text"))))
-    return chunk_properties(sinks.read_published(t.spark, f"{folder}/chunks"), now)
+    return chunk_properties(streams.loaded_chunks(t.spark, folder, 8), now)
+
+
+SNAPSHOTS = """
+with d as (select doc_id, regexp_replace(coalesce(text, ''), '\\s+', '', 'g') as packed, regexp_replace(left(coalesce(text, ''), 1500), '\\s+', '', 'g') as packed_left from documents),
+fates as (
+  select *, case when doc_id % 4 = 0 or (packed = '' and not (doc_id % 3 = 0 and doc_id % 7 = 0)) then 'blank' when doc_id % 3 = 0 and doc_id % 7 = 0 then 'broken' when doc_id % 3 = 0 then 'left' else 'whole' end as fate
+  from d where doc_id % 5 <> 1)
+select 'f' || doc_id as file, case when fate = 'broken' then 'error' else 'active' end as status,
+  md5(case fate when 'left' then packed_left when 'whole' then packed when 'broken' then case when doc_id % 5 not in (0, 4) and packed <> '' then packed end end) as packed_md5
+from fates
+union all select 'other' || doc_id, null, md5('old') from d where doc_id % 50 = 0"""
+
+
+@query("s5_follow_snapshots", "", SNAPSHOTS)
+def _(t):
+    """Three listings of all documents as files, one after the other: files come, change, break, become empty and go; rows of before files had ids
+    go with the file of their name."""
+    i, text, name = F.col("doc_id"), F.coalesce("text", F.lit("")), F.concat(F.lit("doc"), F.col("doc_id").cast("string"))
+    docs = t.spread("documents").select("doc_id", text.alias("text"))
+    of = {1: text, 2: F.when((i % 3 == 0) & (i % 7 == 0), F.lit("broken")).when(i % 3 == 0, F.substring(text, 1, 1500)).otherwise(text)}
+    of[3] = F.when(i % 4 == 0, F.lit(" ")).otherwise(of[2])
+    there = {1: i % 5 != 4, 2: i % 5 != 0, 3: i % 5 != 1}
+    folder, path = streams.new_stream_folder(t.spark, "listings"), scratch_path(t.spark, "arriving-listings")
+    for number, content in of.items():
+        listed = docs.filter(there[number])
+        none = F.lit(None).cast("string")
+        listed.select(
+            F.concat(F.lit("f"), i.cast("string")).alias("id"), name.alias("name"), none.alias("drive_path"), none.alias("mimeType"),
+            F.lit("2024-02-01T10:00:00Z").alias("modifiedTime"), F.md5(content).alias("md5Checksum"), F.lit(number).alias("snapshot"),
+            F.lit(listed.count()).alias("files")).repartition(2).write.mode("append").parquet(path)
+    table, _ = streams.corpus_tables(t.spark, folder, 8)
+    old = lambda key, source: docs.filter(key).select(
+        F.concat(F.lit("old-"), source).alias("id"), F.lit("old").alias("content"), source.alias("source"), F.lit(None).cast("string").alias("drive_file_id"),
+        F.lit(None).cast("int").alias("chunk_index"))
+    table.replace(old(i % 10 == 3, name).union(old(i % 50 == 0, F.concat(F.lit("other"), i.cast("string")))), list(range(table.parts)))
+
+    def contents(number):
+        return docs.select(F.concat(F.lit("f"), i.cast("string")).alias("id"), of[number].cast("binary").alias("content"))
+
+    schema = t.spark.read.parquet(path).schema
+    streams.follow_corpus(streams.read_stream(t.spark, path, schema), folder, contents, two_pages, flat, 1, parts=8, overlap=0)
+    table, manifest = streams.corpus_tables(t.spark, folder, 8)
+    chunks = table.read()
+    files = packed_files(chunks.withColumn("drive_file_id", F.coalesce("drive_file_id", "source")))
+    return files.withColumnRenamed("drive_file_id", "file").join(
+        manifest.read().select(F.col("drive_file_id").alias("file"), "status"), "file", "full")

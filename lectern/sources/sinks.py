@@ -1,104 +1,94 @@
-"""Writers. A table is a folder of versions and of numbered commits, each the name of a version; the highest number counts.
+"""Writers. A table that is changed in parts is a Parquet folder dealt by hash of a key: a change reads and writes only
+the parts it touches (dynamic partition overwrite), from rows that were stored beforehand, and leaves the files of all others as they are.
 
-A new version is written completely before its commit, and a commit is one small file that appears whole and is never changed
-or replaced. A run that stops anywhere leaves readers with the commit before; of two writers that start from the same commit
-the second fails instead of losing what the first wrote."""
+One writer at a time. A change that stops half-way is repeated as it is, since ids are derived from content and position; who needs
+versions or concurrent writers keeps the table in a format that has them."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..functions.base import present
 from ..operators.audit import audit_sessions
 from ..operators.sync import upsert_chunks
-from ..session import file_system
-
-_COMMITS = "commits"
-
-
-def _commits(spark: SparkSession, path: str) -> list[int]:
-    fs, Path = file_system(spark, path)
-    folder = Path(f"{path}/{_COMMITS}")
-    if fs.exists(folder):
-        numbers = sorted(int(s.getPath().getName()) for s in fs.listStatus(folder) if s.getPath().getName().isdigit())
-        if numbers:
-            return numbers
-    if fs.exists(Path(path)) and any(s.getPath().getName().startswith("v-") for s in fs.listStatus(Path(path))):
-        raise RuntimeError(f"{path} has versions but no commit: it is being created, or its commits were lost")
-    return []
-
-
-def _version(spark: SparkSession, path: str, number: int) -> str:
-    fs, Path = file_system(spark, path)
-    file = fs.open(Path(f"{path}/{_COMMITS}/{number:010d}"))
-    try:
-        return spark._jvm.org.apache.commons.io.IOUtils.toString(file, "UTF-8")
-    finally:
-        file.close()
-
-
-def current_version(spark: SparkSession, path: str) -> str | None:
-    """Folder of the published version, None before the first publication. Versions without any commit are an error, so that
-    a damaged table is never taken for a new one."""
-    numbers = _commits(spark, path)
-    return f"{path}/{_version(spark, path, numbers[-1])}" if numbers else None
-
-
-def publish(df: DataFrame, path: str, partition_by: list[str] | None = None, after: int | None = None) -> str:
-    """Write a new version and commit it; returns the version's folder. With ``after``, the number of the commit that ``df``
-    was made from, a commit made meanwhile is an error."""
-    spark = df.sparkSession
-    before = _commits(spark, path)
-    number = (before[-1] if before else 0) if after is None else after
-    version = f"v-{uuid.uuid4().hex}"
-    writer = df.write.partitionBy(*partition_by) if partition_by else df.write
-    writer.parquet(f"{path}/staged-{version}")
-    fs, Path = file_system(spark, path)
-    staged = Path(f"{path}/{_COMMITS}/.{version}")
-    out = fs.create(staged, True)
-    out.write(bytearray(version.encode()))
-    out.close()
-    if before and before[-1] != number or fs.exists(Path(f"{path}/{_COMMITS}/{number + 1:010d}")):
-        fs.delete(staged, False)
-        raise RuntimeError(f"{path} was changed by another writer")
-    # the data gets its name first: readers look for it only once the commit is there, and a rename onto a file fails
-    fs.rename(Path(f"{path}/staged-{version}"), Path(f"{path}/{version}"))
-    if not fs.rename(staged, Path(f"{path}/{_COMMITS}/{number + 1:010d}")):
-        raise RuntimeError(f"{path} was changed by another writer")
-    return f"{path}/{version}"
-
-
-def remove_old_versions(spark: SparkSession, path: str, keep: int = 2) -> int:
-    """Drop all but the newest ``keep`` commits and their versions; returns how many went. Readers of those must have ended."""
-    if keep < 1:
-        raise ValueError("keep must be at least 1")
-    fs, Path = file_system(spark, path)
-    old = _commits(spark, path)[:-keep]
-    for number in old:
-        fs.delete(Path(f"{path}/{_version(spark, path, number)}"), True)
-        fs.delete(Path(f"{path}/{_COMMITS}/{number:010d}"), False)
-    return len(old)
-
-
-def read_published(spark: SparkSession, path: str) -> DataFrame | None:
-    version = current_version(spark, path)
-    return None if version is None else spark.read.parquet(version)
-
-
-def write_chunks(new: DataFrame, path: str, order: list[Column] | None = None, touched: DataFrame | None = None) -> DataFrame:
-    """Keyed upsert of chunks into the table at ``path``; returns the table as published. With ``touched``
-    (file_id), chunks of those files that are not in ``new`` go."""
-    spark = new.sparkSession
-    numbers = _commits(spark, path)
-    target = spark.read.parquet(f"{path}/{_version(spark, path, numbers[-1])}") if numbers else spark.createDataFrame([], new.schema)
-    table = upsert_chunks(target, new, order)
-    if touched is not None:
-        files, current = touched.select(F.col("file_id").alias("_file")).distinct(), new.select(F.col("id").alias("_id")).distinct()
-        marked = table.join(files, F.col("file_id") == F.col("_file"), "left").join(current, F.col("id") == F.col("_id"), "left")
-        table = marked.filter(F.col("_file").isNull() | F.col("_id").isNotNull()).select(*table.columns)
-    publish(table, path, after=numbers[-1] if numbers else 0)
-    return read_published(spark, path)
+from ..session import exists, file_system, written
+
+PARTS = 64
+#: What says which file a chunk belongs to; rows without it are dealt by their source.
+FILE_KEY = ("drive_file_id", "source")
+
+
+class DealtTable:
+    """A table in ``parts`` folders by hash of the first non-empty column of ``key``. The name of the folders holds the number of parts, so a
+    table is never read with another one."""
+
+    def __init__(self, spark: SparkSession, path: str, key: tuple[str, ...] = FILE_KEY, parts: int = PARTS):
+        self.spark, self.path, self.key, self.parts = spark, path.rstrip("/"), tuple(key), parts
+        self.column = f"part_of_{parts}"
+
+    def part(self, columns: list[str]) -> Column:
+        key = F.coalesce(*(present(F.col(c).cast("string")) for c in self.key if c in columns), F.lit(""))
+        return F.pmod(F.xxhash64(key), F.lit(self.parts)).cast("int")
+
+    def exists(self) -> bool:
+        return exists(self.spark, f"{self.path}/_columns/{self.column}")
+
+    def read(self, touched: list[int] | None = None) -> DataFrame:
+        """The rows, or those of some parts, whose folders alone are read."""
+        if not self.exists():
+            raise ValueError(f"{self.path} is no table of {self.parts} parts")
+        columns = self.spark.read.parquet(f"{self.path}/_columns/{self.column}").schema
+        table = self.spark.read.schema(columns).parquet(self.path)
+        return (table if touched is None else table.filter(F.col(self.column).isin(touched))).drop(self.column)
+
+    def touched(self, keys: DataFrame) -> list[int]:
+        """Parts of rows that have (some of) the key's columns: at most ``parts`` numbers."""
+        return sorted(r[0] for r in keys.select(self.part(keys.columns)).distinct().collect())
+
+    def replace(self, rows: DataFrame, touched: list[int]) -> None:
+        """Make ``rows`` the contents of the parts ``touched``, which all of them belong to."""
+        placed = rows.withColumn(self.column, self.part(rows.columns))
+        # stored first, as rows may be made from the parts they replace; large parts are split, small ones share a file
+        placed = written(placed.hint("rebalance", self.column), "parts")
+        filled = {r[0] for r in placed.select(self.column).distinct().collect()}
+        if not filled <= set(touched):
+            raise ValueError("rows of parts that are not replaced")
+        if not self.exists():
+            placed.limit(0).write.parquet(f"{self.path}/_columns/{self.column}")
+        if filled:
+            placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(self.column).parquet(self.path)
+        # a part without rows is not written, so its folder is still the old one
+        fs, Path = file_system(self.spark, self.path)
+        for part in set(touched) - filled:
+            fs.delete(Path(f"{self.path}/{self.column}={part}"), True)
+
+    def upsert(self, new: DataFrame, order: list[Column] | None = None, files: DataFrame | None = None) -> DataFrame:
+        """Rows of ``new`` replace those of the same id, which must have the same key; returns the table. With ``files`` (the first column of the
+        key), rows of those files that are not in ``new`` go."""
+        if not self.exists():
+            self.replace(upsert_chunks(new.limit(0), new, order), list(range(self.parts)))
+            return self.read()
+        touched = set(self.touched(new))
+        if files is not None:
+            touched |= set(self.touched(files.select(F.col(self.key[0]))))
+        before = self.read(sorted(touched))
+        unknown = set(new.columns) - set(before.columns)
+        if unknown:
+            raise ValueError(f"{self.path} has no columns {sorted(unknown)}")
+        after = upsert_chunks(before, new, order)
+        if files is not None:
+            gone = files.select(F.col(self.key[0])).distinct()
+            stale = before.join(gone, self.key[0], "left_semi").join(new.select("id"), "id", "left_anti").select("id")
+            after = after.join(stale, "id", "left_anti").select(*before.columns)
+        self.replace(after.select(*before.columns), sorted(touched))
+        return self.read()
+
+
+def write_chunks(new: DataFrame, path: str, order: list[Column] | None = None, touched: DataFrame | None = None,
+                 key: tuple[str, ...] = FILE_KEY, parts: int = PARTS) -> DataFrame:
+    """Keyed upsert of chunks into the table at ``path``; returns the table. With ``touched`` (the first column of ``key``), chunks of those files
+    that are not in ``new`` go. ``key`` is what the id determines: the file, or ("id",) where ids do not tell."""
+    return DealtTable(new.sparkSession, path, key, parts).upsert(new, order, touched)
 
 
 def export_audit_json(messages: DataFrame, path: str, part_size: int = 1000) -> None:

@@ -7,7 +7,7 @@ time to live. Only the newest checks change while a stream runs; they are writte
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pandas as pd
@@ -21,8 +21,9 @@ from ..operators.dedup import TURN_KEY, dedup_turns
 from ..operators.flow import DECISION_SCHEMA, EVENT_COLUMNS, replay, start_of, tag_turns
 from ..operators.metrics import latency_sample
 from ..operators.ordering import newest_per_key
-from ..session import scratch_path, written
-from ..sources.sinks import write_chunks
+from ..plans import corpus
+from ..session import exists, scratch_path, written
+from ..sources.sinks import PARTS, DealtTable, write_chunks
 
 
 def read_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int = 1) -> DataFrame:
@@ -305,22 +306,71 @@ def read_newest(spark: SparkSession, path: str, schema: T.StructType, keys: list
     return newest_per_key(rows, keys, [F.col("batch_id")]).select(*schema.names)
 
 
-def load_corpus(files: DataFrame, path: str, size: int = 1000, overlap: int = 150) -> None:
-    """Incremental corpus load: chunk arriving files and upsert the chunks into the published table.
+def load_corpus(files: DataFrame, path: str, size: int = 1000, overlap: int = 150, parts: int = PARTS) -> None:
+    """Incremental corpus load: chunk arriving files and upsert the chunks into the table dealt by file.
 
     files: file_id, source, pages, and a column ``seen_at`` that rises with versions of a file. Of several versions
     in one micro-batch the newest counts; chunks that a file no longer has go, also those of a file that has become empty. A repeated
-    micro-batch writes the same ids, so it changes nothing."""
+    micro-batch writes the same ids, so it changes nothing. Files that leave a listing, and the manifest, are kept by ``follow_corpus``."""
 
     def load(batch: DataFrame, batch_id: int) -> None:
         newest = newest_per_key(batch, ["file_id"], [F.col("seen_at")]).drop("seen_at")
         chunks = chunk_recursive(newest, size, overlap).select(
             chunk_record_id("file_id", "page_number", "chunk_index", "content_hash").alias("id"), "*")
-        write_chunks(written(chunks, "chunks"), f"{path}/chunks", touched=newest.select("file_id"))
+        write_chunks(written(chunks, "chunks"), f"{path}/chunks", touched=newest.select("file_id"), key=("file_id",), parts=parts)
 
     files.writeStream.option("checkpointLocation", f"{path}/checkpoint").trigger(
         availableNow=True).foreachBatch(load).start().awaitTermination()
 
 
+def loaded_chunks(spark: SparkSession, path: str, parts: int = PARTS) -> DataFrame:
+    """The chunk table of ``load_corpus``."""
+    return DealtTable(spark, f"{path}/chunks", ("file_id",), parts).read()
+
+
+_MANIFEST = ("drive_file_id string, name string, drive_path string, mime_type string, modified_time string, md5_checksum string, "
+             "chunks_count int, status string, last_synced_at timestamp, last_error string, updated_at timestamp")
+
+
+def corpus_tables(spark: SparkSession, path: str, parts: int = PARTS) -> tuple[DealtTable, DealtTable]:
+    """Chunk table and manifest of ``follow_corpus``."""
+    return DealtTable(spark, f"{path}/chunks", parts=parts), DealtTable(spark, f"{path}/manifest", ("drive_file_id",), parts)
+
+
+def follow_corpus(listings: DataFrame, path: str, contents: Callable[[int], DataFrame | DealtTable], extractor: Callable, embed: Callable,
+                  dim: int, parts: int = PARTS, **options) -> None:
+    """Keep chunk table and manifest in step with a stream of listing snapshots: one run of ``reconcile`` for each.
+
+    listings: columns of a listing, ``snapshot`` (its number: 1, 2, 3, ...) and ``files`` (how many rows it has). A snapshot may come in several
+    micro-batches and rows may be repeated; it is acted on once all its files are there and those before it are done, so that what has not arrived yet is
+    never taken for removed. ``contents`` gives the contents of files at the time of a snapshot. The manifest is the stored snapshot that the next one is
+    compared with: files that are new, changed, gone or of an old format all follow. A run that stops anywhere is repeated as it is."""
+    spark = listings.sparkSession
+    table, manifest = corpus_tables(spark, path, parts)
+    waiting = f"{path}/listings"
+
+    def follow(batch: DataFrame, batch_id: int) -> None:
+        batch.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+            "batch", "snapshot").parquet(waiting)
+        arrived = spark.read.parquet(waiting)
+        done = spark.read.parquet(f"{path}/done").agg(F.max("snapshot")).first()[0] if exists(spark, f"{path}/done") else 0
+        complete = arrived.filter(F.col("snapshot") > done).groupBy("snapshot").agg(
+            (F.count_distinct("id") == F.max("files")).alias("whole")).orderBy("snapshot").collect()  # one row per open snapshot
+        for number, whole in complete:
+            if not whole or number != done + 1:
+                break
+            done = number
+            listing = arrived.filter(F.col("snapshot") == number).drop("snapshot", "files", "batch").dropDuplicates(["id"])
+            before = manifest.read() if manifest.exists() else spark.createDataFrame([], _MANIFEST)
+            run = corpus.reconcile_into(table, listing, before, contents(number), extractor, embed, dim, **options)
+            files = run.results.filter("action <> 'unchanged'").select(F.col("id").alias("drive_file_id"))
+            touched = manifest.touched(files)
+            manifest.replace(run.manifest.filter(manifest.part(run.manifest.columns).isin(touched)), touched)
+            spark.range(1).select(F.lit(number).cast("bigint").alias("snapshot")).write.mode("append").parquet(f"{path}/done")
+
+    listings.writeStream.option("checkpointLocation", f"{path}/checkpoint").trigger(
+        availableNow=True).foreachBatch(follow).start().awaitTermination()
+
+
 def new_stream_folder(spark: SparkSession, name: str) -> str:
     return scratch_path(spark, f"stream-{name}")

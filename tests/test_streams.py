@@ -130,3 +130,50 @@ def test_windows_are_closed_once(spark, tmp_path):
     before = len(list((tmp_path / "out" / "data").glob("*.parquet")))
     assert streams.run_activity(streams.windowed_activity(plain, "1 day", "1 day", F.col("beat")), path) == 0
     assert len(list((tmp_path / "out" / "data").glob("*.parquet"))) == before and got.count() == 4
+
+
+LISTING = "id string, name string, drive_path string, mimeType string, modifiedTime string, md5Checksum string, snapshot int, files long"
+
+
+def test_a_listing_is_acted_on_once_it_is_whole(spark, tmp_path):
+    """Three listings, the second in two pieces that arrive after the third: equal to three runs in order, and no file is taken for removed early."""
+    from lectern.plans import corpus
+    from lectern.plans.corpus_queries import flat, two_pages
+
+    def rows(number, **files):
+        return [(i, f"{i}.txt", None, None, "2024-02-01T10:00:00Z", v, number, len(files)) for i, v in files.items()]
+
+    texts = {1: {"a": "one", "b": "two", "c": "three"}, 2: {"a": "one", "b": "two and more", "d": "four"}, 3: {"b": "two and more", "d": " ", "e": "broken"}}
+    at = lambda n: spark.createDataFrame([(i, t.encode()) for i, t in texts[n].items()], "id string, content binary")
+    snapshots = {n: rows(n, **t) for n, t in texts.items()}
+    arriving = Deliveries(spark, tmp_path, LISTING)
+    path, options = str(tmp_path / "out"), dict(now=F.to_timestamp(F.lit("2024-04-01 00:00:00")))
+
+    def run():
+        streams.follow_corpus(arriving.stream(), path, at, two_pages, flat, 1, parts=4, **options)
+        table, manifest = streams.corpus_tables(spark, path, 4)
+        if not table.exists():
+            return None
+        return {(r.drive_file_id, r.content) for r in table.read().collect()}, {(r.drive_file_id, r.status) for r in manifest.read().collect()}
+
+    arriving.write(snapshots[1][:2])
+    assert run() is None
+    arriving.write(snapshots[1][2:])
+    first = run()
+    assert first == ({("a", "one"), ("b", "two"), ("c", "three")}, {(x, "active") for x in "abc"})
+    arriving.write(snapshots[3])
+    arriving.write(snapshots[2][:1])
+    assert run() == first
+    arriving.write(snapshots[2])
+    last = run()
+    assert last == ({("b", "two and more")}, {("b", "active"), ("d", "active"), ("e", "error")})
+    assert run() == last
+    # the batch twin
+    table, manifest = spark.createDataFrame([], "id string, drive_file_id string, source string"), spark.createDataFrame([], streams._MANIFEST)
+    for n, listed in snapshots.items():
+        done = corpus.reconcile(spark.createDataFrame(listed, LISTING).drop("snapshot", "files"), manifest, at(n), table, two_pages, flat, 1, **options)
+        table, manifest = (spark.createDataFrame(x.collect(), x.schema) for x in (done.table, done.manifest))
+    whole = lambda df: normalized(df.drop("embedding").toPandas())
+    streamed, entries = (x.read() for x in streams.corpus_tables(spark, path, 4))
+    assert whole(streamed.select(sorted(set(streamed.columns) - {"embedding"}))) == whole(table.select(sorted(set(streamed.columns) - {"embedding"})))
+    assert whole(entries) == whole(manifest.select(entries.columns))

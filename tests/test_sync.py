@@ -1,3 +1,4 @@
+import re
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,9 +99,9 @@ def test_reconcile_is_idempotent_and_leaves_no_stale_rows(spark, tmp_path):
         "id string, content string, source string, drive_file_id string")
     target = empty.limit(0).unionByName(old, allowMissingColumns=True)
     first, new_manifest, results, report, _ = reconcile(spark, listing, manifest, contents, target)
-    published = str(tmp_path / "table")
-    sinks.publish(first, published)
-    table = sinks.read_published(spark, published)
+    stored = sinks.DealtTable(spark, str(tmp_path / "table"), parts=4)
+    stored.replace(first, list(range(4)))
+    table = stored.read()
     rows = {(r.drive_file_id, r.page_number, r.chunk_index, r.content): r for r in table.collect()}
     assert set(rows) == {
         ("a", 1, 0, "Silva (2020). Um titulo bem comprido"), ("a", 2, 1, "texto novo"), ("b", 1, 0, "outro"), ("b", 3, 1, "texto"),
@@ -114,8 +115,8 @@ def test_reconcile_is_idempotent_and_leaves_no_stale_rows(spark, tmp_path):
     assert {r["class"] for r in reconcile(spark, listing, new_manifest, contents, table).plan.collect()} == {"unchanged"}
     again, *_ = reconcile(spark, listing, manifest, contents, table)
     assert sorted(r.id for r in again.collect()) == sorted(r.id for r in table.collect())
-    sinks.publish(again, published)
-    assert sinks.read_published(spark, published).count() == 6
+    stored.replace(again, list(range(4)))
+    assert stored.read().count() == 6
 
 
 def test_failed_files_keep_their_chunks(spark, tmp_path):
@@ -155,28 +156,82 @@ def test_failed_files_keep_their_chunks(spark, tmp_path):
     assert classes(plan) == {"good": "unchanged", "blank": "unchanged", "broken": "changed", "lost": "changed"}
 
 
-def test_failed_write_publishes_nothing(spark, tmp_path):
+def files_of(path):
+    return {f: f.stat().st_mtime_ns for f in path.rglob("*.parquet") if "_columns" not in str(f)}
+
+
+CHUNK = "id string, content string, drive_file_id string, source string"
+
+
+def test_an_upsert_touches_its_parts_only(spark, tmp_path):
+    rows = [(f"{n}-{i}", "old", f"f{n}", f"{n}.pdf") for n in range(40) for i in range(3)] + [("free", "old", None, "3.pdf")]
     path = str(tmp_path / "t")
-    sinks.publish(spark.range(3), path)
-    broken = spark.range(3).select(F.when(F.col("id") == 2, F.raise_error(F.lit("boom"))).otherwise(F.col("id")).cast("bigint").alias("id"))
-    with pytest.raises(Exception):
-        sinks.publish(broken, path)
-    assert sinks.read_published(spark, path).count() == 3
+    sinks.write_chunks(spark.createDataFrame(rows, CHUNK), path, parts=16)
+    before = files_of(tmp_path / "t")
+    new = spark.createDataFrame([("3-0", "new", "f3", "3.pdf"), ("3-9", "new", "f3", "3.pdf"), ("99-0", "new", "f99", "99.pdf")], CHUNK)
+    for _ in range(2):  # repeating a write changes nothing
+        got = sinks.write_chunks(new, path, parts=16, touched=new.select("drive_file_id"))
+        want = {r[0]: r[1] for r in rows if r[2] != "f3"} | {"3-0": "new", "3-9": "new", "99-0": "new"}
+        assert {r.id: r.content for r in got.collect()} == want and got.count() == len(want)
+    after = files_of(tmp_path / "t")
+    kept = {f for f in before if after.get(f) == before[f]}
+    assert len({f.parent for f in before}) - len({f.parent for f in kept}) <= 2 < len(kept)
+    # only the folders of touched parts are read
+    table = sinks.DealtTable(spark, path, parts=16)
+    plan = table.read(table.touched(new))._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*part_of_16", plan)
+    with pytest.raises(ValueError):
+        sinks.DealtTable(spark, path, parts=8).read()
+    with pytest.raises(ValueError):  # a column that the table does not have
+        sinks.write_chunks(new.withColumn("more", F.lit(1)), path, parts=16)
 
 
-def test_no_commit_is_lost(spark, tmp_path):
+def test_a_part_that_loses_all_rows_is_empty(spark, tmp_path):
     path = str(tmp_path / "t")
-    sinks.publish(spark.range(3), path)
-    sinks.publish(spark.range(4), path, after=1)
-    with pytest.raises(RuntimeError):  # made from an older commit
-        sinks.publish(spark.range(5), path, after=1)
-    assert sinks.read_published(spark, path).count() == 4
-    assert sinks.remove_old_versions(spark, path, keep=1) == 1
-    assert sinks.read_published(spark, path).count() == 4
-    for commit in (tmp_path / "t" / "commits").iterdir():
-        commit.unlink()
-    with pytest.raises(RuntimeError):  # versions without a commit are no empty table
-        sinks.write_chunks(spark.range(1).select(F.col("id").cast("string").alias("id")), path)
+    rows = spark.createDataFrame([("a", "x", "f1", "s"), ("b", "x", "f2", "s")], CHUNK)
+    sinks.write_chunks(rows, path, parts=64)
+    gone = spark.createDataFrame([("f1",), ("unknown",)], "drive_file_id string")
+    assert [r.id for r in sinks.write_chunks(rows.limit(0), path, parts=64, touched=gone).collect()] == ["b"]
+    assert sinks.write_chunks(rows.limit(0), path, parts=64, touched=rows.select("drive_file_id")).count() == 0
+    assert sinks.write_chunks(rows, path, parts=64).count() == 2
+    empty = str(tmp_path / "empty")
+    assert sinks.write_chunks(rows.limit(0), empty).count() == 0 and sinks.write_chunks(rows, empty).count() == 2
+
+
+def test_a_failed_change_leaves_the_table(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = spark.createDataFrame([("a", "x", "f1", "s"), ("b", "x", "f2", "s")], CHUNK)
+    sinks.write_chunks(rows, path)
+    before = files_of(tmp_path / "t")
+    broken = rows.withColumn("content", F.when(F.col("id") == "b", F.raise_error(F.lit("boom"))).otherwise(F.col("content")))
+    with pytest.raises(Exception):
+        sinks.write_chunks(broken, path)
+    assert files_of(tmp_path / "t") == before
+
+
+def test_repeated_ids_without_an_order_are_settled_by_all_columns(spark):
+    target = spark.createDataFrame([("a", 1, "t"), ("z", 1, "t")], "id string, n int, content string")
+    new = [("a", 2, "x"), ("a", 3, "b"), ("a", 3, "c"), ("b", 1, "only"), ("c", None, "n"), ("c", 0, None)]
+    for rows in (new, new[::-1]):
+        got = sync.upsert_chunks(target, spark.createDataFrame(rows, target.schema)).collect()
+        assert sorted(map(tuple, got)) == [("a", 3, "c"), ("b", 1, "only"), ("c", 0, None), ("z", 1, "t")]
+    by = sync.upsert_chunks(target, spark.createDataFrame(new, target.schema), [-F.col("n")]).filter("id = 'a'").collect()
+    assert [tuple(r) for r in by] == [("a", 2, "x")]
+
+
+def test_only_bytes_of_chosen_files_are_read_and_none_are_moved(spark, tmp_path):
+    contents = sinks.DealtTable(spark, str(tmp_path / "contents"), ("id",), parts=32)
+    contents.replace(spark.createDataFrame([(f"f{i}", f"text {i}".encode()) for i in range(200)] + [("f7", b"another")], "id string, content binary"), list(range(32)))
+    chosen = spark.createDataFrame([("f7", "n"), ("f8", "n"), ("none", "n")], "file_id string, name string")
+    found = corpus.chosen_contents(chosen, contents)
+    got = {r.file_id: r.content for r in found.collect()}
+    assert got["f8"] == b"text 8" and got["none"] is None and got["f7"] in (b"text 7", b"another") and found.count() == 3
+    single = corpus.chosen_contents(chosen.filter("file_id <> 'f7'"), contents)._jdf.queryExecution().executedPlan().toString()
+    scans = [x for x in single.splitlines() if "FileScan" in x and "content#" in x]
+    assert scans and all("part_of_32" in x.split("PartitionFilters")[1] for x in scans)
+    assert not re.search(r"Exchange (hash|range|single)[^\n]*\n[^E]*content", single)
+    for line in single.splitlines():
+        assert not ("Exchange hashpartitioning" in line and "content" in line)
 
 
 def test_manifest_rows(spark):
