@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.base import present
 from ..functions.vectors import as_matrix, similarity_to, unit_rows
+from ..session import written
+from .cells import CellTree
 from .ordering import first_n_per_key
 
 ATTEMPTS = 3
@@ -138,13 +140,13 @@ def _id_array(column, kind: pa.DataType) -> np.ndarray:
 
 def match_batch(
     queries: DataFrame, docs: DataFrame, dim: int, k: int = 5, threshold: float = 0.75,
-    broadcast_values: int = 4_000_000, pivots: int = 32, block_rows: int = 20_000,
+    broadcast_values: int = 4_000_000, cells: int | None = None, block_rows: int = 20_000,
 ) -> DataFrame:
     """Exact top-k for a table of questions: query_id, id, similarity, rank.
 
     queries: query_id, embedding [, threshold]; docs: id, embedding.
     A question set of at most ``broadcast_values`` numbers is sent to every task and the documents stay where
-    they are. A larger one goes through ``_match_by_cells``."""
+    they are. A larger one goes through a tree of cells (``match_by_cells``)."""
     check_match(k, threshold)
     if "threshold" not in queries.columns:
         queries = queries.withColumn("threshold", F.lit(float(threshold)))
@@ -154,7 +156,7 @@ def match_batch(
     if queries.limit(most + 1).count() <= most:
         found = _match_by_broadcast(queries, docs, dim, k)
     else:
-        found = _match_by_cells(queries, docs, dim, k, pivots, block_rows)
+        found, _ = match_by_cells(queries, docs, dim, k, cells, block_rows)
     return first_n_per_key(found, ["query_id"], [F.desc("similarity"), F.asc("id")], k, "rank")
 
 
@@ -183,75 +185,113 @@ def _match_by_broadcast(queries: DataFrame, docs: DataFrame, dim: int, k: int) -
     return docs.mapInArrow(run, _schema(queries, docs))
 
 
-def pivot_directions(count: int, dim: int) -> np.ndarray:
-    """Fixed unit vectors that cut the space into cells."""
-    return unit_rows(np.random.default_rng(7).standard_normal((count, dim)))
+#: Documents that a cell aims at, and the bounds of the cells and of the sample they are made from, in numbers on the driver.
+CELL_ROWS, MOST_CELLS, SAMPLE_ROWS, SAMPLE_VALUES = 2_000, 4_096, 20_000, 4_000_000
 
 
-def _match_by_cells(
-    queries: DataFrame, docs: DataFrame, dim: int, k: int, pivots: int, block_rows: int
-) -> DataFrame:
-    """Equi-join of questions and documents on cells around fixed directions.
+def _tree(docs: DataFrame, dim: int, cells: int | None) -> CellTree | None:
+    """Centres from a sample of bounded size, chosen by hash; None without any vector."""
+    if cells is None:
+        cells = min(MOST_CELLS, max(1, docs.count() // CELL_ROWS))
+    most = max(cells, min(SAMPLE_ROWS, SAMPLE_VALUES // dim))
+    sample = docs.orderBy(F.xxhash64("id"), "id").limit(most).select("embedding").toArrow()
+    units = unit_rows(as_matrix(sample.column("embedding"), dim))
+    units = units[~np.isnan(units).any(axis=1)]
+    return CellTree(units, cells) if len(units) else None
+
 
-    A document lies in the cell of its nearest direction. By the triangle inequality for angles a question can
-    only match in a cell whose range of document angles comes within arccos(threshold) of the question's own
-    angle to that direction, so skipping the other cells loses nothing. Large cells are cut into blocks of
+def match_by_cells(
+    queries: DataFrame, docs: DataFrame, dim: int, k: int, cells: int | None = None, block_rows: int = 20_000
+) -> tuple[DataFrame, DataFrame]:
+    """Candidates (query_id, id, similarity) that hold the exact top-k of each question, and how the work was cut down: rows
+    (query_id, cell, documents) for every cell that a question was scored against.
+
+    Centres made from the data cut the documents into cells of a tree; each cell knows the largest angle of its documents to the centre. A question
+    is first scored in the cell next to it; the k-th best found there, or its threshold, is the floor for all others: cells whose
+    bound stays below are passed over, by whole nodes where the node's does. Large cells are cut into blocks of
     documents and of questions; a task sees one block of each and returns at most k rows per question."""
-    directions = pivot_directions(pivots, dim)
-
-    @F.arrow_udf("struct<cell:int,angle:double>")
-    def nearest(vectors: pa.Array) -> pa.Array:
-        cos = np.nan_to_num(unit_rows(as_matrix(vectors, dim)) @ directions.T, nan=-2.0)
-        cell = cos.argmax(axis=1)
-        best = cos[np.arange(len(cos)), cell] if len(cos) else np.zeros(0)
-        return pa.StructArray.from_arrays(
-            [pa.array(cell.astype(np.int32)), pa.array(np.arccos(np.clip(best, -1, 1)), mask=best < -1)],
-            names=["cell", "angle"],
-        )
-
-    @F.arrow_udf("array<double>")
-    def angles(vectors: pa.Array) -> pa.Array:
-        cos = unit_rows(as_matrix(vectors, dim)) @ directions.T
-        return pa.array(list(np.arccos(np.clip(cos, -1, 1))), type=pa.list_(pa.float64()))
-
-    placed = docs.withColumn("_n", nearest(F.col("embedding"))).select(
-        "id", "embedding", F.col("_n.cell").alias("cell"), F.col("_n.angle").alias("angle")
-    ).filter(F.col("angle").isNotNull())
-    cells = placed.groupBy("cell").agg(
-        F.min("angle").alias("near"), F.max("angle").alias("far"),
-        F.ceil(F.count("*") / F.lit(block_rows)).alias("doc_blocks"),
-    )
-    slack = 1e-9
-    reach = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("threshold")))) + slack
-    asked = (
-        queries.select("query_id", "embedding", "threshold", F.posexplode(angles(F.col("embedding"))).alias("cell", "a"))
-        .join(F.broadcast(cells), "cell")  # one row per direction
-        .filter((F.col("a") - reach <= F.col("far")) & (F.col("a") + reach >= F.col("near")))
-    )
-    sizes = asked.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(block_rows)).alias("query_blocks"))
-    pick = lambda key, blocks: F.pmod(F.xxhash64(key), blocks).cast("int")
-    every = lambda blocks: F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int")))
-    left = (
-        placed.join(F.broadcast(cells.select("cell", "doc_blocks")), "cell")
-        .join(F.broadcast(sizes), "cell")
-        .select("cell", pick("id", F.col("doc_blocks")).alias("db"), every(F.col("query_blocks")).alias("qb"), "id", "embedding")
-    )
-    right = asked.join(F.broadcast(sizes), "cell").select(
-        "cell", every(F.col("doc_blocks")).alias("db"), pick("query_id", F.col("query_blocks")).alias("qb"),
-        "query_id", "embedding", "threshold",
-    )
-    id_type, query_type = _arrow_type(docs, "id"), _arrow_type(queries, "query_id")
+    spark, id_type, query_type = docs.sparkSession, _arrow_type(docs, "id"), _arrow_type(queries, "query_id")
+    schema = _schema(queries, docs)
+    visit_schema = T.StructType([schema["query_id"], T.StructField("cell", T.IntegerType()), T.StructField("documents", T.LongType())])
+    tree = _tree(docs, dim, cells)
+    if tree is None:
+        return spark.createDataFrame([], schema), spark.createDataFrame([], visit_schema)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            units = unit_rows(as_matrix(batch.column(1), dim))
+            ok = np.flatnonzero(~np.isnan(units).any(axis=1))
+            cell, angle, high = tree.place(units[ok])
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0).take(pa.array(ok)), batch.column(1).take(pa.array(ok)), pa.array(cell.astype(np.int32)), pa.array(angle), pa.array(high)],
+                names=["id", "embedding", "cell", "angle", "high"])
+
+    vector = docs.schema["embedding"].dataType
+    placed = written(docs.select("id", "embedding").mapInArrow(place, T.StructType([
+        schema["id"], T.StructField("embedding", vector), T.StructField("cell", T.IntegerType()),
+        T.StructField("angle", T.DoubleType()), T.StructField("high", T.DoubleType())])), "placed")
+    # one row per cell
+    for r in placed.groupBy("cell").agg(F.count("*").alias("rows"), F.max("angle").alias("angle"), F.max("high").alias("high")).collect():
+        tree.cover(r["cell"], r["rows"], r["angle"], r["high"])
+    if not tree.rows.any():
+        return spark.createDataFrame([], schema), spark.createDataFrame([], visit_schema)
+
+    def ask(first: bool):
+        """Each question with a cell to be scored in: the one next to it, or all others that its floor leaves."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                units = unit_rows(as_matrix(batch.column(1), dim))
+                ok = np.flatnonzero(~np.isnan(units).any(axis=1))
+                near = tree.nearest_filled(units[ok])
+                if first:
+                    q, c = np.arange(len(ok)), near
+                else:
+                    q, c = tree.visits(units[ok], batch.column(2).to_numpy()[ok])
+                    other = c != near[q]
+                    q, c = q[other], c[other]
+                for at in range(0, len(q), 4096):
+                    rows = batch.take(pa.array(ok[q[at:at + 4096]]))
+                    yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(c[at:at + 4096].astype(np.int32))], names=[*rows.schema.names, "cell"])
+
+        return run
+
+    asked_schema = T.StructType([schema["query_id"], T.StructField("embedding", queries.schema["embedding"].dataType),
+                                 T.StructField("floor", T.DoubleType()), T.StructField("cell", T.IntegerType())])
+    counts = F.array(*[F.lit(int(n)) for n in tree.rows])
+    blocks = F.ceil(F.element_at(counts, F.col("cell") + 1) / F.lit(block_rows)).cast("int")
 
     def score(ours: pa.Table, theirs: pa.Table) -> pa.Table:
         query_ids = theirs.column("query_id").to_pylist()
-        floors = np.array(theirs.column("threshold").to_pylist(), dtype=np.float64)
+        floors = np.array(theirs.column("floor").to_pylist(), dtype=np.float64)
         best = _TopK(unit_rows(as_matrix(theirs.column("embedding"), dim)), floors, k)
         if query_ids:
             best.add(_id_array(ours.column("id"), id_type), unit_rows(as_matrix(ours.column("embedding"), dim)))
         return pa.Table.from_batches([_rows(query_ids, best.held, id_type, query_type)])
 
-    key = ["cell", "db", "qb"]
-    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(score, _schema(queries, docs))
+    def meet(asked: DataFrame) -> DataFrame:
+        # one row per cell
+        sizes = F.broadcast(asked.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(block_rows)).cast("int").alias("query_blocks")))
+        pick = lambda key, n: F.pmod(F.xxhash64(key), n).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+        left = placed.join(sizes, "cell").select(
+            "cell", pick("id", blocks).alias("db"), every(F.col("query_blocks")).alias("qb"), "id", "embedding")
+        right = asked.join(sizes, "cell").select(
+            "cell", every(blocks).alias("db"), pick("query_id", F.col("query_blocks")).alias("qb"), "query_id", "embedding", "floor")
+        key = ["cell", "db", "qb"]
+        return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(score, schema)
+
+    start = queries.select("query_id", "embedding", F.col("threshold").alias("floor"))
+    nearest = written(start.mapInArrow(ask(True), asked_schema), "nearest")
+    first = written(meet(nearest), "first")
+    # a cell in blocks gives up to k rows from each
+    kth = first_n_per_key(first, ["query_id"], [F.desc("similarity"), F.asc("id")], k).groupBy("query_id").agg(
+        F.min("similarity").alias("_kth"), F.count("*").alias("_n")).filter(F.col("_n") == k).select("query_id", "_kth")
+    floors = start.join(kth, "query_id", "left").select("query_id", "embedding", F.greatest("floor", "_kth").alias("floor"))
+    others = written(floors.mapInArrow(ask(False), asked_schema), "others")
+    visited = nearest.select("query_id", "cell").union(others.select("query_id", "cell")).withColumn(
+        "documents", F.element_at(counts, F.col("cell") + 1).cast("bigint"))
+    return first.unionByName(meet(others)), visited
 
 
 def row_defaults(matches: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ def brute_force(queries, docs, threshold, k):
 
 
 @pytest.mark.parametrize("threshold", [-1.0, 0.2, 0.6, 0.95])
-@pytest.mark.parametrize("options", [{}, dict(broadcast_values=1, pivots=6, block_rows=40)])
+@pytest.mark.parametrize("options", [{}, dict(broadcast_values=1, cells=6, block_rows=40), dict(broadcast_values=1)])
 # Expected strings below that come from the application are goldens: they must match to the letter.
 def test_batch_is_exact_also_with_a_third_of_equal_vectors(spark, threshold, options):
     rng = np.random.default_rng(1)
@@ -36,6 +36,41 @@ def test_batch_is_exact_also_with_a_third_of_equal_vectors(spark, threshold, opt
     assert {(r.query_id, r.id, r["rank"]) for r in got.collect()} == brute_force(queries.astype(float), docs.astype(float), threshold, 5)
 
 
+def clusters(rng, count, each, dim, spread):
+    centres = rng.standard_normal((count, dim))
+    centres /= np.linalg.norm(centres, axis=1, keepdims=True)
+    return (np.repeat(centres, each, axis=0) + spread * rng.standard_normal((count * each, dim))).astype(np.float32)
+
+
+def test_few_documents_of_clusters_are_scored(spark):
+    rng = np.random.default_rng(3)
+    docs = clusters(rng, 40, 75, 16, 0.05)
+    queries = docs[rng.permutation(len(docs))[:200]] + 0.02 * rng.standard_normal((200, 16)).astype(np.float32)
+    asked = vectors_table(spark, queries, "query_id").withColumn("threshold", F.lit(-1.0))
+    found, visited = retrieval.match_by_cells(asked, vectors_table(spark, docs), 16, 5, cells=60, block_rows=50)
+    share = visited.agg(F.sum("documents")).first()[0] / (len(docs) * len(queries))
+    assert share < 0.2 and visited.select("query_id").distinct().count() == 200
+    best = retrieval.first_n_per_key(found, ["query_id"], [F.desc("similarity"), F.asc("id")], 5, "rank").collect()
+    assert {(r.query_id, r.id, r["rank"]) for r in best} == brute_force(queries.astype(float), docs.astype(float), -1.0, 5)
+
+
+def test_cells_cover_what_they_hold():
+    rng = np.random.default_rng(4)
+    units = vectors.unit_rows(clusters(rng, 7, 60, 6, 0.3).astype(float))
+    tree = retrieval.CellTree(units[::3], 12)
+    cell, angle, high = tree.place(units)
+    for c in np.unique(cell):
+        tree.cover(c, int((cell == c).sum()), angle[cell == c].max(), high[cell == c].max())
+    asked = vectors.unit_rows(rng.standard_normal((50, 6)))
+    for floor in (-1.0, 0.3, 0.9):
+        q, c = tree.visits(asked, np.full(50, floor))
+        visited = set(zip(q.tolist(), c.tolist()))
+        hits = {(int(i), int(cell[j])) for i, j in zip(*np.nonzero(asked @ units.T >= floor))}
+        assert hits <= visited and len(visited) == len(q)
+    equal = retrieval.CellTree(np.tile(units[0], (9, 1)), 5)
+    assert len(equal.centres) == 1
+
+
 def test_threshold_is_inclusive_and_ties_go_by_id(spark):
     docs = spark.createDataFrame(
         [("b", "x", "c", [1.0, 0.0]), ("a", "x", "c", [2.0, 0.0]), ("c", "x", "c", [0.0, 1.0]), ("z", "x", "c", [0.0, 0.0]), ("n", "x", "c", None)], DOCS)
