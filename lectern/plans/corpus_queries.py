@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import functions as F
@@ -156,7 +157,12 @@ def _(t):
 
 # ---- B: extraction and cleaning
 
-@query("b1_extract_pages")
+@query("b1_extract_pages", "", f"""
+with bare as (select page_id, regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', '', 'g'), '(?s)<!--.*?-->', '', 'g') as html from pages)
+, parts as (select page_id, unnest(string_split_regex(html, '(?i)<p(?:[ \\t\\n\\r\\f][^>]*)?>')[2:]) as part, unnest(range(len(string_split_regex(html, '(?i)<p(?:[ \\t\\n\\r\\f][^>]*)?>')) - 1)) + 1 as page_number from bare)
+, texts as (select page_id, page_number, regexp_replace(regexp_extract(part, '(?is)^(.*?)(?:</p[ ]*>|$)', 1), '<[/!?a-zA-Z][^>]*>', '', 'g') as text from parts)
+, plain as (select page_id, page_number, replace(replace(replace(replace(replace(replace(text, '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') as text from texts)
+select page_id as file_id, cast(page_number as integer) as page_number, trim(text, {WS}) as text from plain where trim(text, {WS}) <> ''""")
 def _(t):
     html = t.spread("pages").select(F.col("page_id").alias("file_id"), "url", F.encode("html", "UTF-8").alias("content"))
     return files.explode_pages(files.extract_pages(html, paragraphs), ["file_id"])
@@ -196,12 +202,25 @@ def _(t):
     return files.unsupported_files(t.given("documents"), t.given("labels"), "doc_id")
 
 
-@query("b6_plain_text")
+# RE2 has no lookaround: long numbers are found among words, and what follows an option is written back
+SPOKEN_RE2 = re.sub(r"\\u([0-9A-F]{4})", r"\\x{\1}", txt.SPOKEN_SYMBOLS)
+
+
+@query("b6_plain_text", "", f"""
+with marked as (select page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '{SPOKEN_RE2}', '', 'g'),
+  '(?s)```.*?```', '', 'g'), '`[^`]*`', '', 'g'), '[*_~#>]', '', 'g'), '\\[([^\\]]*)\\]\\([^)]*\\)', '\\1', 'g') as text from pages)
+, spelled as (select page_id, array_to_string(list_transform(regexp_extract_all(text, '[A-Za-z0-9_]+|[^A-Za-z0-9_]+'),
+  lambda x: case when regexp_full_match(x, '[0-9]{{4,}}') then array_to_string(string_split(x, ''), ' ') else x end), '') as text from marked)
+select page_id, trim(regexp_replace(text, '\\n{{2,}}', '. ', 'g'), {WS}) as spoken from spelled""")
 def _(t):
     return t.given("pages").select("page_id", txt.plain_text("html").alias("spoken"))
 
 
-@query("b7_normalize_answer_layout")
+@query("b7_normalize_answer_layout", "", """
+with quiz as (select conv_id, turn, text || chr(10) || 'A) um B) dois **C)** tres D) quatro ' || chr(10) || 'Referências: • ' || text as text from conversations)
+, options as (select conv_id, turn, regexp_replace(text, '(?m)(?:^|\\s)(?:\\*\\*)?([A-D])\\)(?:\\*\\*)?(\\s)', chr(10) || chr(10) || '**\\1)**\\2', 'g') as text from quiz)
+select conv_id, turn, regexp_replace(regexp_replace(text, '(?is)^(.*?)(?:\\*\\*Refer[êe]ncias:?\\*\\*|Refer[êe]ncias:?)\\s*(?:•|-|\\*)?\\s*', '\\1**Referências:**' || chr(10) || chr(10) || '- '),
+  '(?i)(\\n- [^\\n]+)\\s+(?:•|-|\\*)\\s*(Refer[êe]ncia:)', '\\1' || chr(10) || '- \\2', 'g') as answer from options""")
 def _(t):
     quiz = F.concat("text", F.lit("\nA) um B) dois **C)** tres D) quatro \nReferências: • "), "text")
     return t.given("conversations").select("conv_id", "turn", txt.normalize_answer_layout(quiz).alias("answer"))

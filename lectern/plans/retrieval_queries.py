@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import re
 
 from pyspark.sql import Window, functions as F
 
 from ..functions import intents, vectors
+from ..functions.base import SPACES, WHITESPACE
 from ..operators import references, retrieval
 from .registry import query
 
@@ -221,13 +223,45 @@ def _(t):
         "id", "reference_title", "reference_author", "reference_year", "reference_section")
 
 
-def reference_struct():
-    return F.struct(*[F.lit(None).cast("string").alias(f"reference_{n}") for n in ("author", "year", "title", "section")])
-
-
-@query("g5_reference_line")
+# RE2 has no lookaround and no possessive quantifiers: what stands in front of a match is taken along, and the groups are moved by none.
+_RE2 = lambda pattern: re.sub(r"\\u([0-9a-fA-F]{4})", r"\\x{\1}", pattern).replace("++", "+").replace("}+", "}").replace("(?iu)", "(?i)").replace("'", "''")
+_START = "(?:^|[^A-Za-z0-9_])"
+RE2_CITED = _START + _RE2(references._CITATION)
+RE2_PAGE = "(?i)" + _START + _RE2(references.INLINE_PAGE.split(f"(?<!{references._W})")[1])
+RE2_IN_CHAPTER = "(?i)" + _START + _RE2(references._CHAPTER)
+RE2_AUTHORS = _RE2(references.AUTHOR_LINE)
+TRIM = "'" + WHITESPACE + "'"
+#: Every seventh document has stored fields, some of them empty.
+STORED_FIELDS = {
+    "title": "case when doc_id % 7 = 0 then 'Livro ' || cast(doc_id as string) end", "author": "case when doc_id % 14 = 0 then 'Souza' else '' end",
+    "year": "case when doc_id % 21 = 0 then '2010' end", "section": "case when doc_id % 35 = 0 then 'Cap. 2' end"}
+REFERENCE_LINES = f"""
+cited as (select doc_id, coalesce({CITED}, '') as text, {', '.join(f'{x} as s_{n}' for n, x in STORED_FIELDS.items())} from documents)
+, flat as (select *, trim(regexp_replace(text, '{_RE2(SPACES)}', ' ', 'g'), {TRIM}) as flat,
+  list_filter(list_transform(string_split_regex(text, '\\r?\\n'), lambda x: trim(x, {TRIM})), lambda x: x <> '') as lines from cited)
+, found as (select *, regexp_extract(flat, '{RE2_CITED}', 1) as author, regexp_extract(flat, '{RE2_CITED}', 2) as year, regexp_extract(flat, '{RE2_CITED}', 3) as title,
+  regexp_extract(flat, '{RE2_PAGE}', 1) as page, regexp_extract(flat, '{RE2_IN_CHAPTER}', 1) as chapter, regexp_extract(flat, '{RE2_IN_CHAPTER}', 2) as heading,
+  list_filter(range(1, len(lines)), lambda i: length(trim(regexp_replace(lines[i], '(?i)^\\[P[aá]g\\.\\s*[0-9]+\\]\\s*', ''), {TRIM})) between 12 and 180
+    and regexp_matches(lines[i + 1], '{RE2_AUTHORS}'))[1] as above from flat)
+, known as (select doc_id, coalesce(
+  case when s_title is not null then concat_ws(' ', nullif(s_author, ''), '(' || s_year || ')', s_title || coalesce(' (' || s_section || ')', '') || '.') end,
+  case when flat = '' then '{references.NO_REFERENCE}' end,
+  case when title <> '' then regexp_replace(concat_ws(' ', nullif(trim(author, {TRIM}), ''), '(' || nullif(year, '') || ')', trim(regexp_replace(title, '(?i)^(?:cap[ií]tulo|t[ií]tulo)\\s*[:.-]?\\s*', ''), {TRIM}) || '.',
+    'p. ' || nullif(page, '') || '.'), '\\s+\\.', '.', 'g') end,
+  case when heading <> '' then regexp_replace(trim(heading, {TRIM}), '[.:;]+$', '') || case when chapter <> '' then ' (Cap. ' || chapter || ')' else '' end || '.' end,
+  regexp_replace(trim(regexp_replace(lines[above], '(?i)^\\[P[aá]g\\.\\s*[0-9]+\\]\\s*', ''), {TRIM}), '[.:;]+$', '') || '.',
+  '{references.NO_REFERENCE}') as reference from found)"""
+
+
+def referenced_files(t):
+    """Documents with citations and, some, with stored reference fields."""
+    stored = F.struct(*[F.expr(x).alias(f"reference_{n}") for n, x in STORED_FIELDS.items()])
+    return cited_files(t).withColumn("metadata", stored)
+
+
+@query("g5_reference_line", "", f"with {REFERENCE_LINES.lstrip()} select doc_id, reference from known")
 def _(t):
-    return references.with_reference(cited_files(t).withColumn("metadata", reference_struct()), "text").select("doc_id", "reference")
+    return references.with_reference(referenced_files(t), "text").select("doc_id", "reference")
 
 
 ANSWERED = "text || chr(10) || chr(10) || '**Referências:** inventada' || chr(10) || chr(10) || 'Deseja aprofundar este tema?'"
@@ -242,11 +276,23 @@ def _(t):
     return t.given("conversations").select("conv_id", "turn", F.md5(references.strip_model_references(answer)).alias("answer_md5"))
 
 
-@query("g7_finalize_references")
+@query("g7_finalize_references", "turns hits", f"""
+, {REFERENCE_LINES.lstrip()}
+, lines as (select h.id as query_id, k.reference, min(h.rank) as place from hits h join known k on cast(k.doc_id as varchar) = h.document_id
+  where k.reference <> '{references.NO_REFERENCE}' group by all)
+, sections as (select query_id, '- ' || string_agg(reference, chr(10) || '- ' order by place) as shown
+  from (select *, row_number() over (partition by query_id order by place) as n from lines) where n <= 5 group by query_id)
+, answers as (select id as query_id, content, case when mode = 'quiz' then 'simulado_tema' else coalesce(mode, 'livre') end as generation_mode from turns)
+select a.query_id, generation_mode, trim(trim(content, {TRIM}) || case when generation_mode in ({', '.join(f"'{m}'" for m in references.REFERENCED_MODES)})
+  then chr(10) || chr(10) || '**Referências:**' || chr(10) || coalesce(shown, '- {references.NO_REFERENCE}') else '' end, {TRIM}) as answer
+from answers a left join sections s on s.query_id = a.query_id""")
 def _(t):
     mode = F.when(F.col("mode") == "quiz", "simulado_tema").otherwise(F.coalesce("mode", F.lit("livre")))
     answers = t.turns.select(F.col("id").alias("query_id"), F.col("content").alias("answer"), mode.alias("generation_mode"))
-    chunks = cited_files(t).withColumn("metadata", reference_struct())
+    # references are looked for in retrieved chunks only
+    hits = ranked_hits(t)
+    wanted = hits.select(F.col("id").alias("_id")).distinct()
+    chunks = referenced_files(t).join(wanted, F.col("doc_id").cast("string") == F.col("_id"), "left_semi")
     known = references.with_reference(chunks, "text").select(F.col("doc_id").cast("string").alias("id"), "reference")
-    matches = ranked_hits(t).join(known, "id")
+    matches = hits.join(known, "id")
     return references.finalize_references(answers, matches)
