@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..session import prepare, scratch_path
-from .common import Memory, byte_slices, held, partitions
+from .common import Memory, Numbering, byte_slices, held, partitions
 
 FILE_SCHEMA = "doc_id bigint, n_tokens bigint, start_in_file bigint, file_number int, ids array<int>"
 #: A place in a text where the tokenizer always starts anew: a space before something that is not white space.
@@ -25,6 +25,10 @@ _PIECE = re.compile(r" (?=\S)")
 _UNEVEN = [" " + chr(c) for c in range(0x3001) if chr(c).isspace()]
 
 
+#: Words of Latin letters with a mark after them.
+_MARKED = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+[.,;:!?]")
+
+
 class PieceEncoder:
     """Token ids of whole texts with a byte-level BPE file of the tokenizers library, equal to its own
     ``encode(text, add_special_tokens=False)``.
@@ -33,7 +37,7 @@ class PieceEncoder:
     distinct piece is encoded by the library once and remembered within ``limit`` bytes; texts with an added token's spelling are encoded whole.
     """
 
-    def __init__(self, path: str, limit: int = 96 << 20):
+    def __init__(self, path: str, limit: int = 144 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -42,6 +46,7 @@ class PieceEncoder:
         self.tokenizer.no_truncation()
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.memory = Memory(limit)
+        self.marks = {c: self.tokenizer.encode(c, add_special_tokens=False).ids[0] for c in ".,;:!?"}
         vocab = self.tokenizer.get_vocab()
         self.opens = np.zeros(max(vocab.values(), default=0) + 1, bool)
         for token, i in vocab.items():
@@ -84,37 +89,64 @@ class PieceEncoder:
         fresh, known = self.memory.fresh(), self.memory.known
         if not fresh:
             return
-        plain, other = [], []
+        # a word and the mark after it are apart for the tokenizer, so "word," needs what "word" gives
+        wanted, numbers = Numbering(), self.memory.numbers
+        held, asked, mark = (np.full(len(fresh), -1, np.int64) for _ in range(3))
         for place, piece in enumerate(fresh):
+            if _MARKED.fullmatch(piece):
+                mark[place] = self.marks[piece[-1]]
+                piece = piece[:-1]
+                number = numbers.get(piece, known)
+                if number < known:
+                    held[place] = number
+                    continue
+            asked[place] = wanted[piece]
+        flat, ends = self._encode(list(wanted))
+        lengths = np.where(held >= 0, self.lengths[held], np.diff(ends)[asked] if len(wanted) else 0).astype(np.int64)
+        starts = np.where(held >= 0, self.starts[held], ends[asked] + self.filled)
+        source = np.concatenate([self.ids[:self.filled], flat])
+        whole = lengths + (mark >= 0)
+        begins = self.filled + np.cumsum(whole) - whole
+        total, count = self.filled + int(whole.sum()), known + len(fresh)
+        if total > len(self.ids):
+            self.ids = np.concatenate([self.ids[:self.filled], np.zeros(total, np.int32)])
+        if count > len(self.starts):
+            self.starts = np.concatenate([self.starts, np.zeros(2 * count, np.int64)])
+            self.lengths = np.concatenate([self.lengths, np.zeros(2 * count, np.int32)])
+        within = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        self.ids[np.repeat(begins, lengths) + within] = source[np.repeat(starts, lengths) + within]
+        marked = np.flatnonzero(mark >= 0)
+        self.ids[begins[marked] + lengths[marked]] = mark[marked]
+        self.starts[known:count], self.lengths[known:count], self.filled = begins, whole, total
+        self.memory.learned(sum(map(_size, fresh)))
+
+    def _encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces, each with a space in front, one after another, and where each begins and the last ends."""
+        plain, other = [], []
+        for place, piece in enumerate(pieces):
             (other if " " in piece or not piece or piece[0].isspace() else plain).append(place)
-        encoded: list = [None] * len(fresh)
+        lengths, found = np.zeros(len(pieces), np.int64), []
         # many pieces in one call, cut again where a token begins with the space that begins a piece
         for at in range(0, len(plain), 2000):
             part = plain[at:at + 2000]
             ids = np.array(self.tokenizer.encode_batch_fast(
-                ["".join(" " + fresh[i] for i in part)], add_special_tokens=False)[0].ids, np.int32)
+                ["".join(" " + pieces[i] for i in part)], add_special_tokens=False)[0].ids, np.int32)
             begins = np.flatnonzero(self.opens[ids])
             if len(begins) != len(part) or begins[0] != 0:
                 other.extend(part)
                 continue
-            for i, x in zip(part, np.split(ids, begins[1:])):
-                encoded[i] = x
+            lengths[part] = np.diff(np.append(begins, len(ids)))
+            found.append((part, ids))
         if other:
-            for i, e in zip(other, self.tokenizer.encode_batch_fast([" " + fresh[i] for i in other], add_special_tokens=False)):
-                encoded[i] = np.array(e.ids, np.int32)
-        lengths = np.fromiter(map(len, encoded), np.int64, len(encoded))
-        flat = np.concatenate(encoded)
-        total, count = self.filled + len(flat), known + len(fresh)
-        if total > len(self.ids):
-            self.ids = np.concatenate([self.ids[:self.filled], np.zeros(total, np.int32)])
-        if count > len(self.starts):
-            self.starts = np.concatenate([self.starts, np.zeros(2 * count, np.int64)])
-            self.lengths = np.concatenate([self.lengths, np.zeros(2 * count, np.int32)])
-        self.ids[self.filled:total] = flat
-        self.starts[known:count] = self.filled + np.cumsum(lengths) - lengths
-        self.lengths[known:count] = lengths
-        self.filled = total
-        self.memory.learned(sum(map(_size, fresh)))
+            encoded = [e.ids for e in self.tokenizer.encode_batch_fast([" " + pieces[i] for i in other], add_special_tokens=False)]
+            lengths[other] = [len(x) for x in encoded]
+            found.append((other, np.array([i for x in encoded for i in x], np.int32)))
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        flat = np.zeros(int(ends[-1]), np.int32)
+        for part, ids in found:
+            n = lengths[part]
+            flat[np.repeat(ends[part] - (np.cumsum(n) - n), n) + np.arange(len(ids))] = ids
+        return flat, ends
 
 
 def _size(piece: str) -> int:
