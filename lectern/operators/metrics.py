@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.base import first_present, half_up, matches, percent, present, ratio, strip
@@ -103,22 +105,39 @@ def top_topics(messages: DataFrame, n: int = 10) -> DataFrame:
     return topic_counts(messages).orderBy(F.desc("turns"), "topic").limit(n)
 
 
+class Measures(NamedTuple):
+    """Named aggregates over rows of one table. Each holds its own condition, so that measures of different rows are found in one pass."""
+
+    columns: dict[str, Column]
+
+
+def measured(rows: DataFrame, *measures: Measures) -> DataFrame:
+    """All measures of a table in one aggregate: one row."""
+    columns = {name: column for m in measures for name, column in m.columns.items()}
+    return rows.agg(*[column.alias(name) for name, column in columns.items()])
+
+
+def quiz_measures() -> Measures:
+    before, after = F.col("metadata.state_before"), F.col("metadata.state_after")
+    quiz = (F.col("role") == "assistant") & (F.col("metadata.mode") == "quiz")
+    correct, retries = F.count_if(quiz & (after == "QUIZ_CONCLUIDO")), F.count_if(quiz & (after == "QUIZ_SEGUNDA_TENTATIVA"))
+    resolved = F.count_if(quiz & (before == "QUIZ_SEGUNDA_TENTATIVA") & (after == "QUIZ_EM_ANDAMENTO"))
+    return Measures({"correct": correct, "first_attempt_retries": retries, "second_attempt_resolved": resolved,
+                     "accuracy_rate": percent(correct, correct + retries + resolved)})
+
+
 def quiz_stats(messages: DataFrame) -> DataFrame:
     """Completed quizzes, first-attempt retries, second attempts resolved, and completed in percent of all."""
-    before, after = F.col("metadata.state_before"), F.col("metadata.state_after")
-    quiz = _moded(messages).filter(F.col("metadata.mode") == "quiz")
-    counted = quiz.agg(
-        F.count_if(after == "QUIZ_CONCLUIDO").alias("correct"),
-        F.count_if(after == "QUIZ_SEGUNDA_TENTATIVA").alias("first_attempt_retries"),
-        F.count_if((before == "QUIZ_SEGUNDA_TENTATIVA") & (after == "QUIZ_EM_ANDAMENTO")).alias("second_attempt_resolved"),
-    )
-    everything = F.col("correct") + F.col("first_attempt_retries") + F.col("second_attempt_resolved")
-    return counted.withColumn("accuracy_rate", percent(F.col("correct"), everything))
+    return measured(messages, quiz_measures())
 
 
-def guardrail_hits(messages: DataFrame) -> DataFrame:
+def guardrail_measures() -> Measures:
     lower = F.lower("content")
-    return messages.agg(F.count_if(_contains(lower, REFUSALS[0]) | _contains(lower, REFUSALS[1])).alias("guardrail_hits"))
+    return Measures({"guardrail_hits": F.count_if(_contains(lower, REFUSALS[0]) | _contains(lower, REFUSALS[1]))})
+
+
+def guardrail_hits(messages: DataFrame) -> DataFrame:
+    return measured(messages, guardrail_measures())
 
 
 def timeline_daily(messages: DataFrame) -> DataFrame:
@@ -144,11 +163,14 @@ def activity_hourly(messages: DataFrame) -> DataFrame:
     return hours.join(counted, "hour", "left").select("hour", F.coalesce("n", F.lit(0)).alias("messages"))
 
 
+def total_measures() -> Measures:
+    conversations = F.count_distinct(first_present("session_id", F.lit("unknown")))
+    return Measures({"conversations": conversations, "messages": F.count("*"), "unique_users": conversations})
+
+
 def totals(messages: DataFrame) -> DataFrame:
     """Conversations (also taken as unique users) and messages."""
-    session = first_present("session_id", F.lit("unknown"))
-    return messages.agg(F.count_distinct(session).alias("conversations"), F.count("*").alias("messages")).withColumn(
-        "unique_users", F.col("conversations"))
+    return measured(messages, total_measures())
 
 
 def instrumented(messages: DataFrame) -> DataFrame:
@@ -167,11 +189,19 @@ def pipeline_turns(messages: DataFrame, exclude_navigation: bool = False) -> Dat
     return rows
 
 
+def _is_instrumented() -> Column:
+    return (F.col("role") == "assistant") & F.col("metadata").isNotNull()
+
+
+def turn_measures() -> Measures:
+    told, sample = F.col("metadata.has_context").isNotNull(), latency_sample("total").isNotNull()
+    return Measures({
+        "instrumented_responses": F.count_if(_is_instrumented()), "pipeline_turns": F.count_if(_is_instrumented() & told),
+        "latency_samples": F.count_if(_is_instrumented() & sample)})
+
+
 def turn_counts(messages: DataFrame) -> DataFrame:
-    told = F.col("metadata.has_context").isNotNull()
-    return instrumented(messages).agg(
-        F.count("*").alias("instrumented_responses"), F.count_if(told).alias("pipeline_turns"),
-        F.count_if(latency_sample("total").isNotNull()).alias("latency_samples"))
+    return measured(messages, turn_measures())
 
 
 def latency_sample(stage: str) -> Column:
@@ -205,22 +235,30 @@ def latency_averages(messages: DataFrame) -> DataFrame:
         half_up(F.coalesce(F.avg(latency_sample(s)), F.lit(0.0))).alias(f"avg_{s}_ms") for s in STAGES])
 
 
+def _is_pipeline() -> Column:
+    return _is_instrumented() & F.col("metadata.has_context").isNotNull()
+
+
+def coverage_measures() -> Measures:
+    found = F.count_if(_is_pipeline() & F.col("metadata.has_context"))
+    turns = F.count_if(_is_pipeline())
+    return Measures({"pipeline_turns": turns, "with_context": found, "coverage_rate": percent(found, turns)})
+
+
 def context_coverage(messages: DataFrame) -> DataFrame:
-    found = F.count_if(F.col("metadata.has_context"))
-    return pipeline_turns(messages).agg(
-        F.count("*").alias("pipeline_turns"), found.alias("with_context"),
-        percent(found, F.count("*")).alias("coverage_rate"))
+    return measured(messages, coverage_measures())
+
+
+def failure_measures() -> Measures:
+    error, count = F.col("metadata.error_code"), lambda c: F.count_if(_is_pipeline() & c)
+    return Measures({
+        "fallback_turns": count(F.col("metadata.fallback_used")), "no_context_turns": count(~F.col("metadata.has_context")),
+        "retrieval_failures": count(error.isin(RETRIEVAL_ERRORS)), "model_failures": count(error == MODEL_ERROR)})
 
 
 def failure_counts(messages: DataFrame) -> DataFrame:
     """Fallbacks, answers without context, retrieval and model failures, and the two failure kinds together."""
-    error = F.col("metadata.error_code")
-    return pipeline_turns(messages).agg(
-        F.count_if(F.col("metadata.fallback_used")).alias("fallback_turns"),
-        F.count_if(~F.col("metadata.has_context")).alias("no_context_turns"),
-        F.count_if(error.isin(RETRIEVAL_ERRORS)).alias("retrieval_failures"),
-        F.count_if(error == MODEL_ERROR).alias("model_failures"),
-    )
+    return measured(messages, failure_measures())
 
 
 def technical_failures(messages: DataFrame) -> DataFrame:

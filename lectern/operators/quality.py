@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.base import cut, first_present, half_up, join_sorted, matches, percent, present, strip
 from ..functions.identity import UUID_V1_TO_V5
-from .metrics import pipeline_turns
+from .metrics import Measures, measured, pipeline_turns
 from .ordering import newest_per_key
 
 TURN = ["session_id", "request_id"]
@@ -67,6 +67,10 @@ def rating_by_mode(feedback: DataFrame, messages: DataFrame) -> DataFrame:
         percent(F.count_if(F.col("rating") >= 4), F.count("*")).alias("satisfaction_rate"))
 
 
+#: Ids of wanted chunks that are sent to every task at most.
+SENT_IDS = 500_000
+
+
 def eval_context(turns: DataFrame, documents: DataFrame, max_chars: int | None = None) -> DataFrame:
     """Stored chunks behind each answer, in retrieval order. turns: session, request, retrieval array.
 
@@ -75,7 +79,12 @@ def eval_context(turns: DataFrame, documents: DataFrame, max_chars: int | None =
     entries = turns.select(*TURN, F.posexplode("retrieval").alias("pos", "e")).select(
         *TURN, "pos", F.col("e.document_id").alias("document_id"))
     stored = entries.filter(present("document_id").isNotNull() & ~F.col("document_id").startswith("source:"))
-    chunks = documents.select(F.col("id").cast("string").alias("document_id"), "source", cut("content", max_chars).alias("content") if max_chars else F.col("content"))
+    # few wanted ids are sent to the documents, so that no other text is moved; many meet their texts by shuffle
+    wanted = stored.select("document_id").distinct()
+    id_of = F.col("id").cast("string")
+    if wanted.limit(SENT_IDS + 1).count() <= SENT_IDS:
+        documents = documents.join(F.broadcast(wanted.withColumnRenamed("document_id", "_wanted")), id_of == F.col("_wanted"), "left_semi")
+    chunks = documents.select(id_of.alias("document_id"), "source", cut("content", max_chars).alias("content") if max_chars else F.col("content"))
     return stored.join(chunks, "document_id")
 
 
@@ -131,27 +140,29 @@ def eval_enqueue(evaluations: DataFrame, turns: DataFrame, now: Column) -> DataF
     return merged.select(*[new_values[c].alias(c) if c in new_values else F.col(c) for c in evaluations.columns])
 
 
-def quality_summary(evaluations: DataFrame) -> DataFrame:
-    """Evaluations by status and verdict, and the share of correct ones among the completed."""
+def quality_measures() -> Measures:
     status = lambda s: F.count_if(F.col("status") == s)
     verdict = lambda v: F.count_if(F.col("verdict") == v)
-    return evaluations.agg(
-        F.count("*").alias("total"),
-        *[status(s).alias("completed" if s == "succeeded" else s) for s in STATUSES],
-        *[verdict(v).alias(v) for v in VERDICTS],
-        percent(verdict("correct"), status("succeeded")).alias("correct_rate"),
-    )
+    return Measures({
+        "total": F.count("*"), **{"completed" if s == "succeeded" else s: status(s) for s in STATUSES}, **{v: verdict(v) for v in VERDICTS},
+        "correct_rate": percent(verdict("correct"), status("succeeded"))})
+
+
+def quality_summary(evaluations: DataFrame) -> DataFrame:
+    """Evaluations by status and verdict, and the share of correct ones among the completed."""
+    return measured(evaluations, quality_measures())
 
 
 def quality_coverage(messages: DataFrame, evaluations: DataFrame) -> DataFrame:
     """Eligible turns (context found, request known), how many were evaluated, in percent."""
-    eligible = pipeline_turns(messages).filter(F.col("metadata.has_context") & F.col("request_id").isNotNull()).select(*TURN)
-    judged = evaluations.filter(F.col("status") == "succeeded").select(*TURN)
-    # few evaluations are broadcast to the turns; many share the turns' partitioning in both joins
-    done = judged.join(eligible.join(judged, TURN, "left_semi").distinct(), TURN, "left_semi")
-    marks = eligible.select(F.lit(1).alias("eligible"), F.lit(0).alias("done")).unionByName(
-        done.select(F.lit(0).alias("eligible"), F.lit(1).alias("done")))
-    counted = marks.agg(F.coalesce(F.sum("eligible"), F.lit(0)).alias("eligible_turns"), F.coalesce(F.sum("done"), F.lit(0)).alias("evaluated_turns"))
+    one, none = F.lit(1).alias("eligible"), F.lit(0).alias("eligible")
+    eligible = pipeline_turns(messages).filter(F.col("metadata.has_context") & F.col("request_id").isNotNull()).select(*TURN, one, F.lit(0).alias("done"))
+    judged = evaluations.filter(F.col("status") == "succeeded").select(*TURN, none, F.lit(1).alias("done"))
+    # one row per turn and map task is moved, of both tables at once
+    turns = eligible.unionByName(judged).groupBy(*TURN).agg(F.sum("eligible").alias("eligible"), F.sum("done").alias("done"))
+    known = (F.col("eligible") > 0) & F.col("session_id").isNotNull()
+    counted = turns.agg(F.coalesce(F.sum("eligible"), F.lit(0)).alias("eligible_turns"),
+                        F.coalesce(F.sum(F.when(known, F.col("done"))), F.lit(0)).alias("evaluated_turns"))
     return counted.select("eligible_turns", "evaluated_turns",
                           percent(F.col("evaluated_turns"), F.col("eligible_turns")).alias("coverage_rate"))
 

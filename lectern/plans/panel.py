@@ -1,4 +1,4 @@
-"""The panel: every indicator from one pass over the messages, and the two export tables."""
+"""The panel: the indicators of each table in one aggregate, and the two export tables."""
 
 from __future__ import annotations
 
@@ -12,13 +12,15 @@ def indicators(
 ) -> DataFrame:
     """Indicator rows (name, value) of the export's first sheet.
 
-    Each source table is reduced to one row first; only those single rows meet."""
+    Each source table is reduced to one row by one aggregate; only percentiles and the evaluated share of turns, which need
+    an order or a second table, are found by themselves."""
     messages = metrics.exclude_synthetic(messages)
     evaluations, feedback = metrics.exclude_synthetic(evaluations), metrics.exclude_synthetic(feedback)
     parts = [
-        metrics.totals(messages), metrics.turn_counts(messages), metrics.latency_percentiles(messages),
-        metrics.context_coverage(messages).select("with_context", "coverage_rate"), metrics.failure_counts(messages),
-        metrics.quiz_stats(messages).select("accuracy_rate"), metrics.guardrail_hits(messages),
+        metrics.measured(
+            messages, metrics.total_measures(), metrics.turn_measures(), metrics.coverage_measures(), metrics.failure_measures(),
+            metrics.quiz_measures(), metrics.guardrail_measures()).drop("correct", "first_attempt_retries", "second_attempt_resolved"),
+        metrics.latency_percentiles(messages),
         quality.quality_summary(evaluations).select("completed", "correct", "unverifiable", "correct_rate"),
         quality.quality_coverage(messages, evaluations).select("eligible_turns", "evaluated_turns", F.col("coverage_rate").alias("evaluation_coverage")),
         quality.rating_stats(feedback).select("total_feedbacks", "avg_rating", "satisfaction_rate"),
