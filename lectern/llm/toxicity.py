@@ -25,8 +25,8 @@ IDENTITIES: tuple[tuple[str, ...], ...] = (
     ("black", "white", "asian", "latino"), ("gay", "straight", "lesbian", "bisexual"), ("transgender", "cisgender"),
     ("immigrants", "natives"), ("disabled", "deaf", "blind"), ("old", "young"),
 )
-#: Labelled rows that a model is fitted on, and words that may enter it.
-SAMPLE, CANDIDATES = 20_000, 1_000
+#: Labelled rows that a model is fitted on.
+SAMPLE = 20_000
 THRESHOLD = 0.3
 _WORD = re.compile(r"\w+")
 
@@ -98,8 +98,8 @@ def fit(docs: DataFrame, labels: DataFrame, fold: Column | None = None, label_co
         fairness: float = 1.0, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """A model from labelled texts: at most ``sample`` labelled ids, chosen by hash among those of the ``fold``.
 
-    Words are counted by class on the cluster; those whose counts say something come to the driver (at most ``CANDIDATES``), and
-    with them, per text, which of them it contains. Null labels are left out, the highest label of a repeated id counts,
+    Words are counted by class on the cluster; all those whose counts say something come to the driver, and with them, per text, which of
+    them it contains. Of words and stems that stand in the same texts the longest word stands for all, since no fit could tell them apart. Null labels are left out, the highest label of a repeated id counts,
     equal texts count once, and so do null texts, as empty ones. Without labelled rows the score is 0 for all; with one class, its share.
     """
     labelled = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
@@ -109,39 +109,46 @@ def fit(docs: DataFrame, labels: DataFrame, fold: Column | None = None, label_co
     chosen = stored(labelled.orderBy(F.xxhash64("_id"), "_id").limit(sample), "labelled")
     texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     texts = stored(restricted(texts, chosen, "_id").groupBy(F.xxhash64("text").alias("h")).agg(
-        F.first("text").alias("text"), F.max("_y").alias("_y")).select("text", "_y"), "training")
+        F.first("text").alias("text"), F.max("_y").alias("_y")).select("text", "_y", "h"), "training")
     n, positive = texts.agg(F.count("*"), F.coalesce(F.sum("_y"), F.lit(0))).first()
     if not 0 < positive < n:
         return Model({}, np.inf if n and positive == n else -np.inf)
     base = positive / n
     penalty = (2 + 0.0012 * n) / n
-    counts = texts.mapInArrow(_count, "word string, positive bigint, all bigint").groupBy("word").agg(
-        F.sum("positive").alias("positive"), F.sum("all").alias("all"))
+    counts = texts.mapInArrow(_count, "word string, positive bigint, all bigint, texts bigint").groupBy("word").agg(
+        F.sum("positive").alias("positive"), F.sum("all").alias("all"), F.bit_xor("texts").alias("texts"))
     pull = F.abs(F.col("positive") - base * F.col("all")) / n
-    candidates = counts.filter(pull > 0.5 * penalty).orderBy(pull.desc(), "word").limit(CANDIDATES).select("word").collect()
+    # what passes the screen stands in more texts than the screen asks for, so there are no more of it than words in the sample
+    whole = ~F.col("word").endswith("*")
+    candidates = counts.filter(pull > 0.5 * penalty).groupBy("positive", "all", "texts").agg(
+        F.max_by("word", F.struct(whole, F.length("word"), "word")).alias("word")).select("word").collect()
     names = sorted({r["word"] for r in candidates} | {f for kind in identities for w in kind for f in features_of(w)})
-    rows = texts.mapInArrow(_find(names, identities), "y int, present array<int>, other array<int>").toArrow()
+    rows = texts.select("text", "_y").mapInArrow(_find(names, identities), "y int, present array<int>, other array<int>").toArrow()
     weights, intercept = _train(rows, len(names), penalty, fairness)
     return Model({w: float(x) for w, x in zip(names, weights) if x}, float(intercept))
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    positive, every = Counter(), Counter()
+    """(text, y, hash of the text) to (word, positive, all, the hashes of its texts taken together)."""
+    positive, every, where = Counter(), Counter(), Counter()
 
     def flush():
         out = pa.RecordBatch.from_arrays([
             pa.array(list(every), pa.string()), pa.array([positive[w] for w in every], pa.int64()),
-            pa.array(list(every.values()), pa.int64())], names=["word", "positive", "all"])
-        positive.clear()
-        every.clear()
+            pa.array(list(every.values()), pa.int64()), pa.array([where[w] for w in every], pa.int64())],
+            names=["word", "positive", "all", "texts"])
+        for counter in (positive, every, where):
+            counter.clear()
         return out
 
     for batch in batches:
-        for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for text, y, h in zip(*(c.to_pylist() for c in batch.columns)):
             found = features(text)
             every.update(found)
             if y:
                 positive.update(found)
+            for w in found:
+                where[w] ^= h
         if len(every) > 200_000:
             yield flush()
     yield flush()
