@@ -7,6 +7,8 @@ supplies most of the quoted text is the one answered. Conversations come back in
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import last_marker, stored
@@ -23,7 +25,7 @@ def passages(messages: DataFrame) -> DataFrame:
     """Every line and every paragraph of every message with its quote level (0: the writer's own), as a hash.
 
     A paragraph is a run of lines of one level without blank lines; a paragraph of one line is that line, counted once.
-    Columns ``mid, conv_id, turn, level, digest, size``. Lines of one message are handled inside its own row.
+    Columns ``mid, conv_id, turn, level, digest, size``. Lines become rows, which are brought together by message.
     """
     line = F.transform(F.split("text", "\n"), lambda x: F.struct(
         F.length(F.regexp_replace(F.regexp_extract(x, MARKS, 0), r"[ \t]", "")).alias("level"),
@@ -42,6 +44,11 @@ def passages(messages: DataFrame) -> DataFrame:
         "mid", "conv_id", "turn", "level", F.md5("body").alias("digest"), F.length("body").alias("size"))
 
 
+def path_key(turn: str) -> Column:
+    """A turn number as text of one length that sorts like the number, also below 0: the distance from the least 64-bit number."""
+    return F.lpad((F.col(turn).cast("decimal(20,0)") + F.lit(Decimal(2 ** 63))).cast("string"), 20, "0")
+
+
 def body(text: Column) -> Column:
     """A message without its quoted lines, trimmed of blank lines at both ends."""
     own = F.filter(F.split(text, "\n"), lambda x: ~F.coalesce(x.rlike(MARKS), F.lit(False)))
@@ -89,7 +96,7 @@ def link_quotations(conversations: DataFrame) -> DataFrame:
         F.col("last_marker.conv_id") == F.col("conv_id"), F.col("last_marker.turn")).alias("head")), "turns")
 
     prefixes = _prefixes(placed)
-    own = F.lpad(F.col("turn").cast("string"), 10, "0")
+    own = path_key("turn")
     paths = placed.join(prefixes, ["conv_id", "head"], "left").select(
         "conv_id", "turn", F.coalesce("linked", "previous").alias("reply_to"), F.concat_ws(".", "prefix", own).alias("reply_path"))
     return clean.join(counts.select("mid", "n_quoted", "n_linked"), "mid", "left").join(paths, ["conv_id", "turn"], "left").select(
@@ -103,7 +110,7 @@ def _prefixes(placed: DataFrame) -> DataFrame:
     heads = placed.filter("turned").select("conv_id", F.col("turn").alias("head"), "linked")
     parents = placed.select("conv_id", F.col("turn").alias("linked"), F.col("head").alias("parent"))
     links = stored(heads.join(parents, ["conv_id", "linked"]), "links")
-    own = F.lpad(F.col("linked").cast("string"), 10, "0")
+    own = path_key("linked")
     frontier = stored(links.filter("parent IS NULL").select("conv_id", "head", own.alias("prefix")), "frontier")
     done = frontier
     while not frontier.isEmpty():

@@ -124,15 +124,15 @@ headed as (
   select *, last_value(case when linked is not null and linked is distinct from previous then turn end ignore nulls)
     over (partition by conv_id order by turn) as head from before),
 prefixes as (
-  select h.conv_id, h.turn as head, lpad(cast(h.linked as varchar), 10, '0') as prefix
+  select h.conv_id, h.turn as head, lpad(cast(cast(h.linked as hugeint) + 9223372036854775808 as varchar), 20, '0') as prefix
   from headed h join headed p on p.conv_id = h.conv_id and p.turn = h.linked where h.head = h.turn and p.head is null
   union all
-  select h.conv_id, h.turn, x.prefix || '.' || lpad(cast(h.linked as varchar), 10, '0')
+  select h.conv_id, h.turn, x.prefix || '.' || lpad(cast(cast(h.linked as hugeint) + 9223372036854775808 as varchar), 20, '0')
   from headed h join headed p on p.conv_id = h.conv_id and p.turn = h.linked join prefixes x on x.conv_id = h.conv_id and x.head = p.head
   where h.head = h.turn)
 select m.conv_id, m.turn, m.role, coalesce(h.linked, h.previous) as reply_to, cast(coalesce(c.n_quoted, 0) as bigint) as n_quoted,
   cast(coalesce(c.n_linked, 0) as bigint) as n_linked,
-  case when h.turn is null then null else concat_ws('.', x.prefix, lpad(cast(h.turn as varchar), 10, '0')) end as reply_path,
+  case when h.turn is null then null else concat_ws('.', x.prefix, lpad(cast(cast(h.turn as hugeint) + 9223372036854775808 as varchar), 20, '0')) end as reply_path,
   regexp_replace(array_to_string(list_filter(string_split(m.text, chr(10)), lambda l: not regexp_matches(l, '^(?:[ \t]*>)+')), chr(10)), '^\s+|\s+$', '', 'g') as body
 from msg m left join counts c on c.mid = m.mid left join headed h on h.conv_id = m.conv_id and h.turn = m.turn
 left join prefixes x on x.conv_id = h.conv_id and x.head = h.head
