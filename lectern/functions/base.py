@@ -36,10 +36,6 @@ def first_present(*cs: Column | str) -> Column:
     return F.coalesce(*[present(c) for c in cs])
 
 
-def is_blank(c: Column | str) -> Column:
-    return F.coalesce(F.length(strip(c)) == 0, F.lit(True))
-
-
 def half_up(c: Column | str, digits: int = 0) -> Column:
     """Decimal half-up rounding of a non-negative number."""
     rounded = F.round(col(c), digits)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, functions as F
 
 from .base import col
 
+# Fixed value: any UUID.
 UUID_ANY = "(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
 # Fixed value: request ids accepted by the chat and the feedback form (versions 1 to 5).
 UUID_V1_TO_V5 = "(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[1-5][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$"

@@ -17,7 +17,7 @@ from typing import NamedTuple
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..functions.base import cut, is_blank, matches, present, strip
+from ..functions.base import cut, matches, present, strip
 from ..functions.identity import UUID_V1_TO_V5
 from ..functions.intents import asks_retry, extract_inline, intent_of_normalized
 from ..functions.text import normalize_input

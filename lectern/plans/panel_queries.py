@@ -350,13 +350,13 @@ def _(t):
 
 
 REPORT = SESSIONS + """
-, rated as (select m.session_id, round(avg(1 + length(m.content) % 5), 1) as avg_rating, count(*) as n from messages m where m.role = 'assistant' and m.conv_id % 3 = 0 group by m.session_id)
+, rated as (select m.session_id, round(avg(1 + length(m.content) % 5), 1) as avg_rating, count(*) as n from messages m where m.role = 'assistant' group by m.session_id)
 , report as (select row_number() over (order by last_at desc, g.session_id) as number, g.*, r.avg_rating from grouped g left join rated r on r.session_id = g.session_id)"""
 
 
-def chat_ratings(t):
-    """Ratings of the answers in every third conversation."""
-    return t.messages.filter("role = 'assistant' and conv_id % 3 = 0").select(
+def all_ratings(t):
+    """Ratings of the answers in all conversations."""
+    return t.messages.filter("role = 'assistant'").select(
         "session_id", "request_id", (1 + F.length("content") % 5).alias("rating"), "created_at")
 
 
@@ -364,7 +364,7 @@ def chat_ratings(t):
 select number, '#' || lpad(cast(number as varchar), cast(greatest(2, length(cast(number as varchar))) as int), '0') as label, session_id, {at('first_at')} as started_at, {at('last_at')} as last_activity,
   message_count, theme, case when coalesce(avg_rating, 0) <> 0 then printf('%.1f', avg_rating) else '—' end as rating, md5(coalesce(nullif(first_message, ''), 'Menu Inicial')) as first_message_md5 from report""")
 def _(t):
-    return panel.session_sheet(t.chat(), chat_ratings(t)).withColumn("first_message_md5", F.md5("first_message")).drop("first_message")
+    return panel.session_sheet(t.chat(), all_ratings(t)).withColumn("first_message_md5", F.md5("first_message")).drop("first_message")
 
 
 def export_panel(t, ratings) -> str:
@@ -390,12 +390,6 @@ ALL_REPORT = SESSIONS + """
   from grouped g left join rated r on r.session_id = g.session_id)"""
 
 
-def all_ratings(t):
-    """Ratings of the answers in all conversations."""
-    return t.messages.filter("role = 'assistant'").select(
-        "session_id", "request_id", (1 + F.length("content") % 5).alias("rating"), "created_at")
-
-
 @query("o6_session_report_all", "messages", ALL_REPORT + f"""
 select number, '#' || lpad(cast(number as varchar), cast(greatest(2, length(cast(number as varchar))) as int), '0') as label, session_id, {at('first_at')} as started_at, {at('last_at')} as last_activity,
   message_count, theme, rating, md5(coalesce(nullif(first_message, ''), 'Menu Inicial')) as first_message_md5 from report""")
