@@ -269,26 +269,35 @@ def match_by_cells(
             best.add(_id_array(ours.column("id"), id_type), unit_rows(as_matrix(ours.column("embedding"), dim)))
         return pa.Table.from_batches([_rows(query_ids, best.held, id_type, query_type)])
 
+    key = ["cell", "db", "qb"]
+    pick = lambda of, n: F.pmod(F.xxhash64(of), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+
     def meet(asked: DataFrame) -> DataFrame:
+        if one_block:
+            right = asked.select("cell", every(blocks).alias("db"), F.lit(0).alias("qb"), "query_id", "embedding", "floor")
+            return placed.select("cell", pick("id", blocks).alias("db"), F.lit(0).alias("qb"), "id", "embedding").groupBy(*key).cogroup(
+                right.groupBy(*key)).applyInArrow(score, schema)
         # one row per cell
         sizes = F.broadcast(asked.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(block_rows)).cast("int").alias("query_blocks")))
-        pick = lambda key, n: F.pmod(F.xxhash64(key), n).cast("int")
-        every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
         left = placed.join(sizes, "cell").select(
             "cell", pick("id", blocks).alias("db"), every(F.col("query_blocks")).alias("qb"), "id", "embedding")
         right = asked.join(sizes, "cell").select(
             "cell", every(blocks).alias("db"), pick("query_id", F.col("query_blocks")).alias("qb"), "query_id", "embedding", "floor")
-        key = ["cell", "db", "qb"]
         return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(score, schema)
 
     start = queries.select("query_id", "embedding", F.col("threshold").alias("floor"))
-    nearest = written(start.mapInArrow(ask(True), asked_schema), "nearest")
+    # a block of questions is small enough to be placed again wherever it is read
+    one_block = queries.limit(block_rows + 1).count() <= block_rows
+    nearest = start.mapInArrow(ask(True), asked_schema)
+    nearest = nearest if one_block else written(nearest, "nearest")
     first = written(meet(nearest), "first")
     # a cell in blocks gives up to k rows from each
     kth = first_n_per_key(first, ["query_id"], [F.desc("similarity"), F.asc("id")], k).groupBy("query_id").agg(
         F.min("similarity").alias("_kth"), F.count("*").alias("_n")).filter(F.col("_n") == k).select("query_id", "_kth")
     floors = start.join(kth, "query_id", "left").select("query_id", "embedding", F.greatest("floor", "_kth").alias("floor"))
-    others = written(floors.mapInArrow(ask(False), asked_schema), "others")
+    others = floors.mapInArrow(ask(False), asked_schema)
+    others = others if one_block else written(others, "others")
     visited = nearest.select("query_id", "cell").union(others.select("query_id", "cell")).withColumn(
         "documents", F.element_at(counts, F.col("cell") + 1).cast("bigint"))
     return first.unionByName(meet(others)), visited

@@ -100,7 +100,7 @@ def _(t):
 
 @query("f6_match_batch_by_cells", "", f"select query_id, id, round(similarity, 6) as similarity, rank from ({MATCHES}) m where rank <= 5")
 def _(t):
-    found = matched(t, broadcast_values=DIM, cells=12, block_rows=500)
+    found = matched(t, broadcast_values=DIM, cells=12, block_rows=5_000)
     return found.select("query_id", "id", F.round("similarity", 6).alias("similarity"), F.col("rank").cast("bigint").alias("rank"))
 
 
