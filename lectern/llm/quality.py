@@ -55,7 +55,8 @@ def statistics(text: str | None) -> list[float]:
 
 
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, stats) of every row, stored: texts are read once for fitting and scoring."""
+    """(doc_id, stats) of every row, stored: texts are read once for fitting and scoring. A null text is an empty one, whose statistics are
+    defined; null and repeated ids are kept, extra columns are not read, an empty table gives an empty one."""
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,7 +129,7 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def score(stats: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """``doc_id, score, predicted`` for every measured row."""
+    """``doc_id, score, predicted`` for every measured row, also those of null or repeated ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
