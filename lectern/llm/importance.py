@@ -219,6 +219,8 @@ def resample(docs: DataFrame, target: DataFrame, percent: int = PERCENT, least_w
     without features weighs 0. Null ids come last in ties; repeated rows are documents of their own, each with a rank; rows that tie in
     id, score and features are interchangeable. Extra columns are not read; empty tables are allowed on either side.
     """
+    if not 0 <= percent <= 100:
+        raise ValueError("percent must be between 0 and 100")
     rows = stored(scored(docs, bucket_gains(docs, target, text_col), seed, id_col, text_col).withColumn(
         "number", F.monotonically_increasing_id()), "scored")
     columns = ["doc_id", "n_features", "weight", "score"]

@@ -72,6 +72,8 @@ def test_resampling_of_empty_tables(spark):
     assert importance.resample(documents(spark, []), target_table(spark, ["a"])).count() == 0
     rows = [(i, t) for i, t, _ in ROWS]
     assert Counter(map(tuple, importance.resample(docs, target_table(spark, [])).collect())) == resampled_by_hand(rows, [])
+    with pytest.raises(ValueError):
+        importance.resample(docs, docs, percent=101)
     none = importance.resample(docs, target_table(spark, ["a"]), percent=0).collect()
     assert len(none) == len(rows) and not any(r["rank"] for r in none)
 
