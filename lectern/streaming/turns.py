@@ -22,7 +22,7 @@ from ..operators.flow import DECISION_SCHEMA, EVENT_COLUMNS, replay, start_of, t
 from ..operators.metrics import latency_sample
 from ..operators.ordering import newest_per_key
 from ..plans import corpus
-from ..session import exists, scratch_path, written
+from ..session import exists, file_system, scratch_path, written
 from ..sources.sinks import PARTS, DealtTable, write_chunks
 
 
@@ -351,7 +351,7 @@ def follow_corpus(listings: DataFrame, path: str, contents: Callable[[int], Data
 
     def follow(batch: DataFrame, batch_id: int) -> None:
         batch.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-            "batch", "snapshot").parquet(waiting)
+            "snapshot", "batch").parquet(waiting)
         arrived = spark.read.parquet(waiting)
         done = spark.read.parquet(f"{path}/done").agg(F.max("snapshot")).first()[0] if exists(spark, f"{path}/done") else 0
         complete = arrived.filter(F.col("snapshot") > done).groupBy("snapshot").agg(
@@ -367,6 +367,8 @@ def follow_corpus(listings: DataFrame, path: str, contents: Callable[[int], Data
             touched = manifest.touched(files)
             manifest.replace(run.manifest.filter(manifest.part(run.manifest.columns).isin(touched)), touched)
             spark.range(1).select(F.lit(number).cast("bigint").alias("snapshot")).write.mode("append").parquet(f"{path}/done")
+            fs, Path = file_system(spark, waiting)
+            fs.delete(Path(f"{waiting}/snapshot={number}"), True)  # only open snapshots wait
 
     listings.writeStream.option("checkpointLocation", f"{path}/checkpoint").trigger(
         availableNow=True).foreachBatch(follow).start().awaitTermination()
