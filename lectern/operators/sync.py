@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.base import cut, first_present, present
 from .ordering import newest_per_key
 
+#: Up to this many keys are sent to every task, so that rows stay where they are; for more both sides are shuffled.
+SENT_KEYS = 500_000
+
 
 def _instant(c: Column) -> Column:
     return F.try_to_timestamp(c)
@@ -107,11 +110,26 @@ def jobs_from_plan(plan: DataFrame, listing: DataFrame) -> DataFrame:
 def upsert_chunks(target: DataFrame, new: DataFrame, order: list[Column] | None = None) -> DataFrame:
     """Rows of ``new`` replace rows of the same id. Of a repeated id within ``new`` the largest by ``order`` is written, without an
     order the largest by all columns."""
-    # ids alone are counted; whole rows are compared only where one is repeated
-    repeated = new.groupBy("id").agg(F.count("*").alias("_n")).filter("_n > 1").select("id")
+    return without(target, new.select("id").distinct(), "id").unionByName(each_once(new, order), allowMissingColumns=True)
+
+
+def each_once(new: DataFrame, order: list[Column] | None = None) -> DataFrame:
+    """Rows of ``new``, of a repeated id the largest by ``order``, without an order the largest by all columns."""
+    # ids alone are counted; whole rows are moved and compared only where one is repeated
+    repeated = new.groupBy("id").agg(F.count("*").alias("_n")).filter("_n > 1 AND id IS NOT NULL").select("id")
+    if repeated.isEmpty():
+        return new
     several = newest_per_key(new.join(repeated, "id", "left_semi"), ["id"], order or [F.col(c) for c in new.columns if c != "id"])
-    once = new.join(repeated, "id", "left_anti").unionByName(several.select(*new.columns))
-    return target.join(new.select("id"), "id", "left_anti").unionByName(once, allowMissingColumns=True)
+    return new.join(repeated, "id", "left_anti").unionByName(several.select(*new.columns))
+
+
+def without(table: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """Rows of ``table`` whose ``column`` is not among ``keys`` (a table of that column, each key once). Few keys are sent to the rows; with more
+    rows are shuffled and looked up, but not sorted."""
+    few = keys.limit(SENT_KEYS + 1).count()
+    if not few:
+        return table
+    return table.join(F.broadcast(keys) if few <= SENT_KEYS else keys.hint("shuffle_hash"), column, "left_anti")
 
 
 def upsert_report(target: DataFrame, new: DataFrame) -> DataFrame:

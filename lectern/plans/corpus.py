@@ -7,6 +7,7 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.base import present
 from ..functions.identity import chunk_record_id
 from ..operators import chunking, references, retrieval, sync
 from ..session import written
@@ -15,7 +16,7 @@ from ..sources.sinks import DealtTable
 
 NO_CONTENT = "file content is missing"
 #: Up to this many chosen files are sent to the contents, which then stay where they are; for more both sides are shuffled.
-SENT_FILES = 500_000
+SENT_FILES = sync.SENT_KEYS
 
 
 def chunk_rows(files: DataFrame, size: int = 1000, overlap: int = 150) -> DataFrame:
@@ -57,6 +58,8 @@ def chosen_contents(chosen: DataFrame, contents: DataFrame | DealtTable) -> Data
     once, several = (known.filter(c).drop("_n") for c in ("_n = 1", "_n > 1"))
     if few:
         once, several = F.broadcast(once), F.broadcast(several)
+    else:  # contents are looked up, not sorted
+        once = once.hint("shuffle_hash")
     columns = [*chosen.columns, "content"]
     parts = [contents.join(once, "_id").select(*columns)]
     if not found.filter("_n > 1").isEmpty():
@@ -88,7 +91,8 @@ def reconcile(
     missing = F.col("content").isNull().alias("missing")
     files = extract_pages(todo.select("*", missing), extractor)
     error = F.when(F.col("missing"), F.lit(NO_CONTENT)).otherwise(F.col("extract_error"))
-    files = files.withColumn("error", error).withColumn("source", F.col("name"))
+    # stored, so that files are extracted once
+    files = written(files.withColumn("error", error).withColumn("source", F.col("name")), "files")
     fresh = written(retrieval.embed(chunk_rows(files.filter(F.col("error").isNull()), size, overlap), embed, dim), "fresh")
 
     cut = fresh.groupBy(F.col("drive_file_id").alias("_cut")).agg(F.count("*").alias("chunks"))
@@ -97,9 +101,7 @@ def reconcile(
         F.size("pages").alias("pages")).join(cut, F.col("file_id") == F.col("_cut"), "left").drop("_cut"), "outcome")
     done = outcome.filter(F.col("error").isNull())
     gone = plan.filter(F.col("class") == "removed").select(F.col("file_id").alias("drive_file_id"))
-    table = sync.upsert_chunks(target, fresh)
-    table = sync.remove_stale(table, done.select(F.col("file_id").alias("drive_file_id")), fresh)
-    table = sync.remove_legacy(table, done, listing).join(gone, "drive_file_id", "left_anti")
+    table = _kept(target, done, gone, fresh, listing).unionByName(sync.each_once(fresh), allowMissingColumns=True)
 
     results = _results(outcome, target, fresh).unionByName(
         sync.plan_results(plan).withColumn("errors", F.array().cast("array<string>")), allowMissingColumns=True).unionByName(
@@ -131,6 +133,17 @@ def reconcile_into(
     return run._replace(table=table.read(), report=sync.sync_report(run.results))
 
 
+def _kept(target: DataFrame, done: DataFrame, gone: DataFrame, fresh: DataFrame, listing: DataFrame) -> DataFrame:
+    """Rows of before that stay: those of a file that is done or gone go, so do others with the id of a new chunk, and rows without a file that carry
+    the unique name of a file that is done. Rows are moved for none of this while the files are few."""
+    leaving = written(done.select(F.col("file_id").alias("drive_file_id")).union(gone).distinct(), "leaving")
+    # ids are made from the file, so hardly ever does a row of another file have one
+    others = target.select("id", "drive_file_id").join(fresh.select("id"), "id", "left_semi").join(leaving, "drive_file_id", "left_anti")
+    rows = sync.without(sync.without(target, leaving, "drive_file_id"), written(others.select("id").distinct(), "others"), "id")
+    tracked = present("drive_file_id").isNotNull()
+    return rows.filter(tracked).unionByName(sync.remove_legacy(rows.filter(~tracked), done, listing))
+
+
 def _results(outcome: DataFrame, target: DataFrame, fresh: DataFrame) -> DataFrame:
     """A row per chosen file; ``removed`` counts rows that its new chunks replaced by none of the same id."""
     stored = target.select("id", F.col("drive_file_id").alias("_file")).join(fresh.select("id"), "id", "left_anti").groupBy("_file").agg(

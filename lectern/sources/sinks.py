@@ -1,16 +1,19 @@
 """Writers. A table that is changed in parts is a Parquet folder dealt by hash of a key: a change reads and writes only
-the parts it touches (dynamic partition overwrite), from rows that were stored beforehand, and leaves the files of all others as they are.
+the parts it touches, whose new folders are written beside the table and then take the place of the old ones, and leaves the files of all others as
+they are.
 
 One writer at a time. A change that stops half-way is repeated as it is, since ids are derived from content and position; who needs
 versions or concurrent writers keeps the table in a format that has them."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.base import present
 from ..operators.audit import audit_sessions
-from ..operators.sync import upsert_chunks
+from ..operators.sync import each_once, without
 from ..session import exists, file_system, written
 
 PARTS = 64
@@ -48,25 +51,30 @@ class DealtTable:
     def replace(self, rows: DataFrame, touched: list[int]) -> None:
         """Make ``rows`` the contents of the parts ``touched``, which all of them belong to."""
         placed = rows.withColumn(self.column, self.part(rows.columns))
-        # stored first, as rows may be made from the parts they replace; large parts are split, small ones share a file
-        placed = written(placed.hint("rebalance", self.column), "parts")
-        filled = {r[0] for r in placed.select(self.column).distinct().collect()}
+        # written aside and once, as rows may be made from the parts they replace; large parts are split, small ones share a file
+        aside = f"{self.path}/_aside-{uuid.uuid4().hex}"
+        placed.hint("rebalance", self.column).write.partitionBy(self.column).parquet(aside)
+        fs, Path = file_system(self.spark, self.path)
+        folders = [f.getPath().getName() for f in fs.listStatus(Path(aside))]
+        filled = {int(name.split("=")[1]) for name in folders if "=" in name}
         if not filled <= set(touched):
+            fs.delete(Path(aside), True)
             raise ValueError("rows of parts that are not replaced")
         if not self.exists():
-            placed.limit(0).write.parquet(f"{self.path}/_columns/{self.column}")
-        if filled:
-            placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(self.column).parquet(self.path)
-        # a part without rows is not written, so its folder is still the old one
-        fs, Path = file_system(self.spark, self.path)
-        for part in set(touched) - filled:
-            fs.delete(Path(f"{self.path}/{self.column}={part}"), True)
+            self.spark.createDataFrame([], placed.schema).write.parquet(f"{self.path}/_columns/{self.column}")
+        for part in touched:
+            folder = f"{self.column}={part}"
+            fs.delete(Path(f"{self.path}/{folder}"), True)
+            # a part without rows is not written
+            if part in filled and not fs.rename(Path(f"{aside}/{folder}"), Path(f"{self.path}/{folder}")):
+                raise OSError(f"{aside}/{folder} cannot be moved")
+        fs.delete(Path(aside), True)
 
     def upsert(self, new: DataFrame, order: list[Column] | None = None, files: DataFrame | None = None) -> DataFrame:
         """Rows of ``new`` replace those of the same id, which must have the same key; returns the table. With ``files`` (the first column of the
         key), rows of those files that are not in ``new`` go."""
         if not self.exists():
-            self.replace(upsert_chunks(new.limit(0), new, order), list(range(self.parts)))
+            self.replace(each_once(new, order), list(range(self.parts)))
             return self.read()
         touched = set(self.touched(new))
         if files is not None:
@@ -75,12 +83,12 @@ class DealtTable:
         unknown = set(new.columns) - set(before.columns)
         if unknown:
             raise ValueError(f"{self.path} has no columns {sorted(unknown)}")
-        after = upsert_chunks(before, new, order)
+        # ids alone tell which rows go
+        going = before.select("id").join(new.select("id"), "id", "left_semi")
         if files is not None:
-            gone = files.select(F.col(self.key[0])).distinct()
-            stale = before.join(gone, self.key[0], "left_semi").join(new.select("id"), "id", "left_anti").select("id")
-            after = after.join(stale, "id", "left_anti").select(*before.columns)
-        self.replace(after.select(*before.columns), sorted(touched))
+            going = going.union(before.join(files.select(F.col(self.key[0])).distinct(), self.key[0], "left_semi").select("id"))
+        kept = without(before, written(going.distinct(), "going"), "id")
+        self.replace(kept.unionByName(each_once(new, order), allowMissingColumns=True).select(*before.columns), sorted(touched))
         return self.read()
 
 
