@@ -10,6 +10,10 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: A Python worker holds a batch several times over (bytes, strings, results), and a task may have several workers.
+BATCH_BYTES = 4 * 1024 * 1024
+
+
 def build_session(master: str | None = None, app: str = "lectern", **conf: str) -> SparkSession:
     """A session with the settings the operators rely on; cluster settings are left to the cluster."""
     builder = SparkSession.builder.appName(app)
@@ -21,7 +25,7 @@ def build_session(master: str | None = None, app: str = "lectern", **conf: str)
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         # documents can be long: bound Arrow batches by bytes as well as by rows
-        "spark.sql.execution.arrow.maxBytesPerBatch": str(32 * 1024 * 1024),
+        "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES),
         **conf,
     }
     for key, value in settings.items():
@@ -37,7 +41,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Pin the session to UTC, bound Arrow batches by bytes (documents can be long) and, once per application, send this
     package to the Python workers."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 * 1024 * 1024))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     application = spark.sparkContext.applicationId
     if application not in _SHIPPED:
         package = Path(__file__).resolve().parent
