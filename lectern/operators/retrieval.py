@@ -89,7 +89,7 @@ class _TopK:
     """The best k documents per question, fed with blocks of documents."""
 
     # similarities held at once
-    CELLS = 4_000_000
+    CELLS = 1_000_000
 
     def __init__(self, queries: np.ndarray, floors: np.ndarray, k: int):
         self.queries, self.k = queries, k
@@ -187,6 +187,8 @@ def _match_by_broadcast(queries: DataFrame, docs: DataFrame, dim: int, k: int) -
 
 #: Documents that a cell aims at, and the bounds of the cells and of the sample they are made from, in numbers on the driver.
 CELL_ROWS, MOST_CELLS, SAMPLE_ROWS, SAMPLE_VALUES = 2_000, 4_096, 20_000, 4_000_000
+#: Pairs of a question and a cell that a task looks at together: every cell may be near to every question of a batch.
+PAIRS = 500_000
 
 
 def _tree(docs: DataFrame, dim: int, cells: int | None) -> CellTree | None:
@@ -240,7 +242,8 @@ def match_by_cells(
         """Each question with a cell to be scored in: the one next to it, or all others that its floor leaves."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            step = max(1, PAIRS // len(tree.centres))
+            for batch in (whole.slice(at, step) for whole in batches for at in range(0, whole.num_rows, step)):
                 units = unit_rows(as_matrix(batch.column(1), dim))
                 ok = np.flatnonzero(~np.isnan(units).any(axis=1))
                 near = tree.nearest_filled(units[ok])
