@@ -411,11 +411,40 @@ def _(t):
     return packed_files(reconciled(t).table)
 
 
-@query("e_reconcile_manifest", "listing manifest", PLAN + FATES + """
-select drive_file_id, m.status, m.chunks_count > 0 as has_chunks from manifest m join outcome o on o.file_id = m.drive_file_id where fate = 'unchanged'
-union all select file_id, case when fate in ('good', 'blank') then 'active' else 'error' end, fate = 'good' from outcome where class in ('new', 'changed')""")
-def _(t):
-    return reconciled(t).manifest.select("drive_file_id", "status", (F.col("chunks_count") > 0).alias("has_chunks"))
+STRIPPED = "'" + "".join(c for c in map(chr, range(0x3001)) if c.isspace()) + "'"
+
+
+def chunk_counts_sql(pages: str) -> str:
+    """CTEs up to ``counts`` (file_id, chunks) for DuckDB: how many chunks of up to 1,000 characters without overlap the recursive splitter cuts from
+    the stripped ``pages`` (file_id, path, text), found by levels of separators: pieces that are too long go to the next one, runs of others are packed."""
+    parts, nodes = [], f"(select file_id, path, text from {pages})"
+    for level, separator in enumerate(chunking.SEPARATORS):
+        mark = "'" + separator.replace("\n", "' || chr(10) || '") + "'"
+        here = f"contains(text, {mark})" if separator else "true"
+        pieces = f"list_filter(list_transform(string_split(text, {mark}), lambda x, i: case when i > 1 then {mark} || x else x end), lambda x: x <> '')"
+        parts.append(f"""
+, piece{level} as (select file_id, path, unnest(l) as text, generate_subscripts(l, 1) as i from (select file_id, path, {pieces} as l from {nodes} n where {here}) s)
+, run{level} as (select *, length(text) as n, count(*) filter (where length(text) >= 1000) over (partition by file_id, path order by i) as run from piece{level})
+, left{level} as (select file_id, path || '.' || i as path, text from run{level} where n >= 1000
+  union all select file_id, path, text from {nodes} n where not {here})
+, cut{level} as (select file_id, list_reduce(list({{'done': 0, 'chars': n, 'ink': case when trim(text, {STRIPPED}) = '' then 0 else 1 end}} order by i), lambda a, x:
+    case when a.chars + x.chars > 1000 then {{'done': a.done + a.ink, 'chars': x.chars, 'ink': x.ink}}
+      else {{'done': a.done, 'chars': a.chars + x.chars, 'ink': greatest(a.ink, x.ink)}} end) as r from run{level} where n < 1000 group by file_id, path, run)""")
+        nodes = f"left{level}"
+    every = " union all ".join(f"select file_id, r from cut{level}" for level in range(len(chunking.SEPARATORS)))
+    return "".join(parts) + f"""
+, counts as (select file_id, cast(sum(r.done + r.ink) as int) as chunks from ({every}) c group by file_id)"""
+
+
+@query("e_reconcile_manifest", "listing manifest", PLAN + FATES + f"""
+, split as (select file_id, string_split(text || case when doc_id % 2 = 0 then chr(12) || source else '' end, chr(12)) as l from outcome where fate = 'good')
+, pages as (select file_id, cast(generate_subscripts(l, 1) as varchar) as path, trim(unnest(l), {STRIPPED}) as text from split)""" + chunk_counts_sql("pages") + """
+select drive_file_id, m.status, cast(m.chunks_count as int) as chunks_count from manifest m join outcome o on o.file_id = m.drive_file_id where fate = 'unchanged'
+union all select o.file_id, case when fate in ('good', 'blank') then 'active' else 'error' end, coalesce(c.chunks, 0)
+from outcome o left join counts c on c.file_id = o.file_id where class in ('new', 'changed')""")
+def _(t):
+    """The manifest after that run, with the number of chunks that each whole text was cut into."""
+    return reconciled(t).manifest.select("drive_file_id", "status", F.col("chunks_count").cast("int").alias("chunks_count"))
 
 
 def two_pages(content: bytes) -> list[str]:
