@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.base import cut, first_present, half_up, join_sorted, matches, percent, present, strip
 from ..functions.identity import UUID_V1_TO_V5
+from ..session import written
 from .metrics import Measures, measured, pipeline_turns
 from .ordering import newest_per_key
 
@@ -69,6 +70,8 @@ def rating_by_mode(feedback: DataFrame, messages: DataFrame) -> DataFrame:
 
 #: Ids of wanted chunks that are sent to every task at most.
 SENT_IDS = 500_000
+#: Bytes of their texts that are sent to every task at most, and entries that then meet their texts in one task.
+SENT_BYTES, TASK_ENTRIES = 64_000_000, 30_000
 
 
 def eval_context(turns: DataFrame, documents: DataFrame, max_chars: int | None = None) -> DataFrame:
@@ -82,9 +85,15 @@ def eval_context(turns: DataFrame, documents: DataFrame, max_chars: int | None =
     # few wanted ids are sent to the documents, so that no other text is moved; many meet their texts by shuffle
     wanted = stored.select("document_id").distinct()
     id_of = F.col("id").cast("string")
-    if wanted.limit(SENT_IDS + 1).count() <= SENT_IDS:
+    few = wanted.limit(SENT_IDS + 1).count() <= SENT_IDS
+    if few:
         documents = documents.join(F.broadcast(wanted.withColumnRenamed("document_id", "_wanted")), id_of == F.col("_wanted"), "left_semi")
     chunks = documents.select(id_of.alias("document_id"), "source", cut("content", max_chars).alias("content") if max_chars else F.col("content"))
+    if few:
+        # short lists of texts go to the entries, which are dealt by turn before, so that no copy of a text is shuffled
+        chunks = written(chunks, "chunks")
+        if chunks.agg(F.coalesce(F.sum(F.octet_length("content")), F.lit(0))).first()[0] <= SENT_BYTES:
+            return stored.repartition(-(-stored.count() // TASK_ENTRIES) or 1, *TURN).join(F.broadcast(chunks), "document_id")
     return stored.join(chunks, "document_id")
 
 
