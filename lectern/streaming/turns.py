@@ -7,11 +7,12 @@ time to live. Only the newest checks change while a stream runs; they are writte
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from itertools import islice
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor
 
 from ..functions.base import half_up
@@ -69,6 +70,10 @@ def read_unique_turns(spark: SparkSession, path: str, schema: T.StructType) -> D
 STATE_LIFE_MS = 30 * 24 * 3600 * 1000
 #: How long a turn waits for those before it.
 WAIT_MS = 10 * 60 * 1000
+#: How many waiting turns of a session are read together.
+AT_ONCE = 1_000
+#: How many of a session's turns in one micro-batch are sorted together.
+SORTED_AT_ONCE = 5_000
 
 _SESSION = T.StructType([
     *[T.StructField(n, T.StringType()) for n in ("state", "mode", "topic")],
@@ -85,16 +90,86 @@ _TURN = T.StructType([
 LIVE_SCHEMA = T.StructType([*DECISION_SCHEMA.fields, T.StructField("message", T.StringType()), T.StructField("late", T.BooleanType())])
 
 
-class _Event:
-    """A turn out of the state, with the attributes of a row."""
-
-    def __init__(self, values):
-        for field, value in zip(_TURN.names, values):
-            setattr(self, field, value)
+_DECISION, _TURN_OF_STATE = Row(*LIVE_SCHEMA.names), Row(*_TURN.names)
+
+
+class _Early:
+    """The turns of one session that wait. Up to ``AT_ONCE`` are read together and only what is left of them is stored in the end; more are
+    asked for one by one, so that none but these are in memory."""
+
+    def __init__(self, state, count: int):
+        self.state, self.count = state, count
+        self.near: dict | None = None if count else {}  # the waiting turns, if they are in memory
+        self.stored: set[int] = set()  # those of them that are in the state
+        self.taken: list[int] = []  # turns that are still in the state and wait no longer
+        self.apart = count > AT_ONCE
+        self.put_until: int | None = None
+
+    def _read(self) -> bool:
+        """Whether the waiting turns are in memory."""
+        if self.near is None and not self.apart:
+            self.near = {key[0]: _TURN_OF_STATE(*value) for key, value in self.state.iterator()}
+            self.stored, self.count = set(self.near), len(self.near)
+        return self.near is not None
+
+    def __contains__(self, turn: int) -> bool:
+        if not self.count:
+            return False
+        return turn in self.near if self._read() else self.state.containsKey((turn,))
+
+    def numbers(self) -> list[int]:
+        return sorted(self.near) if self._read() else sorted(key[0] for key in self.state.keys())
+
+    def get(self, turn: int):
+        return self.near[turn] if self._read() else _TURN_OF_STATE(*self.state.getValue((turn,)))
+
+    def put(self, turn: int, values: tuple) -> None:
+        self.count, self.put_until = self.count + 1, values[-1]
+        if not self._read():
+            self.state.updateValue((turn,), values)
+            return
+        self.near[turn] = _TURN_OF_STATE(*values)
+        if len(self.near) > AT_ONCE:
+            self.store()
+            self.near, self.apart = None, True
+
+    def take(self, turn: int):
+        found = self.get(turn)
+        self.count -= 1
+        if self.near is None:
+            self.state.removeKey((turn,))
+        else:
+            del self.near[turn]
+            if turn in self.stored:
+                self.stored.remove(turn)
+                self.taken.append(turn)
+        return found
+
+    def store(self) -> None:
+        """Bring the state in step with memory."""
+        if self.near is None:
+            return
+        if self.taken and not self.stored:
+            self.state.clear()
+        else:
+            for turn in self.taken:
+                self.state.removeKey((turn,))
+        for turn in self.near.keys() - self.stored:
+            self.state.updateValue((turn,), tuple(self.near[turn]))
+        self.stored, self.taken = set(self.near), []
+
+
+def _in_order(rows: Iterator[Row]) -> Iterator[Row]:
+    """Rows sorted by turn, ``SORTED_AT_ONCE`` at a time; those without a number first."""
+    while chunk := list(islice(rows, SORTED_AT_ONCE)):
+        yield from sorted(chunk, key=lambda row: (row.turn is not None, row.turn or 0))
 
 
 class LiveSession(StatefulProcessor):
-    """The state of each session, the turns that came early, and the numbers of those that were given up."""
+    """The state of each session, the turns that came early, and the numbers of those that were given up.
+
+    Sessions are many and bring few turns each, so that a session costs as few calls of the state as can be, and rows are not made into
+    pandas frames of a few rows."""
 
     def __init__(self, wait_ms: int = WAIT_MS, life_ms: int = STATE_LIFE_MS):
         self.wait_ms, self.life_ms = wait_ms, life_ms
@@ -102,90 +177,91 @@ class LiveSession(StatefulProcessor):
     def init(self, handle) -> None:
         self.handle = handle
         self.held = handle.getValueState("session", _SESSION, self.life_ms)
-        self.early = handle.getMapState("early", "turn bigint", _TURN, self.life_ms)
+        self.early_turns = handle.getMapState("early", "turn bigint", _TURN, self.life_ms)
 
     def _enter(self) -> None:
         found = self.held.get() if self.held.exists() else None
         if found is None:
             found = (None, None, None, None, None, 0, -1, 0, [])
-        state, mode, self.topic, question, attempt, self.revision, self.turn, self.waiting, missing = found
+        state, mode, self.topic, question, attempt, self.revision, self.turn, waiting, missing = found
         self.topic = self.topic or ""
         self.state, self.missing = start_of(state, mode, self.topic, question, attempt), list(missing or [])
-        self.out: list[list] = []
+        self.early = _Early(self.early_turns, waiting)
+        self.out: list[Row] = []
 
-    def _leave(self) -> Iterator[pd.DataFrame]:
+    def _leave(self) -> Iterator[Row]:
         s = self.state
-        self.held.update((s.state, s.mode, self.topic, int(s.question), int(s.attempt), self.revision, self.turn, self.waiting, self.missing))
-        if self.out:
-            yield pd.DataFrame(self.out, columns=LIVE_SCHEMA.names).astype({
-                "turn": "Int64", "revision": "Int64", **{c: "Int32" for c in ("quiz_question", "quiz_attempt", "question_after", "attempt_after")}})
+        self.early.store()
+        self.held.update((
+            s.state, s.mode, self.topic, int(s.question), int(s.attempt), self.revision, self.turn, self.early.count, self.missing))
+        yield from self.out
 
     def _apply(self, session: str, turn: int, row) -> None:
         self.state, self.topic, self.revision, decision = replay(self.state, self.topic, self.revision, row)
         self.turn = turn
-        self.out.append([session, turn, *decision, None, False])
+        self.out.append(_DECISION(session, turn, *decision, None, False))
 
     def _drain(self, session: str) -> None:
         """Apply what waited for the turn that was applied last."""
-        while self.waiting and self.early.containsKey((self.turn + 1,)):
-            turn = self.turn + 1
-            self._apply(session, turn, _Event(self.early.getValue((turn,))))
-            self.early.removeKey((turn,))
-            self.waiting -= 1
+        while self.turn + 1 in self.early:
+            self._apply(session, self.turn + 1, self.early.take(self.turn + 1))
+
+    def _go_on(self, session: str, now: int) -> None:
+        """Give up the turns that others have waited for long enough."""
+        for first in self.early.numbers():
+            if first <= self.turn:
+                continue  # applied with one before it
+            if self.early.get(first).until > now:
+                break  # has a timer of its own
+            self.missing += [self.turn + 1, first - 1]
+            self.turn = first - 1
+            self._drain(session)
 
     def _late(self, session: str, turn: int | None, row) -> None:
-        self.out.append([session, turn, row.intent, *[None] * (len(DECISION_SCHEMA) - 3), row.message, True])
+        self.out.append(_DECISION(session, turn, row.intent, *[None] * (len(DECISION_SCHEMA) - 3), row.message, True))
 
     def _given_up(self, turn: int) -> bool:
         """Whether the session went on without this turn; it is known from then on."""
-        for i in range(0, len(self.missing), 2):
-            first, last = self.missing[i:i + 2]
-            if first <= turn <= last:
-                rest = [first, turn - 1] if first < turn else []
-                self.missing[i:i + 2] = rest + ([turn + 1, last] if turn < last else [])
-                return True
-        return False
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        at = bisect_left(self.missing, turn)
+        if at == len(self.missing) or (at % 2 == 0 and self.missing[at] != turn):
+            return False
+        at -= at % 2
+        first, last = self.missing[at:at + 2]
+        rest = [first, turn - 1] if first < turn else []
+        self.missing[at:at + 2] = rest + ([turn + 1, last] if turn < last else [])
+        return True
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         self._enter()
-        until = timerValues.getCurrentProcessingTimeInMs() + self.wait_ms
-        for frame in rows:
-            for row in frame.sort_values("turn", kind="stable").itertuples(index=False):
-                turn = None if pd.isna(row.turn) else int(row.turn)
-                if turn is None or turn < 0 or (turn <= self.turn and self._given_up(turn)):
-                    self._late(key[0], turn, row)
-                elif turn == self.turn + 1:
-                    self._apply(key[0], turn, row)
-                    self._drain(key[0])
-                elif turn > self.turn and not self.early.containsKey((turn,)):
-                    text = lambda v: v if isinstance(v, str) else None
-                    self.early.updateValue((turn,), (
-                        row.intent, text(row.inline_mode), text(row.inline_topic), row.message, bool(row.letter), bool(row.blank),
-                        bool(row.retry), bool(row.is_failed), until))
-                    self.waiting += 1
-                # what is left was delivered before
-        if self.waiting:
-            self.handle.registerTimer(until)
+        now = timerValues.getCurrentProcessingTimeInMs()
+        for row in _in_order(rows):
+            turn = row.turn
+            if turn is None or turn < 0 or (turn <= self.turn and self._given_up(turn)):
+                self._late(key[0], turn, row)
+            elif turn == self.turn + 1:
+                self._apply(key[0], turn, row)
+                self._drain(key[0])
+            elif turn > self.turn and turn not in self.early:
+                self.early.put(turn, (*[row[name] for name in _TURN.names[:-1]], now + self.wait_ms))
+            # what is left was delivered before
+        if self.early.count:
+            if self.wait_ms <= 0:
+                self._go_on(key[0], now)  # what is not waited for needs no state and no timer
+            elif self.early.put_until is not None:
+                self.handle.registerTimer(self.early.put_until)
         yield from self._leave()
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         self._enter()
-        now = timerValues.getCurrentProcessingTimeInMs()
-        while self.waiting:
-            first = min(k[0] for k in self.early.keys())
-            if self.early.getValue((first,))[-1] > now:
-                break  # has a timer of its own
-            self.missing += [self.turn + 1, first - 1]
-            self.turn = first - 1
-            self._drain(key[0])
+        if not self.early.count:
+            return
+        self._go_on(key[0], timerValues.getCurrentProcessingTimeInMs())
         yield from self._leave()
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
-        row = next(initialState.itertuples(index=False))
-        text = lambda v: v if isinstance(v, str) else None
-        number = lambda v, default: default if v is None or pd.isna(v) else int(v)
-        self.held.update((text(row.state), text(row.mode), text(row.current_topic), number(row.quiz_question, 0), number(row.quiz_attempt, 0),
-                          number(row.revision, 0), number(row.turn, -1), 0, []))
+        stored = initialState
+        self.held.update((stored.state, stored.mode, stored.current_topic, stored.quiz_question or 0, stored.quiz_attempt or 0,
+                          stored.revision or 0, -1 if stored.turn is None else stored.turn, 0, []))
 
     def close(self) -> None:
         pass
@@ -198,14 +274,14 @@ def live_sessions(turns: DataFrame, wait_ms: int = WAIT_MS, states: DataFrame |
     states: stored states to start from (as of ``flow.final_states``, with ``turn``, the last number that is part of them).
     A turn is decided as soon as all before it are. One that came early waits for them; after ``wait_ms`` the session goes on without
     those that are missing. A turn that comes after that is returned as a row of its own with ``late``, as are turns without a number; no row is
-    lost, and repeats change nothing. A session's turns of one micro-batch are handled together, in Arrow batches."""
+    lost, and repeats change nothing. A session's turns of one micro-batch are handled together, some thousands at a time."""
     tagged = tag_turns(turns).select("session_id", F.col("turn").cast("bigint").alias("turn"), *EVENT_COLUMNS)
     initial = None
     if states is not None:
         turn = F.col("turn").cast("bigint") if "turn" in states.columns else F.lit(None).cast("bigint")
         initial = states.select("session_id", "state", "mode", "current_topic", "quiz_question", "quiz_attempt", "revision", turn.alias("turn")).groupBy(
             "session_id")
-    return tagged.groupBy("session_id").transformWithStateInPandas(
+    return tagged.groupBy("session_id").transformWithState(
         LiveSession(wait_ms), LIVE_SCHEMA, "Append", "ProcessingTime", initialState=initial)
 
 
@@ -258,10 +334,11 @@ def newest_health(checks: DataFrame) -> DataFrame:
 
 @contextmanager
 def _settings(spark: SparkSession, idle: bool):
-    """State in RocksDB, outside the heap. Without ``idle`` batches a run looks at timers with the next data only, so that it ends. The session's own
+    """State in RocksDB, outside the heap; a micro-batch stores what it has changed there, not the whole. Without ``idle`` batches a run looks at timers with the next data only, so that it ends. The session's own
     settings are restored."""
     wanted = {
         "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
         "spark.sql.streaming.noDataMicroBatches.enabled": str(idle).lower(),
     }
     before = {key: spark.conf.get(key, None) for key in wanted}
