@@ -62,6 +62,13 @@ class CellTree:
         node = self.parent[cell]
         self.node_radius[node] = max(self.node_radius[node], high)
 
+    def starts(self) -> np.ndarray:
+        """Where each cell's vectors begin when all are laid in a row, cells of a node side by side."""
+        order = np.argsort(self.parent, kind="stable")
+        starts = np.zeros(len(order), np.int64)
+        starts[order] = np.cumsum(self.rows[order]) - self.rows[order]
+        return starts
+
     @staticmethod
     def _bound(cosines: np.ndarray, radius: np.ndarray) -> np.ndarray:
         """The greatest similarity within a radius of the centres; below -1 where a cell is empty."""
@@ -72,12 +79,13 @@ class CellTree:
         cosines = np.where(self.rows > 0, units @ self.centres.T, -2.0)
         return cosines.argmax(axis=1)
 
-    def visits(self, units: np.ndarray, floors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(vector, cell) pairs that can hold a similarity of at least the vector's floor."""
+    def visits(self, units: np.ndarray, floors: np.ndarray, among: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(vector, cell) pairs that can hold a similarity of at least the vector's floor; ``among`` marks the cells in question."""
+        wanted = self.rows > 0 if among is None else (self.rows > 0) & among
         pairs = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
         may = self._bound(units @ self.nodes.T, self.node_radius) >= floors[:, None] - SLACK
         for n in range(len(self.nodes)):
-            own, below = np.flatnonzero(may[:, n]), np.flatnonzero((self.parent == n) & (self.rows > 0))
+            own, below = np.flatnonzero(may[:, n]), np.flatnonzero((self.parent == n) & wanted)
             if len(own) and len(below):
                 q, c = np.nonzero(self._bound(units[own] @ self.centres[below].T, self.radius[below]) >= floors[own][:, None] - SLACK)
                 pairs.append((own[q], below[c]))

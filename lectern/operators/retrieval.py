@@ -86,47 +86,87 @@ def match_documents(
 
 
 class _TopK:
-    """The best k documents per question, fed with blocks of documents."""
+    """The best k documents per question, fed with blocks of documents.
 
-    # similarities held at once
-    CELLS = 1_000_000
+    Similarities in single precision rule pairs out; the pairs that are left are scored in double precision."""
+
+    # similarities held at once, and the documents among them
+    CELLS, WIDTH = 250_000, 2_000
 
     def __init__(self, queries: np.ndarray, floors: np.ndarray, k: int):
-        self.queries, self.k = queries, k
+        self.queries, self.k, self.coarse = queries, k, queries.astype(np.float32)
         # what a new document must reach: the threshold, later the k-th best so far
         self.floors = floors.copy()
-        self.held: list = [None] * len(queries)
-
-    def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
-        if not len(ids):
+        # several times the error of a product of unit vectors in single precision
+        self.slack = (queries.shape[1] + 8) * 2.0 ** -22
+        # (question, id, similarity), the k best of each question in order, and what came since
+        self.held: tuple | None = None
+        self.waiting: list[tuple] = []
+        self.pairs = 0
+        # ids of the k-th best, of questions that have as many
+        self.last, self.full = None, np.zeros(len(queries), bool)
+
+    def add(self, ids: np.ndarray, vectors: np.ndarray, asked: np.ndarray | None = None) -> None:
+        """Documents for all questions or for those at the places ``asked``."""
+        asked = np.arange(len(self.queries)) if asked is None else asked
+        known = ~np.isnan(vectors).any(axis=1)
+        ids, vectors = ids[known], vectors[known]
+        for left in range(0, len(ids), self.WIDTH):
+            some = slice(left, left + self.WIDTH)
+            coarse, step = vectors[some].astype(np.float32), max(1, self.CELLS // len(ids[some]))
+            for at in range(0, len(asked), step):
+                self._score(asked[at:at + step], ids[some], vectors[some], coarse)
+
+    def _score(self, asked: np.ndarray, ids: np.ndarray, vectors: np.ndarray, coarse: np.ndarray) -> None:
+        sims = self.coarse[asked] @ coarse.T
+        floors = (self.floors[asked] - self.slack).astype(np.float32)
+        some = np.flatnonzero(sims.max(axis=1) >= floors)  # NaN compares false
+        if not len(some):
             return
-        step = max(1, self.CELLS // len(ids))
-        for start in range(0, len(self.queries), step):
-            sims = np.round(vectors @ self.queries[start:start + step].T, DIGITS)
-            reached = sims >= self.floors[start:start + step]  # NaN compares false
-            for q in np.flatnonzero(reached.any(axis=0)):
-                hit = reached[:, q]
-                self._merge(start + q, ids[hit], sims[hit, q])
-
-    def _merge(self, q: int, ids: np.ndarray, sims: np.ndarray) -> None:
-        if self.held[q] is not None:
-            ids, sims = np.concatenate([self.held[q][0], ids]), np.concatenate([self.held[q][1], sims])
-        keep = np.lexsort((ids, -sims))[:self.k]
-        self.held[q] = (ids[keep], sims[keep])
-        if len(keep) == self.k:
-            self.floors[q] = sims[keep[-1]]
-
-
-def _rows(query_ids, held, id_type: pa.DataType, query_type: pa.DataType) -> pa.RecordBatch:
-    held = [(q, s) for q, s in zip(query_ids, held) if s is not None]
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array([q for q, s in held for _ in s[0]], type=query_type),
-            pa.array([i for _, s in held for i in s[0].tolist()], type=id_type),
-            pa.array([x for _, s in held for x in s[1].tolist()], type=pa.float64()),
-        ],
-        names=["query_id", "id", "similarity"],
-    )
+        asked, floors, sims = asked[some], floors[some], sims[some]
+        hits = np.flatnonzero(sims >= floors[:, None])
+        if len(hits) > sims.size // 128 and len(ids) > self.k:
+            # nor can a document matter that is below the k-th best of these alone
+            best = np.partition(sims, -self.k, axis=1)[:, -self.k] - np.float32(self.slack)
+            hits = np.flatnonzero(sims >= np.maximum(floors, best)[:, None])
+        row, d = np.divmod(hits, len(ids))
+        q = asked[row]
+        if len(hits) > sims.size // 32:
+            exact = (self.queries[asked] @ vectors.T).ravel()[hits]
+        else:
+            exact = np.einsum("ij,ij->i", self.queries[q], vectors[d])
+        exact, found = np.round(exact, DIGITS), ids[d]
+        enters = exact >= self.floors[q]
+        if self.last is not None:
+            enters &= ~self.full[q] | (exact > self.floors[q]) | (found < self.last[q])
+        if enters.any():
+            self.waiting.append((q[enters], found[enters], exact[enters]))
+            self.pairs += int(enters.sum())
+            if self.pairs > self.k * len(self.queries):
+                self._merge()
+
+    def _merge(self) -> None:
+        q, ids, sims = (np.concatenate(c) for c in zip(*([self.held] if self.held else []), *self.waiting))
+        order = np.lexsort((ids, -sims, q))
+        q, ids, sims, self.waiting = q[order], ids[order], sims[order], []
+        self.pairs = 0
+        starts = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]]))
+        counts = np.diff(np.append(starts, len(q)))
+        keep = np.arange(len(q)) - np.repeat(starts, counts) < self.k
+        kth = starts[counts >= self.k] + self.k - 1
+        if self.last is None or self.last.dtype != ids.dtype:
+            self.last = np.zeros(len(self.queries), ids.dtype) if self.last is None else self.last.astype(ids.dtype)
+        self.floors[q[kth]], self.last[q[kth]], self.full[q[kth]] = sims[kth], ids[kth], True
+        self.held = (q[keep], ids[keep], sims[keep])
+
+    def rows(self, query_ids: pa.Array, id_type: pa.DataType) -> pa.RecordBatch:
+        """query_id, id and similarity of what was found."""
+        if self.waiting:
+            self._merge()
+        q, ids, sims = self.held or ([], np.zeros(0, np.int64), [])
+        return pa.RecordBatch.from_arrays(
+            [query_ids.take(pa.array(q, pa.int64())), pa.array(ids.tolist(), type=id_type), pa.array(sims, pa.float64())],
+            names=["query_id", "id", "similarity"])
 
 
 def _arrow_type(df: DataFrame, name: str) -> pa.DataType:
@@ -171,16 +211,16 @@ def _schema(queries: DataFrame, docs: DataFrame) -> T.StructType:
 def _match_by_broadcast(queries: DataFrame, docs: DataFrame, dim: int, k: int) -> DataFrame:
     """Every task scores its documents against the (size-checked) questions and emits its own top-k."""
     table = queries.toArrow()
-    query_ids = table.column("query_id").to_pylist()
+    id_type, query_type = _arrow_type(docs, "id"), _arrow_type(queries, "query_id")
+    query_ids = pa.array(table.column("query_id").to_pylist(), query_type)
     floors = np.array(table.column("threshold").to_pylist(), dtype=np.float64)
     shared = docs.sparkSession.sparkContext.broadcast(unit_rows(as_matrix(table.column("embedding"), dim)))
-    id_type, query_type = _arrow_type(docs, "id"), _arrow_type(queries, "query_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = _TopK(shared.value, floors, k)
         for record in batches:
             best.add(_id_array(record.column("id"), id_type), unit_rows(as_matrix(record.column("embedding"), dim)))
-        yield _rows(query_ids, best.held, id_type, query_type)
+        yield best.rows(query_ids, id_type)
 
     return docs.mapInArrow(run, _schema(queries, docs))
 
@@ -189,6 +229,17 @@ def _match_by_broadcast(queries: DataFrame, docs: DataFrame, dim: int, k: int) -
 CELL_ROWS, MOST_CELLS, SAMPLE_ROWS, SAMPLE_VALUES = 2_000, 4_096, 20_000, 4_000_000
 #: Pairs of a question and a cell that a task looks at together: every cell may be near to every question of a batch.
 PAIRS = 500_000
+#: Numbers that a block of documents or of questions has at most, and the tasks a core gets. Blocks are copied once for each block they
+#: meet, so that smaller ones move more.
+BLOCK_VALUES, TASKS = 6_000_000, 4
+
+
+def _block_counts(questions: int, docs: int, block_rows: int, most_rows: int, tasks: int) -> tuple[int, int]:
+    """Blocks of questions and of documents: as few as fit into memory and keep all cores busy."""
+    parts = lambda rows, size: max(1, -(-rows // size))
+    most_rows = max(block_rows, most_rows)
+    asked = max(parts(questions, most_rows), min(int(np.ceil(np.sqrt(tasks))), parts(questions, block_rows)))
+    return asked, max(parts(docs, most_rows), min(parts(tasks, asked), parts(docs, block_rows)))
 
 
 def _tree(docs: DataFrame, dim: int, cells: int | None) -> CellTree | None:
@@ -210,8 +261,10 @@ def match_by_cells(
 
     Centres made from the data cut the documents into cells of a tree; each cell knows the largest angle of its documents to the centre. A question
     is first scored in the cell next to it; the k-th best found there, or its threshold, is the floor for all others: cells whose
-    bound stays below are passed over, by whole nodes where the node's does. Large cells are cut into blocks of
-    documents and of questions; a task sees one block of each and returns at most k rows per question."""
+    bound stays below are passed over, by whole nodes where the node's does. Neighbouring cells lie in one block of documents, which a
+    question reaches once, however many of its cells it visits; large cells are cut. A task sees one block of documents and one of
+    questions and returns at most k rows per question. Blocks have ``block_rows`` rows or, where that makes more than a few tasks for
+    each core, up to BLOCK_VALUES numbers."""
     spark, id_type, query_type = docs.sparkSession, _arrow_type(docs, "id"), _arrow_type(queries, "query_id")
     schema = _schema(queries, docs)
     visit_schema = T.StructType([schema["query_id"], T.StructField("cell", T.IntegerType()), T.StructField("documents", T.LongType())])
@@ -238,72 +291,117 @@ def match_by_cells(
     if not tree.rows.any():
         return spark.createDataFrame([], schema), spark.createDataFrame([], visit_schema)
 
+    asking = queries.count()
+    question_blocks, doc_blocks = _block_counts(
+        asking, int(tree.rows.sum()), block_rows, BLOCK_VALUES // dim, TASKS * spark.sparkContext.defaultParallelism)
+    doc_rows, question_rows = -(-int(tree.rows.sum()) // doc_blocks), max(1, -(-asking // question_blocks))
+    starts = tree.starts()
+    # the blocks that a cell's documents are in
+    low, high = starts // doc_rows, (starts + np.maximum(tree.rows, 1) - 1) // doc_rows
+    asked_schema = T.StructType([schema["query_id"], T.StructField("embedding", queries.schema["embedding"].dataType),
+                                 T.StructField("floor", T.DoubleType()), T.StructField("near", T.IntegerType())])
+
+    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, PAIRS // max(len(tree.centres), doc_blocks))
+        return (whole.slice(at, step) for whole in batches for at in range(0, whole.num_rows, step))
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Questions with the cell next to them."""
+        for batch in slices(batches):
+            units = unit_rows(as_matrix(batch.column(1), dim))
+            ok = np.flatnonzero(~np.isnan(units).any(axis=1))
+            rows = batch.take(pa.array(ok))
+            yield pa.RecordBatch.from_arrays(
+                [*rows.columns, pa.array(tree.nearest_filled(units[ok]).astype(np.int32))], names=[*rows.schema.names, "near"])
+
+    def pairs(units: np.ndarray, floors: np.ndarray, near: np.ndarray, first: bool, among: np.ndarray | None = None):
+        """(question, cell) to be scored: the cell next to it, or all others that its floor leaves."""
+        if first:
+            return np.arange(len(near)), near
+        q, c = tree.visits(units, floors, among)
+        other = c != near[q]
+        return q[other], c[other]
+
+    def columns(questions: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return (unit_rows(as_matrix(questions.column("embedding"), dim)), questions.column("floor").to_numpy(zero_copy_only=False),
+                questions.column("near").to_numpy(zero_copy_only=False))
+
     def ask(first: bool):
-        """Each question with a cell to be scored in: the one next to it, or all others that its floor leaves."""
+        """Each question once for every block that holds a cell it is to be scored in."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            step = max(1, PAIRS // len(tree.centres))
-            for batch in (whole.slice(at, step) for whole in batches for at in range(0, whole.num_rows, step)):
-                units = unit_rows(as_matrix(batch.column(1), dim))
-                ok = np.flatnonzero(~np.isnan(units).any(axis=1))
-                near = tree.nearest_filled(units[ok])
-                if first:
-                    q, c = np.arange(len(ok)), near
-                else:
-                    q, c = tree.visits(units[ok], batch.column(2).to_numpy()[ok])
-                    other = c != near[q]
-                    q, c = q[other], c[other]
+            for batch in slices(batches):
+                q, c = pairs(*columns(batch), first)
+                reached = np.zeros((batch.num_rows, doc_blocks), bool)
+                for further in range(int((high[c] - low[c]).max(initial=-1)) + 1):
+                    inside = low[c] + further <= high[c]
+                    reached[q[inside], low[c[inside]] + further] = True
+                q, block = np.nonzero(reached)
                 for at in range(0, len(q), 4096):
-                    rows = batch.take(pa.array(ok[q[at:at + 4096]]))
-                    yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(c[at:at + 4096].astype(np.int32))], names=[*rows.schema.names, "cell"])
+                    rows = batch.take(pa.array(q[at:at + 4096]))
+                    yield pa.RecordBatch.from_arrays(
+                        [*rows.columns, pa.array(block[at:at + 4096].astype(np.int32))], names=[*rows.schema.names, "db"])
 
         return run
 
-    asked_schema = T.StructType([schema["query_id"], T.StructField("embedding", queries.schema["embedding"].dataType),
-                                 T.StructField("floor", T.DoubleType()), T.StructField("cell", T.IntegerType())])
-    counts = F.array(*[F.lit(int(n)) for n in tree.rows])
-    blocks = F.ceil(F.element_at(counts, F.col("cell") + 1) / F.lit(block_rows)).cast("int")
-
-    def score(ours: pa.Table, theirs: pa.Table) -> pa.Table:
-        query_ids = theirs.column("query_id").to_pylist()
-        floors = np.array(theirs.column("floor").to_pylist(), dtype=np.float64)
-        best = _TopK(unit_rows(as_matrix(theirs.column("embedding"), dim)), floors, k)
-        if query_ids:
-            best.add(_id_array(ours.column("id"), id_type), unit_rows(as_matrix(ours.column("embedding"), dim)))
-        return pa.Table.from_batches([_rows(query_ids, best.held, id_type, query_type)])
-
-    key = ["cell", "db", "qb"]
-    pick = lambda of, n: F.pmod(F.xxhash64(of), n).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-
-    def meet(asked: DataFrame) -> DataFrame:
-        if one_block:
-            right = asked.select("cell", every(blocks).alias("db"), F.lit(0).alias("qb"), "query_id", "embedding", "floor")
-            return placed.select("cell", pick("id", blocks).alias("db"), F.lit(0).alias("qb"), "id", "embedding").groupBy(*key).cogroup(
-                right.groupBy(*key)).applyInArrow(score, schema)
-        # one row per cell
-        sizes = F.broadcast(asked.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(block_rows)).cast("int").alias("query_blocks")))
-        left = placed.join(sizes, "cell").select(
-            "cell", pick("id", blocks).alias("db"), every(F.col("query_blocks")).alias("qb"), "id", "embedding")
-        right = asked.join(sizes, "cell").select(
-            "cell", every(blocks).alias("db"), pick("query_id", F.col("query_blocks")).alias("qb"), "query_id", "embedding", "floor")
-        return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(score, schema)
-
-    start = queries.select("query_id", "embedding", F.col("threshold").alias("floor"))
+    def score(first: bool):
+        def run(ours: pa.Table, theirs: pa.Table) -> pa.Table:
+            units, floors, near = columns(theirs)
+            best = _TopK(units, floors, k)
+            if len(units) and ours.num_rows:
+                ids, docs_units = _id_array(ours.column("id"), id_type), unit_rows(as_matrix(ours.column("embedding"), dim))
+                cell = ours.column("cell").to_numpy()
+                order = np.argsort(cell, kind="stable")
+                held, begin = np.unique(cell[order], return_index=True)
+                among = np.zeros(len(tree.centres), bool)
+                among[held] = True
+                step = max(1, PAIRS // len(held))
+                for at in range(0, len(units), step):
+                    some = slice(at, at + step)
+                    q, c = pairs(units[some], floors[some], near[some], first, among)
+                    by_cell = np.argsort(c, kind="stable")
+                    q, c = at + q[by_cell], c[by_cell]
+                    for one, own in zip(held, np.split(order, begin[1:])):
+                        asked = q[np.searchsorted(c, one):np.searchsorted(c, one, "right")]
+                        if len(asked):
+                            best.add(ids[own], docs_units[own], asked)
+            return pa.Table.from_batches([best.rows(theirs.column("query_id").combine_chunks(), id_type)])
+
+        return run
+
+    number = lambda of: F.element_at(F.array(*[F.lit(int(n)) for n in of]), F.col("cell") + 1)
+    pick = lambda of, n: F.pmod(F.xxhash64(of), n)
+    dealt = placed.select("id", "embedding", "cell", F.floor((number(starts) + pick("id", number(tree.rows))) / F.lit(doc_rows)).cast("int").alias("db"))
+
+    def meet(questions: DataFrame, first: bool) -> DataFrame:
+        right, left = questions.mapInArrow(ask(first), T.StructType([*asked_schema.fields, T.StructField("db", T.IntegerType())])), dealt
+        if question_blocks == 1:
+            left, right = left.withColumn("qb", F.lit(0)), right.withColumn("qb", F.lit(0))
+        else:
+            # one row per block
+            sizes = F.broadcast(right.groupBy("db").agg(F.ceil(F.count("*") / F.lit(question_rows)).cast("int").alias("_n")))
+            left = left.join(sizes, "db").withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n")
+            right = right.join(sizes, "db").withColumn("qb", pick("query_id", F.col("_n")).cast("int")).drop("_n")
+        return left.groupBy("db", "qb").cogroup(right.groupBy("db", "qb")).applyInArrow(score(first), schema)
+
     # a block of questions is small enough to be placed again wherever it is read
-    one_block = queries.limit(block_rows + 1).count() <= block_rows
-    nearest = start.mapInArrow(ask(True), asked_schema)
-    nearest = nearest if one_block else written(nearest, "nearest")
-    first = written(meet(nearest), "first")
+    kept = written if question_blocks > 1 else lambda df, name: df
+    start = kept(queries.select("query_id", "embedding", F.col("threshold").alias("floor")).mapInArrow(nearest, asked_schema), "asked")
+    found = written(meet(start, True), "first")
     # a cell in blocks gives up to k rows from each
-    kth = first_n_per_key(first, ["query_id"], [F.desc("similarity"), F.asc("id")], k).groupBy("query_id").agg(
+    kth = first_n_per_key(found, ["query_id"], [F.desc("similarity"), F.asc("id")], k).groupBy("query_id").agg(
         F.min("similarity").alias("_kth"), F.count("*").alias("_n")).filter(F.col("_n") == k).select("query_id", "_kth")
-    floors = start.join(kth, "query_id", "left").select("query_id", "embedding", F.greatest("floor", "_kth").alias("floor"))
-    others = floors.mapInArrow(ask(False), asked_schema)
-    others = others if one_block else written(others, "others")
-    visited = nearest.select("query_id", "cell").union(others.select("query_id", "cell")).withColumn(
-        "documents", F.element_at(counts, F.col("cell") + 1).cast("bigint"))
-    return first.unionByName(meet(others)), visited
+    floors = kept(start.join(kth, "query_id", "left").select(
+        "query_id", "embedding", F.greatest("floor", "_kth").alias("floor"), "near"), "floors")
+
+    def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            for first in (True, False):
+                q, c = pairs(*columns(batch), first)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("query_id").take(pa.array(q)), pa.array(c.astype(np.int32)), pa.array(tree.rows[c])], names=visit_schema.names)
+
+    return found.unionByName(meet(floors, False)), floors.mapInArrow(visits, visit_schema)
 
 
 def row_defaults(matches: DataFrame) -> DataFrame:
